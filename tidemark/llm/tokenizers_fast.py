@@ -55,12 +55,11 @@ class TwoGenerations(dict):
         super().__init__()
         self.limit, self.old = limit, {}
 
-    def add(self, key, value):
-        if len(self) >= self.limit:
+    def turn(self) -> None:
+        """Begin a new generation if this one is full; callers do so only between texts."""
+        if len(self) > self.limit:
             self.old = dict(self)
             self.clear()
-        self[key] = value
-        return value
 
 
 _WHITE = re.compile(r"[ \t\n\r\x0b\x0c]+")
@@ -82,7 +81,7 @@ class WordBpe:
         old = known.old
         for c in chunks:
             if c in old:
-                known.add(c, old[c])
+                known[c] = old[c]
             elif m := _PLAIN.fullmatch(c):
                 split.append((c, m[1], m[2]))
                 for part in m.groups():
@@ -105,9 +104,7 @@ class WordBpe:
         try:
             return b"".join([known[c] for c in chunks])
         except KeyError:
-            if len(known) > known.limit:
-                known.old = dict(known)
-                known.clear()
+            known.turn()
             self._fill([c for c in dict.fromkeys(chunks) if c not in known])
             return b"".join([known[c] for c in chunks])
 
