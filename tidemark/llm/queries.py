@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import simhash
+from tidemark.llm import packing, rans, sentencepieces, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+    "op6_packing": packing.op6_packing,
+    "op7_rans_token_file": rans.op7_rans_token_file,
+    "op10_sentencepiece": sentencepieces.op10_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {}
