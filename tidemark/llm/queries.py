@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import packing, rans, sentencepieces, simhash
+from tidemark.llm import packing, quality, rans, sentencepieces, simhash, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_exact_topk": topk.op1_exact_topk,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op6_packing": packing.op6_packing,
     "op7_rans_token_file": rans.op7_rans_token_file,
+    "op9_quality": quality.op9_quality,
     "op10_sentencepiece": sentencepieces.op10_sentencepiece,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_exact_topk": topk.OP1_SQL}
