@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import packing, quality, rans, sentencepieces, simhash, topk
+from tidemark.llm import packing, pii, quality, rans, sentencepieces, simhash, suffixes, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": topk.op1_exact_topk,
+    "op4_pii": pii.op4_pii,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
     "op6_packing": packing.op6_packing,
     "op7_rans_token_file": rans.op7_rans_token_file,
+    "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op9_quality": quality.op9_quality,
     "op10_sentencepiece": sentencepieces.op10_sentencepiece,
 }
