@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import media, packing, pii, quality, rans, sentencepieces, simhash, suffixes, topk
+from tidemark.llm import licenses, media, packing, pii, quality, rans, sentencepieces, simhash, suffixes, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": topk.op1_exact_topk,
+    "op2_license_scan": licenses.op2_license_scan,
     "op3_media": media.op3_media,
     "op4_pii": pii.op4_pii,
     "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
