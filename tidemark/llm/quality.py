@@ -160,11 +160,16 @@ def fit(rows: DataFrame, shrink: float = 0.05, spherical: float = 0.5) -> Discri
     return moments_to_model(n, s, ss, shrink, spherical)
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row of ``docs``."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Discriminant]:
+    """(features of all documents, model learnt from those with a label that isn't held out)."""
     rows = written(features(docs, id_col, text_col), "features")
     marks = labels.where("quality IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label"))
-    model = fit(rows.join(marks.where(~held_out(F.col("doc_id"))), "doc_id").select("x", "label"))
+    return rows, fit(rows.join(marks.where(~held_out(F.col("doc_id"))), "doc_id").select("x", "label"))
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, held_out, score, predicted) for each row of ``docs``."""
+    rows, model = train(docs, labels, id_col, text_col)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,10 +180,17 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those that the classifier rejects (equal ids with different texts stay or go together)."""
-    rejected = classify(docs, labels, id_col, text_col).where("predicted = 0").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(rejected, docs[id_col].eqNullSafe(rejected[id_col]), "left_anti")
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` without those that the classifier rejects: a narrow map, each row judged by its own text."""
+    _, model = train(docs, labels, id_col, text_col)
+
+    def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                x = np.array([statistics(t.as_py()) for t in batch.column(text_col)])
+                yield batch.filter(pa.array(model.scores(x) >= threshold))
+
+    return docs.mapInArrow(good, docs.schema)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -129,7 +129,7 @@ def _sends(buckets: int) -> Callable[[pa.Table], pa.Table]:
     """Of a chunk: each anchor once, told apart by whether two documents of the chunk have it."""
 
     def run(table: pa.Table) -> pa.Table:
-        p, docs, raws = table.column("_p")[0].as_py(), table.column("_id").to_numpy(), _raws(table, "_raw")
+        p, docs, raws = table.column("_tm_p")[0].as_py(), table.column("_tm_id").to_numpy(), _raws(table, "_tm_raw")
         keys, owners = [], []
         for text, h, _, _ in _runs(raws):
             keys.append(_bucketed(h, buckets))
@@ -202,8 +202,8 @@ def _contexts(buckets: int, groups: int) -> Callable[[pa.Table, pa.Table], pa.Ta
         rows: list[list] = [[] for _ in _CONTEXT]
         if not len(table):
             return pa.table([pa.array(r, t) for r, (_, t) in zip(rows, _CONTEXT)], [n for n, _ in _CONTEXT])
-        p = table.column("_p")[0].as_py()
-        docs, raws = table.column("_id").to_numpy().copy(), _raws(table, "_raw")
+        p = table.column("_tm_p")[0].as_py()
+        docs, raws = table.column("_tm_id").to_numpy().copy(), _raws(table, "_tm_raw")
         copies = set(side.column("copy").drop_null().to_pylist())
         shared = np.sort(np.frombuffer(b"".join(x for x in side.column("shared").to_pylist() if x), "<u8"))
         warm = set(np.frombuffer(b"".join(x for x in side.column("warm").to_pylist() if x), "<u8").tolist())
@@ -344,7 +344,7 @@ def whole_characters(raw: np.ndarray, gone: np.ndarray) -> np.ndarray:
 def _report(table: pa.Table, found: pa.Table) -> pa.Table:
     covers = _covers(found)
     rows: list[list] = [[], [], [], [], []]
-    for doc, raw in zip(table.column("_id").to_pylist() if len(table) else [], _raws(table, "_raw") if len(table) else []):
+    for doc, raw in zip(table.column("_tm_id").to_pylist() if len(table) else [], _raws(table, "_tm_raw") if len(table) else []):
         spans = covers.get((doc, xxhash.xxh64_intdigest(raw) >> 1), [])
         gone = removed(raw, spans)
         kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if spans else raw
@@ -355,55 +355,60 @@ def _report(table: pa.Table, found: pa.Table) -> pa.Table:
     return pa.table([pa.array(r, t) for r, t in zip(rows, kinds)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def _kept_texts(table: pa.Table, found: pa.Table) -> pa.Table:
-    covers = _covers(found)
-    out: list[list] = [[], [], []]
-    for doc, raw in zip(table.column("_id").to_pylist() if len(table) else [], _raws(table, "_raw") if len(table) else []):
-        mark = xxhash.xxh64_intdigest(raw) >> 1
-        if spans := covers.get((doc, mark)):
-            data = np.frombuffer(raw, np.uint8)
-            gone = whole_characters(data, removed(raw, spans))
-            for column, value in zip(out, (doc, hashlib.sha256(raw).hexdigest(), data[~gone].tobytes().decode("utf-8", "replace"))):
-                column.append(value)
-    return pa.table([pa.array(r, t) for r, t in zip(out, (pa.int64(), pa.string(), pa.string()))], ["_id", "_sha", "_kept"])
+def _kept_texts(columns: list[str], text_col: str) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """The rows of a chunk as they came but for the removed characters."""
+
+    def run(table: pa.Table, found: pa.Table) -> pa.Table:
+        covers, out = _covers(found), []
+        for doc, raw in zip(table.column("_tm_id").to_pylist(), _raws(table, "_tm_raw")):
+            if spans := covers.get((doc, xxhash.xxh64_intdigest(raw) >> 1)):
+                data = np.frombuffer(raw, np.uint8)
+                raw = data[~whole_characters(data, removed(raw, spans))].tobytes()
+            out.append(raw.decode("utf-8", "replace"))
+        return pa.table([pa.array(out, pa.string()) if c == text_col else table.column(c) for c in columns], columns)
+
+    return run
 
 
 def _plan(docs: DataFrame, id_col: str, text_col: str, chunk: int, hot: int) -> tuple[DataFrame, DataFrame]:
-    """(texts dealt to chunks, runs of windows to remove for each chunk)."""
-    spark = docs.sparkSession
-    rows = texts(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("text").cast("binary").alias("_raw")).where("_id IS NOT NULL")
-    total = rows.agg(F.sum(F.octet_length("_raw"))).first()[0] or 0
-    parts = partitions_for(spark)
+    """(rows with an id dealt to chunks, their texts as bytes; runs of windows to remove for each chunk).
+
+    ``dealt`` is used three times with all its columns, so that Spark reuses one exchange."""
+    rest = [F.col(c) for c in docs.columns if c != text_col]
+    raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    rows = docs.select(*rest, F.col(id_col).cast("long").alias("_tm_id"), raw.alias("_tm_raw")).where("_tm_id IS NOT NULL")
+    total = rows.agg(F.sum(F.octet_length("_tm_raw"))).first()[0] or 0
+    parts = partitions_for(docs.sparkSession)
     chunks = max(parts, -(-total // chunk))
     buckets, groups = max(parts, chunks // 4), max(parts, 2 * chunks)
-    dealt = rows.select("_id", "_raw", F.pmod(F.xxhash64("_id"), F.lit(chunks)).alias("_p"))
-    sent = dealt.groupBy("_p").applyInArrow(_sends(buckets), "b long, p long, one binary, many binary")
+    dealt = rows.withColumn("_tm_p", F.pmod(F.xxhash64("_tm_id"), F.lit(chunks)))
+    sent = dealt.groupBy("_tm_p").applyInArrow(_sends(buckets), "b long, p long, one binary, many binary")
     shared = sent.groupBy("b").applyInArrow(_shares(hot), "p long, shared binary, warm binary")
-    digests = dealt.select("_id", "_p", F.sha2("_raw", 256).alias("sha"))
-    least = digests.groupBy("sha").agg(F.min("_id").alias("least"), F.max("_id").alias("most")).where("least < most").select("sha", "least")
-    copies = digests.join(least, "sha").where("_id > least").select(F.col("_p").alias("p"), F.col("_id").alias("copy")).distinct()
-    side = shared.withColumn("copy", F.lit(None).cast("long")).unionByName(copies.select("p", F.lit(None).cast("binary").alias("shared"), F.lit(None).cast("binary").alias("warm"), "copy"))
-    contexts = dealt.groupBy("_p").cogroup(side.groupBy("p")).applyInArrow(_contexts(buckets, groups), "g long, key long, doc long, mark long, p long, first long, n long, context binary")
+    digests = dealt.select("_tm_id", "_tm_p", F.sha2("_tm_raw", 256).alias("sha"))
+    least = digests.groupBy("sha").agg(F.min("_tm_id").alias("least"), F.max("_tm_id").alias("most")).where("least < most").select("sha", "least")
+    copies = digests.join(least, "sha").where("_tm_id > least").select(F.col("_tm_p").alias("p"), F.col("_tm_id").alias("copy"))
+    none = F.lit(None).cast("binary")
+    side = shared.withColumn("copy", F.lit(None).cast("long")).unionByName(copies.select("p", none.alias("shared"), none.alias("warm"), "copy"))
+    contexts = dealt.groupBy("_tm_p").cogroup(side.groupBy("p")).applyInArrow(_contexts(buckets, groups), "g long, key long, doc long, mark long, p long, first long, n long, context binary")
     found = contexts.groupBy("g").applyInArrow(_refines(), "p long, doc binary, mark binary, first binary, n binary")
     return dealt, found
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row."""
-    dealt, found = _plan(docs, id_col, text_col, chunk, hot)
-    out = dealt.groupBy("_p").cogroup(found.groupBy("p")).applyInArrow(_report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    unnamed = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(text, 256).alias("kept_sha256"))
+    docs = texts(docs, id_col, text_col)
+    dealt, found = _plan(docs, "doc_id", "text", chunk, hot)
+    out = dealt.groupBy("_tm_p").cogroup(found.groupBy("p")).applyInArrow(_report, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    zero = F.lit(0).cast("long")
+    unnamed = docs.where("doc_id IS NULL").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"))
     return out.unionByName(unnamed)
 
 
 def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
     """``docs`` with the repeated passages cut out of the texts, whole characters only."""
     dealt, found = _plan(docs, id_col, text_col, chunk, hot)
-    kept = dealt.groupBy("_p").cogroup(found.groupBy("p")).applyInArrow(_kept_texts, "_id long, _sha string, _kept string").distinct()
-    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    joined = docs.join(kept, (docs[id_col].cast("long") == F.col("_id")) & (sha == F.col("_sha")), "left")
-    return joined.withColumn(text_col, F.coalesce("_kept", text_col)).select(*docs.columns)
+    kept = dealt.groupBy("_tm_p").cogroup(found.groupBy("p")).applyInArrow(_kept_texts(docs.columns, text_col), docs.schema)
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
