@@ -98,7 +98,8 @@ def oracle(text: str) -> str:
     for n in _needs(text):
         if n in VIEWS:
             visit(n)
-    plain = lambda s: re.sub(r"\{(\w+)\}", r"\1", s)
+    # DuckDB reserves "at"
+    plain = lambda s: re.sub(r'(?<![\w"])at(?![\w"])', '"at"', re.sub(r"\{(\w+)\}", r"\1", s))
     ctes = ", ".join(f"{n} AS ({plain(VIEWS[n])})" for n in order)
     body = plain(text).strip()
     if not ctes:

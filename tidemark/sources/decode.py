@@ -109,9 +109,12 @@ def plain_text(tree: str | None) -> tuple[str, list[str]]:
     return re.sub(r"\n{3,}", "\n\n", "".join(out)).strip(), [u for u in dict.fromkeys(urls) if u]
 
 
-@F.pandas_udf("struct<text:string,urls:array<string>>")
-def flatten_rich_text(trees: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-    """Arrow batches of recursive JSON: built-in functions don't recurse."""
+def _flatten(trees: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for batch in trees:
         rows = [plain_text(t) for t in batch]
         yield pd.DataFrame({"text": [t for t, _ in rows], "urls": [u for _, u in rows]})
+
+
+def flatten_rich_text(tree: Column) -> Column:
+    """struct<text, urls> of document trees, in Arrow batches: built-in functions don't recurse."""
+    return F.pandas_udf(_flatten, "struct<text:string,urls:array<string>>")(tree)
