@@ -59,7 +59,7 @@ VIEWS = {
                CASE WHEN l_linenumber % 5 = 0 THEN 2 ELSE 1 END AS parent_count
         FROM {lineitem}""",
     "commits": """
-        SELECT DISTINCT 'c' || CAST(l_orderkey AS VARCHAR(20)) || '-' || CAST(l_partkey AS VARCHAR(20)) || '-' || CAST(l_linenumber AS VARCHAR(20)) || '-' || CAST(l_suppkey AS VARCHAR(20)) AS sha,
+        SELECT DISTINCT 'c' || CAST(l_orderkey AS VARCHAR(20)) || '-' || CAST(l_partkey AS VARCHAR(20)) || '-' || CAST(l_linenumber AS VARCHAR(20)) || '-' || CAST(l_suppkey AS VARCHAR(20)) || '-' || CAST(CAST(l_shipdate AS DATE) AS VARCHAR(20)) AS sha,
                'org/r' || CAST(l_suppkey % 8 AS VARCHAR(20)) AS repo, 'dev' || CAST(l_suppkey AS VARCHAR(20)) AS author, l_shipdate AS committed,
                'ORD-' || CAST(l_orderkey AS VARCHAR(20)) AS issue_key
         FROM {lineitem}""",
