@@ -102,7 +102,7 @@ class Codec:
     def __init__(self, path: str, limit: int = 200_000):
         model = SentencePieceProcessor(model_file=path)
         self.bos, self.eos = model.bos_id(), model.eos_id()
-        self.byte, pieces, self.surface = {}, {}, []
+        self.byte, pieces, self.surface, self.spaced = {}, {}, [], set()
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
@@ -113,6 +113,8 @@ class Codec:
             else:
                 pieces[piece] = (i, model.get_score(i))
                 self.surface.append(piece.replace(SPACE, " ").encode())
+                if piece.startswith(SPACE):
+                    self.spaced.add(i)
         if len(self.byte) != 256 or model.normalize(" a  ﬁ ") != (SPACE + " a  ﬁ ").replace(" ", SPACE):
             raise ValueError(f"{path}: only models with byte fallback and the identity normaliser are handled")
         self.chars = {p for p in pieces if len(p) == 1}
@@ -167,10 +169,11 @@ class Codec:
         return b"".join(out)
 
     def decode(self, ids) -> str:
-        """The text of ids; the space that encoding puts in front is taken off again."""
+        """The text of ids; the space that encoding puts in front is taken off again (a byte's space isn't one)."""
         surface = self.surface
         raw = b"".join([surface[i] for i in ids])
-        raw = raw[1:] if raw.startswith(b" ") else raw
+        if next((i for i in ids if surface[i]), 0) in self.spaced:
+            raw = raw[1:]
         try:
             return raw.decode("utf-8")
         except UnicodeDecodeError:
