@@ -1,4 +1,4 @@
-"""Round-robin ratings over periods: outcomes by self-join, the recurrence in one grouped helper per league.
+"""Round-robin ratings over periods: outcomes by blocks per period, the recurrence in one grouped helper per league.
 
 Only the recurrence is sequential, and leagues run apart; its input has one row per person and
 period, and each period is done with vectors.
@@ -22,18 +22,29 @@ def active_cohort(periods: DataFrame) -> DataFrame:
     return periods.where(F.col("prs_created") + F.col("prs_merged") + F.col("reviewed") + F.col("commits") > 0)
 
 
+def outcomes(score: np.ndarray, knobs: Elo = Elo(), block: int = 1024) -> np.ndarray:
+    """Each one's mean result against all others: near scores draw.  Pairs live in blocks of a matrix only."""
+    n, sd = len(score), float(score.std())
+    if n < 2 or sd < 1e-12:
+        return np.full(n, 0.5)
+    out = np.empty(n)
+    for lo in range(0, n, block):
+        d = score[lo : lo + block, None] - score[None, :]
+        beyond = np.sign(d) * (np.abs(d) - knobs.deadzone * sd)
+        result = np.where(np.abs(d) <= knobs.deadzone * sd, 0.5, 1 / (1 + np.exp(-beyond / (knobs.scale * sd))))
+        out[lo : lo + block] = (result.sum(axis=1) - 0.5) / (n - 1)  # without oneself, a draw
+    return out
+
+
 def round_robin(scores: DataFrame, knobs: Elo = Elo()) -> DataFrame:
-    """(league, period, dev, outcome): the mean result against every other person of the period; near scores draw."""
-    over = W.partitionBy("league", "period")
-    rows = scores.withColumns({"_sd": F.stddev_pop("score").over(over), "_n": F.count("*").over(over)})
-    left, right = rows.alias("l"), rows.select("league", "period", F.col("dev").alias("_dev"), F.col("score").alias("_score")).alias("r")
-    d = F.col("score") - F.col("_score")
-    beyond = F.signum(d) * (F.abs(d) - knobs.deadzone * F.col("_sd"))
-    result = F.when(F.abs(d) <= knobs.deadzone * F.col("_sd"), 0.5).otherwise(1 / (1 + F.exp(-beyond / (knobs.scale * F.col("_sd")))))
-    met = left.join(right, ["league", "period"]).where("dev <> _dev")
-    played = met.groupBy("league", "period", "dev").agg(F.avg(F.when(F.col("_sd") < 1e-12, 0.5).otherwise(result)).alias("outcome"))
-    alone = rows.where("_n < 2").select("league", "period", "dev", F.lit(0.5).alias("outcome"))
-    return played.unionByName(alone)
+    """(league, period, dev, outcome) of everyone's mean result in a period.
+
+    A period's scores are one short vector per league, so they meet as blocks of a matrix; no pair becomes a row."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf[["league", "period", "dev"]].assign(outcome=outcomes(pdf["score"].to_numpy(dtype=float), knobs))
+
+    return scores.select("league", "period", "dev", "score").groupBy("league", "period").applyInPandas(one, "league string, period string, dev string, outcome double")
 
 
 def k_factor(played: np.ndarray, knobs: Elo) -> np.ndarray:
