@@ -130,3 +130,16 @@ def projection(series: DataFrame, fraction: Column, cumulative: bool = True) ->
     value = F.when(F.col("_last") & F.lit(cumulative) & (F.col("fraction") >= 0.15), F.col("value") / F.col("fraction")).otherwise(F.col("value"))
     pace = F.when(~F.col("_last") | F.col("before").isNull(), F.lit("")).when(value > 1.05 * F.col("before"), "above").when(value < 0.95 * F.col("before"), "below").otherwise("on")
     return rows.where(~F.col("_last") | (F.col("fraction") >= 0.15)).select("bucket", value.alias("value"), pace.alias("pace"))
+
+
+def label_cut(issues: DataFrame, cycle: DataFrame, tagged: Column) -> DataFrame:
+    """One row: resolved, tagged ones, their share, and median cycle hours of either side."""
+    done = issues.where("resolved IS NOT NULL").withColumn("tagged", tagged).join(cycle, "issue_key", "left")
+    n, t = F.count("*"), F.sum(F.col("tagged").cast("long"))
+    return done.agg(n.alias("resolved"), t.alias("tagged"), (100 * t / n).alias("share"), median_positive(F.when(F.col("tagged"), F.col("cycle_hours"))).alias("median_tagged"), median_positive(F.when(~F.col("tagged"), F.col("cycle_hours"))).alias("median_other"))
+
+
+def window_median(monthly: DataFrame, value: str) -> DataFrame:
+    """The upper median of positive monthly values: the element at floor(n / 2)."""
+    kept = F.array_sort(F.collect_list(F.when(F.col(value) > 0, F.col(value))))
+    return monthly.agg(F.when(F.size(kept) > 0, F.element_at(kept, F.floor(F.size(kept) / 2).cast("int") + 1)).otherwise(0.0).alias(value))

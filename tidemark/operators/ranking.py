@@ -102,3 +102,14 @@ def logistic_z(value: Column, over) -> Column:
 def min_max(value: Column, over) -> Column:
     low, high = F.min(value).over(over), F.max(value).over(over)
     return F.when((F.count(value).over(over) < 2) | (high - low < 1e-12), 0.5).otherwise((value - low) / (high - low))
+
+
+def sort_people(df: DataFrame, by: str, top: int | None = None) -> DataFrame:
+    """Adds the place by a measure, nulls last, ties by name; with ``top`` only so many."""
+    out = df.withColumn("place", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.col(by).desc_nulls_last(), "dev")))
+    return out.where(F.col("place") <= top) if top else out
+
+
+def find_person(df: DataFrame, logins: DataFrame, login: str) -> DataFrame:
+    """The rows of whoever has a login, whatever its case."""
+    return df.join(logins.where(F.lower("login") == login.lower()).select("dev").distinct(), "dev", "left_semi")

@@ -225,3 +225,17 @@ def calibrate(rows: DataFrame, thresholds: list[float], knobs: Band = Band()) ->
     base = F.when(long_ & high, knobs.long_high).when(long_, knobs.long_low).when(high, knobs.short_high).otherwise(knobs.short_low)
     points, _, straddles = snap(base + F.least(F.col("rework"), F.lit(knobs.rework_cap)) * knobs.rework, knobs.scale, knobs.straddle)
     return many.groupBy("threshold", points.alias("points")).agg(F.count("*").alias("tickets"), F.sum(straddles.cast("long")).alias("flagged"))
+
+
+def score_facets(scores: DataFrame, confidence: list[str] | None = None, points: list[int] | None = None, flagged: bool | None = None, key_part: str = "", since: str | None = None) -> DataFrame:
+    """Scores that pass every facet given; undated ones pass the date."""
+    out = scores
+    if confidence:
+        out = out.where(F.col("confidence").isin(*confidence))
+    if points:
+        out = out.where(F.col("points").isin(*points))
+    if flagged is not None:
+        out = out.where(F.col("needs_insight") == flagged)
+    if key_part:
+        out = out.where(F.contains(F.lower("ticket"), F.lit(key_part.lower())))
+    return out.where(F.col("resolved").isNull() | (F.col("resolved") >= F.lit(since).cast("timestamp_ntz"))) if since else out

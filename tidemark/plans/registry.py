@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import activity, content, delivery
+from tidemark.plans import activity, content, delivery, views
 from tidemark.plans.corpus import frame, oracle
 
-GROUPS = (activity.QUERIES, delivery.QUERIES, content.QUERIES)
+GROUPS = (activity.QUERIES, delivery.QUERIES, content.QUERIES, views.QUERIES)
 
 
 def _bound(build: Callable) -> Callable[[SparkSession, str], DataFrame]:
