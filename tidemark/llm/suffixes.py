@@ -261,6 +261,25 @@ def refine(contexts: list[bytes], counts: np.ndarray, docs: np.ndarray) -> np.nd
     return owner > least[p50]
 
 
+def _equal(rows: list[int], contexts: list, keys: np.ndarray, docs: np.ndarray) -> tuple[list[int], list[int]]:
+    """Of rows by bucket and document: those whose whole context a smaller document has, and those of buckets in which
+    different contexts remain, which alone need refining."""
+    keys, docs = keys.tolist(), docs.tolist()
+    settled, rest, bucket, first, key = [], [], [], {}, None
+    for i in [*rows, None]:
+        if i is None or keys[i] != key:
+            if len(first) > 1:
+                rest += bucket
+            if i is None:
+                break
+            key, bucket, first = keys[i], [], {}
+        if first.setdefault(contexts[i], docs[i]) < docs[i]:
+            settled.append(i)
+        else:
+            bucket.append(i)
+    return settled, rest
+
+
 _FOUND = [("p", pa.int64()), ("doc", pa.binary()), ("mark", pa.binary()), ("first", pa.binary()), ("n", pa.binary())]
 
 
@@ -271,9 +290,13 @@ def _refines(limit: int = 1 << 21) -> Callable[[pa.Table], pa.Table]:
         done = pc.is_null(table.column("context")).to_numpy()
         cols = {c: table.column(c).to_numpy() for c in ("key", "doc", "mark", "p", "first", "n")}
         out = [[cols[c][done]] for c in ("p", "doc", "mark", "first", "n")]
-        open_ = np.flatnonzero(~done)
-        open_ = open_[np.argsort(cols["key"][open_], kind="stable")]
         contexts = table.column("context").to_pylist()
+        open_ = np.flatnonzero(~done)
+        open_ = open_[np.lexsort((cols["doc"][open_], cols["key"][open_]))]
+        settled, rest = _equal(open_.tolist(), contexts, cols["key"], cols["doc"])
+        for o, c in zip(out, ("p", "doc", "mark", "first", "n")):
+            o.append(cols[c][settled])
+        open_ = np.array(rest, dtype=np.int64)
         key = cols["key"][open_]
         edges = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)) if len(key) else np.zeros(1, np.int64)
         at = 0
