@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -14,6 +15,9 @@ from tidemark.plans.activity import LEADER_SQL, n, r
 from tidemark.plans.delivery import BANDED, DURATIONS, EPIC
 from tidemark.sources import corpus_files
 
+#: The leaderboard with a multiplier of 1.
+FLAT_SQL = re.sub(r"w3 AS \(SELECT \*, .*? AS m FROM w2\)", "w3 AS (SELECT *, 1.0 AS m FROM w2)", LEADER_SQL, flags=re.DOTALL)
+
 
 def corpus_meta(t):
     parts = [t(name).agg(F.count("*").alias("n")).select(F.lit(name).alias("source"), "n") for name in ("issues", "prs", "commits", "reviews", "roster_dev")]
@@ -87,7 +91,11 @@ QUERIES = {
         LEADER_SQL + ", sc AS (SELECT dev, sum(contribution) AS score FROM co GROUP BY dev), pl AS (SELECT *, row_number() OVER (ORDER BY score DESC NULLS LAST, dev) AS place FROM sc) SELECT dev, round(score, 4) AS score, place FROM pl WHERE place <= 10",
     ),
     "person_found": (found_person, LEADER_SQL + " SELECT dev, round(code_impact, 4) AS code_impact FROM w2 WHERE dev IN (SELECT dev FROM {roster_login} WHERE lower(login) = 'alt3')"),
-    "audit_cohort": (cohort_audit, None),
+    "audit_cohort": (
+        cohort_audit,
+        f"""SELECT dev, a.rank AS before, b.rank AS after, CAST(a.rank - b.rank AS BIGINT) AS shift FROM ({FLAT_SQL} SELECT dev, row_number() OVER (ORDER BY sum(contribution) DESC, dev) AS rank FROM co GROUP BY dev) a
+            JOIN ({LEADER_SQL} SELECT dev, row_number() OVER (ORDER BY sum(contribution) DESC, dev) AS rank FROM co GROUP BY dev) b USING (dev)""",
+    ),
     "audit_spikes": (spike_audit, None),
     "audit_ratings": (rating_snapshot, None),
     "epic_facets": (
