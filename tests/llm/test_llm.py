@@ -497,6 +497,14 @@ def test_sentencepiece_frames(odd, empty):
 # --- all
 
 
+def test_release_deletes_what_was_written(spark, odd):
+    from tidemark.llm import common
+
+    found = common.written(odd, "x")
+    assert found.count() == odd.count()
+    assert common.release(spark) >= 1 and common.release(spark) == 0
+
+
 def test_every_operator_is_registered():
     names = {re.match(r"op(\d+)_", n)[1] for n in queries.QUERIES}
     assert names == {str(n) for n in range(1, 11)}

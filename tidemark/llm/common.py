@@ -27,10 +27,28 @@ def shared_dir(spark: SparkSession) -> str:
     return have.rstrip("/")
 
 
+_PATHS: list[str] = []
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, noted for ``release``."""
+    _PATHS.append(f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}")
+    return _PATHS[-1]
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what operators have written so far; call it once their results have been used. Returns the number of paths."""
+    jvm, conf, n = spark._jvm, spark._jsc.hadoopConfiguration(), 0
+    while _PATHS:
+        path = jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
+
+
 def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: cuts the lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

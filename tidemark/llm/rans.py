@@ -21,7 +21,6 @@ ignored; a wrong checksum raises.
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -34,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import documents, partitions_for, shared_dir, texts, written
+from tidemark.llm.common import documents, new_path, partitions_for, texts, written
 from tidemark.llm.tokenizers_fast import word_bpe
 
 END_ID, SCALE, LANES, SEGMENT, BLOCK = 1, 20, 1024, 1 << 16, 1 << 16
@@ -203,7 +202,7 @@ def write_token_file(
     """Write the token file of ``docs`` and return its folder."""
     spark = docs.sparkSession
     source = tokenizer or public_tokenizers.path("word_bpe_49k.json")
-    path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = path or new_path(spark, "tokens")
     engine = word_bpe(source)
     dtype, size = engine.dtype.str, max(engine.tok.get_vocab_size(), end_id + 1)
     ids = written(texts(docs, id_col, text_col).mapInArrow(_tokens(source, end_id), "doc_id long, ids binary"), "ids")
