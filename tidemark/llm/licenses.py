@@ -12,9 +12,9 @@ Shingles hold the words of one line or more, in lower case and without punctuati
 
 Only DataFrame functions are used, without any shuffle of text: the templates' signatures are a
 table of a few rows (its size is that of the template list, a parameter that is checked), which is
-joined by broadcast on (length, band, value).  A text without any word that every template's every
-shingle needs (a hitting set of words, computed from the templates) cannot reach containment 0 < c,
-so its windows are not formed; this is exact and drops nothing.
+joined by broadcast on (length, band, value).  Every shingle of every template holds a word of a
+hitting set computed from the templates; a window without such a word holds no template's shingle,
+so only windows with one are formed.  This is exact and drops nothing.
 
 Defined cases: null or empty texts and texts shorter than a template have no match; a template of
 less than five words is one shingle of all its words; equal rows give their matches once; an empty table
@@ -67,14 +67,9 @@ def _words(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.regexp_replace(w, _EDGE, "")), lambda w: w != "")
 
 
-def _permuted(k: int) -> str:
-    """The k-th permutation of a 64-bit hash h, as SQL."""
-    return f"xxhash64(h, {k})"
-
-
 def _signature(hashes: str) -> str:
-    """An array of BANDS values, each of ROWS minima, over an array of shingle hashes."""
-    minima = [f"array_min(transform({hashes}, h -> {_permuted(k)}))" for k in range(BANDS * ROWS)]
+    """BANDS values, each of ROWS minima, over an array of shingle hashes under BANDS x ROWS permutations."""
+    minima = [f"array_min(transform({hashes}, h -> xxhash64(h, {k})))" for k in range(BANDS * ROWS)]
     return "array(" + ", ".join(f"xxhash64({', '.join(minima[b * ROWS : (b + 1) * ROWS])})" for b in range(BANDS)) + ")"
 
 
@@ -98,16 +93,21 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     spark, templates = docs.sparkSession, templates or TEMPLATES
     sizes = sorted({len(plain_words(t)) for t in templates.values()} - {0})
     table = template_table(spark, templates)
-    need = "|".join(re.escape(w) for w in hitting_words(templates))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.lower("text").rlike(f"(?:^|[^a-z0-9])(?:{need})(?:$|[^a-z0-9])"))
+    words = hitting_words(templates)
+    need = "|".join(re.escape(w) for w in words)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.lower("text").rlike(f"(?:^|[^a-z0-9])(?:{need})"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("h"), _words(F.col("text")).alias("ws")).withColumn("w", F.size("ws"))
-    rows = rows.where(F.col("w") >= sizes[0]).withColumn("hashes", F.expr(_shingles("ws", "w")))
+    needles = ", ".join(f"'{w}'" for w in words)
+    rows = rows.withColumn("marks", F.expr(f"filter(sequence(1, greatest(w, 1)), i -> get(ws, i - 1) IN ({needles}))"))  # no filter here: pushed down, it would split the text anew for each word
+    rows = rows.withColumn("hashes", F.expr(_shingles("ws", "w")))
+    # of each length, the windows that hold a marked word; each leaves its row with its own shingles alone
+    starts = "array_distinct(flatten(transform(marks, q -> sequence(greatest(1, q - n + 1), least(q, w - n + 1)))))"
+    own = f"transform({starts}, p -> named_struct('p', p, 'own', slice(hashes, p, greatest(n - {WORDS} + 1, 1))))"
     lengths = F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n")
-    rows = rows.select("doc_id", "h", "w", "hashes", lengths).where("w >= n")
-    window = f"slice(hashes, p, greatest(n - {WORDS} + 1, 1))"
-    places = rows.select("doc_id", "h", "n", "hashes", F.explode(F.sequence(F.lit(1), F.col("w") - F.col("n") + 1)).alias("p"))
-    places = places.select("doc_id", "h", "n", "p", F.expr(window).alias("own"))
-    bands = places.select("doc_id", "h", "n", "p", "own", F.posexplode(F.expr(_signature("own"))).alias("band", "value"))
+    rows = rows.select("doc_id", "h", "w", "marks", "hashes", lengths).where("w >= n").select("doc_id", "h", "n", F.expr(own).alias("places"))
+    places = rows.select("doc_id", "h", "n", F.explode("places").alias("place")).select("doc_id", "h", "n", "place.*")
+    places = places.withColumn("signature", F.expr(_signature("own")))
+    bands = places.select("doc_id", "h", "n", "p", "own", F.posexplode("signature").alias("band", "value"))
     met = bands.join(F.broadcast(table), ["n", "band", "value"])
     share = F.size(F.array_intersect("own", "shingles")) / F.size("shingles")
     found = met.withColumn("containment", share).where(F.col("containment") >= least)
