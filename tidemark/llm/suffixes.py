@@ -191,6 +191,15 @@ def _shares(hot: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
+def _ordinals(docs: list[int], raws: list[bytes]) -> list[int]:
+    """Numbers that tell the different texts of one doc_id apart: 0 for nearly all. A chunk has all rows of an id."""
+    marks, of = [xxhash.xxh64_intdigest(x) for x in raws], defaultdict(set)
+    for d, m in zip(docs, marks):
+        of[d].add(m)
+    place = {(d, m): k for d, ms in of.items() for k, m in enumerate(sorted(ms))}
+    return [place[x] for x in zip(docs, marks)]
+
+
 _CONTEXT = [("g", pa.int64()), ("key", pa.int64()), ("doc", pa.int64()), ("mark", pa.int64()), ("p", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("context", pa.binary())]
 
 
@@ -209,16 +218,17 @@ def _contexts(buckets: int, groups: int) -> Callable[[pa.Table, pa.Table], pa.Ta
         warm = set(np.frombuffer(b"".join(x for x in side.column("warm").to_pylist() if x), "<u8").tolist())
         order = np.argsort(docs, kind="stable")  # the smallest document of a chunk comes first
         docs, raws = docs[order], [raws[i] for i in order]
-        marks = [xxhash.xxh64_intdigest(x) >> 1 for x in raws]
+        marks = _ordinals(docs.tolist(), raws)
         seen: dict = {}
 
         def row(key: int, i: int, first: int, n: int, context: bytes | None) -> None:
-            for column, value in zip(rows, (key % groups, key >> 1, int(docs[i]), marks[i], p, first, n, context)):
+            group = (int(docs[i]) if context is None else key) % groups  # what is settled needs no group and is spread
+            for column, value in zip(rows, (group, key >> 1, int(docs[i]), marks[i], p, first, n, context)):
                 column.append(value)
 
         whole = [int(d) in copies and len(x) >= LENGTH for d, x in zip(docs, raws)]
         for i in np.flatnonzero(whole):
-            row(marks[i], i, 0, len(raws[i]) - LENGTH + 1, None)
+            row(0, i, 0, len(raws[i]) - LENGTH + 1, None)
         for text, h, first, n in _runs([b"" if w else x for w, x in zip(whole, raws)] if len(shared) else []):
             keys = _bucketed(h, buckets)
             place = np.minimum(np.searchsorted(shared, keys), len(shared) - 1)
@@ -231,7 +241,8 @@ def _contexts(buckets: int, groups: int) -> Callable[[pa.Table, pa.Table], pa.Ta
                 elif key in warm:
                     for w in range(count):
                         window = context[w : w + LENGTH]
-                        row(xxhash.xxh64_intdigest(window), i, lo + w, 1, window)
+                        known = seen.setdefault(window, docs[i]) != docs[i]
+                        row(xxhash.xxh64_intdigest(window), i, lo + w, 1, None if known else window)
                 else:
                     row(key, i, lo, count, context)
         return pa.table([pa.array(r, t) for r, (_, t) in zip(rows, _CONTEXT)], [n for n, _ in _CONTEXT])
@@ -367,8 +378,9 @@ def whole_characters(raw: np.ndarray, gone: np.ndarray) -> np.ndarray:
 def _report(table: pa.Table, found: pa.Table) -> pa.Table:
     covers = _covers(found)
     rows: list[list] = [[], [], [], [], []]
-    for doc, raw in zip(table.column("_tm_id").to_pylist() if len(table) else [], _raws(table, "_tm_raw") if len(table) else []):
-        spans = covers.get((doc, xxhash.xxh64_intdigest(raw) >> 1), [])
+    docs, raws = table.column("_tm_id").to_pylist(), _raws(table, "_tm_raw")
+    for doc, raw, mark in zip(docs, raws, _ordinals(docs, raws)):
+        spans = covers.get((doc, mark), [])
         gone = removed(raw, spans)
         kept = np.frombuffer(raw, np.uint8)[~gone].tobytes() if spans else raw
         edge = np.diff(np.concatenate([[0], gone.astype(np.int8)]))
@@ -383,8 +395,9 @@ def _kept_texts(columns: list[str], text_col: str) -> Callable[[pa.Table, pa.Tab
 
     def run(table: pa.Table, found: pa.Table) -> pa.Table:
         covers, out = _covers(found), []
-        for doc, raw in zip(table.column("_tm_id").to_pylist(), _raws(table, "_tm_raw")):
-            if spans := covers.get((doc, xxhash.xxh64_intdigest(raw) >> 1)):
+        docs, raws = table.column("_tm_id").to_pylist(), _raws(table, "_tm_raw")
+        for doc, raw, mark in zip(docs, raws, _ordinals(docs, raws)):
+            if spans := covers.get((doc, mark)):
                 data = np.frombuffer(raw, np.uint8)
                 raw = data[~whole_characters(data, removed(raw, spans))].tobytes()
             out.append(raw.decode("utf-8", "replace"))
