@@ -439,6 +439,13 @@ def test_suffixes_odd(odd, empty):
     assert [r.text for r in out.where("doc_id = 9").collect()] == [ODD[10][1]]
 
 
+def test_suffixes_one_id_with_a_copied_and_a_unique_text(spark):
+    copied, unique = " ".join(f"copied{i}" for i in range(12)), " ".join(f"unique{i}" for i in range(12))
+    rows = [(1, copied), (2, copied), (2, unique), (3, "before " + unique + " after")]
+    got = _suffix_rows(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert got == _removed([(i, t.encode()) for i, t in rows])
+
+
 def test_whole_characters_only():
     raw = np.frombuffer("aé漢b".encode(), np.uint8)
     gone = np.array([0, 0, 1, 1, 1, 1, 0], bool)

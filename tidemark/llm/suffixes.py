@@ -213,7 +213,10 @@ def _contexts(buckets: int, groups: int) -> Callable[[pa.Table, pa.Table], pa.Ta
             return pa.table([pa.array(r, t) for r, (_, t) in zip(rows, _CONTEXT)], [n for n, _ in _CONTEXT])
         p = table.column("_tm_p")[0].as_py()
         docs, raws = table.column("_tm_id").to_numpy().copy(), _raws(table, "_tm_raw")
-        copies = set(side.column("copy").drop_null().to_pylist())
+        copies = defaultdict(set)
+        for doc, sha in zip(side.column("copy").to_pylist(), side.column("sha").to_pylist()):
+            if doc is not None:
+                copies[doc].add(sha)
         shared = np.sort(np.frombuffer(b"".join(x for x in side.column("shared").to_pylist() if x), "<u8"))
         warm = set(np.frombuffer(b"".join(x for x in side.column("warm").to_pylist() if x), "<u8").tolist())
         order = np.argsort(docs, kind="stable")  # the smallest document of a chunk comes first
@@ -226,7 +229,8 @@ def _contexts(buckets: int, groups: int) -> Callable[[pa.Table, pa.Table], pa.Ta
             for column, value in zip(rows, (group, key >> 1, int(docs[i]), marks[i], p, first, n, context)):
                 column.append(value)
 
-        whole = [int(d) in copies and len(x) >= LENGTH for d, x in zip(docs, raws)]
+        # an id may have other texts besides the copied one
+        whole = [len(x) >= LENGTH and d in copies and hashlib.sha256(x).hexdigest() in copies[d] for d, x in zip(docs.tolist(), raws)]
         for i in np.flatnonzero(whole):
             row(0, i, 0, len(raws[i]) - LENGTH + 1, None)
         for text, h, first, n in _runs([b"" if w else x for w, x in zip(whole, raws)] if len(shared) else []):
@@ -422,9 +426,9 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, chunk: int, hot: int) ->
     shared = sent.groupBy("b").applyInArrow(_shares(hot), "p long, shared binary, warm binary")
     digests = dealt.select("_tm_id", "_tm_p", F.sha2("_tm_raw", 256).alias("sha"))
     least = digests.groupBy("sha").agg(F.min("_tm_id").alias("least"), F.max("_tm_id").alias("most")).where("least < most").select("sha", "least")
-    copies = digests.join(least, "sha").where("_tm_id > least").select(F.col("_tm_p").alias("p"), F.col("_tm_id").alias("copy"))
+    copies = digests.join(least, "sha").where("_tm_id > least").select(F.col("_tm_p").alias("p"), F.col("_tm_id").alias("copy"), "sha")
     none = F.lit(None).cast("binary")
-    side = shared.withColumn("copy", F.lit(None).cast("long")).unionByName(copies.select("p", none.alias("shared"), none.alias("warm"), "copy"))
+    side = shared.withColumns({"copy": F.lit(None).cast("long"), "sha": F.lit(None).cast("string")}).unionByName(copies.select("p", none.alias("shared"), none.alias("warm"), "copy", "sha"))
     contexts = dealt.groupBy("_tm_p").cogroup(side.groupBy("p")).applyInArrow(_contexts(buckets, groups), "g long, key long, doc long, mark long, p long, first long, n long, context binary")
     found = contexts.groupBy("g").applyInArrow(_refines(), "p long, doc binary, mark binary, first binary, n binary")
     return dealt, found
