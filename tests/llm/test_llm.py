@@ -11,6 +11,7 @@ import public_tokenizers
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tidemark.llm import components, licenses, media, packing, pii, quality, queries, rans, sentencepieces, simhash, suffixes, tokenizers_fast, topk, webp
@@ -387,6 +388,23 @@ def test_byte_bpe_equals_library():
     assert [own.encode_ordinary(c) for c in cases] == [e.ids for e in tokenizers_fast.library(path).encode_batch(cases, add_special_tokens=False)]
 
 
+def test_added_tokens_equal_the_untouched_library(spark):
+    names, rng = ("byte_bpe_50k.json", "word_bpe_49k.json"), random.Random(4)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext|", "a", " b", "\n", "é", "don't", "漢"]
+    cases = ["<|endoftext|>", "one <|endoftext|> two<|startoftext|>"] + ["".join(rng.choice(parts) for _ in range(rng.randint(0, 8))) for _ in range(500)]
+    byte, word = (Tokenizer.from_file(public_tokenizers.path(n)) for n in names)
+    ids = [[e.ids for e in t.encode_batch(cases, add_special_tokens=False)] for t in (byte, word)]
+    assert ids[0][0] == [50256] and ids[1][0] == [49407]
+    own = tokenizers_fast.byte_bpe(public_tokenizers.path(names[0]))
+    assert [own.encode_ordinary(c) for c in cases] == ids[0]
+    w = tokenizers_fast.word_bpe(public_tokenizers.path(names[1]))
+    assert [np.frombuffer(w.encode(c), w.dtype).tolist() for c in cases] == ids[1]
+    df = spark.createDataFrame(list(enumerate(cases[:2])), "doc_id long, text string")
+    got = {r.doc_id: r.n_tokens for r in rans.read_token_file(spark, rans.write_token_file(df)).collect()}
+    assert got == {i: len(x) + 1 for i, x in enumerate(ids[1][:2])}
+    assert {r.doc_id: r.doc_tokens for r in packing.pack(df).collect()} == {i: len(x) + 1 for i, x in enumerate(ids[0][:2])}
+
+
 # --- op8
 
 

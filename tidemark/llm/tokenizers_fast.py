@@ -2,7 +2,8 @@
 
 ``byte_bpe`` runs a byte-level BPE file (no normaliser, its own regex split) on tiktoken's
 engine with ranks taken from the same JSON; ``word_bpe`` does so for a file with ends of words.
-Tests hold both against the tokenizers library's ids.
+A text that holds the string of an added token goes to the library whole, which gives that
+token's id.  Tests hold both against the ids of the tokenizers library at its defaults.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 import json
 import re
 from array import array
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import tiktoken
@@ -18,10 +19,8 @@ from tokenizers import Tokenizer
 
 
 def library(path: str) -> Tokenizer:
-    """The tokenizer by the tokenizers library; special tokens' strings in a text are ordinary text."""
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    """The tokenizer by the tokenizers library at its defaults: added tokens' strings in a text give their own ids."""
+    return Tokenizer.from_file(path)
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -35,16 +34,33 @@ def _byte_alphabet() -> dict[str, int]:
 BYTE_LEVEL_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+class ByteBpe:
+    """A byte-level BPE file; the library is loaded only once a text needs it."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        pre, self.path, self.added = spec["pre_tokenizer"], path, [t["content"] for t in spec["added_tokens"]]
+        if spec["normalizer"] or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"]:
+            raise ValueError(f"{path} isn't a plain byte-level BPE file")
+        to_byte, special = _byte_alphabet(), set(self.added)
+        ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+        self.engine = tiktoken.Encoding("own", pat_str=BYTE_LEVEL_SPLIT, mergeable_ranks=ranks, special_tokens={})
+
+    @cached_property
+    def tok(self) -> Tokenizer:
+        return library(self.path)
+
+    def encode_ordinary(self, text: str) -> list[int]:
+        """The ids without those that a template adds."""
+        if any(t in text for t in self.added):
+            return self.tok.encode(text, add_special_tokens=False).ids
+        return self.engine.encode_ordinary(text)
+
+
 @lru_cache(maxsize=4)
-def byte_bpe(path: str) -> tiktoken.Encoding:
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    pre, special = spec["pre_tokenizer"], {t["content"] for t in spec["added_tokens"]}
-    if spec["normalizer"] or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"]:
-        raise ValueError(f"{path} isn't a plain byte-level BPE file")
-    to_byte = _byte_alphabet()
-    ranks = {bytes(to_byte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-    return tiktoken.Encoding("own", pat_str=BYTE_LEVEL_SPLIT, mergeable_ranks=ranks, special_tokens={})
+def byte_bpe(path: str) -> ByteBpe:
+    return ByteBpe(path)
 
 
 class TwoGenerations(dict):
@@ -71,8 +87,8 @@ class WordBpe:
     """A BPE file with ends of words (lower case, white space dropped); ids as little-endian bytes.
 
     A text of simple characters is split by a plain regular expression, each word gets a mark in
-    place of its end, and tiktoken's engine merges with ranks taken from the file; any other text
-    goes to the tokenizers library whole.
+    place of its end, and tiktoken's engine merges with ranks taken from the file; any other text,
+    and one with the string of an added token, goes to the tokenizers library whole.
     """
 
     def __init__(self, path: str):
@@ -83,7 +99,10 @@ class WordBpe:
         model, to_byte = spec["model"], _byte_alphabet()
         end = model["end_of_word_suffix"]
         own = lambda t: bytes(to_byte[c] for c in t.removesuffix(end)) + b"\0" * t.endswith(end)
-        special = {t["content"] for t in spec["added_tokens"]}
+        if any(t["normalized"] for t in spec["added_tokens"]):
+            raise ValueError(f"{path}: added tokens are looked for in normalised text")
+        self.added = [t["content"] for t in spec["added_tokens"]]
+        special = set(self.added)
         vocab = {t: i for t, i in model["vocab"].items() if t not in special}
         merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "", 1) for m in model["merges"]]
         by_merge = [vocab[t] for t in dict.fromkeys(merged)]
@@ -95,7 +114,7 @@ class WordBpe:
         self.engine = tiktoken.Encoding("own", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        if not _SIMPLE.fullmatch(text) or "×" in text or "÷" in text:
+        if not _SIMPLE.fullmatch(text) or "×" in text or "÷" in text or any(t in text for t in self.added):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype=self.dtype).tobytes()
         marked = _marked(text)
         return array(self.code, self.engine.encode_ordinary(marked)).tobytes() if marked else b""
