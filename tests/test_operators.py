@@ -1,6 +1,8 @@
 """Closed-form answers and invariants of single operators."""
 
+import collections
 import math
+import random
 
 import numpy as np
 import pandas as pd
@@ -11,6 +13,7 @@ from tidemark.config import Elo, Impact
 from tidemark.functions import calendar as cal
 from tidemark.functions import text as tx
 from tidemark.operators import audit, elo, epics, flow, impact, integration, people, ranking, rollup, tickets
+from tidemark.plans import registry
 from tidemark.sources import corpus_files, decode
 
 
@@ -84,6 +87,28 @@ def test_name_match(spark):
     assert score("jsmith", "Jane Smith") == 95 and score("jane-smith", "Jane Smith") == 100 and score("zzz", "Jane Smith") == 0
 
 
+def test_candidates_equal_brute_force(spark):
+    rng = random.Random(1)
+    parts = ["jo", "li", "x", "jane", "smith", "smithson", "000", "000000001", "al", "ann"]
+    word = lambda sep, n: sep.join(rng.choice(parts) for _ in range(rng.randint(1, n)))
+    logins = [("jo",), ("JSmith",), ("smithj",), ("",), (None,), ("--",), ("jo",)] + [(word(rng.choice(["", "-", "."]), 3),) for _ in range(80)]
+    names = [(f"c{i}", n) for i, n in enumerate(["Jo Li", "Jane Smith", "", None, "J. Smith", "jane  smith", "Jane Smith"])] + [(f"d{i}", word(" ", 4)) for i in range(120)]
+    a, b = spark.createDataFrame(logins, "login string").distinct(), spark.createDataFrame(names, "account string, name string")
+    want = collections.defaultdict(list)
+    for r in a.crossJoin(b).withColumn("s", people.match_score(F.col("login"), F.col("name"))).where("s >= 40").collect():
+        want[r.login].append((-r.s, r.account))
+    got = collections.defaultdict(list)
+    for r in people.candidates(spark.createDataFrame(logins, "login string"), b).orderBy("login", "rank").collect():
+        got[r.login].append((-r.score, r.account))
+    assert got == {k: sorted(v)[:3] for k, v in want.items()} and (-75.0, "c0") in want["jo"]
+
+
+def test_identity_candidates_take_every_customer(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = registry.QUERIES["identity_candidates"](spark, sf).where("rank = 1 AND score = 95").collect()
+    assert len({r.account for r in rows}) == len(rows) == spark.read.parquet(f"{sf}/customer.parquet").count()
+
+
 CHANGES = "issue_key string, at timestamp, ord int, author string, from_status string, to_status string"
 
 

@@ -101,17 +101,45 @@ def match_score(login: Column, name: Column) -> Column:
     )
 
 
+def _tokens(s: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(s, " "), lambda x: x != ""))
+
+
+def _short_prefix(s: Column) -> Column:
+    """Of the tokens, the longest first, as many as two sets need to share one at a Jaccard of 0.5; those of three and more
+    are left out, as ``part`` covers them."""
+    order = F.array_sort(F.transform(_tokens(s), lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t"))))
+    return F.transform(F.filter(F.slice(order, 1, F.floor(F.size(order) / 2).cast("int") + 1), lambda x: x["l"] > -3), lambda x: F.concat(F.lit("t:"), x["t"]))
+
+
 def candidates(logins: DataFrame, names: DataFrame, least: float = 40.0, top: int = 3) -> DataFrame:
-    """(login, account, score, rank): the best names for each login. Pairs are formed only where the two share a run of three
-    letters or digits, which every score above zero needs unless one is shorter."""
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substr(c, i, F.lit(3))))
-    glue = lambda c: F.replace(_normal(F.col(c)), F.lit(" "), F.lit(""))
-    left = logins.select("login", F.explode(grams(glue("login"))).alias("gram"))
-    right = names.select("account", "name", F.explode(grams(glue("name"))).alias("gram"))
-    pairs = left.join(right, "gram").select("login", "account", "name").distinct()
-    scored = pairs.withColumn("score", match_score(F.col("login"), F.col("name"))).where(F.col("score") >= least)
-    order = W.partitionBy("login").orderBy(F.desc("score"), "account")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("login", "account", "score", "rank")
+    """(login, account, score, rank): the best names for each login, of all pairs that score ``least`` (above zero) or more.
+
+    Each case of ``match_score`` has a key by equality: the glued forms and initials, a short token, or a token of the name
+    among the login's substrings (of the lengths that such tokens have).  Equal normalised forms go as one, with the first
+    ``top`` accounts of each name."""
+    glue = lambda c: F.replace(F.col(c), F.lit(" "), F.lit(""))
+    key = lambda k, c: F.concat(F.lit(f"{k}:"), c)
+    a = logins.select("login", _normal(F.col("login")).alias("a")).where("a <> ''").distinct()
+    b = names.select("account", "name", _normal(F.col("name")).alias("b")).where("b <> ''").distinct()
+    b = b.withColumn("_r", F.row_number().over(W.partitionBy("b").orderBy("account", "name"))).where(F.col("_r") <= top)
+    b = b.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("account", "name"))).alias("who"))
+    words = F.split("b", " ")
+    initial, last = F.substring(F.element_at(words, 1), 1, 1), F.element_at(words, -1)
+    glued = F.array(key("g", glue("b")), key("g", F.concat(initial, last)), key("g", F.concat(last, initial)))
+    long = F.filter(_tokens(F.col("b")), lambda t: F.length(t) >= 3)
+    own = F.array_distinct(F.concat(glued, _short_prefix(F.col("b")), F.transform(long, lambda t: key("s", t))))
+    right = b.select("b", F.col("who")[0].alias("first"), F.explode(own).alias("key"))
+    lengths = b.select(F.explode(F.transform(long, lambda t: F.length(t))).alias("n")).distinct().agg(F.collect_list("n").alias("lengths"))
+    left = a.select("a", glue("a").alias("glued")).distinct().crossJoin(F.broadcast(lengths))
+    subs = F.flatten(F.transform(F.filter("lengths", lambda n: n <= F.length("glued")), lambda n: F.transform(F.sequence(F.lit(1), F.length("glued") - n + 1), lambda i: key("s", F.substr("glued", i, n)))))
+    left = left.select("a", F.explode(F.array_distinct(F.concat(F.array(key("g", F.col("glued"))), _short_prefix(F.col("a")), subs))).alias("key"))
+    pairs = left.join(right, "key").select("a", "b", "first").distinct()
+    scored = pairs.withColumn("score", match_score(F.col("a"), F.col("b"))).where(F.col("score") >= least)
+    best = scored.withColumn("_r", F.row_number().over(W.partitionBy("a").orderBy(F.desc("score"), "first"))).where(F.col("_r") <= top)
+    found = a.join(best.select("a", "b", "score"), "a").join(b, "b").select("login", "score", F.explode("who").alias("w")).select("login", "score", "w.*")
+    order = W.partitionBy("login").orderBy(F.desc("score"), "account", "name")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("login", "account", "score", "rank")
 
 
 def merge_roster(existing: DataFrame, pending: DataFrame) -> DataFrame:

@@ -48,8 +48,8 @@ def carried(t):
 
 
 def identity_candidates(t):
-    logins = t("customer").where("c_custkey % 50 = 0").select(F.lower(F.concat(F.substring("c_mktsegment", 1, 1), F.substring_index("c_name", "#", -1))).alias("login"))
-    names = t("customer").where("c_custkey % 25 = 0").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("account"), F.concat(F.initcap("c_mktsegment"), F.lit(" "), F.substring_index("c_name", "#", -1)).alias("name"))
+    logins = t("customer").select(F.lower(F.concat(F.substring("c_mktsegment", 1, 1), F.substring_index("c_name", "#", -1))).alias("login"))
+    names = t("customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("account"), F.concat(F.initcap("c_mktsegment"), F.lit(" "), F.substring_index("c_name", "#", -1)).alias("name"))
     return people.candidates(logins, names).select("login", "account", F.round("score", D).alias("score"), n("rank"))
 
 
