@@ -1,19 +1,27 @@
 """Personal data by patterns, and by contextual extraction bootstrapped from them.
 
 Base spans are the leftmost non-overlapping matches per kind (email, ip, card, phone) that pass
-their check.  They seed the bootstrap: every seed and every identifier-like token (four digits or
-more) is an instance, the words around it are its lexical patterns.  Spark scores the bipartite
-graph of patterns and instances for a few rounds: a pattern's score for a kind is the weighted mean
-of its instances' scores (smoothed), an instance's score is that of its patterns.  Patterns of high
-confidence and enough distinct seeds then mark the unseen identifiers that stand in them.
-
-Everything is DataFrame and SQL functions.  Spans are found row by row without a shuffle: matches
-and the pieces between them give offsets in code points, summed in blocks so that a text with many
-matches costs no quadratic copying.  Only occurrences (not texts) are shuffled, counted per
-(pattern, instance, kind) before that, so a frequent pattern is one row per instance and task.
+their check.  They seed the bootstrap: every seed and every identifier-like candidate is an
+instance, the words around it are its lexical patterns.  A candidate is a whole token of six
+characters or more with four digits or more, or else digit groups of seven digits or more that are
+joined by spaces, dots, hyphens or parentheses.  Patterns are the two words before an instance, and
+the word before together with the word after it; words are whole, whatever their length, in lower
+case and with digits masked, and reach back to the last instance of the same kind.
+
+Spark scores the bipartite graph of patterns and instances for a few rounds: a pattern's score for
+a kind is the weighted mean of its instances' scores (smoothed), an instance's score is that of its
+patterns.  Patterns of high confidence and enough distinct seeds then mark the unseen identifiers
+that stand in them.
+
+Everything is DataFrame and SQL functions.  Spans are found row by row in one scan, without a
+shuffle: matches and the pieces between them give offsets in code points, summed in blocks so that
+a text with many matches costs no quadratic copying.  Only occurrences (not texts) are shuffled,
+counted per (pattern, instance, kind) before that, so a frequent pattern is one row per instance
+and task.
 
 The regular expressions are possessive forms of the stated ones: their parts are disjoint, so they
-match the same, without backtracking or deep recursion on very long runs.
+match the same, without backtracking or deep recursion; each starts only where its run starts, so
+the work stays linear in a text that is one long run.
 
 Defined cases: null or empty text has no spans and the checksum of the empty string; equal rows
 give equal rows; a null doc_id is kept; an empty table gives none; other columns are ignored by the
@@ -31,15 +39,19 @@ KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "A-Za-z0-9._%+-"
 PATTERNS = {
     "email": rf"(?:(?<![{_LOCAL}])|\G)[{_LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
+    "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _TOKEN = "A-Za-z0-9@._+/=-"
-CANDIDATE = rf"(?<![{_TOKEN}])(?=[A-Za-z@._+/=-]*+(?:[0-9][A-Za-z@._+/=-]*+){{4}})[{_TOKEN}]{{6,64}}(?![{_TOKEN}])"
+_FOUR = "(?:[A-Za-z@._+/=-]*+[0-9]){4}"
+_SEVEN = r"[0-9](?:[\x20().-]{0,2}+[0-9]){6}"
+CANDIDATE = rf"(?<![{_TOKEN}])(?:(?={_FOUR})[{_TOKEN}]{{6,}}+|\(?+(?={_SEVEN})[0-9](?:[\x20().-]{{0,2}}+[0-9])++(?![A-Za-z0-9@_+/=]))"
+#: What every text with a candidate holds: four digits within a token, or seven within digit groups.
+_HAS_CANDIDATE = rf"[0-9](?:[A-Za-z@._+/=-]*+[0-9]){{3}}|{_SEVEN}"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _SPAN = "struct<kind:string,start:bigint,stop:bigint,match:string,lhs:string,rhs:string>"
-STEP = 256
+STEP = 64
 
 
 def _digits(match: Column) -> Column:
@@ -66,7 +78,7 @@ def _possible(kind: str, text: Column) -> Column:
         return F.contains(text, F.lit("@"))
     if kind == "phone":
         return F.contains(text, F.lit("+"))
-    return text.rlike("[0-9]{4}" if kind == "candidate" else "[0-9]")
+    return text.rlike(_HAS_CANDIDATE if kind == "candidate" else "[0-9]")
 
 
 def _found(df: DataFrame, kinds: dict[str, str], text: str) -> DataFrame:
@@ -80,19 +92,21 @@ def _found(df: DataFrame, kinds: dict[str, str], text: str) -> DataFrame:
 def _spans(kind: str, context: bool) -> Column:
     """Spans from m_<kind> and p_<kind>: running lengths in blocks of STEP matches."""
     m, p = f"m_{kind}", f"p_{kind}"
-    words = f"right(element_at({p}, i), 96), left(element_at({p}, i + 1), 48)" if context else "'', ''"
+    before = rf"reverse(regexp_extract(reverse(element_at({p}, i)), r'^(\s*+\S*+\s*+\S*+)', 1))"
+    words = (before, rf"regexp_extract(element_at({p}, i + 1), r'^\s*+(\S*+)', 1)") if context else ("''", "''")
+    own = f"b * {STEP} + 1"
+    size = f"aggregate(slice({{c}}, CAST({own} AS INT), {STEP}), 0L, (a, x) -> a + length(x))"
     return F.expr(f"""
       CASE WHEN size({m}) = 0 THEN CAST(array() AS array<{_SPAN}>) ELSE
-      flatten(transform(sequence(0, (size({m}) - 1) div {STEP}), b ->
-        aggregate(
-          sequence(CAST(b * {STEP} + 1 AS INT), CAST(least(size({m}), (b + 1) * {STEP}) AS INT)),
-          named_struct(
-            'at', aggregate(slice({p}, 1, CAST(b * {STEP} AS INT)), 0L, (a, x) -> a + length(x)) + aggregate(slice({m}, 1, CAST(b * {STEP} AS INT)), 0L, (a, x) -> a + length(x)),
-            'out', CAST(array() AS array<{_SPAN}>)),
-          (s, i) -> named_struct(
-            'at', s.at + length(element_at({p}, i)) + length(element_at({m}, i)),
-            'out', array_append(s.out, CAST(struct('{kind}', s.at + length(element_at({p}, i)), s.at + length(element_at({p}, i)) + length(element_at({m}, i)), element_at({m}, i), {words}) AS {_SPAN})))
-        ).out)) END""")
+      flatten(flatten(transform(array(transform(sequence(0, (size({m}) - 1) div {STEP}), b -> {size.format(c=p)} + {size.format(c=m)})), sizes ->
+        transform(sequence(0, (size({m}) - 1) div {STEP}), b ->
+          aggregate(
+            sequence(CAST({own} AS INT), CAST(least(size({m}), (b + 1) * {STEP}) AS INT)),
+            named_struct('at', aggregate(slice(sizes, 1, CAST(b AS INT)), 0L, (a, x) -> a + x), 'out', CAST(array() AS array<{_SPAN}>)),
+            (s, i) -> named_struct(
+              'at', s.at + length(element_at({p}, i)) + length(element_at({m}, i)),
+              'out', array_append(s.out, named_struct('kind', '{kind}', 'start', s.at + length(element_at({p}, i)), 'stop', s.at + length(element_at({p}, i)) + length(element_at({m}, i)), 'match', element_at({m}, i), 'lhs', {words[0]}, 'rhs', {words[1]})))
+          ).out)))) END""")
 
 
 def base_spans(df: DataFrame, text: str, context: bool = False) -> DataFrame:
@@ -102,18 +116,28 @@ def base_spans(df: DataFrame, text: str, context: bool = False) -> DataFrame:
     return found.drop(*[f"{c}_{k}" for c in "mp" for k in KINDS])
 
 
-def occurrences(df: DataFrame, key: list[str], text: str) -> DataFrame:
-    """key..., kind ('candidate' for tokens that aren't seeds), start, stop, instance and its patterns."""
-    found = base_spans(df, text, context=True)
-    found = _found(found, {"candidate": CANDIDATE}, text).withColumn("candidates", _spans("candidate", True))
-    spans = F.concat(*[F.col(f"base_{k}") for k in KINDS], F.col("candidates"))
-    found = found.select(*key, spans.alias("spans")).where(F.size("spans") > 0).select(*key, F.explode("spans").alias("s")).select(*key, "s.*")
-    plain = lambda c: F.regexp_replace(F.lower(c), "[0-9]+", "0")
-    two = plain(F.regexp_extract("lhs", r"(?:^|\s)(\S+\s+\S*\s*)$", 1))
-    one = plain(F.regexp_extract("lhs", r"(\S+)\s*$", 1))
-    after = plain(F.regexp_extract("rhs", r"^\s*(\S+)", 1))
-    patterns = F.array_distinct(F.array_compact(F.array(F.when(F.trim(two) != "", F.concat(F.lit("L:"), F.trim(two))), F.when((one != "") & (after != ""), F.concat(F.lit("B:"), one, F.lit(" _ "), after)))))
-    return found.select(*key, "kind", "start", "stop", F.lower("match").alias("instance"), patterns.alias("patterns"))
+def _occurrence(span: Column) -> Column:
+    """kind, start, stop, instance and its patterns, of a span with its words before and after."""
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[0-9]+", "0"), r"\s+", " "))
+    before, after = plain(span["lhs"]), plain(span["rhs"])
+    one = F.substring_index(before, " ", -1)
+    patterns = F.array(F.when(before != "", F.concat(F.lit("L:"), before)), F.when((one != "") & (after != ""), F.concat(F.lit("B:"), one, F.lit(" _ "), after)))
+    return F.struct(span["kind"].alias("kind"), span["start"].alias("start"), span["stop"].alias("stop"), F.lower(span["match"]).alias("instance"), F.array_compact(patterns).alias("patterns"))
+
+
+def scanned(df: DataFrame, key: list[str], text: str) -> DataFrame:
+    """key..., n_<kind>, base (spans by kind, then start) and seen (occurrences; kind 'candidate' for what isn't a seed), in one scan."""
+    found = _found(base_spans(df, text, context=True), {"candidate": CANDIDATE}, text).withColumn("candidates", _spans("candidate", True))
+    base = F.concat(*[F.col(f"base_{k}") for k in KINDS])
+    counts = [F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
+    found = found.select(*key, *counts, base.alias("base"), F.concat(base, "candidates").alias("spans"))
+    bare = F.transform("base", lambda s: F.struct(s["kind"], s["start"], s["stop"]))
+    return found.select(*key, *[f"n_{k}" for k in KINDS], bare.alias("base"), F.transform("spans", _occurrence).alias("seen"))
+
+
+def occurrences(scan: DataFrame, key: list[str]) -> DataFrame:
+    """One row per occurrence: key..., kind, start, stop, instance, patterns."""
+    return scan.where(F.size("seen") > 0).select(*key, F.explode("seen").alias("s")).select(*key, "s.*")
 
 
 def score_patterns(occ: DataFrame, rounds: int = 3, least_seeds: int = 3, smooth: float = 1.0) -> DataFrame:
@@ -150,14 +174,12 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confid
     """(doc_id, h, base array<span>, added array<span>) per row; h tells rows of one doc_id apart by their text."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
     key = ["doc_id", "h"]
-    occ = written(occurrences(rows, key, "text"), "pii-occurrences")
+    scan = written(scanned(rows, key, "text"), "pii-scan")
     # the span checks belong to the row that is scanned; only (doc_id, h) leave it
-    added = discover(occ, key, score_patterns(occ, rounds), confidence).distinct()
+    occ = occurrences(scan, key)
+    added = discover(occ, key, score_patterns(occ, rounds), confidence)
     added = added.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("kind", "start", "stop"))).alias("added"))
-    base = base_spans(rows, "text")
-    spans = F.transform(F.concat(*[F.col(f"base_{k}") for k in KINDS]), lambda s: F.struct(s["kind"], s["start"], s["stop"]))
-    counts = [F.size(f"base_{k}").cast("long").alias(f"n_{k}") for k in KINDS]
-    base = base.select("doc_id", "h", spans.alias("base"), *counts)
+    base = scan.drop("seen")
     out = base.join(added.withColumnRenamed("doc_id", "d").withColumnRenamed("h", "g"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left").drop("d", "g")
     own = F.coalesce(F.col("added"), F.array().cast("array<struct<kind:string,start:bigint,stop:bigint>>"))
     return out.withColumn("added", F.filter(own, lambda a: ~F.exists("base", lambda b: (b["start"] < a["stop"]) & (a["start"] < b["stop"]))))
