@@ -34,6 +34,11 @@ def _byte_alphabet() -> dict[str, int]:
 BYTE_LEVEL_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+#: tiktoken's split steps back over a run of white space and ends the process on very long ones; the library takes any.
+LONG_SPACE = 10_000
+_SPACE_RUN = re.compile(rf"\s{{{LONG_SPACE}}}")
+
+
 class ByteBpe:
     """A byte-level BPE file; the library is loaded only once a text needs it."""
 
@@ -53,7 +58,7 @@ class ByteBpe:
 
     def encode_ordinary(self, text: str) -> list[int]:
         """The ids without those that a template adds."""
-        if any(t in text for t in self.added):
+        if any(t in text for t in self.added) or len(text) > LONG_SPACE and _SPACE_RUN.search(text):
             return self.tok.encode(text, add_special_tokens=False).ids
         return self.engine.encode_ordinary(text)
 
