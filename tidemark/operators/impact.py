@@ -13,6 +13,12 @@ from tidemark.operators.rollup import code_impact
 PR = ["repo", "pr_number"]
 
 
+def pr_paths(plain: DataFrame, changes: DataFrame) -> DataFrame:
+    """(repo, pr_number, path), each once: a request's changed files where it has any, else its plain list."""
+    detailed = changes.select(*PR).distinct()
+    return changes.select(*PR, "path").unionAll(plain.join(detailed, PR, "left_anti").select(*PR, "path")).distinct()
+
+
 def weighted_loc(a: Column, d: Column, knobs: Impact = Impact()) -> Column:
     return a + knobs.deletion_weight * d
 
@@ -49,37 +55,68 @@ def churn_weight(touches: Column, knobs: Impact = Impact()) -> Column:
     return F.least(F.lit(1.0), knobs.churn_floor + step * F.greatest(touches - 1, F.lit(0)))
 
 
-def family_index(files: DataFrame, knobs: Impact = Impact()) -> DataFrame:
-    """(path, weight): members of a family of alike added files, but for its largest."""
-    most = files.where("status = 'added'").groupBy("path").agg(F.max(F.col("additions") + F.col("deletions")).alias("loc")).withColumn("stem", family_stem(F.col("path"), knobs.family_token))
-    stems = most.where("stem IS NOT NULL").groupBy("stem").agg(F.count("*").alias("n"), F.avg("loc").alias("mean"), F.stddev_pop("loc").alias("sd"))
-    alike = stems.where((F.col("n") >= knobs.family_members) & (F.col("mean") > 0)).where(F.col("sd") <= knobs.family_cv * F.col("mean")).select("stem")
-    order = W.partitionBy("stem").orderBy(F.desc("loc"), "path")
-    members = most.join(alike, "stem").withColumn("_r", F.row_number().over(order)).where("_r > 1")
+def family_index(prs: DataFrame, files: DataFrame, knobs: Impact = Impact()) -> DataFrame:
+    """(path, weight): members of a family of alike files that merged requests have added, but for its largest."""
+    added = files.where("status = 'added'").select(*PR, "path", (F.col("additions") + F.col("deletions")).alias("loc"))
+    most = added.join(prs.where("merged IS NOT NULL").select(*PR), PR, "left_semi").groupBy("path").agg(F.max("loc").alias("loc")).withColumn("stem", family_stem(F.col("path"), knobs.family_token))
+    over = W.partitionBy("stem")
+    members = most.where("stem IS NOT NULL").withColumns({"_n": F.count("*").over(over), "_mean": F.avg("loc").over(over), "_sd": F.stddev_pop("loc").over(over)})
+    members = members.where((F.col("_n") >= knobs.family_members) & (F.col("_mean") > 0) & (F.col("_sd") <= knobs.family_cv * F.col("_mean")))
+    members = members.withColumn("_r", F.row_number().over(over.orderBy(F.desc("loc"), "path"))).where("_r > 1")
     return members.select("path", F.lit(knobs.family_weight).alias("weight"))
 
 
-def effective_files(prs: DataFrame, files: DataFrame, knobs: Impact = Impact(), patterns: tuple[str, ...] = GENERATED_PATHS) -> DataFrame:
-    """(dev, effective_files): each path once per person, at the largest weight it has in a merged pull request."""
-    merged = prs.where("merged IS NOT NULL").select(*PR, "dev")
-    rows = files.select(*PR, "path").join(merged, PR).join(bulk_dump(files, knobs), PR).join(family_index(files, knobs), "path", "left")
-    base = F.when(F.col("dump") & extension(F.col("path")).isin(*DATA_EXTENSIONS), knobs.dump_weight).when(matches_generated(F.col("path"), patterns), knobs.generated_weight).otherwise(1.0)
-    best = rows.groupBy("dev", "path").agg(F.max(base * F.coalesce("weight", F.lit(1.0))).alias("w"))
-    return best.groupBy("dev").agg(F.sum("w").alias("effective_files"))
-
-
-def effective_loc(prs: DataFrame, files: DataFrame, knobs: Impact = Impact(), patterns: tuple[str, ...] = GENERATED_PATHS) -> DataFrame:
-    """(dev, effective_loc) over merged pull requests: dumps nearly nothing, template files at their family's weight, generated ones out."""
+def _merged(prs: DataFrame, integration: DataFrame | None) -> DataFrame:
+    """Merged requests with ``dev`` and ``integ``, the weight of those that only merge other work up (1 without weights)."""
     merged = prs.where("merged IS NOT NULL").select(*PR, "dev", "additions", "deletions")
-    kept = files.where(~matches_generated(F.col("path"), patterns) & ~(extension(F.col("path")).isin(*DATA_EXTENSIONS, "xml") & (F.col("additions") + F.col("deletions") > knobs.dump_ceiling)))
-    own = kept.join(family_index(files, knobs), "path", "left").groupBy(*PR).agg(F.sum(weighted_loc(F.col("additions"), F.col("deletions"), knobs) * F.coalesce("weight", F.lit(1.0))).alias("net"))
-    rows = merged.join(own, PR, "left").join(bulk_dump(files, knobs), PR, "left")
-    loc = F.when(F.coalesce("dump", F.lit(False)), knobs.dump_weight * (F.col("additions") + F.col("deletions"))).otherwise(F.coalesce("net", F.lit(0.0)))
-    return rows.groupBy("dev").agg(F.sum(loc).alias("effective_loc"))
+    if integration is None:
+        return merged.withColumn("integ", F.lit(1.0))
+    return merged.join(integration.select(*PR, F.col("weight").alias("integ")), PR, "left").fillna(1.0, ["integ"])
 
 
-def cap_impact(cohort: DataFrame, knobs: Impact = Impact()) -> DataFrame:
-    """Lines clipped at the cohort's percentile and the impact taken again; cohort: dev, files, loc, prs."""
-    cap = F.percentile("loc", F.lit(knobs.cap_percentile)).over(W.partitionBy(F.lit(1)))
-    out = cohort.withColumn("capped_loc", F.least(F.col("loc").cast("double"), cap))
+def effective_files(prs: DataFrame, files: DataFrame, knobs: Impact = Impact(), patterns: tuple[str, ...] = GENERATED_PATHS, integration: DataFrame | None = None, keys: tuple[str, ...] = ("dev",)) -> DataFrame:
+    """(keys, unique_files, effective_files): each path once per person, at the largest weight it has in a merged request."""
+    merged = _merged(prs, integration).select(*PR, "dev", "integ")
+    rows = files.select(*PR, "path").join(merged, PR).join(bulk_dump(files, knobs), PR, "left").join(family_index(prs, files, knobs), "path", "left")
+    base = F.when(F.col("dump") & extension(F.col("path")).isin(*DATA_EXTENSIONS), knobs.dump_weight).when(matches_generated(F.col("path"), patterns), knobs.generated_weight).otherwise(1.0)
+    best = rows.groupBy(*keys, "path").agg(F.max(base * F.coalesce("weight", F.lit(1.0)) * F.col("integ")).alias("w"))
+    return best.groupBy(*keys).agg(F.count("*").alias("unique_files"), F.sum("w").alias("effective_files"))
+
+
+def effective_loc(
+    prs: DataFrame, files: DataFrame, knobs: Impact = Impact(), patterns: tuple[str, ...] = GENERATED_PATHS, integration: DataFrame | None = None,
+    bulk: bool = False, churn: bool = False, keys: tuple[str, ...] = ("dev",),
+) -> DataFrame:
+    """(keys, effective_loc) over merged requests.
+
+    A dump counts at its weight.  Else files count by themselves, generated ones and outsized data not at all, at the weights
+    of their family and, if asked for, of their churn; a request without file rows, or all of them where neither applies,
+    counts its own lines without the excluded ones.  Bulk imports count less if asked for, merge-ups by ``integration``."""
+    path, lines = F.col("path"), weighted_loc(F.col("additions"), F.col("deletions"), knobs)
+    family = family_index(prs, files, knobs)
+    out = matches_generated(path, patterns) | (extension(path).isin(*DATA_EXTENSIONS, "xml") & (F.col("additions") + F.col("deletions") > knobs.dump_ceiling))
+    rows = files.select(*PR, "path", lines.alias("own"), out.alias("out")).join(family, "path", "left").withColumn("w", F.coalesce("weight", F.lit(1.0)))
+    if churn:
+        rows = rows.join(churn_index(prs, files), "path", "left").withColumn("w", F.col("w") * churn_weight(F.coalesce("touches", F.lit(0)), knobs))
+    per = rows.groupBy(*PR).agg(F.sum(F.when(F.col("out"), 0.0).otherwise(F.col("own") * F.col("w"))).alias("net"), F.sum(F.when(F.col("out"), F.col("own")).otherwise(0.0)).alias("excluded"))
+    found = _merged(prs, integration).join(per, PR, "left").join(bulk_dump(files, knobs), PR, "left")
+    each = F.lit(True)
+    if not churn:  # without families either, lines are taken from the requests
+        found = found.crossJoin(F.broadcast(family.agg((F.count("*") > 0).alias("any"))))
+        each = F.col("any")
+    whole = F.greatest(F.lit(0.0), lines - F.coalesce("excluded", F.lit(0.0)))
+    loc = F.when(F.coalesce("dump", F.lit(False)), knobs.dump_weight * lines)
+    if bulk:
+        found = found.join(bulk_import(prs, files, knobs), PR, "left")
+        scale = F.when(F.col("bulk"), knobs.bulk_weight).otherwise(1.0)
+    else:
+        scale = F.lit(1.0)
+    loc = loc.otherwise(scale * F.when(each & F.col("net").isNotNull(), F.col("net")).otherwise(whole))
+    return found.groupBy(*keys).agg(F.sum(F.col("integ") * loc).alias("effective_loc"))
+
+
+def cap_impact(cohort: DataFrame, knobs: Impact = Impact(), loc: str = "loc") -> DataFrame:
+    """Lines clipped at the cohort's percentile and the impact taken again; cohort: dev, files, loc, prs, one row a person."""
+    cap = F.percentile(loc, F.lit(knobs.cap_percentile)).over(W.partitionBy(F.lit(1)))
+    out = cohort.withColumn("capped_loc", F.least(F.col(loc).cast("double"), cap))
     return out.withColumn("code_impact", code_impact(F.col("files"), F.col("capped_loc"), F.col("prs"), knobs))

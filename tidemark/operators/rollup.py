@@ -19,22 +19,21 @@ MEASURES = ("touched", "created", "resolved", "story_points", "scored", "prs_cre
 
 
 def facts(issues: DataFrame, prs: DataFrame, commits: DataFrame, reviews: DataFrame) -> DataFrame:
-    """(dev, ts, measure, value) of attributed tables: one long table that every bucket groups."""
-    rows = lambda df, ts, name, value: df.where(F.col(ts).isNotNull()).select("dev", F.col(ts).alias("ts"), F.lit(name).alias("measure"), value.cast("double").alias("value"))
-    one = F.lit(1)
-    parts = [
-        rows(issues, "updated", "touched", one),
-        rows(issues, "created", "created", one),
-        rows(issues, "resolved", "resolved", one),
-        rows(issues.where("story_points > 0"), "resolved", "story_points", F.col("story_points")),
-        rows(issues.where("story_points > 0"), "resolved", "scored", one),
-        rows(prs, "created", "prs_created", one),
-        rows(prs, "merged", "prs_merged", one),
-        rows(prs, "merged", "loc", F.col("additions") + F.col("deletions")),
-        rows(commits, "committed", "commits", one),
-        rows(reviews, "submitted", "reviewed", one),
+    """(dev, ts, measure, value) of attributed tables: one long table that every bucket groups.
+
+    Each source is read and attributed once; each of its rows gives an array of its facts."""
+
+    def fact(ts: str, name: str, value: Column = F.lit(1), when: Column = F.lit(True)) -> Column:
+        return F.when(F.col(ts).isNotNull() & when, F.struct(F.col(ts).alias("ts"), F.lit(name).alias("measure"), value.cast("double").alias("value")))
+
+    points = F.col("story_points") > 0
+    sources = [
+        (issues, [fact("updated", "touched"), fact("created", "created"), fact("resolved", "resolved"), fact("resolved", "story_points", F.col("story_points"), points), fact("resolved", "scored", when=points)]),
+        (prs, [fact("created", "prs_created"), fact("merged", "prs_merged"), fact("merged", "loc", F.col("additions") + F.col("deletions"))]),
+        (commits, [fact("committed", "commits")]),
+        (reviews, [fact("submitted", "reviewed")]),
     ]
-    return reduce(DataFrame.unionAll, parts)
+    return reduce(DataFrame.unionAll, [df.select("dev", F.inline(F.array_compact(F.array(*own)))) for df, own in sources])
 
 
 def attributed(issues: DataFrame, prs: DataFrame, commits: DataFrame, reviews: DataFrame, roster: DataFrame, logins: DataFrame) -> DataFrame:
@@ -70,24 +69,47 @@ def code_impact(files: Column, loc: Column, prs: Column, knobs: Impact = Impact(
     return F.when(inside > 0, F.sqrt(inside)).otherwise(0.0)
 
 
+def unknown_facts(issues: DataFrame, prs: DataFrame, commits: DataFrame, reviews: DataFrame, roster: DataFrame, logins: DataFrame) -> DataFrame:
+    """Facts of nobody on the roster, as of one person named 'unknown'; its issues keep their resolution."""
+    name = lambda df: df.withColumn("dev", F.lit("unknown"))
+    lost = [people.unknown_github(df, logins, c) for df, c in ((prs, "author"), (commits, "author"), (reviews, "reviewer"))]
+    return facts(name(people.unknown_issues(issues, roster)), *map(name, lost))
+
+
+def own_moves(changelog: DataFrame, roster: DataFrame) -> DataFrame:
+    """Moves into work, review or QA by who made them."""
+    moves = changelog.where(F.col("to_status").isin("In Progress", "Code Review", "Ready QA", "In QA"))
+    return moves.join(roster.select("dev", F.col("account").alias("author")), "author")
+
+
 def progressed(changelog: DataFrame, roster: DataFrame, keys: list[Column]) -> DataFrame:
     """Distinct issues that each person moved into work, review or QA."""
-    moves = changelog.where(F.col("to_status").isin("In Progress", "Code Review", "Ready QA", "In QA"))
-    own = moves.join(roster.select("dev", F.col("account").alias("author")), "author")
-    return own.groupBy("dev", *keys).agg(F.countDistinct("issue_key").alias("progressed"))
+    return own_moves(changelog, roster).groupBy("dev", *keys).agg(F.countDistinct("issue_key").alias("progressed"))
+
+
+def reported(issues: DataFrame, roster: DataFrame) -> DataFrame:
+    return issues.join(roster.select("dev", F.col("account").alias("reporter")), "reporter")
 
 
 def issues_created(issues: DataFrame, roster: DataFrame, keys: list[Column]) -> DataFrame:
-    own = issues.join(roster.select("dev", F.col("account").alias("reporter")), "reporter")
-    return own.groupBy("dev", *keys).agg(F.countDistinct("issue_key").alias("created_keys"))
+    return reported(issues, roster).groupBy("dev", *keys).agg(F.countDistinct("issue_key").alias("created_keys"))
 
 
 def window_totals(rows: DataFrame, windows: DataFrame) -> DataFrame:
-    """Measures of each person in several overlapping windows at once: a range join with the few windows, then one grouping."""
-    met = rows.join(windows, (F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("stop")))
+    """Measures of each person in several overlapping windows at once.  Windows begin and end at midnight, so facts are
+    summed per day first; what is left meets the few windows in a range join."""
+    daily = rows.groupBy("dev", "measure", F.col("ts").cast("date").cast("timestamp_ntz").alias("ts")).agg(F.sum("value").alias("value"))
+    met = daily.join(F.broadcast(windows), (F.col("ts") >= F.col("start")) & (F.col("ts") < F.col("stop")))  # a row per window asked for
     return totals(met, ["dev", "window"])
 
 
+def keys_in_windows(rows: DataFrame, ts: str, key: str, windows: DataFrame, name: str) -> DataFrame:
+    """(dev, window, name): distinct keys of each person in each window, taken again per window."""
+    daily = rows.select("dev", F.col(key).alias("_k"), F.col(ts).cast("date").cast("timestamp_ntz").alias("_t")).distinct()
+    met = daily.join(F.broadcast(windows), (F.col("_t") >= F.col("start")) & (F.col("_t") < F.col("stop")))
+    return met.groupBy("dev", "window").agg(F.countDistinct("_k").alias(name))
+
+
 def compare_windows(found: DataFrame, base: str, other: str, measure: str) -> DataFrame:
     """Delta and percentage of a measure between two windows."""
     side = lambda w, name: found.where(F.col("window") == w).select("dev", F.col(measure).alias(name))

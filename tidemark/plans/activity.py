@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.config import EXCLUDED_ROLES
+from tidemark.config import DATA_EXTENSIONS, EXCLUDED_ROLES, Impact
 from tidemark.functions import calendar as cal
-from tidemark.operators import elo, people, ranking, rollup
+from tidemark.operators import elo, flow, impact, people, ranking, rollup
 
 D = 4  # digits to which doubles are compared
 
@@ -87,11 +87,19 @@ def _devs_files(t):
 
 
 def _leaderboard(t):
-    """Totals, files, progress, multiplier and impact of scoreable people."""
-    wide = rollup.totals(_facts(t), ["dev"]).join(_devs_files(t), "dev", "left").join(rollup.progressed(t("changelog"), t("roster_dev"), []), "dev", "left").fillna(0, ["unique_files", "progressed"])
+    """Totals, files, progress, multiplier and dampened impact of scoreable people; lines are capped among them."""
+    own = people.attribute_github(t("prs"), t("roster_login"), "author")
+    wide = rollup.totals(_facts(t), ["dev"]).drop("created")
+    parts = [
+        impact.effective_files(own, t("pr_files")), impact.effective_loc(own, t("pr_files")), rollup.progressed(t("changelog"), t("roster_dev"), []),
+        rollup.issues_created(t("issues"), t("roster_dev"), []).withColumnRenamed("created_keys", "created"),
+    ]
     wide = wide.join(people.scoreable(t("roster_dev"), t("roster_login")).select("dev"), "dev", "left_semi")
-    wide = wide.withColumn("code_impact", rollup.code_impact(F.col("unique_files"), F.col("loc"), F.col("prs_merged")))
-    return ranking.effort_multiplier(wide)
+    for part in parts:
+        wide = wide.join(part, "dev", "left")
+    wide = wide.fillna(0, ["unique_files", "progressed", "created"]).fillna(0.0, ["effective_files", "effective_loc"])
+    capped = impact.cap_impact(wide.select("*", F.col("effective_files").alias("files"), F.col("prs_merged").alias("prs")), loc="effective_loc")
+    return ranking.effort_multiplier(capped)
 
 
 def leaderboard(t):
@@ -104,14 +112,57 @@ def score_breakdown(t):
     return ranking.breakdown(z, []).select("dev", "metric", r("z"), r("contribution"))
 
 
+NOISE = r"regexp_full_match(lower(path), '(.*/)?[^/]*\.lock|(.*/)?package-lock\.json|(.*/)?[^/]*\.min\.js|(.*/|)vendor/.*|(.*/|)node_modules/.*|(.*/|)generated/.*|(.*/)?[^/]*\.snap')"
+EXT = r"lower(regexp_extract(path, '\.([^./]*)$', 1))"
+DATA = "(" + ", ".join(f"'{e}'" for e in DATA_EXTENSIONS) + ")"
+
+
+def family_sql(most: int, cv: float, files: str = "{pr_files}") -> str:
+    """fo: members of families (r > 1: damped)."""
+    return rf"""
+  fm AS (SELECT f.path, max(f.additions + f.deletions) AS loc FROM {files} f JOIN {{prs}} p USING (repo, pr_number) WHERE f.status = 'added' AND p.merged IS NOT NULL GROUP BY f.path),
+  fk AS (SELECT path, loc, regexp_extract(path, '^(.*/)?', 0) AS folder, regexp_extract(path, '\.([^./]*)$', 1) AS ext, regexp_split_to_array(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\.[^.]*$', ''), '[-_.]') AS tok FROM fm),
+  fs AS (SELECT path, loc, folder || array_to_string(list_transform(tok, lambda x: CASE WHEN length(x) <= {most} AND regexp_full_match(x, '[A-Za-z0-9]+') THEN '#' ELSE x END), '-') || '.' || lower(ext) AS stem FROM fk
+         WHERE len(list_filter(tok, lambda x: length(x) <= {most} AND regexp_full_match(x, '[A-Za-z0-9]+'))) > 0),
+  fg AS (SELECT stem FROM fs GROUP BY stem HAVING count(*) >= 3 AND avg(loc) > 0 AND stddev_pop(loc) <= {cv} * avg(loc)),
+  fo AS (SELECT path, row_number() OVER (PARTITION BY stem ORDER BY loc DESC, path) AS r FROM fs JOIN fg USING (stem))"""
+
+
+def effective_sql(k: Impact, files: str = "{pr_files}", integration: str = "", bulk: bool = False, churn: bool = False) -> str:
+    """ef and el: files and lines per person as the survey states them; ``integration``: a table of (repo, pr_number, weight)."""
+    share = f"(SELECT repo, pr_number, {EXT} AS ext, count(DISTINCT path) AS n FROM {files} GROUP BY 1, 2, 3)"
+    weight = f"(SELECT repo, pr_number, weight AS integ FROM {integration})" if integration else "(SELECT repo, pr_number, 1.0 AS integ FROM {prs})"
+    out = f"{NOISE} OR (({EXT} IN {DATA} OR {EXT} = 'xml') AND f.additions + f.deletions > {k.dump_ceiling})"
+    step = (1 - k.churn_floor) / (k.churn_full_at - 1)
+    churned = f" * least(1.0, {k.churn_floor} + {step} * greatest(coalesce(touches, 0) - 1, 0))" if churn else ""
+    damp = f"CASE WHEN additions + deletions >= {k.bulk_loc} AND additions >= {k.bulk_add_ratio} * (additions + deletions) AND coalesce(n_added, 0) >= {k.bulk_files} THEN {k.bulk_weight} ELSE 1.0 END" if bulk else "1.0"
+    lines = f"(additions + {k.deletion_weight}::DOUBLE * deletions)"
+    each = "true" if churn else "(SELECT count(*) FROM fo WHERE r > 1) > 0"
+    return f"""{family_sql(k.family_token, k.family_cv, files)},
+  dp AS (SELECT repo, pr_number, sum(n) >= {k.dump_files} AND max(n) >= {k.dump_share} * sum(n) AND max(struct_pack(n := n, ext := ext)).ext IN {DATA} AS dump FROM {share} GROUP BY 1, 2),
+  mp AS (SELECT p.repo, p.pr_number, l.dev, p.additions, p.deletions, coalesce(g.integ, 1.0) AS integ FROM {{prs}} p JOIN {{roster_login}} l ON l.login = p.author LEFT JOIN {weight} g USING (repo, pr_number) WHERE p.merged IS NOT NULL),
+  ff AS (SELECT dev, path, max(CASE WHEN dp.dump AND {EXT} IN {DATA} THEN {k.dump_weight} WHEN {NOISE} THEN {k.generated_weight} ELSE 1.0 END * CASE WHEN fo.r > 1 THEN {k.family_weight} ELSE 1.0 END * integ) AS w
+         FROM {files} f JOIN mp USING (repo, pr_number) LEFT JOIN dp USING (repo, pr_number) LEFT JOIN fo USING (path) GROUP BY 1, 2),
+  ef AS (SELECT dev, count(*) AS unique_files, sum(w) AS effective_files FROM ff GROUP BY 1),
+  ch AS (SELECT path, count(*) AS touches FROM (SELECT DISTINCT repo, pr_number, path FROM {files}) JOIN {{prs}} USING (repo, pr_number) WHERE merged IS NOT NULL GROUP BY path),
+  fl AS (SELECT f.repo, f.pr_number, sum(CASE WHEN {out} THEN 0 ELSE (f.additions + {k.deletion_weight}::DOUBLE * f.deletions) * CASE WHEN fo.r > 1 THEN {k.family_weight} ELSE 1.0 END{churned} END) AS net,
+           sum(CASE WHEN {out} THEN f.additions + {k.deletion_weight}::DOUBLE * f.deletions ELSE 0 END) AS excluded, sum(CASE WHEN f.status = 'added' THEN 1 ELSE 0 END) AS n_added
+         FROM {files} f LEFT JOIN fo USING (path) LEFT JOIN ch USING (path) GROUP BY 1, 2),
+  el AS (SELECT dev, sum(integ * CASE WHEN dump THEN {k.dump_weight}::DOUBLE * {lines} WHEN net IS NOT NULL AND {each} THEN {damp} * net ELSE {damp} * greatest(0, {lines} - coalesce(excluded, 0)) END) AS effective_loc
+         FROM mp LEFT JOIN fl USING (repo, pr_number) LEFT JOIN dp USING (repo, pr_number) GROUP BY 1)"""
+
+
+EFFECTIVE = effective_sql(Impact())
 LEADER_SQL = f"""WITH {ATTRIBUTED},
   tot AS (SELECT dev, {SUMS}, {WEEKS} FROM fact GROUP BY dev),
-  uf AS (SELECT p.dev, count(DISTINCT f.path) AS unique_files FROM att_p p JOIN {{pr_files}} f USING (repo, pr_number) WHERE p.merged IS NOT NULL GROUP BY p.dev),
+  {EFFECTIVE},
   pg AS (SELECT d.dev, count(DISTINCT c.issue_key) AS progressed FROM {{changelog}} c JOIN {{roster_dev}} d ON d.account = c.author WHERE c.to_status IN ('In Progress','Code Review','Ready QA','In QA') GROUP BY d.dev),
-  w1 AS (SELECT tot.*, coalesce(unique_files, 0) AS unique_files, coalesce(progressed, 0) AS progressed FROM tot LEFT JOIN uf USING (dev) LEFT JOIN pg USING (dev)
-         JOIN {{roster_dev}} d USING (dev) WHERE d.role NOT IN ({", ".join(f"'{x}'" for x in EXCLUDED_ROLES)})),
-  w2 AS (SELECT *, CASE WHEN unique_files + 0.5 * loc + 2 * prs_merged > 0 THEN sqrt(unique_files + 0.5 * loc + 2 * prs_merged) ELSE 0 END AS code_impact,
-                quantile_cont(CASE WHEN unique_files > 0 THEN loc / unique_files END, 0.9) OVER () AS lim FROM w1),
+  cr AS (SELECT d.dev, count(DISTINCT i.issue_key) AS n FROM {{issues}} i JOIN {{roster_dev}} d ON d.account = i.reporter GROUP BY d.dev),
+  w1 AS (SELECT tot.* EXCLUDE (created), coalesce(cr.n, 0) AS created, coalesce(unique_files, 0) AS unique_files, coalesce(effective_files, 0) AS effective_files, coalesce(effective_loc, 0) AS effective_loc, coalesce(progressed, 0) AS progressed
+         FROM tot LEFT JOIN ef USING (dev) LEFT JOIN el USING (dev) LEFT JOIN pg USING (dev) LEFT JOIN cr USING (dev) JOIN {{roster_dev}} d USING (dev) WHERE d.role NOT IN ({", ".join(f"'{x}'" for x in EXCLUDED_ROLES)})),
+  wc AS (SELECT *, least(effective_loc, quantile_cont(effective_loc, 0.99) OVER ()) AS capped_loc FROM w1),
+  w2 AS (SELECT *, CASE WHEN effective_files + 0.5 * capped_loc + 2 * prs_merged > 0 THEN sqrt(effective_files + 0.5 * capped_loc + 2 * prs_merged) ELSE 0 END AS code_impact,
+                quantile_cont(CASE WHEN unique_files > 0 THEN loc / unique_files END, 0.9) OVER () AS lim FROM wc),
   w3 AS (SELECT *, greatest(0.5, coalesce(greatest(0.5, 1 - 0.25 * greatest(0, CASE WHEN unique_files > 0 THEN commits / unique_files END - 1.5)), 1)
                 * CASE WHEN lim > 0 THEN coalesce(greatest(0.5, 1 - 0.25 * greatest(0, CASE WHEN unique_files > 0 THEN loc / unique_files END / lim - 1)), 1) ELSE 1 END) AS m FROM w2),
   w4 AS (SELECT *, quantile_cont(loc * m, 0.95) OVER () AS cap FROM w3),

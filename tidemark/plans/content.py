@@ -8,8 +8,7 @@ from tidemark.config import GENERATED_PATHS, RISK_GLOBS, SEED_TERMS
 from tidemark.functions import calendar as cal
 from tidemark.functions import text as tx
 from tidemark.operators import fields, people
-from tidemark.plans.activity import D, n
-from tidemark.plans.delivery import NOISE
+from tidemark.plans.activity import NOISE, D, n
 from tidemark.sources import corpus_files, decode
 
 HINTS = ("confluence", "docs.google", "notion", "example.com")

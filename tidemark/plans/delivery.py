@@ -6,11 +6,11 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from tidemark.config import DATA_EXTENSIONS, Band, Impact
+from tidemark.config import Band, Impact
 from tidemark.functions import calendar as cal
 from tidemark.functions.text import has_tag
 from tidemark.operators import audit, epics, flow, impact, integration, people, tickets
-from tidemark.plans.activity import D, WEEK_SQL, n, r
+from tidemark.plans.activity import DATA, EXT, NOISE, D, WEEK_SQL, effective_sql, family_sql, n, r
 
 HOURS = "(epoch_us({1}) - epoch_us({0})) / 3600000000.0"
 RANK = "CASE {0} WHEN 'To Do' THEN 0 WHEN 'In Progress' THEN 1 WHEN 'Code Review' THEN 2 WHEN 'Ready QA' THEN 3 WHEN 'In QA' THEN 3 WHEN 'Done' THEN 4 ELSE 0 END"
@@ -27,9 +27,6 @@ SIGNALS = f"""
   sg AS (SELECT *, first_value(from_status) OVER (PARTITION BY issue_key ORDER BY at, ord) AS f, row_number() OVER (PARTITION BY issue_key, to_status ORDER BY at, ord) AS k FROM {{changelog}}),
   si AS (SELECT issue_key, min(at) AS a, max(at) AS z, sum(CASE WHEN k > 1 OR to_status = f THEN 1 ELSE 0 END) AS status_flips FROM sg GROUP BY 1),
   sx AS (SELECT si.issue_key, greatest({HOURS.format("a", "coalesce(i.resolved, z)")}, 0) AS cycle_hours, status_flips FROM si JOIN {{issues}} i USING (issue_key))"""
-NOISE = r"regexp_full_match(lower(path), '(.*/)?[^/]*\.lock|(.*/)?package-lock\.json|(.*/)?[^/]*\.min\.js|(.*/|)vendor/.*|(.*/|)node_modules/.*|(.*/|)generated/.*|(.*/)?[^/]*\.snap')"
-EXT = r"lower(regexp_extract(path, '\.([^./]*)$', 1))"
-DATA = "(" + ", ".join(f"'{e}'" for e in DATA_EXTENSIONS) + ")"
 SMALL = Impact(dump_files=5, dump_share=0.3, dump_ceiling=40, bulk_loc=150, bulk_files=3, bulk_add_ratio=0.8)
 RESHIP = """
   rs AS (SELECT DISTINCT c.repo, c.pr_number, c.sha, p.merged FROM {pr_commits} c JOIN {prs} p USING (repo, pr_number) WHERE c.sha <> '' AND p.merged IS NOT NULL),
@@ -51,17 +48,17 @@ EPIC = f"""
     UNION ALL SELECT epic_key, {WEEK_SQL.format("committed")}, 0, 0, 0, 0, 1 FROM {{commits}} JOIN kn USING (issue_key)) GROUP BY 1, 2)"""
 
 
-def _family(most: int, cv: float) -> str:
-    return rf"""
-  fm AS (SELECT path, max(additions + deletions) AS loc FROM {{pr_files}} WHERE status = 'added' GROUP BY path),
-  fk AS (SELECT path, loc, regexp_extract(path, '^(.*/)?', 0) AS folder, regexp_extract(path, '\.([^./]*)$', 1) AS ext, regexp_split_to_array(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\.[^.]*$', ''), '[-_.]') AS tok FROM fm),
-  fs AS (SELECT path, loc, folder || array_to_string(list_transform(tok, lambda x: CASE WHEN length(x) <= {most} AND regexp_full_match(x, '[A-Za-z0-9]+') THEN '#' ELSE x END), '-') || '.' || lower(ext) AS stem FROM fk
-         WHERE len(list_filter(tok, lambda x: length(x) <= {most} AND regexp_full_match(x, '[A-Za-z0-9]+'))) > 0),
-  fg AS (SELECT stem FROM fs GROUP BY stem HAVING count(*) >= 3 AND avg(loc) > 0 AND stddev_pop(loc) <= {cv} * avg(loc)),
-  fo AS (SELECT path, row_number() OVER (PARTITION BY stem ORDER BY loc DESC, path) AS r FROM fs JOIN fg USING (stem))"""
+COMPACT = Impact(family_token=8, family_cv=0.6)
+VARIED = Impact(dump_files=2, dump_share=0.6, dump_ceiling=40, dump_weight=0.1, bulk_loc=150, bulk_files=1, bulk_add_ratio=0.8, family_token=8, family_cv=0.6, deletion_weight=0.5)
+#: Requests without file rows and merge-ups, by number.
+DETAILED = "(SELECT * FROM {pr_files} WHERE pr_number % 3 <> 0)"
+MERGE_UPS = "(SELECT repo, pr_number, CASE WHEN pr_number % 5 = 0 THEN 0.25 ELSE 1.0 END AS weight FROM {prs})"
 
 
-COMPACT = Impact(family_token=8, family_cv=0.6)
+def _varied(t):
+    """Attributed requests, file rows of some of them and the weights of merge-ups."""
+    weights = t("prs").select("repo", "pr_number", F.when(F.col("pr_number") % 5 == 0, 0.25).otherwise(1.0).alias("weight"))
+    return _attributed_prs(t), t("pr_files").where("pr_number % 3 <> 0"), weights
 
 
 def _tagged():
@@ -246,17 +243,31 @@ QUERIES = {
         "SELECT path, count(*) AS touches, round(least(1.0, 0.5 + 0.5 / 3 * greatest(count(*) - 1, 0)), 4)::DOUBLE AS weight FROM (SELECT DISTINCT repo, pr_number, path FROM {pr_files}) JOIN {prs} USING (repo, pr_number) WHERE merged IS NOT NULL GROUP BY path",
     ),
     "impact_family": (
-        lambda t: impact.family_index(t("pr_files"), COMPACT),
-        f"WITH {_family(8, 0.6)} SELECT path, 0.15::DOUBLE AS weight FROM fo WHERE r > 1",
+        lambda t: impact.family_index(t("prs"), t("pr_files"), COMPACT),
+        f"WITH {family_sql(8, 0.6)} SELECT path, 0.15::DOUBLE AS weight FROM fo WHERE r > 1",
+    ),
+    "impact_paths": (
+        lambda t: impact.pr_paths(t("pr_files"), t("pr_files").where("pr_number % 3 <> 0").withColumn("path", F.concat(F.lit("src/"), "path"))).groupBy("path").agg(F.count("*").alias("requests")),
+        "SELECT CASE WHEN pr_number % 3 <> 0 THEN 'src/' || path ELSE path END AS path, count(DISTINCT (repo, pr_number)) AS requests FROM {pr_files} GROUP BY 1",
     ),
     "impact_effective_files": (
-        lambda t: impact.effective_files(_attributed_prs(t), t("pr_files")).select("dev", r("effective_files")),
-        f"""WITH {_family(4, 0.25)}, m AS (SELECT DISTINCT l.dev, f.path FROM {{prs}} p JOIN {{roster_login}} l ON l.login = p.author JOIN {{pr_files}} f USING (repo, pr_number) WHERE p.merged IS NOT NULL)
-            SELECT dev, round(sum(CASE WHEN {NOISE} THEN 0.25 ELSE 1.0 END * CASE WHEN fo.r > 1 THEN 0.15 ELSE 1.0 END), 4)::DOUBLE AS effective_files FROM m LEFT JOIN fo USING (path) GROUP BY dev""",
+        lambda t: impact.effective_files(_varied(t)[0], _varied(t)[1], VARIED, integration=_varied(t)[2]).select("dev", n("unique_files"), r("effective_files")),
+        f"WITH {effective_sql(VARIED, DETAILED, MERGE_UPS)} SELECT dev, unique_files, round(effective_files, 4)::DOUBLE AS effective_files FROM ef",
     ),
     "impact_effective_loc": (
-        lambda t: impact.effective_loc(_attributed_prs(t), t("pr_files")).select("dev", r("effective_loc")),
-        f"""WITH {_family(4, 0.25)} SELECT l.dev, round(sum(CASE WHEN {NOISE} THEN 0 ELSE (f.additions + f.deletions) * CASE WHEN fo.r > 1 THEN 0.15 ELSE 1.0 END END), 4)::DOUBLE AS effective_loc FROM {{prs}} p JOIN {{roster_login}} l ON l.login = p.author JOIN {{pr_files}} f USING (repo, pr_number) LEFT JOIN fo USING (path) WHERE p.merged IS NOT NULL GROUP BY 1""",
+        lambda t: impact.effective_loc(_varied(t)[0], _varied(t)[1], VARIED, integration=_varied(t)[2]).select("dev", r("effective_loc")),
+        f"WITH {effective_sql(VARIED, DETAILED, MERGE_UPS)} SELECT dev, round(effective_loc, 4)::DOUBLE AS effective_loc FROM el",
+    ),
+    "impact_effective_loc_knobs": (
+        lambda t: impact.effective_loc(_varied(t)[0], _varied(t)[1], VARIED, bulk=True, churn=True).select("dev", r("effective_loc")),
+        f"WITH {effective_sql(VARIED, DETAILED, bulk=True, churn=True)} SELECT dev, round(effective_loc, 4)::DOUBLE AS effective_loc FROM el",
+    ),
+    "impact_effective_loc_plain": (
+        lambda t: impact.effective_loc(_varied(t)[0], _varied(t)[1], replace(VARIED, family_members=10**9)).select("dev", r("effective_loc")),
+        f"""WITH ex AS (SELECT repo, pr_number, sum(additions + 0.5::DOUBLE * deletions) AS excluded FROM {DETAILED} WHERE {NOISE} OR (({EXT} IN {DATA} OR {EXT} = 'xml') AND additions + deletions > 40) GROUP BY 1, 2),
+            e AS (SELECT repo, pr_number, {EXT} AS ext, count(*) AS n FROM {DETAILED} GROUP BY 1, 2, 3), dp AS (SELECT repo, pr_number, sum(n) >= 2 AND max(n) >= 0.6 * sum(n) AND max(struct_pack(n := n, ext := ext)).ext IN {DATA} AS dump FROM e GROUP BY 1, 2)
+            SELECT l.dev, round(sum(CASE WHEN dump THEN 0.1::DOUBLE * (additions + 0.5::DOUBLE * deletions) ELSE greatest(0, additions + 0.5::DOUBLE * deletions - coalesce(excluded, 0)) END), 4)::DOUBLE AS effective_loc
+            FROM {{prs}} p JOIN {{roster_login}} l ON l.login = p.author LEFT JOIN ex USING (repo, pr_number) LEFT JOIN dp USING (repo, pr_number) WHERE merged IS NOT NULL GROUP BY 1""",
     ),
     "impact_capped": (
         lambda t: impact.cap_impact(_attributed_prs(t).where("merged IS NOT NULL").groupBy("dev").agg(F.countDistinct("repo").alias("files"), F.sum(F.col("additions") + F.col("deletions")).alias("loc"), F.count("*").alias("prs"))).select("dev", r("capped_loc"), r("code_impact")),
