@@ -18,6 +18,7 @@ QA_STATUSES = ("In QA",)
 GENERATED_PATHS = ("*.lock", "package-lock.json", "*.min.js", "*/vendor/*", "*/node_modules/*", "*/generated/*", "*.snap")
 DATA_EXTENSIONS = ("json", "csv", "tsv", "ndjson", "geojson", "parquet", "snap")
 RISK_GLOBS = {"high": ("**/promo/**", "**/auth/**"), "medium": ("**/standard/**",)}
+DOC_HINTS = ("confluence", "docs.google", "notion", "example.com")
 SEED_TERMS = ("auth", "billing", "payment", "payments", "security", "migration", "crypto")
 
 
@@ -92,6 +93,7 @@ class Integration:
     big_loc: int = 1000
     many_keys: int = 5
     factor: float = 0.25
+    titles: tuple = ()
 
     @property
     def total(self) -> float:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,6 +103,24 @@ def bounds_of(df: DataFrame, ts: str) -> DataFrame:
     return df.agg(F.min(ts).alias("first"), F.max(ts).alias("last"))
 
 
+def comparison_windows(first: date, last: date) -> list[tuple[str, str, str]]:
+    """Named half-open ranges around the months first to last (their first days): the window itself, as many months before
+    it, the same months a year and a quarter earlier, and the four quarters up to its last month."""
+    at = lambda n: date(n // 12, n % 12 + 1, 1).isoformat()
+    a, b = first.year * 12 + first.month - 1, last.year * 12 + last.month
+    quarter = (b - 1) // 3 * 3
+    ranges = [("current", a, b), ("prior", a - (b - a), a), ("yoy", a - 12, b - 12), ("qoq", a - 3, b - 3)]
+    ranges += [(f"{(quarter - 3 * k) // 12}-Q{(quarter - 3 * k) % 12 // 3 + 1}", quarter - 3 * k, quarter - 3 * k + 3) for k in range(4)]
+    return [(name, at(x), at(y)) for name, x, y in ranges]
+
+
+def period_close(label) -> Column:
+    """The day on which a period (by its label) is over: two weeks after its first Monday, one for a week 53."""
+    year, week = F.substring(_c(label), 1, 4).cast("int"), F.substring(_c(label), 7, 2).cast("int")
+    first = F.date_trunc("WEEK", F.make_date(year, F.lit(1), F.lit(4))).cast("date")
+    return F.date_add(first, 7 * (week - 1) + F.when(week == 53, 7).otherwise(14))
+
+
 def windows_frame(spark: SparkSession, rows: list[tuple[str, str, str]]) -> DataFrame:
     """(window, start, stop) of named half-open ranges: a handful of rows."""
     return spark.createDataFrame(rows, "window string, start string, stop string").select("window", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"))

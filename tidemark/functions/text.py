@@ -33,6 +33,11 @@ def substantive(comment: Column, hints: tuple[str, ...]) -> Column:
     return F.contains(comment, F.lit("```")) | (F.size(links(comment, hints)) > 0) | (F.octet_length(F.trim(comment)) >= 200)
 
 
+def spawned(link_type: Column, direction: Column, phrase: Column) -> Column:
+    """Whether a link leads to follow-up work: a subtask, or outward with a phrase of creation."""
+    return (F.lower(link_type) == "subtask") | ((F.lower(direction) == "outward") & F.lower(phrase).rlike("created|clone|split"))
+
+
 def is_bug(issue_type: Column, labels: Column) -> Column:
     words = F.array(*[F.lit(w) for w in BUG_WORDS])
     return F.array_contains(words, F.lower(F.trim(issue_type))) | F.exists(labels, lambda x: F.array_contains(words, F.lower(F.trim(x))))

@@ -13,10 +13,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.config import Elo
+from tidemark.functions.calendar import period_close
+from tidemark.operators import ranking
 
 HISTORY = "league string, dev string, period string, kind string, outcome double, delta double, rating double, periods_played long, idle_streak long"
 
 
+def dev_keys(roster: DataFrame, logins: DataFrame) -> DataFrame:
+    """(dev, dev_key): the account, else the first login with a mark; those with neither drop out."""
+    first = logins.groupBy("dev").agg(F.min("login").alias("_login"))
+    key = F.coalesce(F.nullif(F.col("account"), F.lit("")), F.concat(F.lit("gh:"), "_login"))
+    return roster.select("dev", "account").join(first, "dev", "left").select("dev", key.alias("dev_key")).where("dev_key IS NOT NULL")
+
+
+def period_scores(periods: DataFrame) -> DataFrame:
+    """(period, dev, score): composites of the active people of each period; files, impact and points play no part here."""
+    none = {c: F.lit(0.0) for c in ("unique_files", "code_impact", "story_points", "scored")}
+    wide = active_cohort(periods).withColumns({**none, "multiplier": F.lit(1.0)})
+    return ranking.composite(ranking.z_scores(ranking.metric_matrix(wide, ["period"]), ["period"]), ["period"])
+
+
 def active_cohort(periods: DataFrame) -> DataFrame:
     """Only code-side activity makes a person play."""
     return periods.where(F.col("prs_created") + F.col("prs_merged") + F.col("reviewed") + F.col("commits") > 0)
@@ -111,16 +127,29 @@ def last_state(history: DataFrame) -> DataFrame:
     return history.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("league", "dev", "rating", "periods_played", "idle_streak")
 
 
-def advance(outcomes: DataFrame, state: DataFrame, last_period: str | None, knobs: Elo = Elo()) -> DataFrame:
-    """History of the periods after ``last_period`` only; without one, all from an empty state."""
+def advance(outcomes: DataFrame, state: DataFrame, last_period: str | None, knobs: Elo = Elo(), now=None, first_period: str | None = None) -> DataFrame:
+    """History of the periods after ``last_period`` that are over by the day ``now`` (all without one), none before
+    ``first_period``; without a last period, all from an empty state."""
+    rows = outcomes if now is None else outcomes.where(period_close("period") <= F.to_date(now))
+    rows = rows if first_period is None else rows.where(F.col("period") >= first_period)
     if last_period is None:
-        return rating_walk(outcomes, None, knobs)
-    return rating_walk(outcomes.where(F.col("period") > last_period), state, knobs)
+        return rating_walk(rows, None, knobs)
+    return rating_walk(rows.where(F.col("period") > last_period), state, knobs)
 
 
-def attach(roster: DataFrame, history: DataFrame, knobs: Elo = Elo()) -> DataFrame:
-    """(dev, rating, delta, provisional): the start rating for those who never played."""
-    order = W.partitionBy("dev").orderBy(F.desc("period"))
+def attach(roster: DataFrame, history: DataFrame, knobs: Elo = Elo(), league: str | None = None) -> DataFrame:
+    """(dev, rating, delta, provisional) or, with a ``league`` column on both sides, so per league: the start rating for
+    those who never played."""
+    keys = ["dev"] if league is None else [league, "dev"]
+    order = W.partitionBy(*keys).orderBy(F.desc("period"))
     last = history.withColumn("_r", F.row_number().over(order)).where("_r = 1")
-    out = roster.select("dev").join(last.select("dev", "rating", "delta", "periods_played"), "dev", "left")
-    return out.select("dev", F.coalesce("rating", F.lit(knobs.start)).alias("rating"), F.coalesce("delta", F.lit(0.0)).alias("delta"), (F.coalesce("periods_played", F.lit(0)) < knobs.provisional).alias("provisional"))
+    out = roster.select(*keys).join(last.select(*keys, "rating", "delta", "periods_played"), keys, "left")
+    return out.select(*keys, F.coalesce("rating", F.lit(knobs.start)).alias("rating"), F.coalesce("delta", F.lit(0.0)).alias("delta"), (F.coalesce("periods_played", F.lit(0)) < knobs.provisional).alias("provisional"))
+
+
+def histories(history: DataFrame, first=None, last=None) -> DataFrame:
+    """(league, dev, history): each person's rows in order with the day each period closed, clipped to a range of such days."""
+    rows = history.withColumn("closed", period_close("period"))
+    rows = rows if first is None else rows.where(F.col("closed") >= first)
+    rows = rows if last is None else rows.where(F.col("closed") <= last)
+    return rows.groupBy("league", "dev").agg(F.array_sort(F.collect_list(F.struct("closed", "period", "kind", "rating", "delta"))).alias("history"))

@@ -8,11 +8,14 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Surge
 from tidemark.functions.calendar import week_ordinal
+from tidemark.operators.rollup import code_impact
 
 
 def item_epics(items: DataFrame, issues: DataFrame, item: list[str]) -> DataFrame:
-    """``items`` (with issue_key) by epic, each item once per epic; unknown keys and issues without an epic drop out."""
-    known = issues.where("epic_key <> ''").select("issue_key", "epic_key")
+    """``items`` (with issue_key) by epic, each item once per epic; an epic without one is its own, unknown keys and other
+    issues without an epic drop out."""
+    own = F.when(F.col("epic_key") != "", F.col("epic_key")).when(F.col("issue_type") == "Epic", F.col("issue_key"))
+    known = issues.select("issue_key", own.alias("epic_key")).where("epic_key IS NOT NULL")
     return items.join(known, "issue_key").dropDuplicates([*item, "epic_key"])
 
 
@@ -27,7 +30,7 @@ def epic_weeks(issues: DataFrame, prs: DataFrame, commits: DataFrame) -> DataFra
 
 
 def momentum(weeks: DataFrame, knobs: Surge = Surge(), anchor: int | None = None) -> DataFrame:
-    """Recent against baseline rate of each epic that is busy enough, with its state and peak week."""
+    """Recent against baseline rate of each epic that is busy enough, with its state, its trigger (the state, if notable) and peak week."""
     last = weeks.agg(F.max("week").alias("anchor")) if anchor is None else weeks.sparkSession.createDataFrame([(anchor,)], "anchor long")
     rows = weeks.crossJoin(F.broadcast(last)).withColumn("work", F.col("prs") + F.col("commits"))
     age = F.col("anchor") - F.col("week")
@@ -41,26 +44,49 @@ def momentum(weeks: DataFrame, knobs: Surge = Surge(), anchor: int | None = None
     rate = F.when(F.col("baseline") == 0, knobs.hot).otherwise((F.col("recent") / knobs.recent) / (F.col("baseline") / knobs.baseline))
     m = F.col("momentum")
     state = F.when(F.col("baseline") == 0, "new").when(m >= knobs.hot, "hot").when(m >= knobs.rising, "rising").when(m <= knobs.cooling, "cooling").otherwise("steady")
-    return own.withColumn("momentum", rate).withColumn("state", state)
+    out = own.withColumn("momentum", rate).withColumn("state", state)
+    return out.withColumn("trigger", F.when(F.col("state").isin("new", "hot", "rising"), F.col("state")).otherwise(""))
 
 
-def facets(found: DataFrame, rising_only: bool = False, least_work: int = 3) -> DataFrame:
+def facets(found: DataFrame, rising_only: bool = False, least_work: int = 3, weeks: DataFrame | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
+    """Epics with enough work; ``weeks`` with a first and last week (ordinals) keep those that any week of theirs falls in."""
     kept = found.where(F.col("prs") + F.col("commits") >= least_work)
+    if weeks is not None:
+        kept = kept.join(weeks.where(F.col("week").between(first, last)).select("epic_key").distinct(), "epic_key", "left_semi")
     return kept.where(F.col("state").isin("new", "hot", "rising")) if rising_only else kept
 
 
-def shares(prs: DataFrame, commits: DataFrame, issues: DataFrame, logins: DataFrame) -> DataFrame:
-    """(dev, epic_key, prs, commits) with the team's sums."""
-    count = lambda items, item, name: item_epics(items, issues, item).groupBy("epic_key", "author").agg(F.count("*").alias(name))
-    own = count(prs, ["repo", "pr_number"], "prs").join(count(commits, ["sha"], "commits"), ["epic_key", "author"], "full").fillna(0)
-    mine = own.join(logins.select("dev", F.col("login").alias("author")), "author").groupBy("dev", "epic_key").agg(F.sum("prs").alias("prs"), F.sum("commits").alias("commits"))
-    team = own.groupBy("epic_key").agg(F.sum("prs").alias("team_prs"), F.sum("commits").alias("team_commits"))
+def shares(prs: DataFrame, keys: DataFrame, commits: DataFrame, reviews: DataFrame, files: DataFrame, issues: DataFrame, logins: DataFrame, detected: DataFrame, excluded: DataFrame) -> DataFrame:
+    """(dev, epic_key, prs, commits, reviews, impact) with the team's sums, for the ``detected`` epics.
+
+    Impact is of distinct files, lines but for ``excluded`` ones (per request) and merged requests; that of a person's
+    logins adds up."""
+    pr = ["repo", "pr_number"]
+    lines = F.greatest(F.col("additions") + F.col("deletions") - F.coalesce(F.col("excluded_additions") + F.col("excluded_deletions"), F.lit(0)), F.lit(0))
+    known = item_epics(keys.select(*pr, F.upper("issue_key").alias("issue_key")), issues, pr).join(detected.select("epic_key"), "epic_key", "left_semi").select(*pr, "epic_key")
+    requests = known.join(prs, pr).join(excluded, pr, "left").select(*pr, "epic_key", "author", F.col("merged").isNotNull().alias("done"), lines.alias("loc"))
+    pushes = item_epics(commits, issues, ["sha"]).join(detected.select("epic_key"), "epic_key", "left_semi")
+    looks = reviews.join(known, pr)
+
+    def sums(by: list[str]) -> DataFrame:
+        a = requests.groupBy(*by).agg(F.count("*").alias("prs"), F.sum(F.col("done").cast("long")).alias("merged"), F.sum(F.when(F.col("done"), F.col("loc")).otherwise(0)).alias("loc"))
+        b = pushes.groupBy(*by).agg(F.count("*").alias("commits"))
+        c = looks.withColumnRenamed("reviewer", "author").groupBy(*by).agg(F.count("*").alias("reviews"))
+        d = requests.where("done").join(files.select(*pr, "path"), pr).groupBy(*by).agg(F.countDistinct("path").alias("files"))
+        out = a.join(b, by, "full").join(c, by, "full").join(d, by, "left").fillna(0)
+        return out.withColumn("impact", code_impact(F.col("files"), F.col("loc"), F.col("merged")))
+
+    mine = sums(["epic_key", "author"]).where("author <> ''").join(logins.select("dev", F.col("login").alias("author")), "author")
+    mine = mine.groupBy("dev", "epic_key").agg(*[F.sum(c).alias(c) for c in ("prs", "commits", "reviews", "impact")])
+    team = sums(["epic_key"]).select("epic_key", *[F.col(c).alias(f"team_{c}") for c in ("prs", "commits", "reviews", "impact")])
     return mine.join(team, "epic_key")
 
 
-def share_sort(found: DataFrame) -> DataFrame:
-    """Adds the largest share and the place among a person's epics."""
-    part = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    out = found.withColumn("share", F.greatest(part("prs", "team_prs"), part("commits", "team_commits")))
+def share_sort(found: DataFrame, absolute: bool = False, surging: DataFrame | None = None) -> DataFrame:
+    """Adds the largest share (or, ``absolute``, the most items) and the place among a person's epics; ``surging``: only those epics."""
+    part = lambda c: F.when(F.col(f"team_{c}") > 0, F.col(c) / F.col(f"team_{c}")).otherwise(0.0)
+    out = found if surging is None else found.join(surging.select("epic_key"), "epic_key", "left_semi")
+    size = F.col("prs") + F.col("commits") + F.col("reviews")
+    out = out.withColumn("share", size.cast("double") if absolute else F.greatest(part("prs"), part("commits"), part("reviews")))
     order = W.partitionBy("dev").orderBy(F.desc("share"), "epic_key")
     return out.withColumn("place", F.row_number().over(order))

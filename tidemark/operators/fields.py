@@ -33,3 +33,20 @@ def profile(rows: DataFrame) -> DataFrame:
     marked = rows.withColumns({"ok": is_populated(F.col("value_json")), "shape": shape(F.col("value_json"))})
     counts = marked.groupBy("field_id", "shape").agg(F.count("*").alias("n"), F.sum(F.col("ok").cast("long")).alias("p"))
     return counts.groupBy("field_id").agg(F.sum("n").alias("sampled"), F.sum("p").alias("populated"), F.min_by("shape", F.struct(-F.col("n"), "shape")).alias("shape"))
+
+
+def worth_capturing(found: DataFrame, least_share: float = 0.05) -> DataFrame:
+    """Adds ``worth``: populated in enough of the rows sampled."""
+    return found.withColumn("worth", (F.col("populated") > 0) & (F.col("populated") >= least_share * F.col("sampled")))
+
+
+def proposals(found: DataFrame, catalog: DataFrame) -> DataFrame:
+    """(role, field_id, name): the field that fits each role best by its catalog name and kind; the most populated, then the smaller id."""
+    name = F.lower("name")
+    role = (
+        F.when(name.rlike("story ?points?|estimate") & (F.col("kind") == "number"), "story_points")
+        .when(name.rlike("epic link|parent"), "epic_link")
+        .when(name.rlike("description") & (F.col("kind") == "string"), "description")
+    )
+    rows = found.join(catalog, "field_id").withColumn("role", role).where("role IS NOT NULL AND populated > 0")
+    return rows.groupBy("role").agg(F.min_by(F.struct("field_id", "name"), F.struct(-F.col("populated"), "field_id")).alias("f")).select("role", "f.*")

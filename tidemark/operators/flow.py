@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.config import ACTIVE_STATUSES, QA_STATUSES, STATUS_RANK
+from tidemark.config import ACTIVE_STATUSES, QA_STATUSES, QUEUE_STATUSES, STATUS_RANK
 
 HOUR = 3600.0
 
@@ -27,10 +27,12 @@ def latest_snapshot(issues: DataFrame, key: str = "issue_key", order: str = "upd
 
 
 def status_durations(changelog: DataFrame, issues: DataFrame) -> DataFrame:
-    """(issue_key, status, hours): each stay ends at the next move, else when the issue is resolved; re-entries add up."""
+    """(issue_key, status, hours): each stay ends at the next move, else when the issue is done (``done_at``, if issues have it),
+    else when it is resolved; re-entries add up."""
     over = W.partitionBy("issue_key").orderBy("at", "ord")
+    ends = [c for c in ("done_at", "resolved") if c in issues.columns]
     stays = changelog.where("to_status <> ''").withColumn("until", F.lead("at").over(over))
-    stays = stays.join(issues.select("issue_key", "resolved"), "issue_key", "left").withColumn("until", F.coalesce("until", "resolved"))
+    stays = stays.join(issues.select("issue_key", *ends), "issue_key", "left").withColumn("until", F.coalesce("until", *ends))
     return stays.withColumn("h", hours("at", "until")).where("h > 0").groupBy("issue_key", F.col("to_status").alias("status")).agg(F.sum("h").alias("hours"))
 
 
@@ -49,18 +51,50 @@ def rework_count(changelog: DataFrame) -> DataFrame:
     return bounces(changelog).groupBy("issue_key").agg(F.count("*").alias("rework"))
 
 
+def ticket_flow(changelog: DataFrame, commits: DataFrame, issues: DataFrame, comments: DataFrame | None = None, dwell_minutes: float = 5.0) -> DataFrame:
+    """Per issue with moves: first_in_progress, done_at, cycle_hours, active_hours, queue_hours, status_flips, rework and
+    pre_code_comments, all in one pass over its moves, commits and comments in order of time.
+
+    What follows a move (the next one, the next into QA, the next commit) is the last value seen in reverse order, so a long
+    history costs no more than its sort.  A bounce counts if a commit answers it before the issue reaches QA again (else
+    before it is resolved), or if it came after some dwelling."""
+    named = F.col("issue_key").isNotNull() & (F.col("issue_key") != "")
+    none = {c: F.lit(None).cast("string") for c in ("from_status", "to_status")}
+    moves = changelog.select("issue_key", F.col("at").alias("ts"), F.lit(0).alias("k"), F.col("ord").cast("long").alias("ord"), "from_status", "to_status")
+    pushes = commits.select("issue_key", F.col("committed").alias("ts")).where(named).distinct().withColumns({"k": F.lit(1), "ord": F.lit(0).cast("long"), **none})
+    rows = moves.unionByName(pushes)
+    if comments is not None:
+        rows = rows.unionByName(comments.where(named).select("issue_key", F.col("at").alias("ts")).withColumns({"k": F.lit(2), "ord": F.lit(0).cast("long"), **none}))
+    order = W.partitionBy("issue_key").orderBy("ts", "k", "ord")
+    past = order.rowsBetween(W.unboundedPreceding, -1)
+    future = W.partitionBy("issue_key").orderBy(F.desc("ts"), F.desc("k"), F.desc("ord")).rowsBetween(W.unboundedPreceding, -1)
+    move, to = F.col("k") == 0, F.col("to_status")
+    later = lambda when: F.last(F.when(when, F.col("ts")), ignorenulls=True).over(future)
+    rows = rows.withColumns(
+        {
+            "_next": later(move & (to != "")), "_qa": later(move & (rank_of(to) >= 3)), "_push": later(F.col("k") == 1),
+            "_before": F.last(F.when(move, F.col("ts")), ignorenulls=True).over(past), "_first": F.first(F.when(move, F.col("from_status")), ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)),
+            "_n": F.row_number().over(W.partitionBy("issue_key", "k", "to_status").orderBy("ts", "ord")),
+        }
+    )
+    rows = rows.join(issues.select("issue_key", "resolved"), "issue_key", "left").withColumns({"_end": F.coalesce("_next", "resolved"), "_until": F.coalesce("_qa", "resolved", "ts")})
+    stay, f, t = hours("ts", "_end"), rank_of(F.col("from_status")), rank_of(to)
+    spent = lambda names: F.coalesce(F.sum(F.when(move & to.isin(*names) & (stay > 0), stay)), F.lit(0.0))
+    bounced = move & (f >= 2) & t.between(1, 2) & (t < f)
+    kept = (hours("_before", "ts") * 60 >= dwell_minutes) | (F.col("_push") <= F.col("_until"))
+    count = lambda when: F.sum(F.coalesce(when, F.lit(False)).cast("long"))
+    own = rows.groupBy("issue_key").agg(
+        F.min(F.when(move, F.col("ts"))).alias("first_in_progress"), F.max(F.when(move, F.col("ts"))).alias("_last"), F.max("resolved").alias("_resolved"),
+        spent(ACTIVE_STATUSES).alias("active_hours"), spent(QUEUE_STATUSES).alias("_queue"), count(move & ((F.col("_n") > 1) | (to == F.col("_first")))).alias("status_flips"),
+        count(bounced & kept).alias("rework"), count((F.col("k") == 2) & F.col("_before").isNull()).alias("pre_code_comments"),
+    ).where("first_in_progress IS NOT NULL")
+    out = own.withColumn("done_at", F.coalesce("_resolved", "_last")).withColumn("cycle_hours", F.greatest(hours("first_in_progress", "done_at"), F.lit(0.0)))
+    return out.withColumn("queue_hours", F.when(F.col("cycle_hours") > 0, F.col("_queue")).otherwise(0.0)).drop("_last", "_resolved", "_queue")
+
+
 def rework_denoised(changelog: DataFrame, commits: DataFrame, issues: DataFrame, dwell_minutes: float = 5.0) -> DataFrame:
-    """Bounces that a commit answers before the issue reaches QA again, or that came after some dwelling."""
-    order = W.partitionBy("issue_key").orderBy("at", "ord")
-    after = order.rowsBetween(1, W.unboundedFollowing)
-    rows = changelog.withColumns({"_before": F.lag("at").over(order), "_next": F.first(F.when(rank_of(F.col("to_status")) >= 3, F.col("at")), ignorenulls=True).over(after)})
-    hit = bounces(rows).join(issues.select("issue_key", "resolved"), "issue_key", "left")
-    hit = hit.withColumn("until", F.coalesce("_next", "resolved", "at")).withColumn("dwelt", F.coalesce(hours("_before", "at") * 60 >= dwell_minutes, F.lit(False)))
-    keyed = hit.select("issue_key", "at", "ord", "until", "dwelt")
-    pushes = commits.select("issue_key", "committed").join(keyed.select("issue_key").distinct(), "issue_key", "left_semi")  # only keys that bounced
-    answered = keyed.join(pushes, "issue_key").where("committed >= at AND committed <= until").select("issue_key", "ord", "at").distinct().withColumn("answered", F.lit(True))
-    kept = keyed.join(answered, ["issue_key", "ord", "at"], "left").where(F.col("dwelt") | F.col("answered"))
-    return kept.groupBy("issue_key").agg(F.count("*").alias("rework"))
+    """(issue_key, rework): bounces that a commit answers before the issue reaches QA again, or that came after some dwelling."""
+    return ticket_flow(changelog, commits, issues, None, dwell_minutes).where("rework > 0").select("issue_key", "rework")
 
 
 def issue_signals(changelog: DataFrame, issues: DataFrame) -> DataFrame:
@@ -110,13 +144,15 @@ def team_flow(issues: DataFrame, prs: DataFrame, cycle: DataFrame, tagged: Colum
     return out.fillna(0)
 
 
-def deep_threads(comments: DataFrame, least: int = 3, jumps: int = 6) -> DataFrame:
+def deep_threads(comments: DataFrame, least: int = 3) -> DataFrame:
     """(repo, pr_number, inline, deep): threads of review comments by their root.
 
     ``comments`` has repo, pr_number, id and in_reply_to (0: a root).  Pointers jump to the parent's pointer, which
-    doubles their reach each time; replies to nothing known are roots, cycles keep some member."""
+    doubles their reach each time, as often as the longest possible chain (all comments of a request) needs; replies to
+    nothing known are roots, cycles keep some member."""
     rows = comments.select("repo", "pr_number", "id", F.when(F.col("in_reply_to") == 0, F.col("id")).otherwise(F.col("in_reply_to")).alias("root"))
-    for _ in range(jumps):
+    longest = rows.groupBy("repo", "pr_number").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1  # one number
+    for _ in range(max(1, (longest - 1).bit_length())):
         up = rows.select("repo", "pr_number", F.col("id").alias("root"), F.col("root").alias("_up"))
         rows = rows.join(up, ["repo", "pr_number", "root"], "left").select("repo", "pr_number", "id", F.coalesce("_up", "root").alias("root"))
     threads = rows.groupBy("repo", "pr_number", "root").agg(F.count("*").alias("n"))

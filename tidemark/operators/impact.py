@@ -74,30 +74,32 @@ def _merged(prs: DataFrame, integration: DataFrame | None) -> DataFrame:
     return merged.join(integration.select(*PR, F.col("weight").alias("integ")), PR, "left").fillna(1.0, ["integ"])
 
 
-def effective_files(prs: DataFrame, files: DataFrame, knobs: Impact = Impact(), patterns: tuple[str, ...] = GENERATED_PATHS, integration: DataFrame | None = None, keys: tuple[str, ...] = ("dev",)) -> DataFrame:
-    """(keys, unique_files, effective_files): each path once per person, at the largest weight it has in a merged request."""
+def effective_files(prs: DataFrame, corpus: DataFrame, files: DataFrame, knobs: Impact = Impact(), patterns: tuple[str, ...] = GENERATED_PATHS, integration: DataFrame | None = None, keys: tuple[str, ...] = ("dev",)) -> DataFrame:
+    """(keys, unique_files, effective_files): each path once per person, at the largest weight it has in a merged request.
+
+    ``prs`` are attributed requests, ``corpus`` all of them, whose files make the families."""
     merged = _merged(prs, integration).select(*PR, "dev", "integ")
-    rows = files.select(*PR, "path").join(merged, PR).join(bulk_dump(files, knobs), PR, "left").join(family_index(prs, files, knobs), "path", "left")
+    rows = files.select(*PR, "path").join(merged, PR).join(bulk_dump(files, knobs), PR, "left").join(family_index(corpus, files, knobs), "path", "left")
     base = F.when(F.col("dump") & extension(F.col("path")).isin(*DATA_EXTENSIONS), knobs.dump_weight).when(matches_generated(F.col("path"), patterns), knobs.generated_weight).otherwise(1.0)
     best = rows.groupBy(*keys, "path").agg(F.max(base * F.coalesce("weight", F.lit(1.0)) * F.col("integ")).alias("w"))
     return best.groupBy(*keys).agg(F.count("*").alias("unique_files"), F.sum("w").alias("effective_files"))
 
 
 def effective_loc(
-    prs: DataFrame, files: DataFrame, knobs: Impact = Impact(), patterns: tuple[str, ...] = GENERATED_PATHS, integration: DataFrame | None = None,
+    prs: DataFrame, corpus: DataFrame, files: DataFrame, knobs: Impact = Impact(), patterns: tuple[str, ...] = GENERATED_PATHS, integration: DataFrame | None = None,
     bulk: bool = False, churn: bool = False, keys: tuple[str, ...] = ("dev",),
 ) -> DataFrame:
     """(keys, effective_loc) over merged requests.
 
     A dump counts at its weight.  Else files count by themselves, generated ones and outsized data not at all, at the weights
     of their family and, if asked for, of their churn; a request without file rows, or all of them where neither applies,
-    counts its own lines without the excluded ones.  Bulk imports count less if asked for, merge-ups by ``integration``."""
+    counts its own lines without the excluded ones.  Bulk imports count less if asked for, merge-ups by ``integration``.  Families and churn are those of all requests, ``corpus``."""
     path, lines = F.col("path"), weighted_loc(F.col("additions"), F.col("deletions"), knobs)
-    family = family_index(prs, files, knobs)
+    family = family_index(corpus, files, knobs)
     out = matches_generated(path, patterns) | (extension(path).isin(*DATA_EXTENSIONS, "xml") & (F.col("additions") + F.col("deletions") > knobs.dump_ceiling))
     rows = files.select(*PR, "path", lines.alias("own"), out.alias("out")).join(family, "path", "left").withColumn("w", F.coalesce("weight", F.lit(1.0)))
     if churn:
-        rows = rows.join(churn_index(prs, files), "path", "left").withColumn("w", F.col("w") * churn_weight(F.coalesce("touches", F.lit(0)), knobs))
+        rows = rows.join(churn_index(corpus, files), "path", "left").withColumn("w", F.col("w") * churn_weight(F.coalesce("touches", F.lit(0)), knobs))
     per = rows.groupBy(*PR).agg(F.sum(F.when(F.col("out"), 0.0).otherwise(F.col("own") * F.col("w"))).alias("net"), F.sum(F.when(F.col("out"), F.col("own")).otherwise(0.0)).alias("excluded"))
     found = _merged(prs, integration).join(per, PR, "left").join(bulk_dump(files, knobs), PR, "left")
     each = F.lit(True)
@@ -107,7 +109,7 @@ def effective_loc(
     whole = F.greatest(F.lit(0.0), lines - F.coalesce("excluded", F.lit(0.0)))
     loc = F.when(F.coalesce("dump", F.lit(False)), knobs.dump_weight * lines)
     if bulk:
-        found = found.join(bulk_import(prs, files, knobs), PR, "left")
+        found = found.join(bulk_import(corpus, files, knobs), PR, "left")
         scale = F.when(F.col("bulk"), knobs.bulk_weight).otherwise(1.0)
     else:
         scale = F.lit(1.0)
@@ -115,6 +117,17 @@ def effective_loc(
     return found.groupBy(*keys).agg(F.sum(F.col("integ") * loc).alias("effective_loc"))
 
 
+def monthly_impact(prs: DataFrame, files: DataFrame, bucket: Column, knobs: Impact = Impact(), patterns: tuple[str, ...] = GENERATED_PATHS) -> DataFrame:
+    """(dev, bucket, unique_files, net_loc, prs_merged, code_impact) of attributed requests: rows of a chart, where only
+    excluded lines are taken off and nothing is damped or capped."""
+    merged = prs.where("merged IS NOT NULL").join(excluded_loc(files, knobs, patterns), PR, "left").withColumn("bucket", bucket)
+    net = weighted_loc(F.col("additions") - F.coalesce("excluded_additions", F.lit(0)), F.col("deletions") - F.coalesce("excluded_deletions", F.lit(0)), knobs)
+    sums = merged.groupBy("dev", "bucket").agg(F.greatest(F.sum(net), F.lit(0.0)).alias("net_loc"), F.count("*").alias("prs_merged"))
+    paths = merged.select(*PR, "dev", "bucket").join(files.select(*PR, "path"), PR).groupBy("dev", "bucket").agg(F.countDistinct("path").alias("unique_files"))
+    out = sums.join(paths, ["dev", "bucket"], "left").fillna(0, ["unique_files"])
+    return out.withColumn("code_impact", code_impact(F.col("unique_files"), F.col("net_loc"), F.col("prs_merged"), knobs))
+
+
 def cap_impact(cohort: DataFrame, knobs: Impact = Impact(), loc: str = "loc") -> DataFrame:
     """Lines clipped at the cohort's percentile and the impact taken again; cohort: dev, files, loc, prs, one row a person."""
     cap = F.percentile(loc, F.lit(knobs.cap_percentile)).over(W.partitionBy(F.lit(1)))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -53,6 +55,14 @@ def only_person(df: DataFrame, logins: DataFrame, login: str, dev: str | None) -
     return df.join(logins.where(F.col("dev") == dev).select(F.col("login").alias(login)).distinct(), login, "left_semi")
 
 
+def only_account(issues: DataFrame, roster: DataFrame, dev: str | None) -> DataFrame:
+    """Issues that one person is assigned to or reported; without a person, all."""
+    if dev is None:
+        return issues
+    own = roster.where(F.col("dev") == dev).agg(F.collect_set("account").alias("_own"))  # one row
+    return issues.crossJoin(F.broadcast(own)).where(F.array_contains("_own", F.col("assignee")) | F.array_contains("_own", F.col("reporter"))).drop("_own")
+
+
 def activity_by_login(prs: DataFrame, commits: DataFrame, reviews: DataFrame) -> DataFrame:
     rows = prs.select(F.col("author").alias("login")).unionAll(commits.select("author")).unionAll(reviews.select("reviewer"))
     return rows.groupBy("login").agg(F.count("*").alias("n"))
@@ -150,12 +160,26 @@ def merge_roster(existing: DataFrame, pending: DataFrame) -> DataFrame:
     return merged.select("account", F.array_distinct(F.transform("l", lambda x: x["login"])).alias("logins"), state.alias("outcome"))
 
 
-def mint_aliases(names: DataFrame, existing: DataFrame, prefix: str = "Person") -> DataFrame:
-    """(name, alias): old ones stay, new names are numbered in their order after them; '' and 'unknown' stay themselves."""
-    new = names.where(~F.col("name").isin("", "unknown")).select("name").distinct().join(existing, "name", "left_anti")
-    base = existing.agg(F.count("*").alias("base"))
-    numbered = new.withColumn("n", F.row_number().over(W.orderBy("name")))
-    return existing.select("name", "alias").unionByName(numbered.crossJoin(F.broadcast(base)).select("name", F.format_string(f"{prefix} %d", F.col("n") + F.col("base")).alias("alias")))
+def mint_aliases(names: DataFrame, existing: DataFrame, prefix: str = "Person", pools: tuple[list[str], list[str]] | None = None) -> DataFrame:
+    """(name, alias): old ones stay, new names are numbered after the highest number in use; '' and 'unknown' stay themselves.
+
+    Numbers go by the first byte of the name's MD5 sum, then by name: each of the 256 groups is numbered by itself and
+    begins after those before it, so no task holds all names.  ``pools`` of first and last names give the numbers words:
+    the pair at that place, with the round after it once all pairs are used up."""
+    new = names.where(~F.col("name").isin("", "unknown")).select("name").distinct().join(existing, "name", "left_anti").withColumn("_g", F.substring(F.md5("name"), 1, 2))
+    pattern = rf"^{re.escape(prefix)} (\d+)$"
+    base = existing.agg(F.coalesce(F.max(F.nullif(F.regexp_extract("alias", pattern, 1), F.lit("")).cast("long")), F.lit(0).cast("long")).alias("_base"))
+    sizes = new.groupBy("_g").agg(F.count("*").alias("_n"))
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(W.orderBy("_g").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # 256 rows at most
+    numbered = new.withColumn("_k", F.row_number().over(W.partitionBy("_g").orderBy("name"))).join(F.broadcast(starts), "_g").crossJoin(F.broadcast(base))
+    number = F.col("_k") + F.col("_start") + F.col("_base")
+    alias = F.format_string(f"{prefix} %d", number)
+    if pools:
+        first, last = (F.array(*[F.lit(x) for x in p]) for p in pools)
+        at, size = number - 1, len(pools[0]) * len(pools[1])
+        pair = F.concat_ws(" ", F.get(first, F.pmod(at, F.lit(len(pools[0]))).cast("int")), F.get(last, F.pmod(F.floor(at / len(pools[0])), F.lit(len(pools[1]))).cast("int")))
+        alias = F.when(at < size, pair).otherwise(F.concat_ws(" ", pair, (F.floor(at / size) + 1).cast("string")))
+    return existing.select("name", "alias").unionByName(numbered.select("name", alias.alias("alias")))
 
 
 def scrub(df: DataFrame, aliases: DataFrame, columns: list[str], blank: list[str]) -> DataFrame:

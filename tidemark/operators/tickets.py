@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.config import ACTIVE_STATUSES, GENERATED_PATHS, RISK_GLOBS, Band, Spike
-from tidemark.functions.text import dir_at_depth, first_glob, is_resource_file, is_test_file, matches_generated, migration_dir
+from tidemark.config import DOC_HINTS, GENERATED_PATHS, RISK_GLOBS, SEED_TERMS, Band, Spike
+from tidemark.functions.text import dir_at_depth, first_glob, is_resource_file, is_test_file, links, matches_generated, migration_dir, seed_term, spawned, substantive
 from tidemark.operators import flow
 
 PR = ["repo", "pr_number"]
@@ -31,41 +31,69 @@ def area_risk(path: Column) -> Column:
     return F.when(first_glob(path, RISK_GLOBS["high"]).isNotNull(), 2).when(first_glob(path, RISK_GLOBS["medium"]).isNotNull(), 1).otherwise(0)
 
 
-def evidence(issues: DataFrame, prs: DataFrame, files: DataFrame, reviews: DataFrame, changelog: DataFrame, commits: DataFrame, patterns: tuple[str, ...] = GENERATED_PATHS) -> DataFrame:
-    """One row per ticket with a request of any state.
+def request_pairs(keys: DataFrame) -> DataFrame:
+    """(issue_key, repo, pr_number), each once, of a table of the keys that requests name; keys in upper case."""
+    return keys.select(F.upper(F.trim("issue_key")).alias("issue_key"), *PR).where("issue_key <> ''").distinct()
 
-    Files are summed per request before they meet tickets; distinct paths are taken per ticket."""
+
+def ticket_requests(keys: DataFrame, prs: DataFrame) -> DataFrame:
+    """(issue_key, requests): an array per ticket of its requests with their lines and merge hours, by repository and number."""
+    rows = request_pairs(keys).join(prs.select(*PR, "additions", "deletions", flow.hours("created", "merged").alias("merge_hours")), PR)
+    return rows.groupBy("issue_key").agg(F.array_sort(F.collect_list(F.struct("repo", "pr_number", "additions", "deletions", "merge_hours"))).alias("requests"))
+
+
+def talk(comments: DataFrame, hints: tuple[str, ...] = DOC_HINTS) -> DataFrame:
+    """(issue_key, artifact_links, substantive): distinct planning links in an issue's comments, and comments of substance."""
+    rows = comments.select("issue_key", substantive(F.col("body"), hints).alias("s"), F.posexplode_outer(links(F.col("body"), hints)).alias("pos", "link"))
+    once = F.coalesce("pos", F.lit(0)) == 0  # a comment's first row
+    return rows.groupBy("issue_key").agg(F.countDistinct("link").alias("artifact_links"), F.sum((once & F.col("s")).cast("long")).alias("substantive"))
+
+
+def link_signals(issue_links: DataFrame) -> DataFrame:
+    """(issue_key, spawned, breadth): links to follow-up work, and distinct counterparts."""
+    made = spawned(F.col("link_type"), F.col("direction"), F.col("phrase"))
+    return issue_links.groupBy("issue_key").agg(F.sum(made.cast("long")).alias("spawned"), F.countDistinct(F.when(F.col("counterpart") != "", F.upper("counterpart"))).alias("breadth"))
+
+
+def evidence(
+    issues: DataFrame, prs: DataFrame, keys: DataFrame, files: DataFrame, reviews: DataFrame, changelog: DataFrame, commits: DataFrame,
+    comments: DataFrame, issue_links: DataFrame, patterns: tuple[str, ...] = GENERATED_PATHS,
+) -> DataFrame:
+    """One row per ticket (latest snapshot), with or without requests; ``keys`` says which requests name which tickets.
+
+    Paths and reviewers of all requests meet the tickets in one join, are summed per (ticket, path or reviewer), and those
+    rows give every measure of files and reviews; moves, commits and comments are passed once (``flow.ticket_flow``)."""
     latest = flow.latest_snapshot(issues)
-    links = prs.select("issue_key", *PR, "created", "merged", "inline_comments", "deep_threads").distinct()
-    noise = matches_generated(F.col("path"), patterns)
+    pairs = request_pairs(keys)
     heat = file_frequency(files)
-    cutoff = hot_cutoff(heat)
-    hot = heat.crossJoin(F.broadcast(cutoff)).where("touches >= cutoff").select("path", F.lit(1).alias("hot"))
-    real = files.where(~noise)
-    per_pr = real.groupBy(*PR).agg(F.sum("additions").alias("added"), F.sum("deletions").alias("deleted"))
-    rounds = reviews.groupBy(*PR).agg(F.sum((F.col("state") == "CHANGES_REQUESTED").cast("long")).alias("rounds"))
-    merge_hours = flow.hours("created", "merged")
-    by_pr = links.join(per_pr, PR, "left").join(rounds, PR, "left").groupBy("issue_key").agg(
-        F.count("*").alias("n_prs"), F.countDistinct("repo").alias("n_repos"), F.coalesce(F.sum("added"), F.lit(0)).alias("added_loc"), F.coalesce(F.sum("deleted"), F.lit(0)).alias("deleted_loc"),
-        F.coalesce(F.sum("rounds"), F.lit(0)).alias("review_rounds"), F.sum("inline_comments").alias("inline_comments"), F.sum("deep_threads").alias("deep_threads"), F.max(merge_hours).alias("merge_hours"),
+    hot = heat.crossJoin(F.broadcast(hot_cutoff(heat))).where("touches >= cutoff").select(F.lit("p").alias("kind"), F.col("path").alias("value"), F.lit(True).alias("hot"))
+    zero = F.lit(0).cast("long")
+    real = files.where(~matches_generated(F.col("path"), patterns)).select(*PR, F.lit("p").alias("kind"), F.col("path").alias("value"), "additions", "deletions", zero.alias("rounds"))
+    seen = reviews.select(*PR, F.lit("r").alias("kind"), F.col("reviewer").alias("value"), zero.alias("additions"), zero.alias("deletions"), (F.col("state") == "CHANGES_REQUESTED").cast("long").alias("rounds"))
+    parts = pairs.join(real.unionByName(seen), PR).groupBy("issue_key", "kind", "value").agg(*[F.sum(c).alias(c) for c in ("additions", "deletions", "rounds")])
+    path, file = F.col("value"), F.col("kind") == "p"
+    tier, high, medium = area_risk(path), first_glob(path, RISK_GLOBS["high"]), first_glob(path, RISK_GLOBS["medium"])
+    count = lambda when: F.sum(F.coalesce(when, F.lit(False)).cast("long"))
+    by_part = parts.join(hot, ["kind", "value"], "left").groupBy("issue_key").agg(
+        F.sum("additions").alias("added_loc"), F.sum("deletions").alias("deleted_loc"), F.sum("rounds").alias("review_rounds"), count(file).alias("file_count"), count(~file).alias("reviewers"),
+        F.countDistinct(F.when(file, dir_at_depth(path, 2))).alias("dir_spread"), count(file & is_test_file(path)).alias("test_files"),
+        count(file & F.col("hot") & ~is_test_file(path) & ~is_resource_file(path)).alias("hot_files"), F.max(F.when(file, tier)).alias("domain_tier"),
+        F.min(F.when(file & (tier == 2), high)).alias("_high"), F.min(F.when(file & (tier == 1), medium)).alias("_medium"),
     )
-    paths = links.select("issue_key", *PR).join(real.select(*PR, "path"), PR).select("issue_key", "path").distinct().join(hot, "path", "left")
-    cool = is_test_file(F.col("path")) | is_resource_file(F.col("path"))
-    by_path = paths.groupBy("issue_key").agg(
-        F.count("*").alias("file_count"), F.countDistinct(dir_at_depth(F.col("path"), 2)).alias("dir_spread"), F.sum(is_test_file(F.col("path")).cast("long")).alias("test_files"),
-        F.sum(F.when(F.col("hot").isNotNull() & ~cool, 1).otherwise(0)).alias("hot_files"), F.max(area_risk(F.col("path"))).alias("domain_tier"),
+    by_pr = pairs.join(prs.drop("issue_key"), PR).groupBy("issue_key").agg(
+        F.count("*").alias("n_prs"), F.countDistinct("repo").alias("n_repos"), F.sum(F.col("additions") + F.col("deletions")).alias("raw_loc"),
+        F.sum("inline_comments").alias("inline_comments"), F.sum("deep_threads").alias("deep_threads"), F.max(flow.hours("created", "merged")).alias("merge_hours"),
     )
-    reviewers = links.select("issue_key", *PR).join(reviews, PR).groupBy("issue_key").agg(F.countDistinct("reviewer").alias("reviewers"))
-    sums = flow.status_sums(flow.status_durations(changelog, latest), {"active_hours": ACTIVE_STATUSES})
-    signals = flow.issue_signals(changelog, latest).select("issue_key", "cycle_hours", "status_flips")
-    rework = flow.rework_denoised(changelog, commits, latest)
-    out = latest.select("issue_key", "issue_type", "label", "story_points", "created", "resolved").join(by_pr, "issue_key")
-    for part in (by_path, reviewers, sums, signals, rework):
+    moved = flow.ticket_flow(changelog, commits, latest, comments).drop("first_in_progress", "done_at")
+    out = latest.select("issue_key", "issue_type", "label", "story_points", "created", "resolved")
+    for part in (by_pr, by_part, moved, talk(comments), link_signals(issue_links)):
         out = out.join(part, "issue_key", "left")
-    out = out.fillna(0, ["file_count", "dir_spread", "test_files", "hot_files", "domain_tier", "reviewers", "rework", "status_flips"]).fillna(0.0, ["active_hours", "cycle_hours"])
+    whole = ["n_prs", "n_repos", "raw_loc", "inline_comments", "deep_threads", "added_loc", "deleted_loc", "review_rounds", "file_count", "dir_spread", "test_files", "hot_files", "domain_tier", "reviewers", "rework", "status_flips"]
+    out = out.fillna(0, [*whole, "pre_code_comments", "artifact_links", "substantive", "spawned", "breadth"]).fillna(0.0, ["active_hours", "queue_hours", "cycle_hours"])
     churn = F.when(F.col("hot_files") >= 3, 2).when(F.col("hot_files") >= 1, 1).otherwise(0)
-    risk = F.greatest(churn, F.col("domain_tier"))
-    return out.withColumn("risk", F.when(risk == 2, "high").when(risk == 1, "medium").otherwise("low"))
+    risk, domain = F.greatest(churn, F.col("domain_tier")), F.col("domain_tier")
+    glob = F.when((domain > 0) & (domain >= churn), F.when(domain == 2, F.col("_high")).otherwise(F.col("_medium"))).otherwise("")
+    return out.withColumns({"risk": F.when(risk == 2, "high").when(risk == 1, "medium").otherwise("low"), "risk_glob": glob}).drop("_high", "_medium")
 
 
 def cycle_days() -> Column:
@@ -94,12 +122,12 @@ def round1(x: Column) -> Column:
     return F.floor(x * 10 + 0.5) / 10
 
 
-def band(rows: DataFrame, knobs: Band = Band()) -> DataFrame:
-    """Adds points, band, quadrant, raw effort, drivers, confidence and whether insight is needed, from evidence columns."""
+def band(rows: DataFrame, knobs: Band = Band(), cycle: Column | None = None) -> DataFrame:
+    """``cycle`` replaces the knobs' cycle threshold by a column.  Adds points, band, quadrant, raw effort, drivers, confidence and whether insight is needed, from evidence columns."""
     bug = F.lower("issue_type").isin("bug", "defect", "hotfix", "regression")
     net = F.col("added_loc") + F.col("deleted_loc")
     rows = rows.withColumns({"cycle_days": cycle_days(), "net_loc": net})
-    long_, high = F.col("cycle_days") >= knobs.cycle_days, F.col("net_loc") >= knobs.loc
+    long_, high = F.col("cycle_days") >= (F.lit(knobs.cycle_days) if cycle is None else cycle), F.col("net_loc") >= knobs.loc
     base = F.when(long_ & high, knobs.long_high).when(long_, knobs.long_low).when(high, knobs.short_high).otherwise(knobs.short_low)
     quadrant = F.concat(F.when(long_, "long cycle").otherwise("short cycle"), F.lit(" / "), F.when(high, "high LOC").otherwise("low LOC"))
     small = (F.col("net_loc") > 0) & (F.col("net_loc") < knobs.small_diff)
@@ -166,8 +194,8 @@ def spike_band(rows: DataFrame, knobs: Spike = Spike(), scale: tuple = Band().sc
 
 
 def evidence_hash(columns: list[str]) -> Column:
-    """16 hex digits over the columns in a fixed order."""
-    return F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("∅")) for c in columns]), 256), 1, 16)
+    """16 hex digits over the columns in a fixed order, as JSON, so that no two rows of values read alike."""
+    return F.substring(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256), 1, 16)
 
 
 def upsert(existing: DataFrame, new: DataFrame) -> DataFrame:
@@ -200,35 +228,51 @@ def post_candidates(scores: DataFrame) -> DataFrame:
     return scores.withColumn("action", action)
 
 
-def risk_discover(rows: DataFrame, links: DataFrame, files: DataFrame, least: int = 5, patterns: tuple[str, ...] = GENERATED_PATHS) -> DataFrame:
-    """Directories whose tickets take longer or bounce more than the corpus: (dir, tickets, cycle and rework ratios, outcome, tier)."""
+def risk_discover(rows: DataFrame, pairs: DataFrame, files: DataFrame, least: int = 5, patterns: tuple[str, ...] = GENERATED_PATHS, seeds: bool = False, depth: int = 3) -> DataFrame:
+    """Directories whose tickets take longer or bounce more than the corpus: (dir, glob, tickets, cycle, bounced, outcome, tier,
+    migration, seed, place).
+
+    Migration folders are high whatever their tickets and need no least number of them; with ``seeds``, a directory with a
+    sensitive name that nothing else marks is medium.  Others without a tier drop out."""
     path = F.col("path")
     kept = files.where(~matches_generated(path, patterns) & ~is_test_file(path) & ~is_resource_file(path))
-    folder = F.when(migration_dir(path) != "", migration_dir(path)).otherwise(dir_at_depth(path, 3))
-    dirs = kept.select(*PR, folder.alias("dir")).where("dir <> ''").distinct()
-    own = links.select("issue_key", *PR).distinct().join(dirs, PR).select("issue_key", "dir").distinct().join(rows.select("issue_key", "cycle_days", "rework"), "issue_key")
+    moved = migration_dir(path)
+    dirs = kept.select(*PR, F.when(moved != "", moved).otherwise(dir_at_depth(path, depth)).alias("dir"), (moved != "").alias("m")).where("dir <> ''").groupBy(*PR, "dir").agg(F.max("m").alias("m"))
+    own = pairs.select("issue_key", *PR).distinct().join(dirs, PR).groupBy("issue_key", "dir").agg(F.max("m").alias("m")).join(rows.select("issue_key", "cycle_days", "rework"), "issue_key")
     median = lambda c: F.coalesce(F.percentile(F.when(c > 0, c), F.lit(0.5)), F.lit(0.0))
     measures = [median(F.col("cycle_days")).alias("cycle"), F.avg((F.col("rework") > 0).cast("double")).alias("bounced")]
     base = rows.agg(median(F.col("cycle_days")).alias("base_cycle"), F.avg((F.col("rework") > 0).cast("double")).alias("base_bounced"))
-    found = own.groupBy("dir").agg(F.count("*").alias("tickets"), *measures).where(F.col("tickets") >= least).crossJoin(F.broadcast(base))
-    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(1.0)
+    found = own.groupBy("dir").agg(F.count("*").alias("tickets"), F.max("m").alias("migration"), *measures).where((F.col("tickets") >= least) | F.col("migration")).crossJoin(F.broadcast(base))
+    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
     out = found.withColumn("outcome", (ratio("cycle", "base_cycle") + ratio("bounced", "base_bounced")) / 2)
-    return out.withColumn("tier", F.when(F.col("outcome") >= 2, "high").when(F.col("outcome") >= 1.4, "medium").otherwise("low"))
+    named = seed_term(F.col("dir"), SEED_TERMS) if seeds else F.lit(False)
+    tier = F.when(F.col("migration") | (F.col("outcome") >= 2), "high").when((F.col("outcome") >= 1.4) | named, "medium")
+    out = out.withColumns({"tier": tier, "seed": named & ~F.col("migration") & (F.col("outcome") < 1.4), "glob": F.concat(F.lit("**/"), F.col("dir"), F.lit("/**"))}).where("tier IS NOT NULL")
+    order = W.partitionBy(F.lit(1)).orderBy(F.desc(F.col("tier") == "high"), F.desc("migration"), F.desc("outcome"), "dir")  # marked directories only
+    return out.withColumn("place", F.row_number().over(order)).drop("base_cycle", "base_bounced")
 
 
 def calibrate(rows: DataFrame, thresholds: list[float], knobs: Band = Band()) -> DataFrame:
-    """(threshold, points, tickets, flagged) for each candidate cycle threshold."""
-    spark = rows.sparkSession
-    options = spark.createDataFrame([(float(t),) for t in thresholds], "threshold double")
-    many = rows.withColumns({"cycle_days": cycle_days(), "net_loc": F.col("added_loc") + F.col("deleted_loc")}).crossJoin(F.broadcast(options))
-    long_, high = F.col("cycle_days") >= F.col("threshold"), F.col("net_loc") >= knobs.loc
-    base = F.when(long_ & high, knobs.long_high).when(long_, knobs.long_low).when(high, knobs.short_high).otherwise(knobs.short_low)
-    points, _, straddles = snap(base + F.least(F.col("rework"), F.lit(knobs.rework_cap)) * knobs.rework, knobs.scale, knobs.straddle)
-    return many.groupBy("threshold", points.alias("points")).agg(F.count("*").alias("tickets"), F.sum(straddles.cast("long")).alias("flagged"))
-
-
-def score_facets(scores: DataFrame, confidence: list[str] | None = None, points: list[int] | None = None, flagged: bool | None = None, key_part: str = "", since: str | None = None) -> DataFrame:
-    """Scores that pass every facet given; undated ones pass the date."""
+    """(threshold, band, tickets, flagged, confident): how tickets would fall for each candidate cycle threshold."""
+    options = rows.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double")
+    banded = band(rows.crossJoin(F.broadcast(options)), knobs, F.col("threshold"))  # a copy per threshold asked for
+    return banded.groupBy("threshold", "band").agg(F.count("*").alias("tickets"), F.sum(F.col("needs_insight").cast("long")).alias("flagged"), F.sum((F.col("confidence") == "high").cast("long")).alias("confident"))
+
+
+def cycle_quantiles(rows: DataFrame, shares: list[float]) -> DataFrame:
+    """(share, days): the positive cycle days at index floor(share (n - 1)) of their order, by a histogram and its running sum."""
+    hist = rows.select(cycle_days().alias("days")).where("days > 0").groupBy("days").agg(F.count("*").alias("n"))
+    asked = rows.sparkSession.createDataFrame([(float(p),) for p in shares], "share double")
+    at = hist.agg(F.sum("n").alias("total")).crossJoin(F.broadcast(asked)).withColumn("at", F.floor(F.col("share") * (F.col("total") - 1)))
+    upto = hist.withColumn("upto", F.sum("n").over(W.orderBy("days")))
+    return upto.join(F.broadcast(at), F.col("upto") > F.col("at")).groupBy("share").agg(F.min("days").alias("days"))
+
+
+def score_facets(
+    scores: DataFrame, confidence: list[str] | None = None, points: list[int] | None = None, flagged: bool | None = None, key_part: str = "", since: str | None = None,
+    posted: bool | None = None, has_points: bool | None = None, source: str | None = None, discipline: str | None = None,
+) -> DataFrame:
+    """Scores that pass every facet given; ``since`` goes by the day of resolution, else of creation, and undated ones pass."""
     out = scores
     if confidence:
         out = out.where(F.col("confidence").isin(*confidence))
@@ -236,6 +280,17 @@ def score_facets(scores: DataFrame, confidence: list[str] | None = None, points:
         out = out.where(F.col("points").isin(*points))
     if flagged is not None:
         out = out.where(F.col("needs_insight") == flagged)
+    if posted is not None:
+        out = out.where(F.col("posted") == posted)
+    if has_points is not None:
+        out = out.where((F.coalesce("story_points", F.lit(0.0)) > 0) == has_points)
+    if source:
+        out = out.where(F.col("source") == source)
+    if discipline:
+        out = out.where(F.array_contains("disciplines", discipline))
     if key_part:
         out = out.where(F.contains(F.lower("ticket"), F.lit(key_part.lower())))
-    return out.where(F.col("resolved").isNull() | (F.col("resolved") >= F.lit(since).cast("timestamp_ntz"))) if since else out
+    if since:
+        day = F.coalesce(*[c for c in ("resolved", "created") if c in out.columns])
+        out = out.where(day.isNull() | (day >= F.lit(since).cast("timestamp_ntz")))
+    return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,7 +93,7 @@ def _leaderboard(t):
     own = people.attribute_github(t("prs"), t("roster_login"), "author")
     wide = rollup.totals(_facts(t), ["dev"]).drop("created")
     parts = [
-        impact.effective_files(own, t("pr_files")), impact.effective_loc(own, t("pr_files")), rollup.progressed(t("changelog"), t("roster_dev"), []),
+        impact.effective_files(own, t("prs"), t("pr_files")), impact.effective_loc(own, t("prs"), t("pr_files")), rollup.progressed(t("changelog"), t("roster_dev"), []),
         rollup.issues_created(t("issues"), t("roster_dev"), []).withColumnRenamed("created_keys", "created"),
     ]
     wide = wide.join(people.scoreable(t("roster_dev"), t("roster_login")).select("dev"), "dev", "left_semi")
@@ -191,14 +193,76 @@ def round_robin(t):
     return elo.round_robin(_event_scores(t)).select("league", "period", "dev", r("outcome"))
 
 
+CURRENT = (date(2000, 7, 1), date(2000, 12, 1))
+COMPARED = cal.comparison_windows(*CURRENT)
+COMPARED_SQL = "win(w, a, b) AS (VALUES " + ", ".join(f"('{w}', TIMESTAMP '{a}', TIMESTAMP '{b}')" for w, a, b in COMPARED) + ")"
+TOTALS = ("touched", "resolved", "story_points", "scored", "prs_created", "prs_merged", "loc", "commits", "reviewed")
+
+
+def dev_windows(t):
+    """The window, those it is compared with and the last four quarters, of everyone and of nobody known at once; distinct
+    measures are taken again in each."""
+    windows = cal.windows_frame(t("roster_dev").sparkSession, COMPARED)
+    sources = [t(x) for x in ("issues", "prs", "commits", "reviews", "roster_dev", "roster_login")]
+    rows = _facts(t).unionByName(rollup.unknown_facts(*sources))
+    own = people.attribute_github(t("prs"), t("roster_login"), "author").where("merged IS NOT NULL")
+    paths = own.select("dev", "merged", "repo", "pr_number").join(t("pr_files").select("repo", "pr_number", "path"), ["repo", "pr_number"])
+    found = rollup.window_totals(rows, windows).drop("created")
+    for part in (
+        rollup.keys_in_windows(rollup.own_moves(t("changelog"), t("roster_dev")), "at", "issue_key", windows, "progressed"),
+        rollup.keys_in_windows(rollup.reported(t("issues"), t("roster_dev")), "created", "issue_key", windows, "created"),
+        rollup.keys_in_windows(paths, "merged", "path", windows, "unique_files"),
+    ):
+        found = found.join(part, ["dev", "window"], "left")
+    return found.fillna(0, ["progressed", "created", "unique_files"]).select("dev", "window", *[r(m) for m in TOTALS], *[n(c) for c in ("active_weeks", "progressed", "created", "unique_files")])
+
+
+UNKNOWN_SQL = """
+  un_i AS (SELECT * FROM {issues} WHERE (assignee <> '' AND assignee NOT IN (SELECT account FROM {roster_dev})) OR (reporter <> '' AND reporter NOT IN (SELECT account FROM {roster_dev}))),
+  un_p AS (SELECT * FROM {prs} WHERE author NOT IN (SELECT login FROM {roster_login})), un_c AS (SELECT * FROM {commits} WHERE author NOT IN (SELECT login FROM {roster_login})),
+  un_r AS (SELECT * FROM {reviews} WHERE reviewer NOT IN (SELECT login FROM {roster_login}) AND reviewer NOT LIKE '%[bot]'),
+  al AS (SELECT * FROM fact UNION ALL SELECT 'unknown', updated, 'touched', 1.0 FROM un_i UNION ALL SELECT 'unknown', created, 'created', 1.0 FROM un_i UNION ALL SELECT 'unknown', resolved, 'resolved', 1.0 FROM un_i WHERE resolved IS NOT NULL
+    UNION ALL SELECT 'unknown', resolved, 'story_points', story_points FROM un_i WHERE resolved IS NOT NULL AND story_points > 0 UNION ALL SELECT 'unknown', resolved, 'scored', 1.0 FROM un_i WHERE resolved IS NOT NULL AND story_points > 0
+    UNION ALL SELECT 'unknown', created, 'prs_created', 1.0 FROM un_p UNION ALL SELECT 'unknown', merged, 'prs_merged', 1.0 FROM un_p WHERE merged IS NOT NULL UNION ALL SELECT 'unknown', merged, 'loc', additions + deletions FROM un_p WHERE merged IS NOT NULL
+    UNION ALL SELECT 'unknown', committed, 'commits', 1.0 FROM un_c UNION ALL SELECT 'unknown', submitted, 'reviewed', 1.0 FROM un_r)"""
+
+
+def cohort_scores(t):
+    """(period, dev, score) of the scoreable people who were active in a period."""
+    moves = rollup.progressed(t("changelog"), t("roster_dev"), [cal.period_label("at").alias("period")])
+    periods = rollup.period_totals(_facts(t), moves).join(people.scoreable(t("roster_dev"), t("roster_login")).select("dev"), "dev", "left_semi")
+    return elo.period_scores(periods)
+
+
+def _cohort_outcomes(t):
+    keyed = cohort_scores(t).join(elo.dev_keys(t("roster_dev"), t("roster_login")), "dev").drop("dev").withColumnRenamed("dev_key", "dev")
+    return elo.round_robin(keyed.withColumn("league", F.lit("org")))
+
+
+def cohort_history(t):
+    """Ratings of the cohort over the periods that were over by a day."""
+    return elo.advance(_cohort_outcomes(t), None, None, now=F.lit("2001-06-30"), first_period="1996-P01")
+
+
+COHORT_SQL = f"""WITH {ATTRIBUTED}, pt AS (SELECT dev, {PERIOD_SQL} AS period, {SUMS}, count(DISTINCT CASE WHEN measure IN ('touched','prs_created','prs_merged','commits','reviewed') THEN date_trunc('week', ts) END) AS active_weeks FROM fact GROUP BY 1, 2),
+  mv AS (SELECT d.dev, {PERIOD_SQL.replace("ts", "c.at").replace("sc.atrftime", "strftime")} AS period, count(DISTINCT c.issue_key) AS progressed FROM {{changelog}} c JOIN {{roster_dev}} d ON d.account = c.author WHERE c.to_status IN ('In Progress','Code Review','Ready QA','In QA') GROUP BY 1, 2),
+  pa AS (SELECT pt.*, coalesce(progressed, 0) AS progressed, quantile_cont(loc, 0.95) OVER (PARTITION BY period) AS cap FROM pt LEFT JOIN mv USING (dev, period) JOIN {{roster_dev}} d USING (dev) WHERE prs_created + prs_merged + reviewed + commits > 0 AND d.role NOT IN ('qa', 'exec', 'excluded')),
+  pm AS (SELECT dev, period, prs_merged, resolved, reviewed AS prs_reviewed, prs_created, progressed::DOUBLE AS progressed, active_weeks::DOUBLE AS active_weeks, sqrt(created) AS created, sqrt(least(loc, cap)) AS loc, commits FROM pa),
+  pl AS (UNPIVOT pm ON prs_merged, resolved, prs_reviewed, prs_created, progressed, active_weeks, created, loc, commits INTO NAME metric VALUE value),
+  ps AS (SELECT *, avg(value) OVER (PARTITION BY period, metric) AS mu, stddev_pop(value) OVER (PARTITION BY period, metric) AS sd FROM pl),
+  pw(metric, weight) AS (VALUES {", ".join(f"('{k}', {v})" for k, v in ranking.WEIGHTS.items())}),
+  pc AS (SELECT period, dev, sum(weight * CASE WHEN sd IS NULL OR sd < 1e-12 * greatest(1, abs(mu)) THEN 0 ELSE (value - mu) / sd END) AS score FROM ps JOIN pw USING (metric) GROUP BY 1, 2)"""
+
+
 def rating_history(t):
     return elo.rating_walk(elo.round_robin(_event_scores(t)))
 
 
 def rating_attached(t):
-    history = rating_history(t).where("league = 'eclick'")
+    """Everyone in every league, rated or not."""
     who = t("events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("dev")).distinct()
-    return elo.attach(who, history)
+    leagues = t("events").select(F.concat(F.lit("e"), F.col("event_type")).alias("league")).distinct()
+    return elo.attach(who.crossJoin(F.broadcast(leagues)), rating_history(t), league="league")  # the result's own size: people x leagues
 
 
 QUERIES = {
@@ -273,6 +337,10 @@ QUERIES = {
         lambda t: people.scoreable(t("roster_dev"), t("roster_login")).select("dev", "role"),
         "SELECT dev, role FROM {roster_dev} WHERE role NOT IN ('qa', 'exec', 'excluded')",
     ),
+    "dev_keys": (
+        lambda t: elo.dev_keys(t("roster_dev").withColumn("account", F.when(F.col("dev_ord") % 4 == 0, "").otherwise(F.col("account"))), t("roster_login").where("dev <> 'dev8'")),
+        "SELECT d.dev, CASE WHEN dev_ord % 4 <> 0 THEN account ELSE 'gh:' || min(login) END AS dev_key FROM {roster_dev} d LEFT JOIN {roster_login} l USING (dev) WHERE d.dev <> 'dev8' GROUP BY d.dev, dev_ord, account",
+    ),
     "self_scope": (
         lambda t: people.only_person(t("prs"), t("roster_login"), "author", "dev3").groupBy("repo").agg(F.count("*").alias("n")),
         "SELECT repo, count(*) AS n FROM {prs} WHERE author IN (SELECT login FROM {roster_login} WHERE dev = 'dev3') GROUP BY repo",
@@ -334,6 +402,42 @@ QUERIES = {
     ),
     "elo_history": (rating_history, None),
     "elo_attached": (rating_attached, None),
+    "elo_period_scores": (
+        lambda t: cohort_scores(t).select("period", "dev", r("score")),
+        COHORT_SQL + " SELECT period, dev, round(score, 4)::DOUBLE AS score FROM pc",
+    ),
+    "elo_cohort_outcomes": (
+        lambda t: _cohort_outcomes(t).select("period", "dev", r("outcome")),
+        COHORT_SQL + """, pk AS (SELECT *, stddev_pop(score) OVER w AS sd, count(*) OVER w AS n FROM pc WINDOW w AS (PARTITION BY period)),
+            pd AS (SELECT a.period, a.dev, a.sd, a.score - b.score AS d FROM pk a JOIN pc b ON a.period = b.period AND a.dev <> b.dev),
+            po AS (SELECT period, dev, avg(CASE WHEN sd < 1e-12 OR abs(d) <= 0.75 * sd THEN 0.5 ELSE 1 / (1 + exp(-(sign(d) * (abs(d) - 0.75 * sd)) / (0.5 * sd))) END) AS outcome FROM pd GROUP BY 1, 2 UNION ALL SELECT period, dev, 0.5 FROM pk WHERE n < 2)
+            SELECT period, account AS dev, round(outcome, 4)::DOUBLE AS outcome FROM po JOIN {roster_dev} USING (dev)""",
+    ),
+    "elo_cohort_history": (lambda t: cohort_history(t).select("league", "dev", "period", "kind", r("outcome"), r("delta"), r("rating"), n("periods_played"), n("idle_streak")), None),
+    "elo_cohort_attached": (lambda t: elo.histories(cohort_history(t), F.lit("1998-01-01").cast("date")).select("league", "dev", F.size("history").cast("long").alias("periods"), F.round(F.element_at("history", -1)["rating"], D).alias("rating")), None),
+    "dev_windows": (
+        dev_windows,
+        f"""WITH {ATTRIBUTED}, {UNKNOWN_SQL}, {COMPARED_SQL}, wt AS (SELECT dev, w, {SUMS}, {WEEKS} FROM al JOIN win ON ts >= a AND ts < b GROUP BY 1, 2),
+            wp AS (SELECT d.dev, w, count(DISTINCT c.issue_key) AS progressed FROM {{changelog}} c JOIN {{roster_dev}} d ON d.account = c.author JOIN win ON c.at >= a AND c.at < b WHERE c.to_status IN ('In Progress','Code Review','Ready QA','In QA') GROUP BY 1, 2),
+            wc AS (SELECT d.dev, w, count(DISTINCT i.issue_key) AS reported FROM {{issues}} i JOIN {{roster_dev}} d ON d.account = i.reporter JOIN win ON i.created >= a AND i.created < b GROUP BY 1, 2),
+            wf AS (SELECT p.dev, w, count(DISTINCT f.path) AS unique_files FROM att_p p JOIN {{pr_files}} f USING (repo, pr_number) JOIN win ON p.merged >= a AND p.merged < b GROUP BY 1, 2)
+            SELECT dev, w AS "window", {", ".join(TOTALS)}, active_weeks, coalesce(progressed, 0) AS progressed, coalesce(reported, 0) AS created, coalesce(unique_files, 0) AS unique_files FROM wt LEFT JOIN wp USING (dev, w) LEFT JOIN wc USING (dev, w) LEFT JOIN wf USING (dev, w)""",
+    ),
+    "impact_monthly": (
+        lambda t: impact.monthly_impact(people.attribute_github(t("prs"), t("roster_login"), "author"), t("pr_files"), cal.month_key("merged"), Impact(dump_ceiling=40)).select("dev", "bucket", r("net_loc"), n("prs_merged"), n("unique_files"), r("code_impact")),
+        f"""WITH x AS (SELECT repo, pr_number, sum(additions + deletions) AS ex FROM {{pr_files}} WHERE {NOISE} OR (({EXT} IN {DATA} OR {EXT} = 'xml') AND additions + deletions > 40) GROUP BY 1, 2),
+            m AS (SELECT l.dev, strftime(merged, '%Y-%m') AS bucket, repo, pr_number, additions + deletions - coalesce(ex, 0) AS net FROM {{prs}} p JOIN {{roster_login}} l ON l.login = p.author LEFT JOIN x USING (repo, pr_number) WHERE merged IS NOT NULL),
+            g AS (SELECT dev, bucket, greatest(sum(net), 0) AS net_loc, count(*) AS prs_merged FROM m GROUP BY 1, 2), u AS (SELECT dev, bucket, count(DISTINCT path) AS unique_files FROM m JOIN {{pr_files}} USING (repo, pr_number) GROUP BY 1, 2)
+            SELECT dev, bucket, net_loc::DOUBLE AS net_loc, prs_merged, coalesce(unique_files, 0) AS unique_files, round(sqrt(coalesce(unique_files, 0) + 0.5 * net_loc + 2 * prs_merged), 4)::DOUBLE AS code_impact FROM g LEFT JOIN u USING (dev, bucket)""",
+    ),
+    "self_scope_issues": (
+        lambda t: people.only_account(t("issues"), t("roster_dev"), "dev3").groupBy("status").agg(F.count("*").alias("n")),
+        "SELECT status, count(*) AS n FROM {issues} WHERE 'acct3' IN (assignee, reporter) GROUP BY status",
+    ),
+    "in_months": (
+        lambda t: t("orders").where(cal.in_months("o_orderdate", F.lit("1997-03-01").cast("date"), F.lit("1997-08-01").cast("date"))).groupBy(cal.month_key("o_orderdate").alias("month")).agg(F.count("*").alias("n")),
+        "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n FROM {orders} WHERE o_orderdate >= TIMESTAMP '1997-03-01' AND o_orderdate < TIMESTAMP '1997-09-01' GROUP BY 1",
+    ),
 }
 
 

@@ -4,20 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.config import GENERATED_PATHS, RISK_GLOBS, SEED_TERMS
+from tidemark.config import DOC_HINTS, GENERATED_PATHS, RISK_GLOBS, SEED_TERMS
 from tidemark.functions import calendar as cal
 from tidemark.functions import text as tx
 from tidemark.operators import fields, people
 from tidemark.plans.activity import NOISE, D, n
 from tidemark.sources import corpus_files, decode
 
-HINTS = ("confluence", "docs.google", "notion", "example.com")
 #: Raw tracker JSON made from orders, as text that means the same in both engines.
 RAW_ISSUE = """'{"key":"ORD-' || CAST(o_orderkey AS VARCHAR(20)) || '","fields":{"summary":"Order ' || o_orderpriority || '","status":{"name":"' || o_orderstatus || '"},"issuetype":{"name":"Story"},"created":"1998-0' || CAST(o_orderkey % 9 + 1 AS VARCHAR(2)) || '-11T08:30:00.000+0000","updated":"1999-01-01T00:00:00.000+0000",' ||
   CASE WHEN o_orderkey % 3 = 0 THEN '"assignee":{"accountId":"acct' || CAST(o_custkey % 100 AS VARCHAR(20)) || '"},' ELSE '' END || '"customfield_1":' || CAST(o_orderkey % 8 AS VARCHAR(2)) || ',"labels":["a","b' || CAST(o_orderkey % 4 AS VARCHAR(2)) || '"],"subtasks":[{"key":"ORD-1"}],"issuelinks":[{"type":{"name":"Relates","outward":"relates to","inward":"is related"},"' ||
   CASE WHEN o_orderkey % 2 = 0 THEN 'outwardIssue' ELSE 'inwardIssue' END || '":{"key":"ORD-2"}}]},"changelog":{"histories":[{"created":"1999-02-02T02:02:02.000+0000","author":{"accountId":"x"},"items":[{"field":"status","fromString":"To Do","toString":"Done"},{"field":"rank","fromString":"1","toString":"2"}]}]}}'"""
 
 
+RAW_REQUEST = """'{"number":' || CAST(o_orderkey AS VARCHAR(20)) || ',"title":"fix ABC-' || CAST(o_custkey AS VARCHAR(20)) || '","body":"see ORD-' || CAST(o_orderkey AS VARCHAR(20)) || '","state":"closed","user":{"login":"dev' || CAST(o_custkey % 9 AS VARCHAR(20)) || '"},"head":{"ref":"f/x"},"base":{"ref":"main"},"created_at":"1998-01-0' || CAST(o_orderkey % 9 + 1 AS VARCHAR(2)) ||
+  'T08:30:00.000+0000",' || CASE WHEN o_orderkey % 2 = 0 THEN '"merged_at":"1999-01-02T00:00:00.000+0000",' ELSE '' END || '"additions":' || CAST(o_custkey AS VARCHAR(20)) || ',"deletions":1,"review_comments":' || CAST(o_orderkey % 4 AS VARCHAR(2)) || ',"url":"https://api.example.com/repos/org/r' || CAST(o_orderkey % 3 AS VARCHAR(2)) || '/pulls/1"}'"""
+RAW_COMMIT = """'{"sha":"s' || CAST(o_orderkey AS VARCHAR(20)) || '","url":"https://api.example.com/repos/org/r' || CAST(o_orderkey % 3 AS VARCHAR(2)) || '/commits/1","author":{"login":"' || CASE WHEN o_orderkey % 2 = 0 THEN 'dev' || CAST(o_custkey AS VARCHAR(20)) ELSE '' END || '"},"commit":{"message":"ORD-' || CAST(o_orderkey AS VARCHAR(20)) || ' done","author":{"name":"Name ' || CAST(o_custkey AS VARCHAR(20)) ||
+  '","date":"1998-0' || CAST(o_orderkey % 9 + 1 AS VARCHAR(2)) || '-11T08:30:00.000+0000"}},"parents":[{"sha":"a"}' || CASE WHEN o_orderkey % 2 = 1 THEN ',{"sha":"b"}' ELSE '' END || ']}'"""
+RAW_REVIEW = """'{"user":{"login":"dev' || CAST(o_custkey % 9 AS VARCHAR(20)) || '"},"state":"' || CASE WHEN o_orderkey % 2 = 0 THEN 'APPROVED' ELSE 'COMMENTED' END || '","pull_request_url":"https://api.example.com/repos/org/r' || CAST(o_orderkey % 3 AS VARCHAR(2)) || '/pulls/' || CAST(o_orderkey AS VARCHAR(20)) || '"' ||
+  CASE WHEN o_orderkey % 4 <> 0 THEN ',"submitted_at":"1998-02-0' || CAST(o_orderkey % 9 + 1 AS VARCHAR(2)) || 'T00:00:00.000+0000"' ELSE '' END || '}'"""
+
+
 def _raw(t):
     return t("orders").select("o_orderkey", F.expr(RAW_ISSUE).alias("raw"))
 
@@ -67,7 +74,7 @@ QUERIES = {
         None,
     ),
     "text_substantive": (
-        lambda t: t("conversations").groupBy("role").agg(F.sum(tx.substantive(F.col("text"), HINTS).cast("long")).alias("n")),
+        lambda t: t("conversations").groupBy("role").agg(F.sum(tx.substantive(F.col("text"), DOC_HINTS).cast("long")).alias("n")),
         "SELECT role, CAST(sum(CASE WHEN contains(text, '```') OR strlen(trim(text)) >= 200 OR len(list_filter(regexp_extract_all(text, 'https?://\\S+'), lambda u: regexp_matches(lower(u), 'confluence|docs\\.google|notion|example\\.com'))) > 0 OR regexp_matches(text, '(implementation|discovery)/[\\w./-]+\\.md') THEN 1 ELSE 0 END) AS BIGINT) AS n FROM {conversations} GROUP BY role",
     ),
     "text_kinds": (
@@ -113,12 +120,35 @@ QUERIES = {
         "SELECT s_suppkey AS account, CASE WHEN s_suppkey % 3 = 0 THEN 'b' || s_suppkey WHEN s_suppkey % 2 = 0 THEN 'a' || s_suppkey || ',b' || s_suppkey ELSE 'a' || s_suppkey END AS logins, CASE WHEN s_suppkey % 3 = 0 THEN 'appended' WHEN s_suppkey % 2 = 0 THEN 'extended' ELSE 'kept' END AS outcome FROM {supplier} WHERE s_suppkey % 3 <> 0 OR s_suppkey % 2 = 0",
     ),
     "identity_aliases": (
-        lambda t: people.mint_aliases(t("customer").select(F.col("c_mktsegment").alias("name")), t("customer").select(F.col("c_mktsegment").alias("name")).distinct().where("name < 'C'").select("name", F.lit("Person 1").alias("alias"))),
-        "WITH k AS (SELECT DISTINCT c_mktsegment AS name FROM {customer}), o AS (SELECT name FROM k WHERE name < 'C') SELECT name, 'Person 1' AS alias FROM o UNION ALL SELECT name, 'Person ' || (row_number() OVER (ORDER BY name) + (SELECT count(*) FROM o)) FROM k WHERE name >= 'C'",
+        lambda t: people.mint_aliases(t("customer").select(F.col("c_name").alias("name")), t("customer").where("c_custkey % 3 = 0").select(F.col("c_name").alias("name"), F.concat(F.lit("Person "), (F.col("c_custkey") + 5).cast("string")).alias("alias"))),
+        """WITH o AS (SELECT c_name AS name, 'Person ' || (c_custkey + 5) AS alias FROM {customer} WHERE c_custkey % 3 = 0), b AS (SELECT coalesce(max(c_custkey + 5), 0) AS base FROM {customer} WHERE c_custkey % 3 = 0),
+           k AS (SELECT DISTINCT c_name AS name FROM {customer} WHERE c_name NOT IN (SELECT name FROM o))
+           SELECT name, alias FROM o UNION ALL SELECT name, 'Person ' || (row_number() OVER (ORDER BY substr(md5(name), 1, 2), name) + base) FROM k CROSS JOIN b""",
     ),
     "identity_scrub": (
         lambda t: people.scrub(t("prs").select("repo", "author", "branch"), people.mint_aliases(t("prs").select(F.col("repo").alias("name")), t("prs").select(F.col("repo").alias("name"), F.lit("").alias("alias")).limit(0), "Project"), ["repo"], ["author"]).groupBy("repo", "author", "branch").agg(F.count("*").alias("n")),
-        "WITH k AS (SELECT repo, 'Project ' || row_number() OVER (ORDER BY repo) AS alias FROM (SELECT DISTINCT repo FROM {prs})) SELECT alias AS repo, '' AS author, branch, count(*) AS n FROM {prs} JOIN k USING (repo) GROUP BY 1, 3",
+        "WITH k AS (SELECT repo, 'Project ' || row_number() OVER (ORDER BY substr(md5(repo), 1, 2), repo) AS alias FROM (SELECT DISTINCT repo FROM {prs})) SELECT alias AS repo, '' AS author, branch, count(*) AS n FROM {prs} JOIN k USING (repo) GROUP BY 1, 3",
+    ),
+    "browse_urls": (
+        lambda t: t("orders").select(F.concat(F.lit("ORD-"), F.col("o_orderkey").cast("string")).alias("key"), F.when(F.col("o_orderkey") % 2 == 0, "https://track.example.com/").otherwise("").alias("base")).select("key", tx.browse_url(F.col("base"), F.col("key")).alias("url")),
+        "SELECT 'ORD-' || o_orderkey AS key, CASE WHEN o_orderkey % 2 = 0 THEN 'https://track.example.com/browse/ORD-' || o_orderkey ELSE '' END AS url FROM {orders}",
+    ),
+    "decode_requests": (
+        lambda t: decode.decode_requests(t("orders").select(F.expr(RAW_REQUEST).alias("raw"))).select("pr_number", "repo", "state", "author", F.date_format("created", "yyyy-MM-dd").alias("created"), F.date_format("merged", "yyyy-MM-dd").alias("merged"), "additions", "inline_comments", F.array_join("issue_keys", ",").alias("issue_keys")),
+        """SELECT o_orderkey AS pr_number, 'org/r' || (o_orderkey % 3) AS repo, CASE WHEN o_orderkey % 2 = 0 THEN 'merged' ELSE 'closed' END AS state, 'dev' || (o_custkey % 9) AS author, '1998-01-0' || (o_orderkey % 9 + 1) AS created, CASE WHEN o_orderkey % 2 = 0 THEN '1999-01-02' END AS merged,
+             o_custkey AS additions, o_orderkey % 4 AS inline_comments, 'ABC-' || o_custkey || ',ORD-' || o_orderkey AS issue_keys FROM {orders}""",
+    ),
+    "decode_commits": (
+        lambda t: decode.decode_commits(t("orders").select(F.expr(RAW_COMMIT).alias("raw"))).select("sha", "repo", "author", F.date_format("committed", "yyyy-MM-dd HH:mm").alias("committed"), n("parent_count"), F.array_join("issue_keys", ",").alias("issue_keys")),
+        "SELECT 's' || o_orderkey AS sha, 'org/r' || (o_orderkey % 3) AS repo, CASE WHEN o_orderkey % 2 = 0 THEN 'dev' || o_custkey ELSE 'Name ' || o_custkey END AS author, '1998-0' || (o_orderkey % 9 + 1) || '-11 08:30' AS committed, CAST(1 + o_orderkey % 2 AS BIGINT) AS parent_count, 'ORD-' || o_orderkey AS issue_keys FROM {orders}",
+    ),
+    "decode_reviews": (
+        lambda t: decode.decode_reviews(t("orders").select(F.expr(RAW_REVIEW).alias("raw"))).select("repo", "pr_number", "reviewer", "state", F.date_format("submitted", "yyyy-MM-dd").alias("submitted")),
+        "SELECT 'org/r' || (o_orderkey % 3) AS repo, o_orderkey AS pr_number, 'dev' || (o_custkey % 9) AS reviewer, CASE WHEN o_orderkey % 2 = 0 THEN 'APPROVED' ELSE 'COMMENTED' END AS state, '1998-02-0' || (o_orderkey % 9 + 1) AS submitted FROM {orders} WHERE o_orderkey % 4 <> 0",
+    ),
+    "field_proposals": (
+        lambda t: fields.proposals(raw_profile(t), t("region").limit(0).select(F.col("r_name").alias("field_id"), F.col("r_name").alias("name"), F.col("r_name").alias("kind")).unionByName(t("region").sparkSession.sql("SELECT 'customfield_1' AS field_id, 'Story Points' AS name, 'number' AS kind UNION ALL SELECT 'summary', 'Description text', 'string'"))).select("role", "field_id"),
+        "SELECT 'story_points' AS role, 'customfield_1' AS field_id UNION ALL SELECT 'description', 'summary'",
     ),
     "field_profile": (raw_profile, None),
     "cell_manifest": (manifest, "SELECT 'issues' AS source, 'P' || (o_custkey % 5) AS scope, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS records FROM {orders} GROUP BY 2, 3"),

@@ -26,7 +26,7 @@ VIEWS = {
                'acct' || CAST(o_custkey % 100 AS VARCHAR(20)) AS assignee, 'acct' || CAST((o_custkey + 7) % 100 AS VARCHAR(20)) AS reporter,
                CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'EPIC-' || CAST(o_custkey % 40 AS VARCHAR(20)) END AS epic_key,
                CAST(CASE o_orderkey % 6 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 4 THEN 5 ELSE 8 END AS DOUBLE) AS story_points,
-               CASE o_orderkey % 7 WHEN 0 THEN 'Bug' WHEN 1 THEN 'Story' WHEN 2 THEN 'Task' WHEN 3 THEN 'Spike' WHEN 4 THEN 'Defect' ELSE 'Story' END AS issue_type,
+               CASE WHEN o_orderkey % 35 = 10 THEN 'Epic' WHEN o_orderkey % 7 = 0 THEN 'Bug' WHEN o_orderkey % 7 = 2 THEN 'Task' WHEN o_orderkey % 7 = 3 THEN 'Spike' WHEN o_orderkey % 7 = 4 THEN 'Defect' ELSE 'Story' END AS issue_type,
                CASE WHEN o_orderkey % 9 = 0 THEN 'claude-gen' WHEN o_orderkey % 9 = 1 THEN 'Claude_Gen' WHEN o_orderkey % 9 = 2 THEN 'FE' WHEN o_orderkey % 9 = 3 THEN 'backend' WHEN o_orderkey % 9 = 4 THEN 'DevOps' WHEN o_orderkey % 9 = 5 THEN 'regression' ELSE 'misc' END AS label,
                CASE o_orderstatus WHEN 'F' THEN 'Done' WHEN 'O' THEN 'In Progress' ELSE 'To Do' END AS status
         FROM {orders}""",
@@ -43,9 +43,22 @@ VIEWS = {
                CAST(SUM(l_quantity) AS BIGINT) * 10 AS additions, CAST(SUM(l_linenumber) AS BIGINT) * 5 AS deletions,
                CAST(SUM(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS inline_comments,
                CAST(SUM(CASE WHEN l_returnflag = 'R' AND l_linenumber > 5 THEN 1 ELSE 0 END) AS BIGINT) AS deep_threads,
+               CASE l_orderkey % 9 WHEN 0 THEN 'Promote develop' WHEN 1 THEN 'Merge to main' ELSE 'Order work' END AS title,
                CASE l_suppkey % 4 WHEN 0 THEN 'main' WHEN 1 THEN 'release/1' WHEN 2 THEN 'develop' ELSE 'feature/a' END AS branch,
                CASE l_suppkey % 3 WHEN 0 THEN 'main' WHEN 1 THEN 'topic' ELSE 'release/2' END AS base_branch
         FROM {lineitem} GROUP BY l_orderkey, l_suppkey""",
+    "pr_keys": """
+        SELECT DISTINCT l_orderkey * 10000 + l_suppkey AS pr_number, 'org/r' || CAST(l_suppkey % 8 AS VARCHAR(20)) AS repo, 'ORD-' || CAST(l_orderkey AS VARCHAR(20)) AS issue_key FROM {lineitem} WHERE l_suppkey % 11 <> 0
+        UNION ALL SELECT DISTINCT l_orderkey * 10000 + l_suppkey AS pr_number, 'org/r' || CAST(l_suppkey % 8 AS VARCHAR(20)) AS repo, 'ord-' || CAST(l_orderkey + 1 AS VARCHAR(20)) AS issue_key FROM {lineitem} WHERE l_suppkey % 5 = 0""",
+    "comments": """
+        SELECT 'ORD-' || CAST(l_orderkey AS VARCHAR(20)) AS issue_key, l_shipdate - INTERVAL '3' DAY AS at,
+               CASE WHEN l_partkey % 3 = 0 THEN 'see https://docs.google.com/d/' || CAST(l_partkey % 20 AS VARCHAR(20)) WHEN l_partkey % 7 = 0 THEN 'plan in discovery/p' || CAST(l_partkey % 5 AS VARCHAR(20)) || '.md' ELSE 'ok' END AS body
+        FROM {lineitem} WHERE l_returnflag = 'A'""",
+    "issue_links": """
+        SELECT 'ORD-' || CAST(l_orderkey AS VARCHAR(20)) AS issue_key, CASE WHEN l_linenumber % 2 = 0 THEN 'ORD-' ELSE 'ord-' END || CAST(l_partkey % 50 AS VARCHAR(20)) AS counterpart,
+               CASE l_linenumber % 4 WHEN 0 THEN 'subtask' WHEN 1 THEN 'Defect' ELSE 'Relates' END AS link_type, CASE WHEN l_partkey % 2 = 0 THEN 'outward' ELSE 'inward' END AS direction,
+               CASE l_linenumber % 3 WHEN 0 THEN 'created' WHEN 1 THEN 'Clones' ELSE 'relates to' END AS phrase
+        FROM {lineitem} WHERE l_returnflag = 'R'""",
     "pr_files": """
         SELECT l_orderkey * 10000 + l_suppkey AS pr_number, 'org/r' || CAST(l_suppkey % 8 AS VARCHAR(20)) AS repo,
                LOWER(REPLACE(p_type, ' ', '/')) || '/' || LOWER(REPLACE(p_brand, '#', '')) || '/' || REPLACE(p_name, ' ', '-') ||

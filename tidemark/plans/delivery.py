@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from tidemark.config import Band, Impact
+from tidemark.config import Band, Impact, Integration
 from tidemark.functions import calendar as cal
 from tidemark.functions.text import has_tag
 from tidemark.operators import audit, epics, flow, impact, integration, people, tickets
@@ -35,13 +35,17 @@ LONG = "({0} IN ('master','main','development','develop','dev','staging','stage'
 CLASSIFIED = f"""{RESHIP},
   cm AS (SELECT c.repo, c.pr_number, avg(CASE WHEN c.author <> '' THEN CASE WHEN c.author <> p.author THEN 1.0 ELSE 0.0 END END) AS diversity, avg(CASE WHEN parent_count >= 2 THEN 1.0 ELSE 0.0 END) AS merges
          FROM {{pr_commits}} c JOIN {{prs}} p USING (repo, pr_number) GROUP BY 1, 2),
-  sn AS (SELECT p.*, coalesce(reship, 0) AS reship, coalesce(diversity, 0) AS diversity, coalesce(merges, 0) AS merges, CASE WHEN inline_comments = 0 AND deep_threads = 0 THEN 1.0 ELSE 0.0 END AS no_review, -1.0 AS key_shape,
+  nk AS (SELECT repo, pr_number, count(DISTINCT upper(issue_key)) AS n_keys FROM {{pr_keys}} GROUP BY 1, 2),
+  sn AS (SELECT p.*, coalesce(reship, 0) AS reship, coalesce(diversity, 0) AS diversity, coalesce(merges, 0) AS merges, CASE WHEN inline_comments = 0 AND deep_threads = 0 THEN 1.0 ELSE 0.0 END AS no_review,
+                CASE WHEN coalesce(n_keys, 0) = 0 OR n_keys >= 5 THEN 1.0 WHEN n_keys = 1 THEN -1.0 ELSE 0.0 END AS key_shape,
                 CASE WHEN inline_comments = 0 AND deep_threads = 0 AND additions + deletions >= 1000 THEN 1.0 ELSE 0.0 END AS big_diff,
-                CASE WHEN {LONG.format("base_branch")} AND {LONG.format("branch")} THEN 1.0 ELSE 0.0 END AS long_ends
-         FROM {{prs}} p LEFT JOIN rr USING (repo, pr_number) LEFT JOIN cm USING (repo, pr_number)),
-  cl AS (SELECT *, CASE WHEN merged IS NULL THEN 0.0 ELSE least(1.0, greatest(0.0, (3 * reship + 2 * diversity + merges + no_review + key_shape + big_diff + 1.5 * long_ends) / 13.0)) END AS score FROM sn)"""
+                CASE WHEN {LONG.format("base_branch")} AND {LONG.format("branch")} THEN 1.0 ELSE 0.0 END AS long_ends,
+                CASE WHEN {LONG.format("base_branch")} AND coalesce(n_keys, 0) = 0 AND (coalesce(reship, 0) > 0 OR {LONG.format("branch")}) THEN 1.0 ELSE 0.0 END AS keyless,
+                CASE WHEN regexp_matches(lower(title), 'promote|merge to') THEN 1.0 ELSE 0.0 END AS title_hit
+         FROM {{prs}} p LEFT JOIN rr USING (repo, pr_number) LEFT JOIN cm USING (repo, pr_number) LEFT JOIN nk USING (repo, pr_number)),
+  cl AS (SELECT *, CASE WHEN merged IS NULL THEN 0.0 ELSE least(1.0, greatest(0.0, (3 * reship + 2 * diversity + merges + no_review + key_shape + big_diff + 1.5 * long_ends + 2 * keyless + 0.5 * title_hit) / 13.0)) END AS score FROM sn)"""
 EPIC = f"""
-  kn AS (SELECT issue_key, epic_key FROM {{issues}} WHERE epic_key <> ''),
+  kn AS (SELECT issue_key, CASE WHEN epic_key <> '' THEN epic_key ELSE issue_key END AS epic_key FROM {{issues}} WHERE epic_key <> '' OR issue_type = 'Epic'),
   ew AS (SELECT epic_key, week, sum(i) AS issues, sum(s) AS story_points, sum(p) AS prs, sum(l) AS loc, sum(c) AS commits FROM (
     SELECT epic_key, {WEEK_SQL.format("updated")} AS week, 1 AS i, story_points AS s, 0 AS p, 0 AS l, 0 AS c FROM {{issues}} WHERE epic_key <> ''
     UNION ALL SELECT epic_key, {WEEK_SQL.format("coalesce(merged, created)")}, 0, 0, 1, additions + deletions, 0 FROM {{prs}} JOIN kn USING (issue_key)
@@ -61,6 +65,32 @@ def _varied(t):
     return _attributed_prs(t), t("pr_files").where("pr_number % 3 <> 0"), weights
 
 
+def _momentum(t):
+    return epics.momentum(epics.epic_weeks(t("issues"), t("prs"), t("commits")), anchor=1600)
+
+
+def _shares(t):
+    return epics.shares(t("prs"), t("pr_keys"), t("commits"), t("reviews"), t("pr_files"), t("issues"), t("roster_login"), _momentum(t), impact.excluded_loc(t("pr_files")))
+
+
+IMPACT = "CASE WHEN files + 0.5 * loc + 2 * merged > 0 THEN sqrt(files + 0.5 * loc + 2 * merged) ELSE 0 END"
+SHARES = f"""{EPIC},
+  km AS (SELECT epic_key, sum(CASE WHEN 1600 - week < 2 THEN prs + commits ELSE 0 END) AS recent, sum(CASE WHEN 1600 - week BETWEEN 2 AND 9 THEN prs + commits ELSE 0 END) AS baseline, sum(prs + commits) AS work FROM ew GROUP BY 1 HAVING recent >= 3),
+  ke AS (SELECT DISTINCT k.repo, k.pr_number, kn.epic_key FROM {{pr_keys}} k JOIN kn ON kn.issue_key = upper(k.issue_key) JOIN km USING (epic_key)),
+  xl AS (SELECT repo, pr_number, sum(additions + deletions) AS ex FROM {{pr_files}} WHERE {NOISE} OR (({EXT} IN {DATA} OR {EXT} = 'xml') AND additions + deletions > 2000) GROUP BY 1, 2),
+  rq AS (SELECT ke.repo, ke.pr_number, ke.epic_key, p.author, p.merged IS NOT NULL AS done, greatest(p.additions + p.deletions - coalesce(ex, 0), 0) AS loc FROM ke JOIN {{prs}} p USING (repo, pr_number) LEFT JOIN xl USING (repo, pr_number)),
+  it AS (SELECT epic_key, author, 'p' AS k, CASE WHEN done THEN 1 ELSE 0 END AS m, CASE WHEN done THEN loc ELSE 0 END AS l FROM rq UNION ALL SELECT epic_key, author, 'c', 0, 0 FROM {{commits}} JOIN kn USING (issue_key) JOIN km USING (epic_key)
+         UNION ALL SELECT epic_key, reviewer, 'r', 0, 0 FROM {{reviews}} JOIN ke USING (repo, pr_number)),
+  fa AS (SELECT epic_key, author, count(DISTINCT path) AS files FROM rq JOIN {{pr_files}} USING (repo, pr_number) WHERE done GROUP BY 1, 2),
+  ft AS (SELECT epic_key, count(DISTINCT path) AS files FROM rq JOIN {{pr_files}} USING (repo, pr_number) WHERE done GROUP BY 1),
+  ia AS (SELECT epic_key, author, sum(CASE k WHEN 'p' THEN 1 ELSE 0 END) AS prs, sum(CASE k WHEN 'c' THEN 1 ELSE 0 END) AS commits, sum(CASE k WHEN 'r' THEN 1 ELSE 0 END) AS reviews, sum(m) AS merged, sum(l) AS loc FROM it GROUP BY 1, 2),
+  ib AS (SELECT ia.*, {IMPACT.replace("files", "coalesce(files, 0)")} AS impact FROM ia LEFT JOIN fa USING (epic_key, author)),
+  ta AS (SELECT epic_key, sum(prs) AS prs, sum(commits) AS commits, sum(reviews) AS reviews, sum(merged) AS merged, sum(loc) AS loc FROM ia GROUP BY 1),
+  tb AS (SELECT epic_key, prs AS team_prs, commits AS team_commits, reviews AS team_reviews, {IMPACT.replace("files", "coalesce(files, 0)")} AS team_impact FROM ta LEFT JOIN ft USING (epic_key)),
+  mi AS (SELECT l.dev, epic_key, sum(prs) AS prs, sum(commits) AS commits, sum(reviews) AS reviews, sum(impact) AS impact FROM ib JOIN {{roster_login}} l ON l.login = ib.author GROUP BY 1, 2),
+  sh AS (SELECT mi.*, tb.* EXCLUDE (epic_key), greatest(CASE WHEN team_prs > 0 THEN prs / team_prs ELSE 0 END, CASE WHEN team_commits > 0 THEN commits / team_commits ELSE 0 END, CASE WHEN team_reviews > 0 THEN reviews / team_reviews ELSE 0 END) AS share FROM mi JOIN tb USING (epic_key))"""
+
+
 def _tagged():
     return has_tag(F.array("label"))
 
@@ -83,17 +113,28 @@ def _attributed_prs(t):
 
 
 def _classified(t):
-    return integration.classify(t("prs").withColumn("n_keys", F.lit(1)), t("pr_commits"))
+    keyed = t("pr_keys").groupBy("repo", "pr_number").agg(F.countDistinct(F.upper("issue_key")).alias("n_keys"))
+    prs = t("prs").join(keyed, ["repo", "pr_number"], "left").fillna(0, ["n_keys"])
+    return integration.classify(prs, t("pr_commits"), Integration(titles=("Promote", "merge to")))
+
+
+def _tickets(t):
+    return tickets.evidence(*[t(x) for x in ("issues", "prs", "pr_keys", "pr_files", "reviews", "changelog", "commits", "comments", "issue_links")])
 
 
 def _evidence(t):
-    return tickets.evidence(t("issues"), t("prs"), t("pr_files"), t("reviews"), t("changelog"), t("commits"))
+    """Tickets with a request of any state: those that are sized by it."""
+    return _tickets(t).where("n_prs > 0")
+
+
+COUNTS = (
+    "n_prs", "n_repos", "raw_loc", "added_loc", "deleted_loc", "review_rounds", "inline_comments", "deep_threads", "file_count", "dir_spread", "test_files", "hot_files", "reviewers", "rework", "status_flips",
+    "pre_code_comments", "artifact_links", "substantive", "spawned", "breadth",
+)
 
 
 def ticket_evidence(t):
-    e = _evidence(t)
-    counts = ("n_prs", "n_repos", "added_loc", "deleted_loc", "review_rounds", "inline_comments", "deep_threads", "file_count", "dir_spread", "test_files", "hot_files", "reviewers", "rework", "status_flips")
-    return e.select("issue_key", *[n(c) for c in counts], r("merge_hours"), r("active_hours"), r("cycle_hours"), "risk")
+    return _tickets(t).select("issue_key", *[n(c) for c in COUNTS], r("merge_hours"), r("active_hours"), r("queue_hours"), r("cycle_hours"), "risk", "risk_glob")
 
 
 def ticket_band(t):
@@ -106,24 +147,31 @@ EVIDENCE = rf"""{DURATIONS}, {REWORK}, {SIGNALS},
   rf AS (SELECT * FROM {{pr_files}} WHERE NOT {NOISE}),
   pp AS (SELECT repo, pr_number, sum(additions) AS added, sum(deletions) AS deleted FROM rf GROUP BY 1, 2),
   rv AS (SELECT repo, pr_number, sum(CASE WHEN state = 'CHANGES_REQUESTED' THEN 1 ELSE 0 END) AS rounds FROM {{reviews}} GROUP BY 1, 2),
-  bp AS (SELECT issue_key, count(*) AS n_prs, count(DISTINCT repo) AS n_repos, coalesce(sum(added), 0) AS added_loc, coalesce(sum(deleted), 0) AS deleted_loc, coalesce(sum(rounds), 0) AS review_rounds,
-           sum(inline_comments) AS inline_comments, sum(deep_threads) AS deep_threads, max({HOURS.format("created", "merged")}) AS merge_hours FROM {{prs}} LEFT JOIN pp USING (repo, pr_number) LEFT JOIN rv USING (repo, pr_number) GROUP BY 1),
-  tp AS (SELECT DISTINCT p.issue_key, f.path FROM {{prs}} p JOIN rf f USING (repo, pr_number)),
+  pk AS (SELECT DISTINCT repo, pr_number, upper(issue_key) AS ticket FROM {{pr_keys}}),
+  bp AS (SELECT ticket AS issue_key, count(*) AS n_prs, count(DISTINCT repo) AS n_repos, sum(additions + deletions) AS raw_loc, coalesce(sum(added), 0) AS added_loc, coalesce(sum(deleted), 0) AS deleted_loc, coalesce(sum(rounds), 0) AS review_rounds,
+           sum(inline_comments) AS inline_comments, sum(deep_threads) AS deep_threads, max({HOURS.format("created", "merged")}) AS merge_hours FROM pk JOIN {{prs}} USING (repo, pr_number) LEFT JOIN pp USING (repo, pr_number) LEFT JOIN rv USING (repo, pr_number) GROUP BY 1),
+  tp AS (SELECT DISTINCT ticket AS issue_key, f.path FROM pk JOIN rf f USING (repo, pr_number)),
   tq AS (SELECT tp.*, regexp_matches(path, '(_test\.[A-Za-z]+|\.(test|spec)\.[A-Za-z]+|Tests?\.(java|kt|scala))$') AS test, {EXT} IN ('json','yaml','yml','xml','md','txt','csv','properties','lock','svg','png','toml','ini') AS res,
-           coalesce(hf.touches >= ct.cutoff, false) AS hot FROM tp CROSS JOIN ct LEFT JOIN hf USING (path)),
+           coalesce(hf.touches >= ct.cutoff, false) AS hot, CASE WHEN regexp_matches(path, '^(.*/)?(promo|auth)/') THEN 2 WHEN regexp_matches(path, '^(.*/)?standard/') THEN 1 ELSE 0 END AS tier FROM tp CROSS JOIN ct LEFT JOIN hf USING (path)),
   bf AS (SELECT issue_key, count(*) AS file_count, count(DISTINCT array_to_string(split(path, '/')[1:least(2, len(split(path, '/')) - 1)], '/')) AS dir_spread, sum(CASE WHEN test THEN 1 ELSE 0 END) AS test_files,
-           sum(CASE WHEN hot AND NOT test AND NOT res THEN 1 ELSE 0 END) AS hot_files,
-           max(CASE WHEN regexp_matches(path, '^(.*/)?(promo|auth)/') THEN 2 WHEN regexp_matches(path, '^(.*/)?standard/') THEN 1 ELSE 0 END) AS domain_tier FROM tq GROUP BY 1),
-  br AS (SELECT p.issue_key, count(DISTINCT reviewer) AS reviewers FROM {{prs}} p JOIN {{reviews}} USING (repo, pr_number) GROUP BY 1),
-  ac AS (SELECT issue_key, sum(CASE WHEN status IN ('In Progress','Code Review') THEN hours ELSE 0 END) AS active_hours FROM du GROUP BY 1),
-  ev AS (SELECT i.issue_key, i.issue_type, i.created, i.resolved, n_prs, n_repos, added_loc, deleted_loc, review_rounds, inline_comments, deep_threads, merge_hours, coalesce(file_count, 0) AS file_count, coalesce(dir_spread, 0) AS dir_spread,
-           coalesce(test_files, 0) AS test_files, coalesce(hot_files, 0) AS hot_files, coalesce(domain_tier, 0) AS domain_tier, coalesce(reviewers, 0) AS reviewers, coalesce(active_hours, 0) AS active_hours, coalesce(cycle_hours, 0) AS cycle_hours,
-           coalesce(status_flips, 0) AS status_flips, coalesce(rework, 0) AS rework, i.story_points,
-           CASE greatest(CASE WHEN coalesce(hot_files, 0) >= 3 THEN 2 WHEN coalesce(hot_files, 0) >= 1 THEN 1 ELSE 0 END, coalesce(domain_tier, 0)) WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS risk
-         FROM {{issues}} i JOIN bp USING (issue_key) LEFT JOIN bf USING (issue_key) LEFT JOIN br USING (issue_key) LEFT JOIN ac USING (issue_key) LEFT JOIN sx USING (issue_key) LEFT JOIN rw USING (issue_key))"""
+           sum(CASE WHEN hot AND NOT test AND NOT res THEN 1 ELSE 0 END) AS hot_files, max(tier) AS domain_tier,
+           min(CASE WHEN tier = 2 THEN CASE WHEN regexp_matches(path, '^(.*/)?promo/') THEN '**/promo/**' ELSE '**/auth/**' END END) AS g2 FROM tq GROUP BY 1),
+  br AS (SELECT ticket AS issue_key, count(DISTINCT reviewer) AS reviewers FROM pk JOIN {{reviews}} USING (repo, pr_number) GROUP BY 1),
+  ac AS (SELECT issue_key, sum(CASE WHEN status IN ('In Progress','Code Review') THEN hours ELSE 0 END) AS active_hours, sum(CASE WHEN status IN ('To Do','Ready QA') THEN hours ELSE 0 END) AS queued FROM du GROUP BY 1),
+  pc AS (SELECT c.issue_key, count(*) AS pre_code FROM {{comments}} c JOIN si USING (issue_key) WHERE c.at < si.a GROUP BY 1),
+  tk AS (SELECT issue_key, count(DISTINCT link) AS artifact_links, count(link) AS substantive FROM (SELECT issue_key, CASE WHEN body LIKE 'see %' THEN substr(body, 5) WHEN body LIKE 'plan in %' THEN substr(body, 9) END AS link FROM {{comments}}) GROUP BY 1),
+  lk AS (SELECT issue_key, sum(CASE WHEN link_type = 'subtask' OR (direction = 'outward' AND phrase IN ('created', 'Clones')) THEN 1 ELSE 0 END) AS spawned, count(DISTINCT upper(counterpart)) AS breadth FROM {{issue_links}} GROUP BY 1),
+  ez AS (SELECT i.issue_key, i.issue_type, i.created, i.resolved, i.story_points, coalesce(n_prs, 0) AS n_prs, coalesce(n_repos, 0) AS n_repos, coalesce(raw_loc, 0) AS raw_loc, coalesce(added_loc, 0) AS added_loc, coalesce(deleted_loc, 0) AS deleted_loc,
+           coalesce(review_rounds, 0) AS review_rounds, coalesce(inline_comments, 0) AS inline_comments, coalesce(deep_threads, 0) AS deep_threads, merge_hours, coalesce(file_count, 0) AS file_count, coalesce(dir_spread, 0) AS dir_spread,
+           coalesce(test_files, 0) AS test_files, coalesce(hot_files, 0) AS hot_files, coalesce(domain_tier, 0) AS domain_tier, g2, coalesce(reviewers, 0) AS reviewers, coalesce(active_hours, 0) AS active_hours, coalesce(cycle_hours, 0) AS cycle_hours,
+           CASE WHEN coalesce(cycle_hours, 0) > 0 THEN coalesce(queued, 0) ELSE 0 END AS queue_hours, coalesce(status_flips, 0) AS status_flips, coalesce(rework, 0) AS rework, coalesce(pre_code, 0) AS pre_code_comments,
+           coalesce(artifact_links, 0) AS artifact_links, coalesce(substantive, 0) AS substantive, coalesce(spawned, 0) AS spawned, coalesce(breadth, 0) AS breadth, CASE WHEN coalesce(hot_files, 0) >= 3 THEN 2 WHEN coalesce(hot_files, 0) >= 1 THEN 1 ELSE 0 END AS churn
+         FROM {{issues}} i LEFT JOIN bp USING (issue_key) LEFT JOIN bf USING (issue_key) LEFT JOIN br USING (issue_key) LEFT JOIN ac USING (issue_key) LEFT JOIN sx USING (issue_key) LEFT JOIN rw USING (issue_key)
+           LEFT JOIN pc USING (issue_key) LEFT JOIN tk USING (issue_key) LEFT JOIN lk USING (issue_key)),
+  ev AS (SELECT *, CASE greatest(churn, domain_tier) WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS risk, CASE WHEN domain_tier > 0 AND domain_tier >= churn THEN CASE domain_tier WHEN 2 THEN g2 ELSE '**/standard/**' END ELSE '' END AS risk_glob FROM ez)"""
 BANDED = f"""{EVIDENCE},
   b1 AS (SELECT *, added_loc + deleted_loc AS net, lower(issue_type) IN ('bug','defect','hotfix','regression') AS bug,
-           CASE WHEN active_hours > 0 THEN active_hours / 24 WHEN cycle_hours > 0 THEN cycle_hours / 24 WHEN {HOURS.format("created", "resolved")} > 0 THEN {HOURS.format("created", "resolved")} / 24 ELSE 0 END AS cd FROM ev),
+           CASE WHEN active_hours > 0 THEN active_hours / 24 WHEN cycle_hours > 0 THEN cycle_hours / 24 WHEN {HOURS.format("created", "resolved")} > 0 THEN {HOURS.format("created", "resolved")} / 24 ELSE 0 END AS cd FROM ev WHERE n_prs > 0),
   b2 AS (SELECT *, CASE WHEN cd >= 14 AND net >= 100 THEN 6.0 WHEN cd >= 14 THEN 5.0 WHEN net >= 100 THEN 2.0 ELSE 1.0 END AS base, (CASE WHEN cd >= 14 THEN 'long cycle' ELSE 'short cycle' END) || ' / ' || (CASE WHEN net >= 100 THEN 'high LOC' ELSE 'low LOC' END) AS quadrant,
            net > 0 AND net < 20 AS small,
            least(rework, 3) * 2.0 * CASE WHEN NOT bug AND net > 0 AND net < 20 THEN 0.5 ELSE 1 END AS d0, least(review_rounds, 4) * 1.0 AS d1, deep_threads * 2.0 AS d2, CASE risk WHEN 'high' THEN 2.0 WHEN 'medium' THEN 1.0 ELSE 0.0 END AS d3, CASE WHEN n_repos > 1 THEN 1.0 ELSE 0.0 END AS d4 FROM b1),
@@ -171,7 +219,13 @@ def post_candidates(t):
 
 def risk_discover(t):
     rows = _evidence(t).withColumn("cycle_days", tickets.cycle_days())
-    return tickets.risk_discover(rows, t("prs"), t("pr_files"), least=50).select("dir", n("tickets"), r("cycle"), r("bounced"), r("outcome"), "tier")
+    files = t("pr_files").withColumn("path", F.expr(RISKY))
+    found = tickets.risk_discover(rows, tickets.request_pairs(t("pr_keys")), files, least=5, seeds=True)
+    return found.select("dir", n("tickets"), r("cycle"), r("bounced"), r("outcome"), "tier", "migration", "seed", n("place"))
+
+
+#: Some paths below folders with migrations and sensitive names.
+RISKY = "CASE WHEN pr_number % 10 = 3 THEN 'db/changelog/' || path WHEN pr_number % 10 = 4 THEN 'auth/' || path ELSE path END"
 
 
 def band_audit(t):
@@ -251,19 +305,19 @@ QUERIES = {
         "SELECT CASE WHEN pr_number % 3 <> 0 THEN 'src/' || path ELSE path END AS path, count(DISTINCT (repo, pr_number)) AS requests FROM {pr_files} GROUP BY 1",
     ),
     "impact_effective_files": (
-        lambda t: impact.effective_files(_varied(t)[0], _varied(t)[1], VARIED, integration=_varied(t)[2]).select("dev", n("unique_files"), r("effective_files")),
+        lambda t: impact.effective_files(_varied(t)[0], t("prs"), _varied(t)[1], VARIED, integration=_varied(t)[2]).select("dev", n("unique_files"), r("effective_files")),
         f"WITH {effective_sql(VARIED, DETAILED, MERGE_UPS)} SELECT dev, unique_files, round(effective_files, 4)::DOUBLE AS effective_files FROM ef",
     ),
     "impact_effective_loc": (
-        lambda t: impact.effective_loc(_varied(t)[0], _varied(t)[1], VARIED, integration=_varied(t)[2]).select("dev", r("effective_loc")),
+        lambda t: impact.effective_loc(_varied(t)[0], t("prs"), _varied(t)[1], VARIED, integration=_varied(t)[2]).select("dev", r("effective_loc")),
         f"WITH {effective_sql(VARIED, DETAILED, MERGE_UPS)} SELECT dev, round(effective_loc, 4)::DOUBLE AS effective_loc FROM el",
     ),
     "impact_effective_loc_knobs": (
-        lambda t: impact.effective_loc(_varied(t)[0], _varied(t)[1], VARIED, bulk=True, churn=True).select("dev", r("effective_loc")),
+        lambda t: impact.effective_loc(_varied(t)[0], t("prs"), _varied(t)[1], VARIED, bulk=True, churn=True).select("dev", r("effective_loc")),
         f"WITH {effective_sql(VARIED, DETAILED, bulk=True, churn=True)} SELECT dev, round(effective_loc, 4)::DOUBLE AS effective_loc FROM el",
     ),
     "impact_effective_loc_plain": (
-        lambda t: impact.effective_loc(_varied(t)[0], _varied(t)[1], replace(VARIED, family_members=10**9)).select("dev", r("effective_loc")),
+        lambda t: impact.effective_loc(_varied(t)[0], t("prs"), _varied(t)[1], replace(VARIED, family_members=10**9)).select("dev", r("effective_loc")),
         f"""WITH ex AS (SELECT repo, pr_number, sum(additions + 0.5::DOUBLE * deletions) AS excluded FROM {DETAILED} WHERE {NOISE} OR (({EXT} IN {DATA} OR {EXT} = 'xml') AND additions + deletions > 40) GROUP BY 1, 2),
             e AS (SELECT repo, pr_number, {EXT} AS ext, count(*) AS n FROM {DETAILED} GROUP BY 1, 2, 3), dp AS (SELECT repo, pr_number, sum(n) >= 2 AND max(n) >= 0.6 * sum(n) AND max(struct_pack(n := n, ext := ext)).ext IN {DATA} AS dump FROM e GROUP BY 1, 2)
             SELECT l.dev, round(sum(CASE WHEN dump THEN 0.1::DOUBLE * (additions + 0.5::DOUBLE * deletions) ELSE greatest(0, additions + 0.5::DOUBLE * deletions - coalesce(excluded, 0)) END), 4)::DOUBLE AS effective_loc
@@ -285,12 +339,30 @@ QUERIES = {
         lambda t: integration.report(_classified(t)).select("bin", "prs", "loc", n("flagged")),
         f"WITH {CLASSIFIED} SELECT CAST(least(floor(round(score * 10, 9)), 9) AS BIGINT) AS bin, count(*) AS prs, CAST(sum(additions + deletions) AS BIGINT) AS loc, CAST(sum(CASE WHEN score >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS flagged FROM cl WHERE merged IS NOT NULL GROUP BY 1",
     ),
+    "integration_signal_means": (
+        lambda t: integration.signal_means(_classified(t)).select("flagged", "prs", *[r(c) for c in ("share", "loc_share", "reship", "diversity", "no_review", "key_shape", "keyless", "title")]),
+        f"""WITH {CLASSIFIED} SELECT score >= 0.5 AS flagged, count(*) AS prs, round(count(*) / (SELECT count(*) FROM cl WHERE merged IS NOT NULL), 4)::DOUBLE AS share, round(sum(additions + deletions) / (SELECT sum(additions + deletions) FROM cl WHERE merged IS NOT NULL), 4)::DOUBLE AS loc_share,
+            {", ".join(f"round(avg({c}), 4)::DOUBLE AS {c}" for c in ("reship", "diversity", "no_review", "key_shape", "keyless"))}, round(avg(title_hit), 4)::DOUBLE AS title FROM cl WHERE merged IS NOT NULL GROUP BY 1""",
+    ),
+    "integration_top_branches": (
+        lambda t: integration.top_groups(_classified(t), "branch", 3).select("branch", "prs", n("flagged"), n("place")),
+        f"""WITH {CLASSIFIED}, k AS (SELECT branch, count(*) AS prs, CAST(sum(CASE WHEN score >= 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS flagged FROM cl WHERE merged IS NOT NULL GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY flagged DESC, prs DESC, branch) AS place FROM k) SELECT * FROM o WHERE place <= 3""",
+    ),
+    "integration_person_loss": (
+        lambda t: integration.person_loss(_classified(t), [0.0, 0.25]).select("author", "factor", r("flagged_share"), r("lost")),
+        f"""WITH {CLASSIFIED}, k AS (SELECT author, avg(CASE WHEN score >= 0.5 THEN 1.0 ELSE 0.0 END) AS fs, sum(additions + deletions) AS l, sum(CASE WHEN score >= 0.5 THEN additions + deletions ELSE 0 END) AS f FROM cl WHERE merged IS NOT NULL GROUP BY 1), x(factor) AS (VALUES (0.0::DOUBLE), (0.25::DOUBLE))
+            SELECT author, factor, round(fs, 4)::DOUBLE AS flagged_share, round(CASE WHEN l > 0 THEN (1 - factor) * f / l ELSE 0 END, 4)::DOUBLE AS lost FROM k CROSS JOIN x""",
+    ),
+    "integration_sample": (
+        lambda t: integration.score_sample(_classified(t)).select("bin", "repo", "pr_number", r("score")),
+        f"""WITH {CLASSIFIED}, k AS (SELECT CAST(least(floor(round(score * 10, 9)), 9) AS BIGINT) AS bin, repo, pr_number, round(score, 4)::DOUBLE AS score FROM cl WHERE merged IS NOT NULL), o AS (SELECT *, row_number() OVER (PARTITION BY bin ORDER BY pr_number, repo) AS r FROM k) SELECT bin, repo, pr_number, score FROM o WHERE r <= 3""",
+    ),
     "epic_weeks": (
         lambda t: epics.epic_weeks(t("issues"), t("prs"), t("commits")).select("epic_key", n("week"), n("issues"), r("story_points"), n("prs"), n("loc"), n("commits")),
         f"WITH {EPIC} SELECT epic_key, CAST(week AS BIGINT) AS week, CAST(issues AS BIGINT) AS issues, CAST(story_points AS DOUBLE) AS story_points, CAST(prs AS BIGINT) AS prs, CAST(loc AS BIGINT) AS loc, CAST(commits AS BIGINT) AS commits FROM ew",
     ),
     "epic_momentum": (
-        lambda t: epics.momentum(epics.epic_weeks(t("issues"), t("prs"), t("commits")), anchor=1600).select("epic_key", n("recent"), n("baseline"), n("first_week"), n("last_week"), n("peak_week"), n("active_weeks"), n("prs"), n("commits"), r("momentum"), "state"),
+        lambda t: _momentum(t).select("epic_key", n("recent"), n("baseline"), n("first_week"), n("last_week"), n("peak_week"), n("active_weeks"), n("prs"), n("commits"), r("momentum"), "state"),
         f"""WITH {EPIC}, k AS (SELECT epic_key, sum(CASE WHEN 1600 - week < 2 THEN prs + commits ELSE 0 END) AS recent, sum(CASE WHEN 1600 - week BETWEEN 2 AND 9 THEN prs + commits ELSE 0 END) AS baseline, min(week) AS first_week, max(week) AS last_week,
             arg_max(week, (issues + prs + commits) * 100000 - week) AS peak_week, sum(CASE WHEN issues + prs + commits > 0 THEN 1 ELSE 0 END) AS active_weeks, sum(prs) AS prs, sum(commits) AS commits FROM ew GROUP BY 1),
             m AS (SELECT *, CASE WHEN baseline = 0 THEN 2.0 ELSE (recent / 2.0) / (baseline / 8.0) END AS momentum FROM k WHERE recent >= 3)
@@ -298,10 +370,13 @@ QUERIES = {
               CAST(prs AS BIGINT) AS prs, CAST(commits AS BIGINT) AS commits, round(momentum, 4)::DOUBLE AS momentum, CASE WHEN baseline = 0 THEN 'new' WHEN momentum >= 2 THEN 'hot' WHEN momentum >= 1.2 THEN 'rising' WHEN momentum <= 0.8 THEN 'cooling' ELSE 'steady' END AS state FROM m""",
     ),
     "epic_shares": (
-        lambda t: epics.share_sort(epics.shares(t("prs"), t("commits"), t("issues"), t("roster_login"))).select("dev", "epic_key", n("prs"), n("commits"), n("team_prs"), n("team_commits"), r("share")),
-        f"""WITH {EPIC}, a AS (SELECT epic_key, author, sum(p) AS prs, sum(c) AS commits FROM (SELECT epic_key, author, 1 AS p, 0 AS c FROM {{prs}} JOIN kn USING (issue_key) UNION ALL SELECT epic_key, author, 0, 1 FROM {{commits}} JOIN kn USING (issue_key)) GROUP BY 1, 2),
-            tm AS (SELECT epic_key, sum(prs) AS team_prs, sum(commits) AS team_commits FROM a GROUP BY 1), mi AS (SELECT l.dev, epic_key, sum(prs) AS prs, sum(commits) AS commits FROM a JOIN {{roster_login}} l ON l.login = a.author GROUP BY 1, 2)
-            SELECT dev, epic_key, CAST(prs AS BIGINT) AS prs, CAST(commits AS BIGINT) AS commits, CAST(team_prs AS BIGINT) AS team_prs, CAST(team_commits AS BIGINT) AS team_commits, round(greatest(CASE WHEN team_prs > 0 THEN prs / team_prs ELSE 0 END, CASE WHEN team_commits > 0 THEN commits / team_commits ELSE 0 END), 4)::DOUBLE AS share FROM mi JOIN tm USING (epic_key)""",
+        lambda t: epics.share_sort(_shares(t)).select("dev", "epic_key", *[n(c) for c in ("prs", "commits", "reviews", "team_prs", "team_commits", "team_reviews", "place")], r("impact"), r("team_impact"), r("share")),
+        f"""WITH {SHARES} SELECT dev, epic_key, {", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in ("prs", "commits", "reviews", "team_prs", "team_commits", "team_reviews"))}, row_number() OVER (PARTITION BY dev ORDER BY share DESC, epic_key) AS place,
+            round(impact, 4)::DOUBLE AS impact, round(team_impact, 4)::DOUBLE AS team_impact, round(share, 4)::DOUBLE AS share FROM sh""",
+    ),
+    "epic_shares_surging": (
+        lambda t: epics.share_sort(_shares(t), absolute=True, surging=epics.facets(_momentum(t), rising_only=True)).select("dev", "epic_key", r("share"), n("place")),
+        f"""WITH {SHARES} SELECT dev, epic_key, (prs + commits + reviews)::DOUBLE AS share, row_number() OVER (PARTITION BY dev ORDER BY prs + commits + reviews DESC, epic_key) AS place FROM sh JOIN km USING (epic_key) WHERE work >= 3 AND (baseline = 0 OR (recent / 2.0) / (baseline / 8.0) >= 1.2)""",
     ),
     "ticket_hot_cutoff": (
         lambda t: tickets.hot_cutoff(tickets.file_frequency(t("pr_files"))).select(n("cutoff")),
@@ -309,9 +384,11 @@ QUERIES = {
     ),
     "ticket_evidence": (
         ticket_evidence,
-        f"""WITH {EVIDENCE} SELECT issue_key, CAST(n_prs AS BIGINT) AS n_prs, CAST(n_repos AS BIGINT) AS n_repos, CAST(added_loc AS BIGINT) AS added_loc, CAST(deleted_loc AS BIGINT) AS deleted_loc, CAST(review_rounds AS BIGINT) AS review_rounds, CAST(inline_comments AS BIGINT) AS inline_comments, CAST(deep_threads AS BIGINT) AS deep_threads,
-            CAST(file_count AS BIGINT) AS file_count, CAST(dir_spread AS BIGINT) AS dir_spread, CAST(test_files AS BIGINT) AS test_files, CAST(hot_files AS BIGINT) AS hot_files, CAST(reviewers AS BIGINT) AS reviewers, CAST(rework AS BIGINT) AS rework, CAST(status_flips AS BIGINT) AS status_flips,
-            round(merge_hours, 4)::DOUBLE AS merge_hours, round(active_hours, 4)::DOUBLE AS active_hours, round(cycle_hours, 4)::DOUBLE AS cycle_hours, risk FROM ev""",
+        f"""WITH {EVIDENCE} SELECT issue_key, {", ".join(f"CAST({c} AS BIGINT) AS {c}" for c in COUNTS)}, {", ".join(f"round({c}, 4)::DOUBLE AS {c}" for c in ("merge_hours", "active_hours", "queue_hours", "cycle_hours"))}, risk, risk_glob FROM ev""",
+    ),
+    "ticket_requests": (
+        lambda t: tickets.ticket_requests(t("pr_keys"), t("prs")).select("issue_key", F.array_join(F.transform("requests", lambda x: F.concat_ws(":", x["repo"], x["pr_number"].cast("string"), x["additions"].cast("string"), x["deletions"].cast("string"))), ";").alias("requests")),
+        "WITH k AS (SELECT DISTINCT repo, pr_number, upper(issue_key) AS issue_key FROM {pr_keys}) SELECT k.issue_key, string_agg(repo || ':' || pr_number || ':' || additions || ':' || deletions, ';' ORDER BY repo, pr_number) AS requests FROM k JOIN {prs} p USING (repo, pr_number) GROUP BY 1",
     ),
     "ticket_band": (ticket_band, f"WITH {BANDED} SELECT issue_key, CAST(points AS BIGINT) AS points, band, quadrant, round(raw_effort, 4)::DOUBLE AS raw_effort, drivers, confidence, needs_insight, reason FROM b7"),
     "ticket_spikes": (
@@ -339,17 +416,23 @@ QUERIES = {
     ),
     "ticket_risk_dirs": (
         risk_discover,
-        rf"""WITH {BANDED}, kd AS (SELECT DISTINCT repo, pr_number, array_to_string(split(path, '/')[1:least(3, len(split(path, '/')) - 1)], '/') AS dir FROM {{pr_files}} WHERE NOT {NOISE} AND NOT regexp_matches(path, '_test\.[A-Za-z]+$') AND {EXT} NOT IN ('json','yaml','yml','xml','md','txt','csv','properties','lock','svg','png','toml','ini')),
-             td AS (SELECT DISTINCT p.issue_key, dir FROM {{prs}} p JOIN kd USING (repo, pr_number)), ba AS (SELECT coalesce(quantile_cont(CASE WHEN cd > 0 THEN cd END, 0.5), 0) AS bc, avg(CASE WHEN rework > 0 THEN 1.0 ELSE 0.0 END) AS bb FROM b7),
-             dd AS (SELECT dir, count(*) AS tickets, coalesce(quantile_cont(CASE WHEN cd > 0 THEN cd END, 0.5), 0) AS cycle, avg(CASE WHEN rework > 0 THEN 1.0 ELSE 0.0 END) AS bounced FROM td JOIN b7 USING (issue_key) GROUP BY 1 HAVING count(*) >= 50),
-             oo AS (SELECT dd.*, (CASE WHEN bc > 0 THEN cycle / bc ELSE 1 END + CASE WHEN bb > 0 THEN bounced / bb ELSE 1 END) / 2 AS outcome FROM dd CROSS JOIN ba)
-             SELECT dir, tickets, round(cycle, 4)::DOUBLE AS cycle, round(bounced, 4)::DOUBLE AS bounced, round(outcome, 4)::DOUBLE AS outcome, CASE WHEN outcome >= 2 THEN 'high' WHEN outcome >= 1.4 THEN 'medium' ELSE 'low' END AS tier FROM oo""",
+        rf"""WITH {BANDED}, pf AS (SELECT repo, pr_number, {RISKY} AS path FROM {{pr_files}}),
+             kd AS (SELECT DISTINCT repo, pr_number, CASE WHEN path LIKE 'db/changelog/%' THEN 'db/changelog' ELSE array_to_string(split(path, '/')[1:least(3, len(split(path, '/')) - 1)], '/') END AS dir FROM pf WHERE NOT {NOISE} AND NOT regexp_matches(path, '_test\.[A-Za-z]+$') AND {EXT} NOT IN ('json','yaml','yml','xml','md','txt','csv','properties','lock','svg','png','toml','ini')),
+             td AS (SELECT DISTINCT pk.ticket AS issue_key, dir FROM pk JOIN kd USING (repo, pr_number)), ba AS (SELECT coalesce(quantile_cont(CASE WHEN cd > 0 THEN cd END, 0.5), 0) AS bc, avg(CASE WHEN rework > 0 THEN 1.0 ELSE 0.0 END) AS bb FROM b7),
+             dd AS (SELECT dir, count(*) AS tickets, coalesce(quantile_cont(CASE WHEN cd > 0 THEN cd END, 0.5), 0) AS cycle, avg(CASE WHEN rework > 0 THEN 1.0 ELSE 0.0 END) AS bounced FROM td JOIN b7 USING (issue_key) GROUP BY 1 HAVING count(*) >= 5 OR dir = 'db/changelog'),
+             oo AS (SELECT dd.*, dir = 'db/changelog' AS migration, (CASE WHEN bc > 0 THEN cycle / bc ELSE 0 END + CASE WHEN bb > 0 THEN bounced / bb ELSE 0 END) / 2 AS outcome FROM dd CROSS JOIN ba),
+             tt AS (SELECT *, CASE WHEN migration OR outcome >= 2 THEN 'high' WHEN outcome >= 1.4 OR dir LIKE 'auth/%' THEN 'medium' END AS tier, NOT migration AND outcome < 1.4 AND dir LIKE 'auth/%' AS seed FROM oo)
+             SELECT dir, tickets, round(cycle, 4)::DOUBLE AS cycle, round(bounced, 4)::DOUBLE AS bounced, round(outcome, 4)::DOUBLE AS outcome, tier, migration, seed, row_number() OVER (ORDER BY tier = 'high' DESC, migration DESC, outcome DESC, dir) AS place FROM tt WHERE tier IS NOT NULL""",
     ),
     "ticket_calibrate": (
-        lambda t: tickets.calibrate(_evidence(t), [7.0, 14.0, 28.0]).select("threshold", n("points"), n("tickets"), n("flagged")),
-        f"""WITH {BANDED}, th(threshold) AS (VALUES (7.0::DOUBLE), (14.0::DOUBLE), (28.0::DOUBLE)), c AS (SELECT threshold, CASE WHEN cd >= threshold AND net >= 100 THEN 6.0 WHEN cd >= threshold THEN 5.0 WHEN net >= 100 THEN 2.0 ELSE 1.0 END + least(rework, 3) * 2.0 AS raw FROM b2 CROSS JOIN th),
-            s AS (SELECT c.*, lo AS l, hi AS h FROM c LEFT JOIN lv ON raw > 1 AND raw < 13 AND raw <= hi AND (raw > lo OR lo = 1))
-            SELECT threshold, CAST(CASE WHEN raw <= 1 THEN 1 WHEN raw >= 13 THEN 13 WHEN abs(raw - (l + h) / 2.0) < 0.15 * (h - l) THEN h WHEN raw < (l + h) / 2.0 THEN l ELSE h END AS BIGINT) AS points, count(*) AS tickets, CAST(sum(CASE WHEN raw > 1 AND raw < 13 AND abs(raw - (l + h) / 2.0) < 0.15 * (h - l) THEN 1 ELSE 0 END) AS BIGINT) AS flagged FROM s GROUP BY 1, 2""",
+        lambda t: tickets.calibrate(_evidence(t), [7.0, 14.0, 28.0]).select("threshold", "band", "tickets", n("flagged"), n("confident")),
+        f"""WITH th(threshold) AS (VALUES (7.0::DOUBLE), (14.0::DOUBLE), (28.0::DOUBLE)), {BANDED.replace("FROM ev WHERE n_prs > 0", "FROM ev CROSS JOIN th WHERE n_prs > 0").replace("cd >= 14", "cd >= threshold")}
+            SELECT threshold, band, count(*) AS tickets, CAST(sum(CASE WHEN needs_insight THEN 1 ELSE 0 END) AS BIGINT) AS flagged, CAST(sum(CASE WHEN confidence = 'high' THEN 1 ELSE 0 END) AS BIGINT) AS confident FROM b7 GROUP BY 1, 2""",
+    ),
+    "ticket_cycle_quantiles": (
+        lambda t: tickets.cycle_quantiles(_evidence(t), [0.25, 0.5, 0.75, 0.9]).select("share", r("days")),
+        f"""WITH {BANDED}, l AS (SELECT list_sort(list(cd)) AS v FROM b7 WHERE cd > 0), s(share) AS (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE), (0.9::DOUBLE))
+            SELECT share, round(v[CAST(floor(share * (len(v) - 1)) AS BIGINT) + 1], 4)::DOUBLE AS days FROM l CROSS JOIN s""",
     ),
     "audit_bands": (
         band_audit,

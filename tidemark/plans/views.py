@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import Effort, Spike
 from tidemark.functions import calendar as cal
+from tidemark.functions.text import disciplines
 from tidemark.operators import audit, elo, epics, flow, ranking, tickets
 from tidemark.plans import activity, delivery
 from tidemark.plans.activity import LEADER_SQL, n, r
@@ -57,9 +58,9 @@ def spike_audit(t):
 
 
 def rating_snapshot(t):
-    """Ratings after two periods against those after all."""
-    outcomes = elo.round_robin(activity._event_scores(t)).where("league = 'eclick'")
-    last = lambda df: elo.last_state(elo.rating_walk(df)).select("dev", F.round("rating", 6).alias("v"))
+    """Ratings of every league after two periods against those after all."""
+    outcomes = elo.round_robin(activity._event_scores(t))
+    last = lambda df: elo.last_state(elo.rating_walk(df)).select(F.concat_ws(":", "league", "dev").alias("dev"), F.round("rating", 6).alias("v"))
     return audit.diff_snapshots(last(outcomes.where("period < '2024-P05'")), last(outcomes), "dev", "v")
 
 
@@ -73,6 +74,12 @@ def score_facets(t):
     return tickets.score_facets(scores, ["low", "medium"], [2, 3, 5], None, "ord-1", "1998-01-01").groupBy("points", "confidence").agg(F.count("*").alias("n")).select(n("points"), "confidence", "n")
 
 
+def facets_more(t):
+    own = t("issues").select(F.col("issue_key").alias("ticket"), "resolved", "created", (F.col("issue_ord") % 7 == 0).alias("posted"), F.when(F.col("issue_ord") % 2 == 0, "auto").otherwise("human").alias("source"), disciplines(F.array("label")).alias("disciplines"))
+    scores = delivery._scores(t).join(own, "ticket")
+    return tickets.score_facets(scores, flagged=False, since="1998-01-01", posted=False, has_points=True, source="auto", discipline="FE").groupBy("points").agg(F.count("*").alias("n")).select(n("points"), "n")
+
+
 def quarter_windows(t):
     """The last four quarters of requests."""
     rows = t("prs").where("merged IS NOT NULL").groupBy(cal.quarter_label("merged").alias("quarter")).agg(F.count("*").alias("prs"), F.sum(F.col("additions") + F.col("deletions")).cast("long").alias("loc"))
@@ -104,6 +111,17 @@ QUERIES = {
             m AS (SELECT *, CASE WHEN baseline = 0 THEN 2.0 ELSE (recent / 2.0) / (baseline / 8.0) END AS momentum FROM k WHERE recent >= 3 AND work >= 10)
             SELECT epic_key, CASE WHEN baseline = 0 THEN 'new' WHEN momentum >= 2 THEN 'hot' ELSE 'rising' END AS state, round(momentum, 4)::DOUBLE AS momentum FROM m WHERE baseline = 0 OR momentum >= 1.2""",
     ),
+    "epic_facets_weeks": (
+        lambda t: epics.facets(delivery._momentum(t), False, 3, epics.epic_weeks(t("issues"), t("prs"), t("commits")), 1500, 1502).select("epic_key", "state", "trigger"),
+        f"""WITH {EPIC}, k AS (SELECT epic_key, sum(CASE WHEN 1600 - week < 2 THEN prs + commits ELSE 0 END) AS recent, sum(CASE WHEN 1600 - week BETWEEN 2 AND 9 THEN prs + commits ELSE 0 END) AS baseline, sum(prs + commits) AS work, max(CASE WHEN week BETWEEN 1500 AND 1502 THEN 1 ELSE 0 END) AS inside FROM ew GROUP BY 1),
+            m AS (SELECT *, CASE WHEN baseline = 0 THEN 2.0 ELSE (recent / 2.0) / (baseline / 8.0) END AS mo FROM k WHERE recent >= 3 AND work >= 3 AND inside = 1),
+            s AS (SELECT epic_key, CASE WHEN baseline = 0 THEN 'new' WHEN mo >= 2 THEN 'hot' WHEN mo >= 1.2 THEN 'rising' WHEN mo <= 0.8 THEN 'cooling' ELSE 'steady' END AS state FROM m)
+            SELECT epic_key, state, CASE WHEN state IN ('new', 'hot', 'rising') THEN state ELSE '' END AS trigger FROM s""",
+    ),
+    "ticket_facets_more": (
+        facets_more,
+        f"WITH {BANDED}, k AS (SELECT b7.*, i.label, i.issue_ord FROM b7 JOIN {{issues}} i USING (issue_key)) SELECT CAST(points AS BIGINT) AS points, count(*) AS n FROM k WHERE NOT needs_insight AND issue_ord % 7 <> 0 AND story_points > 0 AND label = 'FE' AND issue_ord % 2 = 0 AND coalesce(resolved, created) >= TIMESTAMP '1998-01-01' GROUP BY 1",
+    ),
     "ticket_facets": (
         score_facets,
         f"WITH {BANDED} SELECT CAST(points AS BIGINT) AS points, confidence, count(*) AS n FROM b7 WHERE confidence IN ('low', 'medium') AND points IN (2, 3, 5) AND issue_key LIKE 'ORD-1%' AND (resolved IS NULL OR resolved >= TIMESTAMP '1998-01-01') GROUP BY 1, 2",

@@ -38,18 +38,18 @@ def newest_once(rows: DataFrame, key: str, updated: str, late: str = LATE) -> Da
     return timed.dropDuplicatesWithinWatermark([key, updated]).drop("_t")
 
 
-def keep_in_table(stream: DataFrame, path: str, checkpoint: str, step: Callable[[DataFrame | None, DataFrame], DataFrame]) -> DataStreamWriter:
-    """A writer whose batches replace a table by ``step(old, batch)``: the new table is written beside the old one, then named."""
+def keep_in_table(stream: DataFrame, path: str, checkpoint: str, step: Callable[[DataFrame | None, DataFrame], DataFrame], keep: int = 2) -> DataStreamWriter:
+    """A writer whose batches replace a table by ``step(old, batch)``: the new version is written beside the old ones, of which
+    the last ``keep`` stay, so that a batch that is run again finds the version it began from."""
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        try:
-            old = spark.read.parquet(f"{path}/v{number - 1}") if number else None
-        except Exception as error:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            old = None
+        # a missing earlier version is an error: only the first batch of a checkpoint begins from nothing
+        old = spark.read.parquet(f"{path}/v{number - 1}") if number else None
         step(old, batch).write.mode("overwrite").parquet(f"{path}/v{number}")
+        if number > keep:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{number - keep - 1}")
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
@@ -61,14 +61,24 @@ def upsert_scores(old: DataFrame | None, batch: DataFrame) -> DataFrame:
     return tickets.upsert(have, newest).drop("outcome")
 
 
+RATED = "league string, dev string, rating double, periods_played long, idle_streak long, last_period string, period string, outcome double"
+
+
 def rate_periods(old: DataFrame | None, batch: DataFrame) -> DataFrame:
-    """State after a batch of outcomes of completed periods (league, period, dev, outcome): each period is applied once."""
-    have = old if old is not None else batch.sparkSession.createDataFrame([], "league string, dev string, rating double, periods_played long, idle_streak long, last_period string")
-    done = have.groupBy("league").agg(F.max("last_period").alias("_done"))
-    fresh = batch.join(done, "league", "left").where("_done IS NULL OR period > _done").drop("_done")
-    state = have.drop("last_period")
-    history = elo.rating_walk(fresh, state)
-    last = fresh.groupBy("league").agg(F.max("period").alias("_new")).join(done, "league", "full").select("league", F.greatest("_new", "_done").alias("last_period"))
-    moved = elo.last_state(history)
-    out = state.join(moved.select("league", "dev"), ["league", "dev"], "left_anti").unionByName(moved)
-    return out.join(last, "league")
+    """State after a batch of outcomes (league, period, dev, outcome).
+
+    A league's newest period may still get rows and waits in the table (rows with a period); those before it are over and
+    are applied once, in order.  Rows of a period that was applied come too late and are dropped."""
+    have = old if old is not None else batch.sparkSession.createDataFrame([], RATED)
+    waiting = have.where("period IS NOT NULL").select("league", "period", "dev", "outcome").unionByName(batch.select("league", "period", "dev", "outcome"))
+    state = have.where("period IS NULL").select("league", "dev", "rating", "periods_played", "idle_streak", "last_period")
+    done = state.groupBy("league").agg(F.max("last_period").alias("_done"))
+    newest = waiting.groupBy("league").agg(F.max("period").alias("_newest"))
+    fresh = waiting.join(done, "league", "left").where("_done IS NULL OR period > _done").join(newest, "league").dropDuplicates(["league", "period", "dev"])
+    over = fresh.where("period < _newest").select("league", "period", "dev", "outcome")
+    moved = elo.last_state(elo.rating_walk(over, state.drop("last_period")))
+    last = over.groupBy("league").agg(F.max("period").alias("_new")).join(done, "league", "full").select("league", F.greatest("_new", "_done").alias("last_period"))
+    rated = state.drop("last_period").join(moved.select("league", "dev"), ["league", "dev"], "left_anti").unionByName(moved).join(last, "league")
+    rated = rated.withColumns({"period": F.lit(None).cast("string"), "outcome": F.lit(None).cast("double")})
+    left = fresh.where("period = _newest").select("league", "dev", "period", "outcome")
+    return rated.unionByName(left, allowMissingColumns=True)
