@@ -1,28 +1,37 @@
 """License scans: MinHash bands over overlapping text windows, then exact shingle containment.
 
-For each length of template (in words) every window of that many words of a text is a candidate
-place: windows overlap by all but one word.  A window and a template are sets of 5-word shingles;
-each has a MinHash signature, the least of its shingles' hashes under ``BANDS x ROWS`` permutations.
-They are compared where a band of rows agrees: at similarity s a window is missed with probability
-(1 - s^ROWS)^BANDS, which is 1e-4 at s = 0.8 for 10 bands of 2 rows (and 0 at s = 1).  Every
-candidate is verified exactly: the share of the template's shingles in the window must be 0.8.
-Of overlapping windows of one template the best and first stays.
+Templates are short notices and the fixed parts of whole licence texts; several may stand for one
+licence.  Each is looked for in windows of the smallest of a few sizes that leaves it a quarter of
+its length as slack, so up to a quarter of inserted words keeps it in one window.  Windows of one
+size overlap: they begin at every ``stride``-th word, and the stride is at most the rest of the
+slack, so a place with its insertions lies wholly in some window.
+
+A window and a template are sets of 5-word shingles; each has a MinHash signature, the least of its
+shingles' hashes under ``BANDS x ROWS`` permutations.  They are compared where a band agrees.  The
+sizes are a factor of 1.5 apart, so at containment 0.8 a window's similarity to its template is 0.38
+or more: with 18 bands of one row it is missed with probability (1 - 0.38)^18 = 2e-4 at most, and 0
+where the window holds nothing else.  A band agrees only if a shingle is shared, so bands of one row
+retrieve no window in vain but those that share one.  Every retrieved pair is verified exactly: the
+share of the template's shingles in the window must be 0.8.  A match is the stretch from the first to
+the last shared shingle; of overlapping matches of one template the best and first stays.
 
 Shingles hold the words of one line or more, in lower case and without punctuation around them.
 
 Only DataFrame functions are used, without any shuffle of text: the templates' signatures are a
 table of a few rows (its size is that of the template list, a parameter that is checked), which is
-joined by broadcast on (length, band, value).  Every shingle of every template holds a word of a
+joined by broadcast on (size, band, value).  Every shingle of every template holds a word of a
 hitting set computed from the templates; a window without such a word holds no template's shingle,
 so only windows with one are formed.  This is exact and drops nothing.
 
-Defined cases: null or empty texts and texts shorter than a template have no match; a template of
-less than five words is one shingle of all its words; equal rows give their matches once; an empty table
-gives none; extra columns are ignored.
+Defined cases: null or empty texts have no match; a text shorter than a window is one window; a
+template of less than five words is one shingle of all its words and is looked for in windows of
+exactly its words; equal rows give their matches once; an empty table gives none; extra columns are
+ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,16 +39,30 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents
 
-WORDS, BANDS, ROWS, LEAST, MOST_TEMPLATES = 5, 10, 2, 0.8, 10_000
-#: Short notices by which works name their licence.
+WORDS, BANDS, ROWS, LEAST, MOST_TEMPLATES, SLACK, GROWTH = 5, 18, 1, 0.8, 10_000, 0.25, 1.5
+#: Notices and fixed parts of licence texts; what stands behind '#' tells templates of one licence apart.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
+    "MIT#grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    "MIT#notice": "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "MIT#warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
+    "Apache-2.0#header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "GPL-3.0#header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0#header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL#header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "AGPL-3.0#header": "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "BSD": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "BSD-3-Clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 _EDGE = r"^[^a-z0-9]+|[^a-z0-9]+$"
 
@@ -78,20 +101,33 @@ def _shingles(words: str, n: str) -> str:
     return f"transform(sequence(1, greatest({n} - {WORDS} + 1, 1)), i -> xxhash64(array_join(slice({words}, i, {WORDS}), ' ')))"
 
 
+def window_size(n: int) -> int:
+    """The words of a window for a template of n words: the first of 6, 9, 14, 21, ... that leaves it its slack."""
+    if n < WORDS:
+        return n
+    size = 6
+    while size < n * (1 + SLACK):
+        size = math.ceil(size * GROWTH)
+    return size
+
+
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """(license, n, band, value, shingles) of each template and band."""
+    """(license, size, band, value, shingles) of each template and band."""
     if len(templates) > MOST_TEMPLATES:
         raise ValueError(f"at most {MOST_TEMPLATES} templates are broadcast; scan in groups")
-    rows = spark.createDataFrame([(k, v) for k, v in sorted(templates.items())], "license string, body string")
-    rows = rows.select("license", _words(F.col("body")).alias("ws")).withColumn("n", F.size("ws")).where("n > 0")
+    rows = spark.createDataFrame([(k, v, window_size(len(plain_words(v)))) for k, v in sorted(templates.items()) if plain_words(v)], "license string, body string, size int")
+    rows = rows.select("license", "size", _words(F.col("body")).alias("ws")).withColumn("n", F.size("ws"))
     rows = rows.withColumn("shingles", F.expr(f"array_distinct({_shingles('ws', 'n')})"))
-    return rows.select("license", "n", "shingles", F.posexplode(F.expr(_signature("shingles"))).alias("band", "value"))
+    return rows.select("license", "size", "shingles", F.posexplode(F.expr(_signature("shingles"))).alias("band", "value"))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, license, start_word, containment): the places in each row's text that match a template."""
+    """(doc_id, license, start_word, end_word, containment): the stretches of each row's text that match a template."""
     spark, templates = docs.sparkSession, templates or TEMPLATES
-    sizes = sorted({len(plain_words(t)) for t in templates.values()} - {0})
+    lengths: dict[int, int] = {}  # of each window size, the longest template's words
+    for n in (len(plain_words(t)) for t in templates.values()):
+        if n:
+            lengths[window_size(n)] = max(n, lengths.get(window_size(n), 0))
     table = template_table(spark, templates)
     words = hitting_words(templates)
     need = "|".join(re.escape(w) for w in words)
@@ -100,22 +136,25 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
     needles = ", ".join(f"'{w}'" for w in words)
     rows = rows.withColumn("marks", F.expr(f"filter(sequence(1, greatest(w, 1)), i -> get(ws, i - 1) IN ({needles}))"))  # no filter here: pushed down, it would split the text anew for each word
     rows = rows.withColumn("hashes", F.expr(_shingles("ws", "w")))
-    # of each length, the windows that hold a marked word; each leaves its row with its own shingles alone
-    starts = "array_distinct(flatten(transform(marks, q -> sequence(greatest(1, q - n + 1), least(q, w - n + 1)))))"
-    own = f"transform({starts}, p -> named_struct('p', p, 'own', slice(hashes, p, greatest(n - {WORDS} + 1, 1))))"
-    lengths = F.explode(F.array(*[F.lit(n) for n in sizes])).alias("n")
-    rows = rows.select("doc_id", "h", "w", "marks", "hashes", lengths).where("w >= n").select("doc_id", "h", "n", F.expr(own).alias("places"))
-    places = rows.select("doc_id", "h", "n", F.explode("places").alias("place")).select("doc_id", "h", "n", "place.*")
+    # of each size, the windows that hold a marked word; each leaves its row with its own shingles alone
+    sizes = F.array(*[F.struct(F.lit(m).alias("size"), F.lit(max(1, m - math.ceil(n * (1 + SLACK)) + 1)).alias("stride"), F.lit(max(1, m - WORDS + 1)).alias("own")) for m, n in sorted(lengths.items())])
+    rows = rows.select("doc_id", "h", "w", "marks", "hashes", F.explode(sizes).alias("s")).select("doc_id", "h", "w", "marks", "hashes", "s.*")
+    starts = "array_distinct(flatten(transform(marks, q -> sequence(greatest(0, CAST(ceil((q - size) / stride) AS INT)), (q - 1) div stride))))"
+    own = f"transform({starts}, k -> named_struct('p', CAST(k * stride + 1 AS INT), 'own', slice(hashes, CAST(k * stride + 1 AS INT), own)))"
+    rows = rows.where(F.size("marks") > 0).select("doc_id", "h", "size", F.expr(own).alias("places"))
+    places = rows.select("doc_id", "h", "size", F.explode("places").alias("place")).select("doc_id", "h", "size", "place.*").where(F.size("own") > 0)
     places = places.withColumn("signature", F.expr(_signature("own")))
-    bands = places.select("doc_id", "h", "n", "p", "own", F.posexplode("signature").alias("band", "value"))
-    met = bands.join(F.broadcast(table), ["n", "band", "value"])
+    bands = places.select("doc_id", "h", "size", "p", "own", F.posexplode("signature").alias("band", "value"))
+    met = bands.join(F.broadcast(table), ["size", "band", "value"])
     share = F.size(F.array_intersect("own", "shingles")) / F.size("shingles")
-    found = met.withColumn("containment", share).where(F.col("containment") >= least)
-    found = found.groupBy("doc_id", "h", "license", "n", "p").agg(F.max("containment").alias("containment"))
-    best = F.expr("""aggregate(array_sort(hits, (a, b) -> CASE WHEN a.c > b.c OR (a.c = b.c AND a.p < b.p) THEN -1 WHEN a.c = b.c AND a.p = b.p THEN 0 ELSE 1 END),
-        CAST(array() AS array<struct<p:int,c:double>>), (kept, x) -> IF(exists(kept, k -> abs(k.p - x.p) < n), kept, array_append(kept, x)))""")
-    per = found.groupBy("doc_id", "h", "license", "n").agg(F.collect_list(F.struct("p", F.col("containment").alias("c"))).alias("hits"))
-    return per.select("doc_id", "license", F.explode(best).alias("m")).select("doc_id", "license", (F.col("m.p") - 1).cast("long").alias("start_word"), F.col("m.c").alias("containment"))
+    hits = F.expr("filter(transform(own, (x, i) -> IF(array_contains(shingles, x), p + i, -1)), i -> i > 0)")  # words (from 1) at which shared shingles begin
+    found = met.withColumn("containment", share).where(F.col("containment") >= least).withColumn("hits", hits)
+    found = found.select("doc_id", "h", "license", F.array_min("hits").alias("p"), (F.array_max("hits") + F.lit(WORDS)).alias("q"), "containment").distinct()
+    best = F.expr("""aggregate(array_sort(hits, (a, b) -> CASE WHEN a.c > b.c OR (a.c = b.c AND (a.p < b.p OR (a.p = b.p AND a.q < b.q))) THEN -1 WHEN a.c = b.c AND a.p = b.p AND a.q = b.q THEN 0 ELSE 1 END),
+        CAST(array() AS array<struct<p:int,q:int,c:double>>), (kept, x) -> IF(exists(kept, k -> k.p < x.q AND x.p < k.q), kept, array_append(kept, x)))""")
+    per = found.groupBy("doc_id", "h", "license").agg(F.collect_list(F.struct("p", "q", F.col("containment").alias("c"))).alias("hits"))
+    out = per.select("doc_id", "license", F.explode(best).alias("m"))
+    return out.select("doc_id", F.substring_index("license", "#", 1).alias("license"), F.expr("IF(instr(license, '#') > 0, substring_index(license, '#', -1), 'notice')").alias("part"), (F.col("m.p") - 1).cast("long").alias("start_word"), (F.col("m.q") - 1).cast("long").alias("end_word"), F.col("m.c").alias("containment"))
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
