@@ -20,8 +20,9 @@ Shingles hold the words of one line or more, in lower case and without punctuati
 Only DataFrame functions are used, without any shuffle of text: the templates' signatures are a
 table of a few rows (its size is that of the template list, a parameter that is checked), which is
 joined by broadcast on (size, band, value).  Every shingle of every template holds a word of a
-hitting set computed from the templates; a window without such a word holds no template's shingle,
-so only windows with one are formed.  This is exact and drops nothing.
+hitting set computed from the templates, and a word lies in five shingles at most; so a window with
+fewer such words than a fifth of the shingles that must match holds no match, and only the other
+windows are formed.  This is exact and drops nothing.
 
 Defined cases: null or empty texts have no match; a text shorter than a window is one window; a
 template of less than five words is one shingle of all its words and is looked for in windows of
@@ -64,6 +65,8 @@ TEMPLATES = {
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
+#: Fixed value: words that any prose is full of; they are marked only where a shingle has no other word.
+COMMON = set("a an and are as at be been but by can do for from had has have he her his if in is it its may no not of on or our she so that the their them there they this to was we were which who will with would you your".split())
 _EDGE = r"^[^a-z0-9]+|[^a-z0-9]+$"
 
 
@@ -72,7 +75,7 @@ def plain_words(text: str) -> list[str]:
 
 
 def hitting_words(templates: dict[str, str], size: int = WORDS) -> list[str]:
-    """Words of which every shingle of every template has one: the rarest letters first, greedily."""
+    """Words of which every shingle of every template has one: long ones, which are rare in prose, first, greedily."""
     shingles = [set(ws[i : i + size]) for ws in map(plain_words, templates.values()) for i in range(max(1, len(ws) - size + 1))]
     out: list[str] = []
     while shingles:
@@ -80,12 +83,21 @@ def hitting_words(templates: dict[str, str], size: int = WORDS) -> list[str]:
         for s in shingles:
             for w in s:
                 count[w] = (count.get(w, (0,))[0] + 1, len(w), w)
-        best = max(count, key=lambda w: (count[w][1] > 3, count[w]))
+        best = max(count, key=lambda w: (w not in COMMON, min(len(w), 7), count[w]))
         out.append(best)
         shingles = [s for s in shingles if best not in s]
     return sorted(out)
 
 
+def one_of(words: list[str]) -> str:
+    """A regular expression for any of the words (or a longer word that begins so), branching letter by letter."""
+    if "" in words:
+        return ""
+    heads = sorted({w[0] for w in words})
+    parts = [re.escape(h) + one_of([w[1:] for w in words if w[0] == h]) for h in heads]
+    return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.regexp_replace(w, _EDGE, "")), lambda w: w != "")
 
@@ -124,24 +136,25 @@ def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, license, start_word, end_word, containment): the stretches of each row's text that match a template."""
     spark, templates = docs.sparkSession, templates or TEMPLATES
-    lengths: dict[int, int] = {}  # of each window size, the longest template's words
-    for n in (len(plain_words(t)) for t in templates.values()):
-        if n:
-            lengths[window_size(n)] = max(n, lengths.get(window_size(n), 0))
+    lengths: dict[int, tuple[int, int]] = {}  # of each window size, the longest template's words and the least number of marks
+    for ws in filter(None, map(plain_words, templates.values())):
+        shingles = len({tuple(ws[i : i + WORDS]) for i in range(max(1, len(ws) - WORDS + 1))})
+        longest, need = lengths.get(window_size(len(ws)), (0, shingles))
+        lengths[window_size(len(ws))] = max(len(ws), longest), min(need, math.ceil(math.ceil(least * shingles - 1e-9) / WORDS))
     table = template_table(spark, templates)
     words = hitting_words(templates)
-    need = "|".join(re.escape(w) for w in words)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.lower("text").rlike(f"(?:^|[^a-z0-9])(?:{need})"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.lower("text").rlike(rf"(?<![a-z0-9]){one_of(words)}"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("h"), _words(F.col("text")).alias("ws")).withColumn("w", F.size("ws"))
     needles = ", ".join(f"'{w}'" for w in words)
     rows = rows.withColumn("marks", F.expr(f"filter(sequence(1, greatest(w, 1)), i -> get(ws, i - 1) IN ({needles}))"))  # no filter here: pushed down, it would split the text anew for each word
     rows = rows.withColumn("hashes", F.expr(_shingles("ws", "w")))
     # of each size, the windows that hold a marked word; each leaves its row with its own shingles alone
-    sizes = F.array(*[F.struct(F.lit(m).alias("size"), F.lit(max(1, m - math.ceil(n * (1 + SLACK)) + 1)).alias("stride"), F.lit(max(1, m - WORDS + 1)).alias("own")) for m, n in sorted(lengths.items())])
+    sizes = F.array(*[F.struct(F.lit(m).alias("size"), F.lit(max(1, m - math.ceil(n * (1 + SLACK)) + 1)).alias("stride"), F.lit(max(1, m - WORDS + 1)).alias("own"), F.lit(need).alias("need")) for m, (n, need) in sorted(lengths.items())])
     rows = rows.select("doc_id", "h", "w", "marks", "hashes", F.explode(sizes).alias("s")).select("doc_id", "h", "w", "marks", "hashes", "s.*")
-    starts = "array_distinct(flatten(transform(marks, q -> sequence(greatest(0, CAST(ceil((q - size) / stride) AS INT)), (q - 1) div stride))))"
+    covering = "array_sort(flatten(transform(marks, q -> sequence(CAST(greatest(0, ceil((q - size) / stride)) AS INT), CAST((q - 1) div stride AS INT)))))"
+    starts = "array_distinct(filter(covering, (k, i) -> get(covering, i + need - 1) = k))"  # windows that hold enough marks
     own = f"transform({starts}, k -> named_struct('p', CAST(k * stride + 1 AS INT), 'own', slice(hashes, CAST(k * stride + 1 AS INT), own)))"
-    rows = rows.where(F.size("marks") > 0).select("doc_id", "h", "size", F.expr(own).alias("places"))
+    rows = rows.where(F.size("marks") >= F.col("need")).withColumn("covering", F.expr(covering)).select("doc_id", "h", "size", F.expr(own).alias("places"))
     places = rows.select("doc_id", "h", "size", F.explode("places").alias("place")).select("doc_id", "h", "size", "place.*").where(F.size("own") > 0)
     places = places.withColumn("signature", F.expr(_signature("own")))
     bands = places.select("doc_id", "h", "size", "p", "own", F.posexplode("signature").alias("band", "value"))
