@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import documents, texts, written
 
@@ -160,11 +161,16 @@ def fit(rows: DataFrame, shrink: float = 0.05, spherical: float = 0.5) -> Discri
     return moments_to_model(n, s, ss, shrink, spherical)
 
 
+def _learnt(rows: DataFrame, labels: DataFrame) -> Discriminant:
+    """The model of (doc_id, x) with a label that isn't held out."""
+    marks = labels.where("quality IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label"))
+    return fit(rows.join(marks.where(~held_out(F.col("doc_id"))), "doc_id").select("x", "label"))
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Discriminant]:
     """(features of all documents, model learnt from those with a label that isn't held out)."""
     rows = written(features(docs, id_col, text_col), "features")
-    marks = labels.where("quality IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label"))
-    return rows, fit(rows.join(marks.where(~held_out(F.col("doc_id"))), "doc_id").select("x", "label"))
+    return rows, _learnt(rows, labels)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -181,16 +187,24 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without those that the classifier rejects: a narrow map, each row judged by its own text."""
-    _, model = train(docs, labels, id_col, text_col)
+    """``docs`` without those that the classifier rejects, each row judged by its own text.
+
+    The statistics are taken once and written beside the rows, so that neither texts are shuffled nor statistics taken again."""
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [statistics(x.as_py() or "") for x in batch.column(text_col)]
+            yield batch.append_column("_tm_x", pa.array(rows, pa.list_(pa.float64())))
+
+    rows = written(docs.mapInArrow(beside, T.StructType([*docs.schema.fields, T.StructField("_tm_x", T.ArrayType(T.DoubleType()))])), "judged")
+    model = _learnt(rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col("_tm_x").alias("x")), labels)
 
     def good(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if len(batch):
-                x = np.array([statistics(t.as_py()) for t in batch.column(text_col)])
-                yield batch.filter(pa.array(model.scores(x) >= threshold))
+            x = batch.column("_tm_x").flatten().to_numpy(zero_copy_only=False).reshape(-1, len(NAMES))
+            yield batch.drop_columns(["_tm_x"]).filter(pa.array(model.scores(x) >= threshold))
 
-    return docs.mapInArrow(good, docs.schema)
+    return rows.mapInArrow(good, docs.schema)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
