@@ -126,6 +126,133 @@ def test_threads_pointer_jumping(spark):
     assert (got.inline, got.deep) == (41, 1)
 
 
+def test_threads_of_any_depth(spark):
+    chain = [("r", 1, i, i - 1 if i > 1 else 0) for i in range(1, 301)] + [("r", 2, 7, 6), ("r", 2, 8, 7), ("r", 2, 6, 8)]
+    got = {r.pr_number: (r.inline, r.deep) for r in flow.deep_threads(spark.createDataFrame(chain, "repo string, pr_number long, id long, in_reply_to long")).collect()}
+    assert got[1] == (300, 1) and got[2][0] == 3
+
+
+def test_ticket_flow_in_one_pass(spark):
+    moves = [("K", 1, 0, "To Do", "In Progress"), (("K"), 10, 1, "In Progress", "In QA"), ("K", 20, 2, "In QA", "In Progress"), ("K", 21, 3, "In Progress", "Code Review"), ("K", 22, 4, "Code Review", "In Progress"), ("K", 30, 5, "In Progress", "In QA")]
+    at = lambda h: F.timestamp_seconds(F.col(h) * 3600)
+    changelog = spark.createDataFrame(moves, "issue_key string, h long, ord int, from_status string, to_status string").withColumn("at", at("h"))
+    commits = spark.createDataFrame([("K", 20), ("K", 22), ("Z", 5), ("", 6), (None, 7)], "issue_key string, h long").withColumn("committed", at("h"))
+    comments = spark.createDataFrame([("K", 0), ("K", 1), ("K", 9)], "issue_key string, h long").withColumn("at", at("h"))
+    issues = spark.createDataFrame([("K", 40)], "issue_key string, h long").withColumn("resolved", at("h"))
+    got = flow.ticket_flow(changelog, commits, issues, comments).collect()
+    assert len(got) == 1
+    r = got[0]
+    assert (r.active_hours, r.cycle_hours, r.status_flips, r.rework, r.pre_code_comments) == (9 + 1 + 1 + 8, 39.0, 3, 2, 1)
+
+
+def test_aliases_are_unique(spark):
+    existing = spark.createDataFrame([("x", "Person 3"), ("y", "Someone")], "name string, alias string")
+    names = spark.createDataFrame([(f"n{i}",) for i in range(600)] + [("x",), ("",), ("unknown",)], "name string")
+    got = {r.name: r.alias for r in people.mint_aliases(names, existing).collect()}
+    assert got["x"] == "Person 3" and len(got) == 602 and len(set(got.values())) == 602 and "" not in got
+    words = {r.name: r.alias for r in people.mint_aliases(names, existing, pools=(["A", "B", "C"], ["D", "E"])).collect()}
+    assert len(set(words.values())) == 602 and "A D" not in words.values() and words["x"] == "Person 3"
+
+
+def test_comparison_windows():
+    from datetime import date
+
+    assert cal.comparison_windows(date(2000, 7, 1), date(2000, 12, 1)) == [
+        ("current", "2000-07-01", "2001-01-01"), ("prior", "2000-01-01", "2000-07-01"), ("yoy", "1999-07-01", "2000-01-01"), ("qoq", "2000-04-01", "2000-10-01"),
+        ("2000-Q4", "2000-10-01", "2001-01-01"), ("2000-Q3", "2000-07-01", "2000-10-01"), ("2000-Q2", "2000-04-01", "2000-07-01"), ("2000-Q1", "2000-01-01", "2000-04-01"),
+    ]
+
+
+def test_period_close(spark):
+    rows = spark.createDataFrame([("2024-P01",), ("2020-P53",), ("2020-P51",)], "period string").select(F.date_format(cal.period_close("period"), "yyyy-MM-dd").alias("d")).collect()
+    assert [r.d for r in rows] == ["2024-01-15", "2021-01-04", "2020-12-28"]
+
+
+def test_only_completed_periods_count(spark):
+    rows = spark.createDataFrame([("l", p, d, s) for p in ("2024-P01", "2024-P03", "2024-P05") for d, s in (("a", 0.8), ("b", 0.2))], "league string, period string, dev string, outcome double")
+    got = elo.advance(rows, None, None, now=F.lit("2024-02-01"), first_period="2024-P03").toPandas()
+    assert set(got["period"]) == {"2024-P03"}
+
+
+def _walk_pairwise(outcomes):
+    """The recurrence by loops over pairs: {(period, dev): (kind, rating)}."""
+    rating, played, idle, out = {}, {}, {}, {}
+    for period in sorted({p for p, _, _ in outcomes}):
+        now = {d: o for p, d, o in outcomes if p == period}
+        before = {d: rating.get(d, 1000.0) for d in now}
+        raw = {}
+        for d, o in now.items():
+            odds = [1 / (1 + 10 ** ((before[x] - before[d]) / 400)) for x in now if x != d]
+            n = played.get(d, 0)
+            k = 32.0 if n < 4 else 28.0 if n < 17 else 30.0
+            raw[d] = k * (o - (sum(odds) / len(odds) if odds else 0.5))
+        delta = {d: x * 0.5 if x < 0 and played.get(d, 0) < 12 else x for d, x in raw.items()}
+        given, gained = sum(delta[d] - raw[d] for d in raw), sum(x for x in raw.values() if x > 0)
+        if given > 0 and gained > 0:
+            delta = {d: x - given * x / gained if x > 0 else delta[d] for d, x in raw.items()}
+        mean = sum(before.values()) / len(before)
+        for d in list(rating):
+            if d not in now:
+                idle[d] += 1
+                if idle[d] > 3:
+                    step = max(-8.0, min(8.0, mean - rating[d]))
+                    rating[d] += step
+                    if step:
+                        out[period, d] = ("decay", rating[d])
+        for d, x in delta.items():
+            rating[d], played[d], idle[d] = before[d] + x, played.get(d, 0) + 1, 0
+            out[period, d] = ("played", rating[d])
+    return out
+
+
+def test_walk_against_loops_over_pairs(spark):
+    rng = __import__("random").Random(3)
+    rows = [(f"2024-P{2 * p + 1:02d}", f"d{d}", rng.random()) for p in range(20) for d in range(8) if rng.random() < (0.3 if d < 3 else 0.9)]
+    want = _walk_pairwise(rows)
+    df = spark.createDataFrame(rows, "period string, dev string, outcome double").withColumn("league", F.lit("l"))
+    got = {(r.period, r.dev): (r.kind, r.rating) for r in elo.rating_walk(df).collect()}
+    assert set(got) == set(want) and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-6 for k in want)
+
+
+def test_rich_text_of_any_depth():
+    deep = '{"type":"text","text":"x"}'
+    for _ in range(400):
+        deep = '{"type":"paragraph","content":[' + deep + "]}"
+    marked = '{"type":"doc","content":[{"type":"text","text":"see","marks":[{"type":"link","attrs":null},{"type":"link","attrs":{"href":"http://a.b"}}]},{"type":"hardBreak"},{"type":"emoji","attrs":{"shortName":":x:"}}]}'
+    assert decode.plain_text(deep)[0] == "x" and decode.plain_text(marked) == ("see\n:x:", ["http://a.b"])
+    assert decode.plain_text("{") == ("", []) and decode.plain_text("[" * 200_000) == ("", []) and decode.plain_text(None) == ("", [])
+
+
+def test_attachments_and_versions(spark):
+    raw = spark.createDataFrame([('{"key":"A-1","fields":{"attachment":[{"filename":"f","mimeType":"m","size":3}],"fixVersions":[{"name":"v1"},{"name":"v2"}]}}',), ('{"key":"A-2","fields":{}}',)], "raw string")
+    assert [tuple(r) for r in decode.decode_attachments(raw).collect()] == [("A-1", 0, "f", "m", 3)]
+    assert {r.issue_key: r.fix_versions for r in decode.fix_versions(raw).collect()} == {"A-1": ["v1", "v2"], "A-2": []}
+
+
+def test_import_and_export(spark, tmp_path):
+    import json
+    import os
+
+    for scope, month, rows in (("P", "2024-01", [{"key": "A", "links": [{"k": 1}, {"k": 2}]}, {"key": "B", "links": None}]), ("P", "2024-02", [])):
+        os.makedirs(f"{tmp_path}/in/issues/{scope}", exist_ok=True)
+        with open(f"{tmp_path}/in/issues/{scope}/{month}.json", "w") as f:
+            json.dump(rows, f)
+    sources = {"issues": ("key string, links array<struct<k:int>>", ("key",), ("links",))}
+    for _ in range(2):
+        tallies = corpus_files.json_to_columnar(spark, f"{tmp_path}/in", f"{tmp_path}/out", sources)
+        assert [tuple(r) for r in tallies.collect()] == [("issues", "P", "2024-01", 2)]
+        assert sorted((r.key, r.ord, r.k) for r in spark.read.parquet(f"{tmp_path}/out/issues_links").collect()) == [("A", 0, 1), ("A", 1, 2)]
+    corpus_files.export_scores(spark.createDataFrame([("B", 2), ("A", 1)], "ticket string, points int"), f"{tmp_path}/scores")
+    assert [tuple(r) for r in spark.read.json(f"{tmp_path}/scores").select("ticket", "points").orderBy("ticket").collect()] == [("A", 1), ("B", 2)]
+
+
+def test_upsert_by_scorer_fills_dates(spark):
+    old = spark.createDataFrame([("A", "me", 3, "auto", "h", True, None), ("A", "you", 5, "human", "g", False, "d0")], "ticket string, scorer string, points int, source string, hash string, posted boolean, resolved string")
+    new = spark.createDataFrame([("A", "me", 8, "h", "d1"), ("A", "you", 8, "x", "d2"), ("B", "me", 1, "k", "d3")], "ticket string, scorer string, points int, hash string, resolved string")
+    got = {(r.ticket, r.scorer): (r.points, r.outcome, r.posted, r.resolved) for r in tickets.upsert(old, new, ("ticket", "scorer"), ("resolved",)).collect()}
+    assert got == {("A", "me"): (3, "skipped", True, "d1"), ("A", "you"): (5, "preserved", False, "d0"), ("B", "me"): (1, "inserted", False, "d3")}
+
+
 def test_reship(spark):
     prs = spark.createDataFrame([("r", 1, "2024-01-01"), ("r", 2, "2024-01-02"), ("q", 3, "2024-01-03")], "repo string, pr_number long, merged string")
     commits = spark.createDataFrame([("r", 1, "a"), ("r", 1, "b"), ("r", 2, "a"), ("r", 2, "b"), ("q", 3, "a")], "repo string, pr_number long, sha string")

@@ -41,7 +41,13 @@ def test_upserts_and_ratings(spark, tmp_path):
     query = jobs.keep_in_table(_stream(spark, tmp_path, scores), f"{tmp_path}/t", f"{tmp_path}/c", jobs.upsert_scores).trigger(availableNow=True).start()
     query.awaitTermination(120)
     assert query.exception() is None
-    batch = spark.createDataFrame([("l", "2024-P01", "a", 0.7), ("l", "2024-P01", "b", 0.3)], "league string, period string, dev string, outcome double")
-    first = jobs.rate_periods(None, batch)
-    again = jobs.rate_periods(first, batch)  # a period is applied once
-    assert {(r.dev, round(r.rating, 6)) for r in again.collect()} == {(r.dev, round(r.rating, 6)) for r in elo.last_state(elo.rating_walk(batch)).collect()}
+    rows = [("l", p, d, o) for p, o in (("2024-P01", 0.7), ("2024-P03", 0.6), ("2024-P05", 0.2)) for d, o in (("a", o), ("b", 1 - o))]
+    frame = lambda rs: spark.createDataFrame(rs, "league string, period string, dev string, outcome double")
+    first = jobs.rate_periods(None, frame(rows[:1]))  # the newest period waits for its other rows
+    assert first.where("rating IS NOT NULL").count() == 0
+    second = jobs.rate_periods(first, frame(rows[1:4]))
+    third = jobs.rate_periods(second, frame(rows[2:]))  # rows that come again count once
+    late = jobs.rate_periods(third, frame([("l", "2024-P01", "c", 0.5)]))  # too late: the period has closed
+    want = {(r.dev, round(r.rating, 6)) for r in elo.last_state(elo.rating_walk(frame(rows[:4]))).collect()}
+    for got in (third, late):
+        assert {(r.dev, round(r.rating, 6)) for r in got.where("rating IS NOT NULL").collect()} == want

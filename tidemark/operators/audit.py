@@ -27,3 +27,23 @@ def check_expectations(diff: DataFrame, wanted: DataFrame, key: str) -> DataFram
 
 def rank_shift(base: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return base.select(key, F.col("rank").alias("before")).join(other.select(key, F.col("rank").alias("after")), key).withColumn("shift", F.col("before") - F.col("after"))
+
+
+def band_changes(base: DataFrame, other: DataFrame) -> DataFrame:
+    """One row: tickets, those whose lines, points or tier of risk differ, and the flagged ones on either side."""
+    side = lambda df, mark: df.select("issue_key", *[F.col(c).alias(f"{mark}{c}") for c in ("net_loc", "points", "risk", "needs_insight")])
+    both = side(base, "a_").join(side(other, "b_"), "issue_key")
+    differ = lambda c: F.sum((~F.col(f"a_{c}").eqNullSafe(F.col(f"b_{c}"))).cast("long"))
+    flagged = lambda m: F.sum(F.col(f"{m}needs_insight").cast("long"))
+    return both.agg(F.count("*").alias("tickets"), differ("net_loc").alias("lines"), differ("points").alias("points"), differ("risk").alias("risk"), flagged("a_").alias("flagged_before"), flagged("b_").alias("flagged_after"))
+
+
+def movers_by_glob(base: DataFrame, other: DataFrame) -> DataFrame:
+    """(risk_glob, movers): tickets whose points differ, by the glob that drives the other side's risk."""
+    both = base.select("issue_key", F.col("points").alias("_p")).join(other.select("issue_key", "points", "risk_glob"), "issue_key")
+    return both.where("points <> _p").groupBy("risk_glob").agg(F.count("*").alias("movers"))
+
+
+def unexplained(diff: DataFrame, explained: DataFrame, key: str) -> DataFrame:
+    """Movers that nothing explains: keys that moved and aren't among ``explained``."""
+    return diff.where("change = 'moved'").join(explained.select(key).distinct(), key, "left_anti")

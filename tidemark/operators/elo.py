@@ -118,7 +118,8 @@ def rating_walk(outcomes: DataFrame, state: DataFrame | None = None, knobs: Elo
 
     if state is None:
         return outcomes.groupBy("league").applyInPandas(lambda key, pdf: one(key, pdf), HISTORY)
-    return outcomes.groupBy("league").cogroup(state.groupBy("league")).applyInPandas(one, HISTORY)
+    fresh = state.toDF(*state.columns)  # it may come from the same table as the outcomes
+    return outcomes.groupBy("league").cogroup(fresh.groupBy("league")).applyInPandas(one, HISTORY)
 
 
 def last_state(history: DataFrame) -> DataFrame:

@@ -198,20 +198,23 @@ def evidence_hash(columns: list[str]) -> Column:
     return F.substring(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256), 1, 16)
 
 
-def upsert(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """(ticket, points, source, hash, posted, outcome): inserted, updated, skipped (same hash) or preserved (a person's points stay)."""
-    e = existing.select("ticket", *[F.col(c).alias(f"_{c}") for c in ("points", "source", "hash", "posted")])
-    both = e.join(new.select("ticket", "points", "hash"), "ticket", "full")
+def upsert(existing: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("ticket",), dates: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, points, source, hash, posted, dates, outcome): inserted, updated, skipped (same hash) or preserved (a person's
+    points stay); ``keys`` may name the scorer, too, and missing ``dates`` are filled from the new rows whatever the outcome."""
+    by = list(keys)
+    e = existing.select(*by, *[F.col(c).alias(f"_{c}") for c in ("points", "source", "hash", "posted", *dates)])
+    both = e.join(new.select(*by, "points", "hash", *dates), by, "full")
     outcome = (
         F.when(F.col("_hash").isNull(), "inserted").when(F.col("hash").isNull(), "kept").when(F.col("_source") == "human", "preserved").when(F.col("_hash") == F.col("hash"), "skipped").otherwise("updated")
     )
     old = outcome.isin("kept", "preserved", "skipped")
     return both.select(
-        "ticket",
+        *by,
         F.when(old, F.col("_points")).otherwise(F.col("points")).alias("points"),
         F.coalesce("_source", F.lit("auto")).alias("source"),
         F.when(outcome.isin("kept", "skipped"), F.col("_hash")).otherwise(F.col("hash")).alias("hash"),
         F.coalesce("_posted", F.lit(False)).alias("posted"),
+        *[F.coalesce(f"_{c}", c).alias(c) for c in dates],
         outcome.alias("outcome"),
     )
 

@@ -88,12 +88,12 @@ def _devs_files(t):
     return rollup.unique_files(people.attribute_github(t("prs"), t("roster_login"), "author"), t("pr_files"), ["dev"])
 
 
-def _leaderboard(t):
+def _leaderboard(t, knobs: Impact = Impact()):
     """Totals, files, progress, multiplier and dampened impact of scoreable people; lines are capped among them."""
     own = people.attribute_github(t("prs"), t("roster_login"), "author")
     wide = rollup.totals(_facts(t), ["dev"]).drop("created")
     parts = [
-        impact.effective_files(own, t("prs"), t("pr_files")), impact.effective_loc(own, t("prs"), t("pr_files")), rollup.progressed(t("changelog"), t("roster_dev"), []),
+        impact.effective_files(own, t("prs"), t("pr_files"), knobs), impact.effective_loc(own, t("prs"), t("pr_files"), knobs), rollup.progressed(t("changelog"), t("roster_dev"), []),
         rollup.issues_created(t("issues"), t("roster_dev"), []).withColumnRenamed("created_keys", "created"),
     ]
     wide = wide.join(people.scoreable(t("roster_dev"), t("roster_login")).select("dev"), "dev", "left_semi")
@@ -119,14 +119,14 @@ EXT = r"lower(regexp_extract(path, '\.([^./]*)$', 1))"
 DATA = "(" + ", ".join(f"'{e}'" for e in DATA_EXTENSIONS) + ")"
 
 
-def family_sql(most: int, cv: float, files: str = "{pr_files}") -> str:
+def family_sql(most: int, cv: float, files: str = "{pr_files}", members: int = 3) -> str:
     """fo: members of families (r > 1: damped)."""
     return rf"""
   fm AS (SELECT f.path, max(f.additions + f.deletions) AS loc FROM {files} f JOIN {{prs}} p USING (repo, pr_number) WHERE f.status = 'added' AND p.merged IS NOT NULL GROUP BY f.path),
   fk AS (SELECT path, loc, regexp_extract(path, '^(.*/)?', 0) AS folder, regexp_extract(path, '\.([^./]*)$', 1) AS ext, regexp_split_to_array(regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\.[^.]*$', ''), '[-_.]') AS tok FROM fm),
   fs AS (SELECT path, loc, folder || array_to_string(list_transform(tok, lambda x: CASE WHEN length(x) <= {most} AND regexp_full_match(x, '[A-Za-z0-9]+') THEN '#' ELSE x END), '-') || '.' || lower(ext) AS stem FROM fk
          WHERE len(list_filter(tok, lambda x: length(x) <= {most} AND regexp_full_match(x, '[A-Za-z0-9]+'))) > 0),
-  fg AS (SELECT stem FROM fs GROUP BY stem HAVING count(*) >= 3 AND avg(loc) > 0 AND stddev_pop(loc) <= {cv} * avg(loc)),
+  fg AS (SELECT stem FROM fs GROUP BY stem HAVING count(*) >= {members} AND avg(loc) > 0 AND stddev_pop(loc) <= {cv} * avg(loc)),
   fo AS (SELECT path, row_number() OVER (PARTITION BY stem ORDER BY loc DESC, path) AS r FROM fs JOIN fg USING (stem))"""
 
 
@@ -140,7 +140,7 @@ def effective_sql(k: Impact, files: str = "{pr_files}", integration: str = "", b
     damp = f"CASE WHEN additions + deletions >= {k.bulk_loc} AND additions >= {k.bulk_add_ratio} * (additions + deletions) AND coalesce(n_added, 0) >= {k.bulk_files} THEN {k.bulk_weight} ELSE 1.0 END" if bulk else "1.0"
     lines = f"(additions + {k.deletion_weight}::DOUBLE * deletions)"
     each = "true" if churn else "(SELECT count(*) FROM fo WHERE r > 1) > 0"
-    return f"""{family_sql(k.family_token, k.family_cv, files)},
+    return f"""{family_sql(k.family_token, k.family_cv, files, k.family_members)},
   dp AS (SELECT repo, pr_number, sum(n) >= {k.dump_files} AND max(n) >= {k.dump_share} * sum(n) AND max(struct_pack(n := n, ext := ext)).ext IN {DATA} AS dump FROM {share} GROUP BY 1, 2),
   mp AS (SELECT p.repo, p.pr_number, l.dev, p.additions, p.deletions, coalesce(g.integ, 1.0) AS integ FROM {{prs}} p JOIN {{roster_login}} l ON l.login = p.author LEFT JOIN {weight} g USING (repo, pr_number) WHERE p.merged IS NOT NULL),
   ff AS (SELECT dev, path, max(CASE WHEN dp.dump AND {EXT} IN {DATA} THEN {k.dump_weight} WHEN {NOISE} THEN {k.generated_weight} ELSE 1.0 END * CASE WHEN fo.r > 1 THEN {k.family_weight} ELSE 1.0 END * integ) AS w

@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from tidemark.config import Band, Impact, Integration
+from tidemark.config import GENERATED_PATHS, Band, Impact, Integration
 from tidemark.functions import calendar as cal
 from tidemark.functions.text import has_tag
 from tidemark.operators import audit, epics, flow, impact, integration, people, tickets
@@ -118,8 +118,8 @@ def _classified(t):
     return integration.classify(prs, t("pr_commits"), Integration(titles=("Promote", "merge to")))
 
 
-def _tickets(t):
-    return tickets.evidence(*[t(x) for x in ("issues", "prs", "pr_keys", "pr_files", "reviews", "changelog", "commits", "comments", "issue_links")])
+def _tickets(t, patterns: tuple[str, ...] = GENERATED_PATHS):
+    return tickets.evidence(*[t(x) for x in ("issues", "prs", "pr_keys", "pr_files", "reviews", "changelog", "commits", "comments", "issue_links")], patterns)
 
 
 def _evidence(t):
@@ -187,14 +187,24 @@ BANDED = f"""{EVIDENCE},
   b7 AS (SELECT *, CASE WHEN split AND c0 = 'high' THEN 'medium' ELSE c0 END AS confidence, split OR why IS NOT NULL AS needs_insight, CASE WHEN split THEN 'split' ELSE coalesce(why, '') END AS reason FROM b6)"""
 
 
-def spike_points(t):
+SPIKES = r"""k AS (SELECT conv_id, sum(len(regexp_extract_all(text, 'https?://\S+'))) + least(sum(CASE WHEN strlen(trim(text)) >= 200 THEN 1 ELSE 0 END), 3) AS art, count(*) AS flips, count(DISTINCT role) AS spawned, max(turn) AS breadth, conv_id % 5 AS cd FROM {conversations} GROUP BY conv_id),
+  b AS (SELECT *, CASE WHEN cd >= 2 AND art >= 2 THEN 5.0 WHEN cd >= 2 THEN 3.0 WHEN art >= 2 THEN 3.0 ELSE 1.5 END + greatest(art - 2, 0) * 0.5 + CASE WHEN flips >= 4 THEN 1.0 ELSE 0 END + spawned * 0.5 + greatest(breadth - 3, 0) * 0.25 AS raw FROM k),
+  lv(lo, hi) AS (VALUES (1, 2), (2, 3), (3, 5), (5, 8), (8, 13)),
+  s AS (SELECT b.*, lo, hi, abs(raw - (lo + hi) / 2.0) < 0.15 * (hi - lo) AS z FROM b LEFT JOIN lv ON raw > 1 AND raw < 13 AND raw <= hi AND (raw > lo OR lo = 1)),
+  p AS (SELECT *, CASE WHEN raw <= 1 THEN 1 WHEN raw >= 13 THEN 13 WHEN z THEN hi WHEN raw < (lo + hi) / 2.0 THEN lo ELSE hi END AS points, cd >= 2 AND art = 0 AND flips < 4 AND spawned = 0 AS dormant FROM s)"""
+
+
+def spike_rows(t):
     """Investigations from conversations: links as artifacts, long turns as substantive comments."""
     talk = t("conversations").groupBy("conv_id").agg(
         F.sum(F.size(F.regexp_extract_all("text", F.lit(r"https?://\S+"), F.lit(0)))).alias("artifact_links"), F.sum((F.octet_length(F.trim("text")) >= 200).cast("long")).alias("substantive"),
         F.count("*").alias("status_flips"), F.countDistinct("role").alias("spawned"), F.max("turn").alias("breadth"),
     )
-    rows = talk.withColumn("cycle_days", (F.col("conv_id") % 5).cast("double"))
-    return tickets.spike_band(rows).select("conv_id", n("points"), "band", r("raw"), "confidence", "needs_insight")
+    return talk.withColumn("cycle_days", (F.col("conv_id") % 5).cast("double"))
+
+
+def spike_points(t):
+    return tickets.spike_band(spike_rows(t)).select("conv_id", n("points"), "band", r("raw"), "confidence", "needs_insight")
 
 
 def _scores(t):
@@ -393,12 +403,7 @@ QUERIES = {
     "ticket_band": (ticket_band, f"WITH {BANDED} SELECT issue_key, CAST(points AS BIGINT) AS points, band, quadrant, round(raw_effort, 4)::DOUBLE AS raw_effort, drivers, confidence, needs_insight, reason FROM b7"),
     "ticket_spikes": (
         spike_points,
-        """WITH k AS (SELECT conv_id, sum(len(regexp_extract_all(text, 'https?://\\S+'))) + least(sum(CASE WHEN strlen(trim(text)) >= 200 THEN 1 ELSE 0 END), 3) AS art, count(*) AS flips, count(DISTINCT role) AS spawned, max(turn) AS breadth, conv_id % 5 AS cd FROM {conversations} GROUP BY conv_id),
-           b AS (SELECT *, CASE WHEN cd >= 2 AND art >= 2 THEN 5.0 WHEN cd >= 2 THEN 3.0 WHEN art >= 2 THEN 3.0 ELSE 1.5 END + greatest(art - 2, 0) * 0.5 + CASE WHEN flips >= 4 THEN 1.0 ELSE 0 END + spawned * 0.5 + greatest(breadth - 3, 0) * 0.25 AS raw FROM k),
-           lv(lo, hi) AS (VALUES (1, 2), (2, 3), (3, 5), (5, 8), (8, 13)),
-           s AS (SELECT b.*, lo, hi, abs(raw - (lo + hi) / 2.0) < 0.15 * (hi - lo) AS z FROM b LEFT JOIN lv ON raw > 1 AND raw < 13 AND raw <= hi AND (raw > lo OR lo = 1)),
-           p AS (SELECT *, CASE WHEN raw <= 1 THEN 1 WHEN raw >= 13 THEN 13 WHEN z THEN hi WHEN raw < (lo + hi) / 2.0 THEN lo ELSE hi END AS points, cd >= 2 AND art = 0 AND flips < 4 AND spawned = 0 AS dormant FROM s)
-           SELECT conv_id, CAST(points AS BIGINT) AS points, CASE WHEN raw > 1 AND raw < 13 AND z THEN lo || '–' || hi ELSE CAST(points AS VARCHAR) END AS band, round(raw, 4)::DOUBLE AS raw, CASE WHEN dormant THEN 'low' WHEN art >= 2 AND cd >= 2 THEN 'high' ELSE 'medium' END AS confidence, dormant AS needs_insight FROM p""",
+        f"""WITH {SPIKES} SELECT conv_id, CAST(points AS BIGINT) AS points, CASE WHEN raw > 1 AND raw < 13 AND z THEN lo || '–' || hi ELSE CAST(points AS VARCHAR) END AS band, round(raw, 4)::DOUBLE AS raw, CASE WHEN dormant THEN 'low' WHEN art >= 2 AND cd >= 2 THEN 'high' ELSE 'medium' END AS confidence, dormant AS needs_insight FROM p""",
     ),
     "ticket_upsert": (
         score_upsert,
@@ -441,6 +446,21 @@ QUERIES = {
             p AS (SELECT before, CASE WHEN raw2 <= 1 THEN 1 WHEN raw2 >= 13 THEN 13 WHEN abs(raw2 - (l + h) / 2.0) < 0.15 * (h - l) THEN h WHEN raw2 < (l + h) / 2.0 THEN l ELSE h END AS after FROM s)
             SELECT CAST(before AS BIGINT) AS before, CAST(after AS BIGINT) AS after, count(*) AS n FROM p GROUP BY 1, 2""",
     ),
+    "audit_band_patterns": (
+        lambda t: audit.band_changes(tickets.band(_evidence(t)), tickets.band(_tickets(t, (*GENERATED_PATHS, "*.md", "*.ts")).where("n_prs > 0"))).select(*[n(c) for c in ("tickets", "lines", "points", "risk", "flagged_before", "flagged_after")]),
+        f"""SELECT count(*) AS tickets, CAST(sum(CASE WHEN a.net <> b.net THEN 1 ELSE 0 END) AS BIGINT) AS lines, CAST(sum(CASE WHEN a.points <> b.points THEN 1 ELSE 0 END) AS BIGINT) AS points, CAST(sum(CASE WHEN a.risk <> b.risk THEN 1 ELSE 0 END) AS BIGINT) AS risk,
+            CAST(sum(CASE WHEN a.needs_insight THEN 1 ELSE 0 END) AS BIGINT) AS flagged_before, CAST(sum(CASE WHEN b.needs_insight THEN 1 ELSE 0 END) AS BIGINT) AS flagged_after
+            FROM (WITH {BANDED} SELECT * FROM b7) a JOIN (WITH {BANDED.replace(NOISE, f"({NOISE} OR path LIKE '%.md' OR path LIKE '%.ts')")} SELECT * FROM b7) b USING (issue_key)""",
+    ),
+    "audit_movers_by_glob": (
+        lambda t: audit.movers_by_glob(tickets.band(_evidence(t), replace(Band(), high_risk=0.0, medium_risk=0.0)), tickets.band(_evidence(t))),
+        f"""SELECT b.risk_glob, count(*) AS movers FROM (WITH {BANDED.replace("CASE risk WHEN 'high' THEN 2.0 WHEN 'medium' THEN 1.0 ELSE 0.0 END AS d3", "0.0 AS d3")} SELECT * FROM b7) a JOIN (WITH {BANDED} SELECT * FROM b7) b USING (issue_key) WHERE a.points <> b.points GROUP BY 1""",
+    ),
+    "audit_unexplained": (
+        lambda t: audit.unexplained(audit.diff_snapshots(t("orders").groupBy("o_custkey").agg(F.count("*").alias("v")), t("orders").where("o_orderkey % 10 <> 1").groupBy("o_custkey").agg(F.count("*").alias("v")), "o_custkey", "v"), t("customer").where("c_nationkey < 12").select(F.col("c_custkey").alias("o_custkey")), "o_custkey").select("o_custkey", "before", "after"),
+        """WITH a AS (SELECT o_custkey, count(*) AS v FROM {orders} GROUP BY 1), b AS (SELECT o_custkey, count(*) AS v FROM {orders} WHERE o_orderkey % 10 <> 1 GROUP BY 1)
+           SELECT o_custkey, a.v AS before, b.v AS after FROM a JOIN b USING (o_custkey) WHERE a.v <> b.v AND o_custkey NOT IN (SELECT c_custkey FROM {customer} WHERE c_nationkey < 12)""",
+    ),
     "audit_snapshots": (
         lambda t: audit.diff_snapshots(t("orders").where("o_orderkey % 10 <> 0").groupBy("o_custkey").agg(F.count("*").alias("v")), t("orders").where("o_orderkey % 10 <> 1").groupBy("o_custkey").agg(F.count("*").alias("v")), "o_custkey", "v").groupBy("change").agg(F.count("*").alias("n"), F.sum("delta").alias("delta")),
         """WITH a AS (SELECT o_custkey, count(*) AS v FROM {orders} WHERE o_orderkey % 10 <> 0 GROUP BY 1), b AS (SELECT o_custkey, count(*) AS v FROM {orders} WHERE o_orderkey % 10 <> 1 GROUP BY 1)

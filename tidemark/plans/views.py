@@ -7,13 +7,13 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from tidemark.config import Effort, Spike
+from tidemark.config import Effort, Impact, Spike
 from tidemark.functions import calendar as cal
 from tidemark.functions.text import disciplines
 from tidemark.operators import audit, elo, epics, flow, ranking, tickets
 from tidemark.plans import activity, delivery
-from tidemark.plans.activity import LEADER_SQL, n, r
-from tidemark.plans.delivery import BANDED, DURATIONS, EPIC
+from tidemark.plans.activity import EFFECTIVE, LEADER_SQL, effective_sql, n, r
+from tidemark.plans.delivery import BANDED, DURATIONS, EPIC, SPIKES
 from tidemark.sources import corpus_files
 
 #: The leaderboard with a multiplier of 1.
@@ -51,12 +51,33 @@ def cohort_audit(t):
 
 def spike_audit(t):
     """Points of investigations with and without nudges."""
-    talk = t("conversations").groupBy("conv_id").agg(F.lit(0).alias("artifact_links"), F.sum((F.octet_length(F.trim("text")) >= 200).cast("long")).alias("substantive"), F.count("*").alias("status_flips"), F.countDistinct("role").alias("spawned"), F.max("turn").alias("breadth"))
-    rows = talk.withColumn("cycle_days", (F.col("conv_id") % 5).cast("double"))
-    points = lambda k: tickets.spike_band(rows, k).select("conv_id", F.col("points").alias("v"))
+    points = lambda k: tickets.spike_band(delivery.spike_rows(t), k).select("conv_id", F.col("points").alias("v"))
     return audit.movement(audit.diff_snapshots(points(replace(Spike(), spawned=0.0, breadth=0.0)), points(Spike()), "conv_id", "v")).select(n("before"), n("after"), n("n"))
 
 
+def spike_population(t):
+    """Per band of investigations: how many, with follow-ups, with artifacts, flagged, and the most effort."""
+    rows = tickets.spike_band(delivery.spike_rows(t))
+    count = lambda when: F.sum(when.cast("long"))
+    return rows.groupBy("band").agg(F.count("*").alias("n"), count(F.col("spawned") > 0).alias("spawned"), count(F.col("artifacts") > 0).alias("artifacts"), count(F.col("needs_insight")).alias("flagged"), F.round(F.max("raw").cast("double"), 4).alias("most"))
+
+
+#: Knobs under which many files are members of families.
+LOOSE = Impact(family_members=2, family_cv=1.0, family_token=8)
+LOOSE_SQL = LEADER_SQL.replace(EFFECTIVE, effective_sql(LOOSE))
+
+
+def impact_audit(t):
+    """Lines, impact and rank of everyone under the defaults and under loose families."""
+    def side(knobs, mark):
+        wide = activity._leaderboard(t, knobs)
+        rank = ranking.rank_cohort(ranking.composite(ranking.z_scores(ranking.metric_matrix(wide, []), []), []), [])
+        return wide.select("dev", "loc", "effective_loc", "code_impact").join(rank, "dev").select("dev", "loc", *[F.col(c).alias(f"{c}_{mark}") for c in ("effective_loc", "code_impact", "rank")])
+
+    both = side(Impact(), "a").join(side(LOOSE, "b").drop("loc"), "dev")
+    return both.select("dev", r("loc"), *[r(f"{c}_{m}") for c in ("effective_loc", "code_impact") for m in "ab"], n("rank_a"), n("rank_b"), (F.col("rank_a") - F.col("rank_b")).cast("long").alias("shift"))
+
+
 def rating_snapshot(t):
     """Ratings of every league after two periods against those after all."""
     outcomes = elo.round_robin(activity._event_scores(t))
@@ -103,7 +124,21 @@ QUERIES = {
         f"""SELECT dev, a.rank AS before, b.rank AS after, CAST(a.rank - b.rank AS BIGINT) AS shift FROM ({FLAT_SQL} SELECT dev, row_number() OVER (ORDER BY sum(contribution) DESC, dev) AS rank FROM co GROUP BY dev) a
             JOIN ({LEADER_SQL} SELECT dev, row_number() OVER (ORDER BY sum(contribution) DESC, dev) AS rank FROM co GROUP BY dev) b USING (dev)""",
     ),
-    "audit_spikes": (spike_audit, None),
+    "audit_spikes": (
+        spike_audit,
+        f"""SELECT CAST(a.points AS BIGINT) AS before, CAST(b.points AS BIGINT) AS after, count(*) AS n FROM (WITH {SPIKES.replace("+ spawned * 0.5 + greatest(breadth - 3, 0) * 0.25", "")} SELECT * FROM p) a JOIN (WITH {SPIKES} SELECT * FROM p) b USING (conv_id) GROUP BY 1, 2""",
+    ),
+    "audit_spike_population": (
+        spike_population,
+        f"""WITH {SPIKES}, q AS (SELECT *, CASE WHEN raw > 1 AND raw < 13 AND z THEN lo || '–' || hi ELSE CAST(points AS VARCHAR) END AS band FROM p)
+            SELECT band, count(*) AS n, CAST(sum(CASE WHEN spawned > 0 THEN 1 ELSE 0 END) AS BIGINT) AS spawned, CAST(sum(CASE WHEN art > 0 THEN 1 ELSE 0 END) AS BIGINT) AS artifacts, CAST(sum(CASE WHEN dormant THEN 1 ELSE 0 END) AS BIGINT) AS flagged, round(max(raw), 4)::DOUBLE AS most FROM q GROUP BY 1""",
+    ),
+    "audit_impact": (
+        impact_audit,
+        f"""SELECT dev, a.loc::DOUBLE AS loc, {", ".join(f"round({m}.{c}, 4)::DOUBLE AS {c}_{m}" for c in ("effective_loc", "code_impact") for m in "ab")}, a.rank AS rank_a, b.rank AS rank_b, CAST(a.rank - b.rank AS BIGINT) AS shift
+            FROM ({LEADER_SQL}, rk AS (SELECT dev, row_number() OVER (ORDER BY sum(contribution) DESC, dev) AS rank FROM co GROUP BY dev) SELECT * FROM w2 JOIN rk USING (dev)) a
+            JOIN ({LOOSE_SQL}, rk AS (SELECT dev, row_number() OVER (ORDER BY sum(contribution) DESC, dev) AS rank FROM co GROUP BY dev) SELECT * FROM w2 JOIN rk USING (dev)) b USING (dev)""",
+    ),
     "audit_ratings": (rating_snapshot, None),
     "epic_facets": (
         epic_facets,

@@ -71,5 +71,26 @@ def integrity(manifest: DataFrame, files: DataFrame) -> DataFrame:
     return both.withColumn("problem", problem).where("problem IS NOT NULL").select("scope", "month", "problem")
 
 
+def json_to_columnar(spark: SparkSession, root: str, path: str, sources: dict[str, tuple[StructType | str, tuple[str, ...], tuple[str, ...]]]) -> DataFrame:
+    """Imports a JSON corpus: ``sources`` gives each source's schema, key columns and child arrays.
+
+    Each source becomes cells at ``{path}/{source}`` and each child array a table at ``{path}/{source}_{child}``.  Cells are
+    rewritten whole, so a second import changes nothing.  Returns (source, scope, month, records) of what was imported."""
+    tallies = None
+    for source, (schema, key, arrays) in sources.items():
+        rows = read_corpus_json(spark, root, source, schema)
+        write_cells(rows.drop(*arrays), f"{path}/{source}")
+        for child in arrays:
+            write_cells(children(rows, [*key, "scope", "month"], child), f"{path}/{source}_{child}")
+        own = cell_manifest(spark.read.parquet(f"{path}/{source}"), source)
+        tallies = own if tallies is None else tallies.unionByName(own)
+    return tallies
+
+
+def export_scores(scores: DataFrame, path: str) -> None:
+    """All score rows as JSON lines, by ticket."""
+    scores.orderBy("ticket").write.mode("overwrite").json(path)
+
+
 def write_results(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
