@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    On a cluster it is the one named in ``spark.checkpoint.dir``.  Only where that is
-    unset (tests, one machine) a fresh local folder is taken and set as checkpoint folder.
+    On a cluster it is the one named in ``spark.checkpoint.dir``, and it is an error if that is
+    unset.  Only in local mode (tests, one machine) a fresh local folder is taken instead.
     """
     have = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -21,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
         jdir = sc._jsc.sc().getCheckpointDir()
         have = jdir.get() if jdir.isDefined() else None
     if not have:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         have = "file://" + tempfile.mkdtemp(prefix="tidemark-shared-")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(have)
@@ -55,9 +57,8 @@ def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFr
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` by a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` with its lineage cut by a written table, which ``release`` deletes like the others."""
+    return written(df, "cut")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

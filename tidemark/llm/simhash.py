@@ -101,9 +101,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each component: the one with the least doc_id."""
-    found = near_duplicates(docs, id_col, text_col)
-    kept = found.where("doc_id = component_id OR doc_id IS NULL").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept[id_col]), "left_semi")
+    gone = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_tm_gone")).distinct()
+    return docs.join(gone, docs[id_col] == F.col("_tm_gone"), "left_anti")
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

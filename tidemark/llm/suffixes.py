@@ -17,7 +17,8 @@ smaller doc_id.  Suffixes need sorting to that depth only, and only where a repe
 
 Nothing is compared pair by pair; a bucket that more than ``hot`` chunks share is split further by
 the windows' whole content before it is refined, so that no group grows with a hot passage's
-contexts.  The chunk size is a parameter; a chunk is the most that one Python worker holds.
+contexts.  A chunk is the most that one Python worker holds; its size follows the counted bytes (8 MB
+up to 128 GB, then 1 / 16384 of them, 256 MB at most), as fragments grow with the square of their number.
 
 Defined cases: null or empty text has no bytes; texts shorter than 50 bytes lose nothing; a null
 doc_id takes no part, neither as a copy nor as an original; rows with an equal doc_id don't remove
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import documents, partitions_for, texts
 
-LENGTH, GRAM, CHUNK, HOT = 50, 24, 8 << 20, 512
+LENGTH, GRAM, CHUNK, MOST_CHUNKS, MOST_CHUNK, HOT = 50, 24, 8 << 20, 1 << 14, 256 << 20, 512
 _SPAN = LENGTH - GRAM + 1  # grams in a window
 _BITS = 20
 _PIECE = (1 << _BITS) - 64
@@ -410,7 +411,7 @@ def _kept_texts(columns: list[str], text_col: str) -> Callable[[pa.Table, pa.Tab
     return run
 
 
-def _plan(docs: DataFrame, id_col: str, text_col: str, chunk: int, hot: int) -> tuple[DataFrame, DataFrame]:
+def _plan(docs: DataFrame, id_col: str, text_col: str, chunk: int | None, hot: int) -> tuple[DataFrame, DataFrame]:
     """(rows with an id dealt to chunks, their texts as bytes; runs of windows to remove for each chunk).
 
     ``dealt`` is used three times with all its columns, so that Spark reuses one exchange."""
@@ -419,6 +420,7 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, chunk: int, hot: int) ->
     rows = docs.select(*rest, F.col(id_col).cast("long").alias("_tm_id"), raw.alias("_tm_raw")).where("_tm_id IS NOT NULL")
     total = rows.agg(F.sum(F.octet_length("_tm_raw"))).first()[0] or 0
     parts = partitions_for(docs.sparkSession)
+    chunk = chunk or min(MOST_CHUNK, max(CHUNK, total // MOST_CHUNKS))
     chunks = max(parts, -(-total // chunk))
     buckets, groups = max(parts, chunks // 4), max(parts, 2 * chunks)
     dealt = rows.withColumn("_tm_p", F.pmod(F.xxhash64("_tm_id"), F.lit(chunks)))
@@ -434,7 +436,7 @@ def _plan(docs: DataFrame, id_col: str, text_col: str, chunk: int, hot: int) ->
     return dealt, found
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
+def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int | None = None, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for each row."""
     docs = texts(docs, id_col, text_col)
     dealt, found = _plan(docs, "doc_id", "text", chunk, hot)
@@ -444,7 +446,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chun
     return out.unionByName(unnamed)
 
 
-def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int | None = None, hot: int = HOT) -> DataFrame:
     """``docs`` with the repeated passages cut out of the texts, whole characters only."""
     dealt, found = _plan(docs, id_col, text_col, chunk, hot)
     kept = dealt.groupBy("_tm_p").cogroup(found.groupBy("p")).applyInArrow(_kept_texts(docs.columns, text_col), docs.schema)
