@@ -319,12 +319,12 @@ QUERIES = {
         f"WITH {effective_sql(VARIED, DETAILED, MERGE_UPS)} SELECT dev, unique_files, round(effective_files, 4)::DOUBLE AS effective_files FROM ef",
     ),
     "impact_effective_loc": (
-        lambda t: impact.effective_loc(_varied(t)[0], t("prs"), _varied(t)[1], VARIED, integration=_varied(t)[2]).select("dev", r("effective_loc")),
-        f"WITH {effective_sql(VARIED, DETAILED, MERGE_UPS)} SELECT dev, round(effective_loc, 4)::DOUBLE AS effective_loc FROM el",
+        lambda t: impact.effective_loc(_varied(t)[0], t("prs"), _varied(t)[1], VARIED, integration=_varied(t)[2]).select("dev", F.round("effective_loc", 6).alias("effective_loc")),
+        f"WITH {effective_sql(VARIED, DETAILED, MERGE_UPS)} SELECT dev, round(effective_loc, 6)::DOUBLE AS effective_loc FROM el",
     ),
     "impact_effective_loc_knobs": (
-        lambda t: impact.effective_loc(_varied(t)[0], t("prs"), _varied(t)[1], VARIED, bulk=True, churn=True).select("dev", r("effective_loc")),
-        f"WITH {effective_sql(VARIED, DETAILED, bulk=True, churn=True)} SELECT dev, round(effective_loc, 4)::DOUBLE AS effective_loc FROM el",
+        lambda t: impact.effective_loc(_varied(t)[0], t("prs"), _varied(t)[1], VARIED, bulk=True, churn=True).select("dev", F.round("effective_loc", 6).alias("effective_loc")),
+        f"WITH {effective_sql(VARIED, DETAILED, bulk=True, churn=True)} SELECT dev, round(effective_loc, 6)::DOUBLE AS effective_loc FROM el",
     ),
     "impact_effective_loc_plain": (
         lambda t: impact.effective_loc(_varied(t)[0], t("prs"), _varied(t)[1], replace(VARIED, family_members=10**9)).select("dev", r("effective_loc")),
