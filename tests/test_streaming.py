@@ -43,11 +43,13 @@ def test_upserts_and_ratings(spark, tmp_path):
     assert query.exception() is None
     rows = [("l", p, d, o) for p, o in (("2024-P01", 0.7), ("2024-P03", 0.6), ("2024-P05", 0.2)) for d, o in (("a", o), ("b", 1 - o))]
     frame = lambda rs: spark.createDataFrame(rs, "league string, period string, dev string, outcome double")
-    first = jobs.rate_periods(None, frame(rows[:1]))  # the newest period waits for its other rows
+    names = [c.split()[0] for c in jobs.RATED.split(", ")]
+    step = lambda old, rs: spark.createDataFrame(jobs.rate_periods(old, frame(rs)).select(*names).collect(), jobs.RATED)  # noqa: E731  # a table between batches, as the writer keeps one
+    first = step(None, rows[:1])  # the newest period waits for its other rows
     assert first.where("rating IS NOT NULL").count() == 0
-    second = jobs.rate_periods(first, frame(rows[1:4]))
-    third = jobs.rate_periods(second, frame(rows[2:]))  # rows that come again count once
-    late = jobs.rate_periods(third, frame([("l", "2024-P01", "c", 0.5)]))  # too late: the period has closed
+    second = step(first, rows[1:4])
+    third = step(second, rows[2:])  # rows that come again count once
+    late = step(third, [("l", "2024-P01", "c", 0.5)])  # too late: the period has closed
     want = {(r.dev, round(r.rating, 6)) for r in elo.last_state(elo.rating_walk(frame(rows[:4]))).collect()}
     for got in (third, late):
         assert {(r.dev, round(r.rating, 6)) for r in got.where("rating IS NOT NULL").collect()} == want
