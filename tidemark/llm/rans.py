@@ -37,6 +37,7 @@ from tidemark.llm.common import documents, new_path, partitions_for, texts, writ
 from tidemark.llm.tokenizers_fast import word_bpe
 
 END_ID, SCALE, LANES, SEGMENT, BLOCK = 1, 20, 1024, 1 << 16, 1 << 16
+RANGE = 1 << 27  # ids of a range, one file each
 _LOW = np.uint64(1 << 31)
 _HEAD, _SEGMENT = struct.Struct("<4sIII"), struct.Struct("<III")
 
@@ -211,7 +212,9 @@ def write_token_file(
         counts[row["id"]] = row["n"]
     raw = scaled(counts).astype("<u4").tobytes()
     spark.createDataFrame([(bytearray(raw),)], "freq binary").coalesce(1).write.parquet(f"{path}/table")
-    ordered = ids.repartitionByRange(partitions_for(spark), "doc_id").sortWithinPartitions("doc_id")
+    ranges = max(partitions_for(spark), -(-int(counts.sum()) // RANGE))  # by the counted ids; the rows of one id may fill several
+    tie = F.xxhash64("ids").alias("tie")
+    ordered = ids.withColumn("tie", tie).repartitionByRange(ranges, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     ordered.mapInArrow(_blocks(raw, dtype), _BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     blocks = spark.read.schema(_BLOCKS).parquet(f"{path}/blocks")
     parts = blocks.groupBy("part").agg(F.sum(F.expr("aggregate(lens, 0L, (a, x) -> a + x)")).alias("n_ids"))
