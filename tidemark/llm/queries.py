@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import licenses, media, packing, pii, quality, rans, sentencepieces, simhash, suffixes, topk
+from tidemark.llm import lexical, licenses, media, packing, pii, quality, rans, sentencepieces, simhash, suffixes, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": topk.op1_exact_topk,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op9_quality": quality.op9_quality,
     "op10_sentencepiece": sentencepieces.op10_sentencepiece,
+    "op11_lexical_search": lexical.op11_lexical_search,
 }
 
-ORACLES: dict[str, str] = {"op1_exact_topk": topk.OP1_SQL}
+ORACLES: dict[str, str] = {"op1_exact_topk": topk.OP1_SQL, "op11_lexical_search": lexical.OP11_SQL}
