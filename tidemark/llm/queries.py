@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import lexical, licenses, media, packing, pii, quality, rans, sentencepieces, simhash, suffixes, superminhash, topk
+from tidemark.llm import collocations, lexical, licenses, media, packing, pii, quality, rans, sentencepieces, simhash, suffixes, superminhash, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_topk": topk.op1_exact_topk,
@@ -21,6 +21,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_sentencepiece": sentencepieces.op10_sentencepiece,
     "op11_lexical_search": lexical.op11_lexical_search,
     "op12_superminhash_near_dedup": superminhash.op12_superminhash_near_dedup,
+    "op13_collocations": collocations.op13_collocations,
 }
 
-ORACLES: dict[str, str] = {"op1_exact_topk": topk.OP1_SQL, "op11_lexical_search": lexical.OP11_SQL, "op12_superminhash_near_dedup": superminhash.OP12_SQL}
+ORACLES: dict[str, str] = {
+    "op1_exact_topk": topk.OP1_SQL,
+    "op11_lexical_search": lexical.OP11_SQL,
+    "op12_superminhash_near_dedup": superminhash.OP12_SQL,
+    "op13_collocations": collocations.OP13_SQL,
+}
