@@ -132,6 +132,14 @@ def test_threads_of_any_depth(spark):
     assert got[1] == (300, 1) and got[2][0] == 3
 
 
+def test_a_thread_of_a_hundred_thousand_replies_ends(spark):
+    rows = spark.range(1, 100_001).select(F.lit("r").alias("repo"), F.lit(1).cast("long").alias("pr_number"), "id", (F.col("id") - 1).alias("in_reply_to"))
+    few = rows.where("id <= 4")
+    sizes = [len(flow.deep_threads(x)._jdf.queryExecution().optimizedPlan().toString()) for x in (few, rows)]
+    assert abs(sizes[0] - sizes[1]) < 200  # the plan does not grow with the thread
+    assert tuple(flow.deep_threads(rows.unionByName(few.withColumn("id", F.col("id") + 200_000).withColumn("in_reply_to", F.lit(0).cast("long")))).first())[2:] == (100_004, 1)
+
+
 def test_ticket_flow_in_one_pass(spark):
     moves = [("K", 1, 0, "To Do", "In Progress"), (("K"), 10, 1, "In Progress", "In QA"), ("K", 20, 2, "In QA", "In Progress"), ("K", 21, 3, "In Progress", "Code Review"), ("K", 22, 4, "Code Review", "In Progress"), ("K", 30, 5, "In Progress", "In QA")]
     at = lambda h: F.timestamp_seconds(F.col(h) * 3600)
@@ -288,12 +296,57 @@ def test_elo_solo_draws_and_idle_decays():
 def test_elo_resumed_equals_whole(spark):
     rows = spark.createDataFrame(_outcomes(4).assign(league="l"))
     whole = elo.rating_walk(rows).toPandas()
-    first = elo.rating_walk(rows.where("period <= '2024-P03'"))
-    more = elo.advance(rows, elo.last_state(first), "2024-P03").toPandas()
-    both = pd.concat([first.toPandas(), more]).sort_values(["period", "dev"]).reset_index(drop=True)
+    first = elo.rating_fold(rows.where("period <= '2024-P03'"))
+    more = elo.advance(rows, elo.state_of(first), "2024-P03").toPandas()
+    both = pd.concat([first.where("kind <> 'state'").toPandas(), more]).sort_values(["period", "dev"]).reset_index(drop=True)
     pd.testing.assert_frame_equal(both, whole.sort_values(["period", "dev"]).reset_index(drop=True))
 
 
+def _with_idlers(n_periods=9):
+    """Outcomes in which people come, pause for one to six periods and come back."""
+    away = {"a": set(range(1, 7)), "b": {2, 3}, "c": {4}, "d": set(range(3, n_periods)), "e": set()}
+    rows = [(f"2024-P{2 * p + 1:02d}", d, 0.2 + 0.1 * ((p * 7 + ord(d)) % 7)) for p in range(n_periods) for d in "abcde" if p not in away[d]]
+    return pd.DataFrame(rows, columns=["period", "dev", "outcome"])
+
+
+def test_elo_every_split_equals_the_whole():
+    rows = _with_idlers()
+    periods = sorted(set(rows.period))
+    whole = elo.walk(rows, EMPTY, hand_on=True)
+    assert (whole.kind == "decay").sum() > 3
+
+    def parts(cuts):
+        state, out = EMPTY, []
+        for lo, hi in zip([0, *cuts], [*cuts, len(periods)]):
+            got = elo.walk(rows[rows.period.isin(periods[lo:hi])], state, hand_on=True)
+            state = got[got.kind == "state"][EMPTY.columns]
+            out.append(got[got.kind != "state"])
+        return pd.concat([*out, got[got.kind == "state"]]).reset_index(drop=True)
+
+    for cuts in [(c,) for c in range(1, len(periods))] + [tuple(range(1, len(periods)))]:
+        pd.testing.assert_frame_equal(parts(cuts), whole, check_dtype=False)
+
+
+def test_elo_by_runs_of_periods_equals_the_whole(spark):
+    rows = spark.createDataFrame(pd.concat([_with_idlers().assign(league="l"), _outcomes(4).assign(league="m")]))
+    assert [len(elo.spans(rows, n)) for n in (1, 10, 1000)] == [9, 4, 1]
+    order = ["league", "kind", "period", "dev"]
+    want = elo.rating_fold(rows).toPandas().sort_values(order).reset_index(drop=True)
+    for n in (1, 10):
+        pd.testing.assert_frame_equal(elo.rating_fold(rows, at_once=n).toPandas().sort_values(order).reset_index(drop=True), want)
+    later = elo.advance_fold(rows, elo.state_of(elo.rating_fold(rows.where("period <= '2024-P05'"))), "2024-P05")
+    state = lambda df: sorted(tuple(r) for r in elo.state_of(df).collect())
+    assert state(later) == state(elo.rating_fold(rows))
+
+
+def test_expectations_do_not_hang_on_the_block():
+    r = np.random.default_rng(3).normal(1000, 200, 57)
+    odds = 1 / (1 + 10 ** ((r[None, :] - r[:, None]) / 400))
+    want = [(odds[i].sum() - 0.5) / 56 for i in range(57)]
+    for block in (1, 10, 57, None):
+        np.testing.assert_allclose(elo.expectations(r, block), want, rtol=1e-12)
+
+
 def test_momentum_hot(spark):
     weeks = spark.createDataFrame([("E", 100, 0, 0.0, 2, 500, 0), ("E", 99, 0, 0.0, 1, 100, 0), ("E", 95, 0, 0.0, 3, 150, 0)], "epic_key string, week long, issues long, story_points double, prs long, loc long, commits long")
     got = epics.momentum(weeks).first()
@@ -302,13 +355,14 @@ def test_momentum_hot(spark):
 
 def test_snap(spark):
     def points(x):
-        p, label, z = tickets.snap(F.lit(x), (1, 2, 3, 5, 8, 13), 0.15)
-        return spark.range(1).select(p.alias("p"), label.alias("l"), z.alias("z")).first()
+        rows = spark.range(1).select(F.lit(x).cast("double").alias("raw"))
+        return tickets.snap(rows, (1, 2, 3, 5, 8, 13), 0.15).select("points", "band", "straddles").first()
 
     assert tuple(points(0.2)) == (1, "1", False)
     assert tuple(points(4.0)) == (5, "3–5", True)
     assert tuple(points(3.2)) == (3, "3", False)
     assert tuple(points(20.0)) == (13, "13", False)
+    assert [tuple(points(x)) for x in (-2.0, 1.0, 13.0, None)] == [(1, "1", False), (1, "1", False), (13, "13", False), (1, "1", False)]
 
 
 def test_upsert_twice_is_a_no_op(spark):

@@ -1,11 +1,14 @@
 """Round-robin ratings over periods: outcomes by blocks per period, the recurrence in one grouped helper per league.
 
 Only the recurrence is sequential, and leagues run apart; its input has one row per person and
-period, and each period is done with vectors.
+period.  Each period is done with vectors and blocks of a matrix, long histories in runs of periods
+with the state in a table between them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,7 +18,10 @@ from pyspark.sql import functions as F
 from tidemark.config import Elo
 from tidemark.functions.calendar import period_close
 from tidemark.operators import ranking
+from tidemark.sources.staging import staged
 
+#: Rows of one league that a task takes at once, cells of a block of expectations, and the kind of rows that hand on the state.
+AT_ONCE, CELLS, STATE = 1 << 21, 1 << 22, "state"
 HISTORY = "league string, dev string, period string, kind string, outcome double, delta double, rating double, periods_played long, idle_streak long"
 
 
@@ -38,12 +44,12 @@ def active_cohort(periods: DataFrame) -> DataFrame:
     return periods.where(F.col("prs_created") + F.col("prs_merged") + F.col("reviewed") + F.col("commits") > 0)
 
 
-def outcomes(score: np.ndarray, knobs: Elo = Elo(), block: int = 1024) -> np.ndarray:
+def outcomes(score: np.ndarray, knobs: Elo = Elo(), block: int | None = None) -> np.ndarray:
     """Each one's mean result against all others: near scores draw.  Pairs live in blocks of a matrix only."""
     n, sd = len(score), float(score.std())
     if n < 2 or sd < 1e-12:
         return np.full(n, 0.5)
-    out = np.empty(n)
+    out, block = np.empty(n), block or max(1, CELLS // n)
     for lo in range(0, n, block):
         d = score[lo : lo + block, None] - score[None, :]
         beyond = np.sign(d) * (np.abs(d) - knobs.deadzone * sd)
@@ -70,8 +76,23 @@ def k_factor(played: np.ndarray, knobs: Elo) -> np.ndarray:
     return np.where(at >= 0, ks[np.maximum(at, 0)], knobs.fallback_k)
 
 
-def walk(outcomes: pd.DataFrame, state: pd.DataFrame, knobs: Elo = Elo()) -> pd.DataFrame:
-    """One league's history from its outcomes (period, dev, outcome) and its people's state (dev, rating, periods_played, idle_streak)."""
+def expectations(ratings: np.ndarray, block: int | None = None) -> np.ndarray:
+    """Each one's mean expected result against all others, in blocks of a matrix; alone, a draw."""
+    n = len(ratings)
+    if n < 2:
+        return np.full(n, 0.5)
+    out, block = np.empty(n), block or max(1, CELLS // n)
+    for lo in range(0, n, block):
+        odds = 1 / (1 + 10 ** ((ratings[None, :] - ratings[lo : lo + block, None]) / 400))
+        out[lo : lo + block] = (odds.sum(axis=1) - 0.5) / (n - 1)  # without oneself, a draw
+    return out
+
+
+def walk(outcomes: pd.DataFrame, state: pd.DataFrame, knobs: Elo = Elo(), hand_on: bool = False) -> pd.DataFrame:
+    """One league's history from its outcomes (period, dev, outcome) and its people's state (dev, rating, periods_played, idle_streak).
+
+    With ``hand_on``, the state of everyone known follows as rows of kind ``state``: a streak too short to decay has no row of
+    history, so the last of those rows don't tell it."""
     known = {r.dev: [r.rating, r.periods_played, r.idle_streak] for r in state.itertuples(index=False)}
     rows = []
     for period, group in outcomes.sort_values(["period", "dev"]).groupby("period", sort=True):
@@ -80,10 +101,8 @@ def walk(outcomes: pd.DataFrame, state: pd.DataFrame, knobs: Elo = Elo()) -> pd.
             known.setdefault(d, [knobs.start, 0, 0])
         r = np.array([known[d][0] for d in devs])
         played = np.array([known[d][1] for d in devs])
-        s, n = group["outcome"].to_numpy(), len(devs)
-        odds = 1 / (1 + 10 ** ((r[None, :] - r[:, None]) / 400))
-        expected = (odds.sum(axis=1) - 0.5) / (n - 1) if n > 1 else np.full(1, 0.5)
-        raw = k_factor(played, knobs) * (s - expected)
+        s = group["outcome"].to_numpy()
+        raw = k_factor(played, knobs) * (s - expectations(r))
         soft = (played < knobs.provisional) & (raw < 0)
         delta = np.where(soft, raw * knobs.provisional_loss, raw)
         forgiven, gained = (delta - raw).sum(), raw[raw > 0].sum()
@@ -103,16 +122,17 @@ def walk(outcomes: pd.DataFrame, state: pd.DataFrame, knobs: Elo = Elo()) -> pd.
             known[d] = [rating + step, n_played, streak]
             if step:
                 rows.append((d, period, "decay", np.nan, step, *known[d]))
+    if hand_on:
+        rows += [(d, None, STATE, np.nan, 0.0, *x) for d, x in sorted(known.items())]
     return pd.DataFrame(rows, columns=["dev", "period", "kind", "outcome", "delta", "rating", "periods_played", "idle_streak"])
 
 
-def rating_walk(outcomes: DataFrame, state: DataFrame | None = None, knobs: Elo = Elo()) -> DataFrame:
-    """History rows of every league: (league, dev, period, kind, outcome, delta, rating, periods_played, idle_streak)."""
+def _fold(outcomes: DataFrame, state: DataFrame | None, knobs: Elo) -> DataFrame:
     names = [c.split()[0] for c in HISTORY.split(", ")]
     empty = pd.DataFrame({"dev": [], "rating": [], "periods_played": [], "idle_streak": []})
 
     def one(key, left, right=empty) -> pd.DataFrame:
-        out = walk(left, right, knobs)
+        out = walk(left, right, knobs, hand_on=True)
         out.insert(0, "league", key[0])
         return out[names]
 
@@ -122,20 +142,60 @@ def rating_walk(outcomes: DataFrame, state: DataFrame | None = None, knobs: Elo
     return outcomes.groupBy("league").cogroup(fresh.groupBy("league")).applyInPandas(one, HISTORY)
 
 
-def last_state(history: DataFrame) -> DataFrame:
-    """(league, dev, rating, periods_played, idle_streak) after the last row of each person."""
-    order = W.partitionBy("league", "dev").orderBy(F.desc("period"))
-    return history.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("league", "dev", "rating", "periods_played", "idle_streak")
+def spans(outcomes: DataFrame, at_once: int = AT_ONCE) -> list[tuple[str, str]]:
+    """Runs of periods, first and last, in which no league has more than ``at_once`` rows, or of one period."""
+    sizes = outcomes.groupBy("league", "period").agg(F.count("*").alias("n")).groupBy("period").agg(F.max("n").alias("n"))
+    out, held = [], 0
+    for r in sorted(sizes.collect(), key=lambda r: r.period):  # a row for each period
+        if out and held + r.n <= at_once:
+            out[-1], held = (out[-1][0], r.period), held + r.n
+        else:
+            out.append((r.period, r.period))
+            held = r.n
+    return out
+
 
+def rating_fold(outcomes: DataFrame, state: DataFrame | None = None, knobs: Elo = Elo(), at_once: int = AT_ONCE) -> DataFrame:
+    """History rows of every league and rows of kind ``state`` (no period) of everyone known at the end.
 
-def advance(outcomes: DataFrame, state: DataFrame, last_period: str | None, knobs: Elo = Elo(), now=None, first_period: str | None = None) -> DataFrame:
-    """History of the periods after ``last_period`` that are over by the day ``now`` (all without one), none before
-    ``first_period``; without a last period, all from an empty state."""
+    The outcomes are written once; a task holds one league's rows of one run of periods (``spans``) and its people; between
+    runs the state is a written table."""
+    rows = staged(outcomes.select("league", "period", "dev", "outcome"), "outcomes")
+    runs = spans(rows, at_once)
+    if len(runs) < 2:
+        return _fold(rows, state, knobs)
+    done = []
+    for first, last in runs:
+        part = staged(_fold(rows.where(F.col("period").between(first, last)), state, knobs), "ratings")
+        done.append(part.where(F.col("kind") != STATE))
+        state = state_of(part)
+    ended = done[0].sparkSession.createDataFrame([], HISTORY).unionByName(state, allowMissingColumns=True).withColumns({"kind": F.lit(STATE), "delta": F.lit(0.0)})
+    return reduce(DataFrame.unionByName, done, ended.select(*done[0].columns))
+
+
+def rating_walk(outcomes: DataFrame, state: DataFrame | None = None, knobs: Elo = Elo(), at_once: int = AT_ONCE) -> DataFrame:
+    """History rows of every league: (league, dev, period, kind, outcome, delta, rating, periods_played, idle_streak)."""
+    return rating_fold(outcomes, state, knobs, at_once).where(F.col("kind") != STATE)
+
+
+def state_of(folded: DataFrame) -> DataFrame:
+    """(league, dev, rating, periods_played, idle_streak) of everyone known at the end of ``rating_fold``: what a later walk begins from."""
+    return folded.where(F.col("kind") == STATE).select("league", "dev", "rating", "periods_played", "idle_streak")
+
+
+def advance_fold(outcomes: DataFrame, state: DataFrame | None, last_period: str | None, knobs: Elo = Elo(), now=None, first_period: str | None = None) -> DataFrame:
+    """History and state (as ``rating_fold``) of the periods after ``last_period`` that are over by the day ``now`` (all without
+    one), none before ``first_period``; without a last period, all from an empty state."""
     rows = outcomes if now is None else outcomes.where(period_close("period") <= F.to_date(now))
     rows = rows if first_period is None else rows.where(F.col("period") >= first_period)
     if last_period is None:
-        return rating_walk(rows, None, knobs)
-    return rating_walk(rows.where(F.col("period") > last_period), state, knobs)
+        return rating_fold(rows, None, knobs)
+    return rating_fold(rows.where(F.col("period") > last_period), state, knobs)
+
+
+def advance(outcomes: DataFrame, state: DataFrame | None, last_period: str | None, knobs: Elo = Elo(), now=None, first_period: str | None = None) -> DataFrame:
+    """The history alone of ``advance_fold``."""
+    return advance_fold(outcomes, state, last_period, knobs, now, first_period).where(F.col("kind") != STATE)
 
 
 def attach(roster: DataFrame, history: DataFrame, knobs: Elo = Elo(), league: str | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.config import ACTIVE_STATUSES, QA_STATUSES, QUEUE_STATUSES, STATUS_RANK
+from tidemark.sources.staging import count_staged, staged, unstage
 
 HOUR = 3600.0
 
@@ -148,13 +149,22 @@ def deep_threads(comments: DataFrame, least: int = 3) -> DataFrame:
     """(repo, pr_number, inline, deep): threads of review comments by their root.
 
     ``comments`` has repo, pr_number, id and in_reply_to (0: a root).  Pointers jump to the parent's pointer, which
-    doubles their reach each time, as often as the longest possible chain (all comments of a request) needs; replies to
-    nothing known are roots, cycles keep some member."""
-    rows = comments.select("repo", "pr_number", "id", F.when(F.col("in_reply_to") == 0, F.col("id")).otherwise(F.col("in_reply_to")).alias("root"))
+    doubles their reach each time, until none moves; replies to nothing known are roots.  Only what moved last jumps
+    again, and each jump starts from a written table, so neither the plan nor the number of its joins grows with the
+    longest thread.  Members of a cycle never come to rest: they jump as often as a chain of all comments of a request
+    would need and then keep some member."""
+    spark, before = comments.sparkSession, count_staged()
+    start = F.when(F.col("in_reply_to") == 0, F.col("id")).otherwise(F.col("in_reply_to"))
+    rows = staged(comments.select("repo", "pr_number", "id", start.alias("root"), (start != F.col("id")).alias("moved")), "threads")
     longest = rows.groupBy("repo", "pr_number").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1  # one number
     for _ in range(max(1, (longest - 1).bit_length())):
         up = rows.select("repo", "pr_number", F.col("id").alias("root"), F.col("root").alias("_up"))
-        rows = rows.join(up, ["repo", "pr_number", "root"], "left").select("repo", "pr_number", "id", F.coalesce("_up", "root").alias("root"))
+        jumped = rows.where("moved").join(up, ["repo", "pr_number", "root"], "left")
+        jumped = jumped.select("repo", "pr_number", "id", F.coalesce("_up", "root").alias("root"), (F.coalesce("_up", "root") != F.col("root")).alias("moved"))
+        rows = staged(rows.where("NOT moved").unionByName(jumped), "threads")
+        unstage(spark, keep=1, since=before)
+        if rows.where("moved").isEmpty():
+            break
     threads = rows.groupBy("repo", "pr_number", "root").agg(F.count("*").alias("n"))
     return threads.groupBy("repo", "pr_number").agg(F.sum("n").alias("inline"), F.sum((F.col("n") >= least).cast("long")).alias("deep"))
 

@@ -101,21 +101,22 @@ def cycle_days() -> Column:
     return F.when(F.col("active_hours") > 0, F.col("active_hours") / 24).when(F.col("cycle_hours") > 0, F.col("cycle_hours") / 24).when(span > 0, span / 24).otherwise(0.0)
 
 
-def snap(raw: Column, scale: tuple, straddle: float) -> tuple[Column, Column, Column]:
-    """(points, label, straddles): the nearer step, the higher one within the straddle zone around the middle."""
-    points, label, between = F.lit(scale[-1]), F.lit(str(scale[-1])), F.lit(False)
-    for lo, hi in reversed(list(zip(scale, scale[1:]))):
-        inside, mid = raw <= hi, (lo + hi) / 2
-        zone = F.lit(straddle > 0) & (F.abs(raw - mid) < straddle * (hi - lo))
-        points = F.when(inside, F.when(zone, hi).when(raw < mid, lo).otherwise(hi)).otherwise(points)
-        label = F.when(inside, F.when(zone, f"{lo}–{hi}").when(raw < mid, str(lo)).otherwise(str(hi))).otherwise(label)
-        between = F.when(inside, zone).otherwise(between)
-    first, last = raw <= scale[0], raw >= scale[-1]
-    return (
-        F.when(first, scale[0]).when(last, scale[-1]).otherwise(points),
-        F.when(first, str(scale[0])).when(last, str(scale[-1])).otherwise(label),
-        F.when(first | last, False).otherwise(between),
-    )
+def snap(rows: DataFrame, scale: tuple, straddle: float) -> DataFrame:
+    """Adds points, band and straddles to rows with ``raw``: the nearer step, the higher one within the straddle zone around
+    the middle; a missing raw value counts as zero.
+
+    The steps are a table of one row each, which the rows meet in a range join: what is derived from a step hangs on columns of
+    both sides, so a filter on it stays above the join and the expressions beneath are not copied into it."""
+    ends = [(float("-inf"), scale[0], scale[0], scale[0]), *[(lo, hi, lo, hi) for lo, hi in zip(scale, scale[1:])], (scale[-1], float("inf"), scale[-1], scale[-1])]
+    values = ", ".join(f"(DOUBLE('{after}'), DOUBLE('{upto}'), {lo}, {hi})" for after, upto, lo, hi in ends)
+    steps = rows.sparkSession.sql(f"SELECT * FROM VALUES {values} AS s(_after, _upto, _lo, _hi)")
+    raw = F.coalesce(F.col("raw").cast("double"), F.lit(0.0))
+    met = rows.join(F.broadcast(steps), (raw > F.col("_after")) & (raw <= F.col("_upto")))  # one row for each step of the scale
+    mid = (F.col("_lo") + F.col("_hi")) / 2
+    zone = F.abs(raw - mid) < F.lit(straddle) * (F.col("_hi") - F.col("_lo"))
+    points = F.when(~zone & (raw < mid), F.col("_lo")).otherwise(F.col("_hi"))
+    label = F.when(zone, F.concat("_lo", F.lit("–"), "_hi")).otherwise(points.cast("string"))
+    return met.withColumns({"points": points, "band": label, "straddles": zone}).drop("_after", "_upto", "_lo", "_hi")
 
 
 def round1(x: Column) -> Column:
@@ -150,9 +151,7 @@ def band(rows: DataFrame, knobs: Band = Band(), cycle: Column | None = None) ->
     rows = rows.withColumns({"base": base, "quadrant": quadrant, "thinking": thinking, "drivers": F.transform(F.slice(F.array_sort(F.filter(items, lambda x: x["p"] < 0)), 1, 3), lambda x: x["t"])})
     effective = F.least(F.col("thinking"), F.lit(knobs.max_thinking)) if knobs.max_thinking > 0 else F.col("thinking")
     rows = rows.withColumn("raw", F.col("base") + effective)
-    points, label, straddles = snap(F.col("raw"), knobs.scale, knobs.straddle)
-    rows = rows.withColumns({"points": points, "band": label, "straddles": straddles, "raw_effort": round1(F.col("raw"))})
-    return judge(rows, knobs, small)
+    return judge(snap(rows, knobs.scale, knobs.straddle).withColumn("raw_effort", round1(F.col("raw"))), knobs, small)
 
 
 def judge(rows: DataFrame, knobs: Band, small: Column) -> DataFrame:
@@ -187,10 +186,9 @@ def spike_band(rows: DataFrame, knobs: Spike = Spike(), scale: tuple = Band().sc
     base = F.when(long_ & many, knobs.long_high).when(long_, knobs.long_low).when(many, knobs.short_high).otherwise(knobs.short_low)
     over = lambda c, n: F.greatest(F.col(c) - n, F.lit(0))
     thinking = over("artifacts", knobs.artifacts) * 0.5 + F.when(F.col("status_flips") >= 4, 1.0).otherwise(0.0) + F.col("spawned") * knobs.spawned + over("breadth", knobs.breadth_over) * knobs.breadth
-    rows = rows.withColumn("raw", base + thinking)
-    points, label, straddles = snap(F.col("raw"), scale, straddle)
+    rows = snap(rows.withColumn("raw", base + thinking), scale, straddle)
     dormant = long_ & (F.col("artifacts") == 0) & (F.col("status_flips") < 4) & (F.col("spawned") == 0)
-    return rows.withColumns({"points": points, "band": label, "straddles": straddles, "needs_insight": dormant, "confidence": F.when(dormant, "low").when(many & long_, "high").otherwise("medium")})
+    return rows.withColumns({"needs_insight": dormant, "confidence": F.when(dormant, "low").when(many & long_, "high").otherwise("medium")})
 
 
 def evidence_hash(columns: list[str]) -> Column:

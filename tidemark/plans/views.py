@@ -81,7 +81,7 @@ def impact_audit(t):
 def rating_snapshot(t):
     """Ratings of every league after two periods against those after all."""
     outcomes = elo.round_robin(activity._event_scores(t))
-    last = lambda df: elo.last_state(elo.rating_walk(df)).select(F.concat_ws(":", "league", "dev").alias("dev"), F.round("rating", 6).alias("v"))
+    last = lambda df: elo.state_of(elo.rating_fold(df)).select(F.concat_ws(":", "league", "dev").alias("dev"), F.round("rating", 6).alias("v"))
     return audit.diff_snapshots(last(outcomes.where("period < '2024-P05'")), last(outcomes), "dev", "v")
 
 
