@@ -13,14 +13,17 @@ or more: with 18 bands of one row it is missed with probability (1 - 0.38)^18 =
 where the window holds nothing else.  A band agrees only if a shingle is shared, so bands of one row
 retrieve no window in vain but those that share one.  Every retrieved pair is verified exactly: the
 share of the template's shingles in the window must be 0.8.  A match is the stretch from the first to
-the last shared shingle; of overlapping matches of one template the best and first stays.
+the last shared shingle.  Of a template's matches with one beginning the best stays, the shortest at
+equal shares, and so of those with one end; the rest is read from left to right by their ends, and a
+match stays if it begins at or behind the end of the last one that stayed.  So a notice repeated
+without a gap counts each time, and a text with n matches costs their sort.
 
 Shingles hold the words of one line or more, in lower case and without punctuation around them.
 
 Only DataFrame functions are used, without any shuffle of text: the templates' signatures are a
 table of a few rows (its size is that of the template list, a parameter that is checked), which is
 joined by broadcast on (size, band, value).  Every shingle of every template holds a word of a
-hitting set computed from the templates, and a word lies in five shingles at most; so a window with
+hitting set computed from the templates of its window size, and a word lies in five shingles at most; so a window with
 fewer such words than a fifth of the shingles that must match holds no match, and only the other
 windows are formed.  This is exact and drops nothing.
 
@@ -142,31 +145,44 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float
         longest, need = lengths.get(window_size(len(ws)), (0, shingles))
         lengths[window_size(len(ws))] = max(len(ws), longest), min(need, math.ceil(math.ceil(least * shingles - 1e-9) / WORDS))
     table = template_table(spark, templates)
-    words = hitting_words(templates)
+    needed = {m: hitting_words({k: v for k, v in templates.items() if plain_words(v) and window_size(len(plain_words(v))) == m}) for m in lengths}
+    words = sorted(set().union(*needed.values()))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.lower("text").rlike(rf"(?<![a-z0-9]){one_of(words)}"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("h"), _words(F.col("text")).alias("ws")).withColumn("w", F.size("ws"))
     needles = ", ".join(f"'{w}'" for w in words)
     rows = rows.withColumn("marks", F.expr(f"filter(sequence(1, greatest(w, 1)), i -> get(ws, i - 1) IN ({needles}))"))  # no filter here: pushed down, it would split the text anew for each word
     rows = rows.withColumn("hashes", F.expr(_shingles("ws", "w")))
-    # of each size, the windows that hold a marked word; each leaves its row with its own shingles alone
-    sizes = F.array(*[F.struct(F.lit(m).alias("size"), F.lit(max(1, m - math.ceil(n * (1 + SLACK)) + 1)).alias("stride"), F.lit(max(1, m - WORDS + 1)).alias("own"), F.lit(need).alias("need")) for m, (n, need) in sorted(lengths.items())])
-    rows = rows.select("doc_id", "h", "w", "marks", "hashes", F.explode(sizes).alias("s")).select("doc_id", "h", "w", "marks", "hashes", "s.*")
+    # of each size, the windows that hold enough marked words; each leaves its row with its own shingles alone
+    sizes = F.array(*[F.struct(F.lit(m).alias("size"), F.lit(max(1, m - math.ceil(n * (1 + SLACK)) + 1)).alias("stride"), F.lit(max(1, m - WORDS + 1)).alias("own"), F.lit(need).alias("need"), F.array(*map(F.lit, needed[m])).alias("words")) for m, (n, need) in sorted(lengths.items())])
+    rows = rows.select("doc_id", "h", "ws", "marks", "hashes", F.explode(sizes).alias("s")).select("doc_id", "h", "ws", F.col("marks").alias("any"), "hashes", "s.*")
+    rows = rows.select("*", F.expr("filter(any, i -> array_contains(words, get(ws, i - 1)))").alias("marks"))  # of this size alone
     covering = "array_sort(flatten(transform(marks, q -> sequence(CAST(greatest(0, ceil((q - size) / stride)) AS INT), CAST((q - 1) div stride AS INT)))))"
-    starts = "array_distinct(filter(covering, (k, i) -> get(covering, i + need - 1) = k))"  # windows that hold enough marks
-    own = f"transform({starts}, k -> named_struct('p', CAST(k * stride + 1 AS INT), 'own', slice(hashes, CAST(k * stride + 1 AS INT), own)))"
-    rows = rows.where(F.size("marks") >= F.col("need")).withColumn("covering", F.expr(covering)).select("doc_id", "h", "size", F.expr(own).alias("places"))
-    places = rows.select("doc_id", "h", "size", F.explode("places").alias("place")).select("doc_id", "h", "size", "place.*").where(F.size("own") > 0)
+    rows = rows.withColumn("covering", F.expr(f"IF(size(marks) >= need, {covering}, CAST(array() AS array<int>))"))
+    later = "slice(covering, need, greatest(0, size(covering) - need + 1))"  # the same list, begun need - 1 entries later
+    rows = rows.withColumn("starts", F.expr(f"array_distinct(filter(zip_with(covering, {later}, (k, x) -> IF(k = x, k, NULL)), k -> k IS NOT NULL))"))
+    # outer forms: from plain ones Spark infers a filter on the list's size, which it pushes down as a copy of all that makes the list
+    places = rows.select("doc_id", "h", "size", "stride", "own", "hashes", F.explode_outer("starts").alias("k")).where("k IS NOT NULL AND k * stride < size(hashes)")
+    places = places.select("doc_id", "h", "size", F.expr("CAST(k * stride + 1 AS INT)").alias("p"), F.expr("slice(hashes, CAST(k * stride + 1 AS INT), own)").alias("own"))
     places = places.withColumn("signature", F.expr(_signature("own")))
-    bands = places.select("doc_id", "h", "size", "p", "own", F.posexplode("signature").alias("band", "value"))
+    bands = places.select("doc_id", "h", "size", "p", "own", F.posexplode_outer("signature").alias("band", "value"))
     met = bands.join(F.broadcast(table), ["size", "band", "value"])
     share = F.size(F.array_intersect("own", "shingles")) / F.size("shingles")
     hits = F.expr("filter(transform(own, (x, i) -> IF(array_contains(shingles, x), p + i, -1)), i -> i > 0)")  # words (from 1) at which shared shingles begin
-    found = met.withColumn("containment", share).where(F.col("containment") >= least).withColumn("hits", hits)
-    found = found.select("doc_id", "h", "license", F.array_min("hits").alias("p"), (F.array_max("hits") + F.lit(WORDS)).alias("q"), "containment").distinct()
-    best = F.expr("""aggregate(array_sort(hits, (a, b) -> CASE WHEN a.c > b.c OR (a.c = b.c AND (a.p < b.p OR (a.p = b.p AND a.q < b.q))) THEN -1 WHEN a.c = b.c AND a.p = b.p AND a.q = b.q THEN 0 ELSE 1 END),
-        CAST(array() AS array<struct<p:int,q:int,c:double>>), (kept, x) -> IF(exists(kept, k -> k.p < x.q AND x.p < k.q), kept, array_append(kept, x)))""")
-    per = found.groupBy("doc_id", "h", "license").agg(F.collect_list(F.struct("p", "q", F.col("containment").alias("c"))).alias("hits"))
-    out = per.select("doc_id", "license", F.explode(best).alias("m"))
+    found = met.withColumn("c", share).where(F.col("c") >= least).withColumn("hits", hits).select("doc_id", "h", "license", F.array_min("hits").alias("p"), (F.array_max("hits") + F.lit(WORDS)).alias("q"), "c")
+    by = ["doc_id", "h", "license"]
+    found = found.groupBy(*by, "p").agg(F.max(F.struct("c", (-F.col("q")).alias("q"))).alias("m")).select(*by, "p", (-F.col("m.q")).alias("q"), "m.c")
+    found = found.groupBy(*by, "q").agg(F.max(F.struct("c", "p")).alias("m")).select(*by, F.struct("q", "m.p", "m.c").alias("hit"))
+    # From left to right, where the last end is all that one match hands on to the next.  An aggregate copies what it holds at
+    # each step, so a first pass notes the last end at every 256th match only, and a second one gathers what stays in each such block.
+    per = found.groupBy(*by).agg(F.array_sort(F.collect_list("hit")).alias("hits"))
+    noted = """aggregate(hits, named_struct('last', 0, 'n', 0, 'ends', CAST(array() AS array<int>)),
+        (s, x) -> named_struct('last', IF(x.p < s.last, s.last, x.q), 'n', s.n + 1, 'ends', IF(s.n % 256 = 255, array_append(s.ends, IF(x.p < s.last, s.last, x.q)), s.ends)), s -> s.ends)"""
+    per = per.select("doc_id", "license", "hits", F.expr(noted).alias("ends"))
+    block = "transform(sequence(0, size(ends)), b -> named_struct('last', IF(b = 0, 0, get(ends, b - 1)), 'hits', slice(hits, 256 * b + 1, 256)))"
+    parts = per.select("doc_id", "license", F.explode_outer(F.expr(block)).alias("s"))
+    kept = """aggregate(s.hits, named_struct('last', s.last, 'kept', CAST(array() AS array<struct<q:int,p:int,c:double>>)),
+        (a, x) -> IF(x.p < a.last, a, named_struct('last', x.q, 'kept', array_append(a.kept, x))), a -> a.kept)"""
+    out = parts.select("doc_id", "license", F.explode_outer(F.expr(kept)).alias("m")).where("m IS NOT NULL")
     return out.select("doc_id", F.substring_index("license", "#", 1).alias("license"), F.expr("IF(instr(license, '#') > 0, substring_index(license, '#', -1), 'notice')").alias("part"), (F.col("m.p") - 1).cast("long").alias("start_word"), (F.col("m.q") - 1).cast("long").alias("end_word"), F.col("m.c").alias("containment"))
 
 
