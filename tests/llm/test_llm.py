@@ -78,7 +78,7 @@ def test_topk_with_many_query_groups_and_repeats(spark):
     rows = [(50 * i if i < 4500 else 50 * i + 1, [float(x) for x in v]) for i, v in enumerate(base)]
     rows += [rows[0], rows[0], (50, [9.0] * 8), (7, [2.0**60] * 8), (9, [float("inf")] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = topk.top_k(df, df.where("vec_id % 50 = 0"), asked=512).toPandas()
+    got = topk.top_k(df, df.where("vec_id % 50 = 0"), held=8192).toPandas()  # 64 queries of 16 bytes are a block
     ok = rows[:-2]
     ids, cells = np.array([i for i, _ in ok]), np.floor(256 * np.array([v for _, v in ok])).astype(int)
     asked = {(i, tuple(c)) for i, c in zip(ids.tolist(), cells.tolist()) if i % 50 == 0}

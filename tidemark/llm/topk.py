@@ -7,11 +7,13 @@ accumulated, and a candidate is compacted away as soon as, for every query of th
 sum plus the product of the two remaining norms (Cauchy-Schwarz) lies below that query's k-th best
 score so far.  Nothing that can still tie is dropped, so the result is exact.
 
-The work is a grid of tiles: query groups of about ``asked`` queries by candidate groups.  A tile's
-query blocks come first and are held with their best scores so far, then its candidate blocks stream
-by, each unpacked once for all of them; so a task holds one query group and one candidate block,
-whatever the number of either, and a query's threshold lasts for the whole tile.  Each tile hands
-on at most k rows per query; a last grouping keeps the k best of those.
+The work is a grid of tiles: query groups of about ``held`` packed bytes by candidate groups.  A
+tile's query blocks come first and are held, packed as they came, with their best scores so far; then
+its candidate blocks stream by, each unpacked once for all of them, while of a query block only one
+group of dimensions at a time is widened.  So a task holds one query group and one candidate block,
+whatever the number of either, and a query's threshold lasts for the whole tile.  Candidates travel
+once for each query group: with 128 bytes a vector, half a million queries are one group.  Each tile
+hands on at most k rows per query; a last grouping keeps the k best of those.
 
 Scores are integers and are formed in float32 or float64 only while the bound on their size fits
 the mantissa, else in int64 (which wraps beyond 63 bits).
@@ -35,9 +37,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import partitions_for
+from tidemark.llm.common import partitions_for, written
 
-SCALE, K, EVERY, ROWS, QUERIES, ASKED, GROUP = 256, 5, 50, 4096, 64, 8192, 16
+SCALE, K, EVERY, ROWS, QUERIES, HELD, GROUP = 256, 5, 50, 4096, 64, 1 << 26, 16
 _PACKED = "number long, part long, dims int, n int, width int, ids binary, names binary, cells binary"
 _FOUND = "query_id long, query long, vec_id long, score long"
 
@@ -86,25 +88,26 @@ def _pack(rows: int):
 
 
 class _Side:
-    """A block with the norms of what remains at each boundary."""
+    """A block, packed as it came, with the norms of what remains at each boundary."""
 
     def __init__(self, dims: int, n: int, ids: bytes, cells: bytes, width: int = 8, names: bytes | None = None):
         self.ids = np.frombuffer(ids, "<i8")
         self.names = self.ids if names is None else np.frombuffer(names, "<i8")
-        self.cells = np.frombuffer(cells, f"<i{width}").reshape(dims, n).astype(np.int64)
-        squares = self.cells.astype(np.float64) ** 2
+        self.cells = np.frombuffer(cells, f"<i{width}").reshape(dims, n)
         ends = np.zeros((-(-dims // GROUP) + 1, n))
         for g in range(len(ends) - 2, -1, -1):
-            ends[g] = ends[g + 1] + squares[g * GROUP : (g + 1) * GROUP].sum(axis=0)
+            ends[g] = ends[g + 1] + (self.cells[g * GROUP : (g + 1) * GROUP].astype(np.float64) ** 2).sum(axis=0)
         self.rest = np.sqrt(ends) * (1 + 1e-9)
+        self.wide: np.ndarray | None = None
 
     def rest_at(self, g: int) -> np.ndarray:
         return self.rest[g] if g < len(self.rest) else np.zeros(len(self.ids))
 
-    def typed(self, dtype) -> np.ndarray:
-        if self.cells.dtype != dtype:
-            self.cells = self.cells.astype(dtype)
-        return self.cells
+    def widened(self, dtype) -> np.ndarray:
+        """All cells as ``dtype``, kept for the next block that this one meets."""
+        if self.wide is None or self.wide.dtype != dtype:
+            self.wide = self.cells.astype(dtype)
+        return self.wide
 
 
 class Best:
@@ -112,24 +115,24 @@ class Best:
 
     def __init__(self, q: _Side, k: int):
         self.q, self.k, self.compacted = q, k, 0
-        self.scores = [np.zeros(0, np.int64) for _ in q.ids]
-        self.ids = [np.zeros(0, np.int64) for _ in q.ids]
+        self.scores, self.ids = np.zeros((len(q.ids), k), np.int64), np.zeros((len(q.ids), k), np.int64)
+        self.found = np.zeros(len(q.ids), np.int64)  # how many of the k there are
 
     def floor(self) -> np.ndarray:
         """Each query's k-th best score so far."""
-        return np.array([float(s[-1]) if len(s) == self.k else -np.inf for s in self.scores])
+        return np.where(self.found == self.k, self.scores[:, -1].astype(np.float64), -np.inf)
 
     def meet(self, c: _Side) -> None:
         q = self.q
         dims = min(len(q.cells), len(c.cells))
         size = float(q.rest[0].max(initial=0) * c.rest[0].max(initial=0))
         dtype = np.float32 if size < 1 << 23 else np.float64 if size < 1 << 52 else np.int64
-        qs, cs, floor = q.typed(dtype), c.typed(dtype), self.floor()
+        cs, floor = c.widened(dtype), self.floor()
         live, acc = np.arange(len(c.ids)), np.zeros((len(q.ids), len(c.ids)), dtype=dtype)
         for g, lo in enumerate(range(0, dims, GROUP)):
             hi = min(dims, lo + GROUP)
             part = cs[lo:hi] if len(live) == len(c.ids) else cs[lo:hi, live]
-            acc = acc + qs[lo:hi].T @ part
+            acc = acc + q.cells[lo:hi].astype(dtype).T @ part
             if hi < dims and dtype is not np.int64:
                 reach = acc + np.outer(q.rest_at(g + 1), c.rest_at(g + 1)[live]) + 1
                 keep = (reach >= floor[:, None]).any(axis=0)
@@ -142,13 +145,15 @@ class Best:
         for i, own in enumerate(q.ids):
             at = np.flatnonzero((ids != own) & (scores[i] >= floor[i]))
             if len(at):
-                s, n = np.concatenate([self.scores[i], scores[i, at]]), np.concatenate([self.ids[i], ids[at]])
+                have = self.found[i]
+                s, n = np.concatenate([self.scores[i, :have], scores[i, at]]), np.concatenate([self.ids[i, :have], ids[at]])
                 order = np.lexsort((n, ~s))[: self.k]
-                self.scores[i], self.ids[i] = s[order], n[order]
+                self.found[i] = len(order)
+                self.scores[i, : len(order)], self.ids[i, : len(order)] = s[order], n[order]
 
     def rows(self) -> pa.RecordBatch:
-        sizes = [len(s) for s in self.scores]
-        found = (np.repeat(self.q.ids, sizes), np.repeat(self.q.names, sizes), np.concatenate(self.ids), np.concatenate(self.scores))
+        there = np.arange(self.k) < self.found[:, None]
+        found = (np.repeat(self.q.ids, self.found), np.repeat(self.q.names, self.found), self.ids[there], self.scores[there])
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], [c.split()[0] for c in _FOUND.split(", ")])
 
 
@@ -173,23 +178,23 @@ def _search(k: int):
     return run
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", asked: int = ASKED) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec_id", vector_col: str = "embedding", held: int = HELD) -> DataFrame:
     """(query_id, rank, vec_id, score, query): the k best of ``vectors`` for each of ``queries``; ``query`` tells vectors of one id apart."""
 
     def rows(df: DataFrame) -> DataFrame:
         return df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
 
     slots = partitions_for(vectors.sparkSession)
-    each = rows(queries).distinct().withColumn("name", F.xxhash64("id", "v"))
-    groups = max(1, -(-each.count() // asked))  # one number: how many query groups of bounded size there are
+    each = rows(queries).distinct().select("id", "v", F.xxhash64("id", "v").alias("name"), F.lit(0).cast("long").alias("part"))
+    blocks = written(each.mapInArrow(_pack(QUERIES), _PACKED), "query-blocks")
+    groups = max(1, -(-(blocks.agg(F.sum(F.length("cells"))).first()[0] or 0) // held))  # one number: how many query groups of bounded size there are
     spread = max(1, -(-slots // groups))  # candidate groups, so that there is a tile for every slot
-    parts = F.pmod("name", F.lit(groups)).cast("long").alias("part")
-    blocks = each.repartition(min(slots, groups), F.pmod("name", F.lit(groups))).select("id", "v", "name", parts).mapInArrow(_pack(QUERIES), _PACKED)
+    blocks = blocks.withColumn("part", F.pmod(F.xxhash64("number"), F.lit(groups)).cast("long"))
     others = rows(vectors).select("id", "v", F.lit(0).cast("long").alias("name"), F.lit(0).cast("long").alias("part")).mapInArrow(_pack(ROWS), _PACKED)
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    held = blocks.withColumns({"asks": F.lit(True), "other": upto(spread)}).withColumn("tile", F.col("part") * spread + F.col("other")).drop("other")
+    asking = blocks.withColumns({"asks": F.lit(True), "other": upto(spread)}).withColumn("tile", F.col("part") * spread + F.col("other")).drop("other")
     streamed = others.withColumns({"asks": F.lit(False), "part": upto(groups)}).withColumn("tile", F.col("part") * spread + F.pmod(F.xxhash64("number"), F.lit(spread)))
-    met = held.unionByName(streamed).drop("part", "number").repartition(max(slots, min(groups * spread, 64 * slots)), "tile").sortWithinPartitions("tile", F.desc("asks"))
+    met = asking.unionByName(streamed).drop("part", "number").repartition(max(slots, min(groups * spread, 64 * slots)), "tile").sortWithinPartitions("tile", F.desc("asks"))
     order = W.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return met.mapInArrow(_search(k), _FOUND).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "query")
 
