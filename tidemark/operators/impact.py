@@ -74,37 +74,58 @@ def _merged(prs: DataFrame, integration: DataFrame | None) -> DataFrame:
     return merged.join(integration.select(*PR, F.col("weight").alias("integ")), PR, "left").fillna(1.0, ["integ"])
 
 
-def effective_files(prs: DataFrame, corpus: DataFrame, files: DataFrame, knobs: Impact = Impact(), patterns: tuple[str, ...] = GENERATED_PATHS, integration: DataFrame | None = None, keys: tuple[str, ...] = ("dev",)) -> DataFrame:
+def path_marks(corpus: DataFrame, files: DataFrame, knobs: Impact = Impact(), patterns: tuple[str, ...] = GENERATED_PATHS, churn: bool = False) -> DataFrame:
+    """(path, ext, generated, damped, family, churn) of each path: patterns and stems are taken once a path, not once a file row."""
+    rows = files.select("path").distinct().withColumns({"ext": extension(F.col("path")), "generated": matches_generated(F.col("path"), patterns)})
+    rows = rows.join(family_index(corpus, files, knobs), "path", "left")
+    rows = rows.withColumns({"damped": F.col("weight").isNotNull(), "family": F.coalesce("weight", F.lit(1.0))}).drop("weight")
+    if not churn:
+        return rows.withColumn("churn", F.lit(1.0))
+    return rows.join(churn_index(corpus, files), "path", "left").withColumn("churn", churn_weight(F.coalesce("touches", F.lit(0)), knobs)).drop("touches")
+
+
+def file_marks(corpus: DataFrame, files: DataFrame, knobs: Impact = Impact(), patterns: tuple[str, ...] = GENERATED_PATHS, churn: bool = False) -> DataFrame:
+    """File rows with all that damps them: their request is a dump, they are data, generated or ``out`` (generated or outsized
+    data), the weight of their family and, if asked for, of their churn.  ``corpus`` are all requests; both impacts go by these rows."""
+    rows = files.select(*PR, "path", "additions", "deletions").join(path_marks(corpus, files, knobs, patterns, churn), "path")
+    rows = rows.join(bulk_dump(files, knobs), PR, "left")
+    big = F.col("ext").isin(*DATA_EXTENSIONS, "xml") & (F.col("additions") + F.col("deletions") > knobs.dump_ceiling)
+    return rows.withColumns({"data": F.col("ext").isin(*DATA_EXTENSIONS), "out": F.col("generated") | big, "dump": F.coalesce("dump", F.lit(False))}).drop("ext")
+
+
+def effective_files(
+    prs: DataFrame, corpus: DataFrame, files: DataFrame, knobs: Impact = Impact(), patterns: tuple[str, ...] = GENERATED_PATHS, integration: DataFrame | None = None, keys: tuple[str, ...] = ("dev",),
+    marked: DataFrame | None = None,
+) -> DataFrame:
     """(keys, unique_files, effective_files): each path once per person, at the largest weight it has in a merged request.
 
-    ``prs`` are attributed requests, ``corpus`` all of them, whose files make the families."""
-    merged = _merged(prs, integration).select(*PR, "dev", "integ")
-    rows = files.select(*PR, "path").join(merged, PR).join(bulk_dump(files, knobs), PR, "left").join(family_index(corpus, files, knobs), "path", "left")
-    base = F.when(F.col("dump") & extension(F.col("path")).isin(*DATA_EXTENSIONS), knobs.dump_weight).when(matches_generated(F.col("path"), patterns), knobs.generated_weight).otherwise(1.0)
-    best = rows.groupBy(*keys, "path").agg(F.max(base * F.coalesce("weight", F.lit(1.0)) * F.col("integ")).alias("w"))
+    ``prs`` are attributed requests, ``corpus`` all of them, whose files make the families; ``marked`` are ``file_marks``, if at hand."""
+    marked = file_marks(corpus, files, knobs, patterns) if marked is None else marked
+    rows = marked.select(*PR, "path", "dump", "data", "generated", "family").join(_merged(prs, integration).select(*PR, "dev", "integ"), PR)
+    base = F.when(F.col("dump") & F.col("data"), knobs.dump_weight).when(F.col("generated"), knobs.generated_weight).otherwise(1.0)
+    best = rows.groupBy(*keys, "path").agg(F.max(base * F.col("family") * F.col("integ")).alias("w"))
     return best.groupBy(*keys).agg(F.count("*").alias("unique_files"), F.sum("w").alias("effective_files"))
 
 
 def effective_loc(
     prs: DataFrame, corpus: DataFrame, files: DataFrame, knobs: Impact = Impact(), patterns: tuple[str, ...] = GENERATED_PATHS, integration: DataFrame | None = None,
-    bulk: bool = False, churn: bool = False, keys: tuple[str, ...] = ("dev",),
+    bulk: bool = False, churn: bool = False, keys: tuple[str, ...] = ("dev",), marked: DataFrame | None = None,
 ) -> DataFrame:
     """(keys, effective_loc) over merged requests.
 
     A dump counts at its weight.  Else files count by themselves, generated ones and outsized data not at all, at the weights
     of their family and, if asked for, of their churn; a request without file rows, or all of them where neither applies,
     counts its own lines without the excluded ones.  Bulk imports count less if asked for, merge-ups by ``integration``.  Families and churn are those of all requests, ``corpus``."""
-    path, lines = F.col("path"), weighted_loc(F.col("additions"), F.col("deletions"), knobs)
-    family = family_index(corpus, files, knobs)
-    out = matches_generated(path, patterns) | (extension(path).isin(*DATA_EXTENSIONS, "xml") & (F.col("additions") + F.col("deletions") > knobs.dump_ceiling))
-    rows = files.select(*PR, "path", lines.alias("own"), out.alias("out")).join(family, "path", "left").withColumn("w", F.coalesce("weight", F.lit(1.0)))
-    if churn:
-        rows = rows.join(churn_index(corpus, files), "path", "left").withColumn("w", F.col("w") * churn_weight(F.coalesce("touches", F.lit(0)), knobs))
-    per = rows.groupBy(*PR).agg(F.sum(F.when(F.col("out"), 0.0).otherwise(F.col("own") * F.col("w"))).alias("net"), F.sum(F.when(F.col("out"), F.col("own")).otherwise(0.0)).alias("excluded"))
-    found = _merged(prs, integration).join(per, PR, "left").join(bulk_dump(files, knobs), PR, "left")
+    marked = file_marks(corpus, files, knobs, patterns, churn) if marked is None else marked
+    lines = weighted_loc(F.col("additions"), F.col("deletions"), knobs)
+    rows = marked.select(*PR, lines.alias("own"), "out", "dump", "damped", (F.col("family") * F.col("churn")).alias("w"))
+    per = rows.groupBy(*PR).agg(
+        F.sum(F.when(F.col("out"), 0.0).otherwise(F.col("own") * F.col("w"))).alias("net"), F.sum(F.when(F.col("out"), F.col("own")).otherwise(0.0)).alias("excluded"), F.max("dump").alias("dump"),
+    )
+    found = _merged(prs, integration).join(per, PR, "left")
     each = F.lit(True)
     if not churn:  # without families either, lines are taken from the requests
-        found = found.crossJoin(F.broadcast(family.agg((F.count("*") > 0).alias("any"))))
+        found = found.crossJoin(F.broadcast(marked.agg(F.coalesce(F.max("damped"), F.lit(False)).alias("any"))))
         each = F.col("any")
     whole = F.greatest(F.lit(0.0), lines - F.coalesce("excluded", F.lit(0.0)))
     loc = F.when(F.coalesce("dump", F.lit(False)), knobs.dump_weight * lines)
@@ -129,7 +150,8 @@ def monthly_impact(prs: DataFrame, files: DataFrame, bucket: Column, knobs: Impa
 
 
 def cap_impact(cohort: DataFrame, knobs: Impact = Impact(), loc: str = "loc") -> DataFrame:
-    """Lines clipped at the cohort's percentile and the impact taken again; cohort: dev, files, loc, prs, one row a person."""
-    cap = F.percentile(loc, F.lit(knobs.cap_percentile)).over(W.partitionBy(F.lit(1)))
-    out = cohort.withColumn("capped_loc", F.least(F.col(loc).cast("double"), cap))
+    """Lines clipped at the cohort's percentile and the impact taken again; cohort: dev, files, loc, prs, one row a person,
+    which is read twice: give a written table."""
+    cap = cohort.agg(F.percentile(loc, F.lit(knobs.cap_percentile)).alias("_cap"))
+    out = cohort.crossJoin(F.broadcast(cap)).withColumn("capped_loc", F.least(F.col(loc).cast("double"), F.col("_cap"))).drop("_cap")  # one row
     return out.withColumn("code_impact", code_impact(F.col("files"), F.col("capped_loc"), F.col("prs"), knobs))

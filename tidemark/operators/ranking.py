@@ -7,19 +7,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.config import WEIGHTS, Effort
+from tidemark.operators import order
 
 METRICS = tuple(WEIGHTS)
 
 
 def effort_multiplier(df: DataFrame, commits: str = "commits", files: str = "unique_files", loc: str = "loc", cohort: str | None = None, knobs: Effort = Effort()) -> DataFrame:
-    """Adds ``multiplier``: many commits per file and outsized lines per file count less, never under the floor."""
+    """Adds ``multiplier``: many commits per file and outsized lines per file count less, never under the floor.
+
+    Without a ``cohort`` column ``df`` is read twice, once for the limit: give a written table."""
     per_file = F.when(F.col(files) > 0, F.col(loc) / F.col(files))
-    over = W.partitionBy(cohort) if cohort else W.partitionBy(F.lit(1))
-    limit = F.percentile(per_file, F.lit(knobs.stuff_percentile)).over(over)
+    limit = F.percentile(per_file, F.lit(knobs.stuff_percentile))
     spam = F.when(F.col(files) > 0, F.col(commits) / F.col(files))
     spammed = F.greatest(F.lit(knobs.floor), 1 - knobs.spam_slope * F.greatest(F.lit(0.0), spam - knobs.spam_ratio))
     stuffed = F.greatest(F.lit(knobs.floor), 1 - knobs.stuff_slope * F.greatest(F.lit(0.0), per_file / F.col("_limit") - 1))
-    out = df.withColumn("_limit", limit)
+    out = df.withColumn("_limit", limit.over(W.partitionBy(cohort))) if cohort else df.crossJoin(F.broadcast(df.agg(limit.alias("_limit"))))  # one row
     both = F.coalesce(spammed, F.lit(1.0)) * F.when(F.col("_limit") > 0, F.coalesce(stuffed, F.lit(1.0))).otherwise(1.0)
     return out.withColumn("multiplier", F.greatest(F.lit(knobs.floor), both)).drop("_limit")
 
@@ -28,8 +30,9 @@ def metric_matrix(df: DataFrame, cohort: list[str]) -> DataFrame:
     """(cohort..., dev, metric, value) of totals with a multiplier; lines are capped at the cohort's 95th percentile after it."""
     m = F.col("multiplier")
     loc = F.col("loc") * m
-    cap = F.percentile(loc, F.lit(0.95)).over(W.partitionBy(*cohort)) if cohort else F.percentile(loc, F.lit(0.95)).over(W.partitionBy(F.lit(1)))
-    wide = df.withColumn("_cap", cap).select(
+    cap = F.percentile(loc, F.lit(0.95))
+    capped = df.withColumn("_cap", cap.over(W.partitionBy(*cohort))) if cohort else df.crossJoin(F.broadcast(df.agg(cap.alias("_cap"))))  # one row
+    wide = capped.select(
         *cohort,
         "dev",
         F.col("prs_merged").cast("double").alias("prs_merged"),
@@ -75,15 +78,20 @@ def breakdown(z: DataFrame, cohort: list[str], weights: dict[str, float] = WEIGH
 
 
 def rank_cohort(scores: DataFrame, cohort: list[str], tie: str = "dev") -> DataFrame:
-    order = W.partitionBy(*cohort) if cohort else W.partitionBy(F.lit(1))
-    return scores.withColumn("rank", F.row_number().over(order.orderBy(F.desc("score"), tie)))
+    """Adds the rank by score, ties by ``tie``; without a cohort over the whole table, in ranges of the order."""
+    by = [F.desc("score"), F.asc(tie)]
+    return scores.withColumn("rank", F.row_number().over(W.partitionBy(*cohort).orderBy(*by))) if cohort else order.row_numbers(scores, by, "rank")
 
 
 def mid_ranks(df: DataFrame, value: str, name: str, part: list[str]) -> DataFrame:
-    """Descending ranks, ties at their middle."""
-    over = W.partitionBy(*part) if part else W.partitionBy(F.lit(1))
-    same = (W.partitionBy(*part, value) if part else W.partitionBy(F.lit(1), value))
-    return df.withColumn(name, F.rank().over(over.orderBy(F.desc(value))) + (F.count("*").over(same) - 1) / 2)
+    """Descending ranks, ties at their middle.  Over a whole table (no ``part``) the ranks are those of its distinct values,
+    counted and summed in ranges; missing values come last."""
+    if part:
+        over, same = W.partitionBy(*part), W.partitionBy(*part, value)
+        return df.withColumn(name, F.rank().over(over.orderBy(F.desc(value))) + (F.count("*").over(same) - 1) / 2)
+    sizes = df.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    places = order.running_sum(sizes, [F.desc_nulls_last("_v")], F.col("_n"), "_upto").select("_v", (F.col("_upto") - F.col("_n") + 1 + (F.col("_n") - 1) / 2).alias(name))
+    return df.join(places, df[value].eqNullSafe(places["_v"]), "left").drop("_v")
 
 
 def spearman(df: DataFrame, a: str, b: str, part: list[str]) -> DataFrame:
@@ -106,8 +114,10 @@ def min_max(value: Column, over) -> Column:
 
 def sort_people(df: DataFrame, by: str, top: int | None = None) -> DataFrame:
     """Adds the place by a measure, nulls last, ties by name; with ``top`` only so many."""
-    out = df.withColumn("place", F.row_number().over(W.partitionBy(F.lit(1)).orderBy(F.col(by).desc_nulls_last(), "dev")))
-    return out.where(F.col("place") <= top) if top else out
+    line = [F.col(by).desc_nulls_last(), F.asc("dev")]
+    if top:  # the first rows of each partition are enough
+        return df.orderBy(*line).limit(top).withColumn("place", F.row_number().over(W.orderBy(*line)))
+    return order.row_numbers(df, line, "place")
 
 
 def find_person(df: DataFrame, logins: DataFrame, login: str) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tidemark.config import DOC_HINTS, GENERATED_PATHS, RISK_GLOBS, SEED_TERMS, Band, Spike
 from tidemark.functions.text import dir_at_depth, first_glob, is_resource_file, is_test_file, links, matches_generated, migration_dir, seed_term, spawned, substantive
-from tidemark.operators import flow
+from tidemark.operators import flow, order
+from tidemark.sources.staging import staged
 
 PR = ["repo", "pr_number"]
 
@@ -21,14 +22,23 @@ def hot_cutoff(frequency: DataFrame, share: float = 0.95, least: int = 5) -> Dat
     """One row: the touches at index floor(share (n - 1)) of the sorted paths, by a histogram of counts instead of a global sort."""
     hist = frequency.groupBy("touches").agg(F.count("*").alias("n"))
     total = hist.agg(F.sum("n").alias("total"))
-    upto = hist.withColumn("upto", F.sum("n").over(W.orderBy("touches"))).crossJoin(F.broadcast(total))  # one row per distinct count
+    # a row for each distinct count: their sum is at most all touches, so there are fewer than the root of twice as many
+    upto = hist.withColumn("upto", F.sum("n").over(W.orderBy("touches"))).crossJoin(F.broadcast(total))
     at = upto.where(F.col("upto") > F.floor(F.lit(share) * (F.col("total") - 1)))
     return at.agg(F.greatest(F.min("touches"), F.lit(least)).alias("cutoff"))
 
 
-def area_risk(path: Column) -> Column:
-    """2, 1 or 0: the tier of the first domain glob a path matches."""
-    return F.when(first_glob(path, RISK_GLOBS["high"]).isNotNull(), 2).when(first_glob(path, RISK_GLOBS["medium"]).isNotNull(), 1).otherwise(0)
+def path_facts(files: DataFrame, patterns: tuple[str, ...] = GENERATED_PATHS) -> DataFrame:
+    """(path, hot, generated, test, resource, dir, tier, high, medium): what tickets ask of a path, once for each path instead of
+    for each file row, as the patterns cost more than the join."""
+    path = F.col("path")
+    heat = staged(file_frequency(files), "paths")
+    high, medium = first_glob(path, RISK_GLOBS["high"]), first_glob(path, RISK_GLOBS["medium"])
+    known = heat.crossJoin(F.broadcast(hot_cutoff(heat))).select(
+        "path", (F.col("touches") >= F.col("cutoff")).alias("hot"), matches_generated(path, patterns).alias("generated"), is_test_file(path).alias("test"), is_resource_file(path).alias("resource"),
+        dir_at_depth(path, 2).alias("dir"), high.alias("high"), medium.alias("medium"),
+    )
+    return known.withColumn("tier", F.when(F.col("high").isNotNull(), 2).when(F.col("medium").isNotNull(), 1).otherwise(0))
 
 
 def request_pairs(keys: DataFrame) -> DataFrame:
@@ -65,20 +75,18 @@ def evidence(
     rows give every measure of files and reviews; moves, commits and comments are passed once (``flow.ticket_flow``)."""
     latest = flow.latest_snapshot(issues)
     pairs = request_pairs(keys)
-    heat = file_frequency(files)
-    hot = heat.crossJoin(F.broadcast(hot_cutoff(heat))).where("touches >= cutoff").select(F.lit("p").alias("kind"), F.col("path").alias("value"), F.lit(True).alias("hot"))
+    known = path_facts(files, patterns)
     zero = F.lit(0).cast("long")
-    real = files.where(~matches_generated(F.col("path"), patterns)).select(*PR, F.lit("p").alias("kind"), F.col("path").alias("value"), "additions", "deletions", zero.alias("rounds"))
+    changed = files.select(*PR, F.lit("p").alias("kind"), F.col("path").alias("value"), "additions", "deletions", zero.alias("rounds"))
     seen = reviews.select(*PR, F.lit("r").alias("kind"), F.col("reviewer").alias("value"), zero.alias("additions"), zero.alias("deletions"), (F.col("state") == "CHANGES_REQUESTED").cast("long").alias("rounds"))
-    parts = pairs.join(real.unionByName(seen), PR).groupBy("issue_key", "kind", "value").agg(*[F.sum(c).alias(c) for c in ("additions", "deletions", "rounds")])
-    path, file = F.col("value"), F.col("kind") == "p"
-    tier, high, medium = area_risk(path), first_glob(path, RISK_GLOBS["high"]), first_glob(path, RISK_GLOBS["medium"])
+    parts = pairs.join(changed.unionByName(seen), PR).groupBy("issue_key", "kind", "value").agg(*[F.sum(c).alias(c) for c in ("additions", "deletions", "rounds")])
+    file = F.col("kind") == "p"
     count = lambda when: F.sum(F.coalesce(when, F.lit(False)).cast("long"))
-    by_part = parts.join(hot, ["kind", "value"], "left").groupBy("issue_key").agg(
+    met = parts.join(known.withColumn("kind", F.lit("p")).withColumnRenamed("path", "value"), ["kind", "value"], "left").where(~file | ~F.col("generated"))
+    by_part = met.groupBy("issue_key").agg(
         F.sum("additions").alias("added_loc"), F.sum("deletions").alias("deleted_loc"), F.sum("rounds").alias("review_rounds"), count(file).alias("file_count"), count(~file).alias("reviewers"),
-        F.countDistinct(F.when(file, dir_at_depth(path, 2))).alias("dir_spread"), count(file & is_test_file(path)).alias("test_files"),
-        count(file & F.col("hot") & ~is_test_file(path) & ~is_resource_file(path)).alias("hot_files"), F.max(F.when(file, tier)).alias("domain_tier"),
-        F.min(F.when(file & (tier == 2), high)).alias("_high"), F.min(F.when(file & (tier == 1), medium)).alias("_medium"),
+        F.countDistinct("dir").alias("dir_spread"), count(F.col("test")).alias("test_files"), count(F.col("hot") & ~F.col("test") & ~F.col("resource")).alias("hot_files"), F.max("tier").alias("domain_tier"),
+        F.min(F.when(F.col("tier") == 2, F.col("high"))).alias("_high"), F.min(F.when(F.col("tier") == 1, F.col("medium"))).alias("_medium"),
     )
     by_pr = pairs.join(prs.drop("issue_key"), PR).groupBy("issue_key").agg(
         F.count("*").alias("n_prs"), F.countDistinct("repo").alias("n_repos"), F.sum(F.col("additions") + F.col("deletions")).alias("raw_loc"),
@@ -249,8 +257,8 @@ def risk_discover(rows: DataFrame, pairs: DataFrame, files: DataFrame, least: in
     named = seed_term(F.col("dir"), SEED_TERMS) if seeds else F.lit(False)
     tier = F.when(F.col("migration") | (F.col("outcome") >= 2), "high").when((F.col("outcome") >= 1.4) | named, "medium")
     out = out.withColumns({"tier": tier, "seed": named & ~F.col("migration") & (F.col("outcome") < 1.4), "glob": F.concat(F.lit("**/"), F.col("dir"), F.lit("/**"))}).where("tier IS NOT NULL")
-    order = W.partitionBy(F.lit(1)).orderBy(F.desc(F.col("tier") == "high"), F.desc("migration"), F.desc("outcome"), "dir")  # marked directories only
-    return out.withColumn("place", F.row_number().over(order)).drop("base_cycle", "base_bounced")
+    line = [F.desc(F.col("tier") == "high"), F.desc("migration"), F.desc("outcome"), F.asc("dir")]
+    return order.row_numbers(out.drop("base_cycle", "base_bounced"), line, "place")
 
 
 def calibrate(rows: DataFrame, thresholds: list[float], knobs: Band = Band()) -> DataFrame:
@@ -261,12 +269,8 @@ def calibrate(rows: DataFrame, thresholds: list[float], knobs: Band = Band()) ->
 
 
 def cycle_quantiles(rows: DataFrame, shares: list[float]) -> DataFrame:
-    """(share, days): the positive cycle days at index floor(share (n - 1)) of their order, by a histogram and its running sum."""
-    hist = rows.select(cycle_days().alias("days")).where("days > 0").groupBy("days").agg(F.count("*").alias("n"))
-    asked = rows.sparkSession.createDataFrame([(float(p),) for p in shares], "share double")
-    at = hist.agg(F.sum("n").alias("total")).crossJoin(F.broadcast(asked)).withColumn("at", F.floor(F.col("share") * (F.col("total") - 1)))
-    upto = hist.withColumn("upto", F.sum("n").over(W.orderBy("days")))
-    return upto.join(F.broadcast(at), F.col("upto") > F.col("at")).groupBy("share").agg(F.min("days").alias("days"))
+    """(share, days): the positive cycle days at index floor(share (n - 1)) of their order."""
+    return order.at_shares(rows.select(cycle_days().alias("days")).where("days > 0"), "days", shares)
 
 
 def score_facets(

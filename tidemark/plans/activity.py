@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tidemark.config import DATA_EXTENSIONS, EXCLUDED_ROLES, Impact
 from tidemark.functions import calendar as cal
 from tidemark.operators import elo, flow, impact, people, ranking, rollup
+from tidemark.plans.corpus import once
+from tidemark.sources.staging import staged
 
 D = 4  # digits to which doubles are compared
 
@@ -89,17 +91,21 @@ def _devs_files(t):
 
 
 def _leaderboard(t, knobs: Impact = Impact()):
-    """Totals, files, progress, multiplier and dampened impact of scoreable people; lines are capped among them."""
+    """Totals, files, progress, multiplier and dampened impact of scoreable people; lines are capped among them.
+
+    Requests and file rows are written once, with all that damps a file in the latter; so is the cohort, a row for each person."""
+    t = once(t, "prs", "pr_files")
+    marked = staged(impact.file_marks(t("prs"), t("pr_files"), knobs), "file-marks")
     own = people.attribute_github(t("prs"), t("roster_login"), "author")
     wide = rollup.totals(_facts(t), ["dev"]).drop("created")
     parts = [
-        impact.effective_files(own, t("prs"), t("pr_files"), knobs), impact.effective_loc(own, t("prs"), t("pr_files"), knobs), rollup.progressed(t("changelog"), t("roster_dev"), []),
+        impact.effective_files(own, t("prs"), t("pr_files"), knobs, marked=marked), impact.effective_loc(own, t("prs"), t("pr_files"), knobs, marked=marked), rollup.progressed(t("changelog"), t("roster_dev"), []),
         rollup.issues_created(t("issues"), t("roster_dev"), []).withColumnRenamed("created_keys", "created"),
     ]
     wide = wide.join(people.scoreable(t("roster_dev"), t("roster_login")).select("dev"), "dev", "left_semi")
     for part in parts:
         wide = wide.join(part, "dev", "left")
-    wide = wide.fillna(0, ["unique_files", "progressed", "created"]).fillna(0.0, ["effective_files", "effective_loc"])
+    wide = staged(wide.fillna(0, ["unique_files", "progressed", "created"]).fillna(0.0, ["effective_files", "effective_loc"]), "cohort")
     capped = impact.cap_impact(wide.select("*", F.col("effective_files").alias("files"), F.col("prs_merged").alias("prs")), loc="effective_loc")
     return ranking.effort_multiplier(capped)
 

@@ -10,6 +10,7 @@ from tidemark.config import GENERATED_PATHS, Band, Impact, Integration
 from tidemark.functions import calendar as cal
 from tidemark.functions.text import has_tag
 from tidemark.operators import audit, epics, flow, impact, integration, people, tickets
+from tidemark.plans.corpus import once
 from tidemark.plans.activity import DATA, EXT, NOISE, D, WEEK_SQL, effective_sql, family_sql, n, r
 
 HOURS = "(epoch_us({1}) - epoch_us({0})) / 3600000000.0"
@@ -119,6 +120,7 @@ def _classified(t):
 
 
 def _tickets(t, patterns: tuple[str, ...] = GENERATED_PATHS):
+    t = once(t, "pr_keys", "pr_files")
     return tickets.evidence(*[t(x) for x in ("issues", "prs", "pr_keys", "pr_files", "reviews", "changelog", "commits", "comments", "issue_links")], patterns)
 
 
