@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.config import Elo, Impact
 from tidemark.functions import calendar as cal
 from tidemark.functions import text as tx
-from tidemark.operators import audit, elo, epics, flow, impact, integration, people, ranking, rollup, tickets
+from tidemark.operators import audit, elo, epics, fields, flow, impact, integration, people, ranking, rollup, tickets
 from tidemark.plans import registry
 from tidemark.sources import corpus_files, decode
 
@@ -418,3 +418,26 @@ def test_json_corpus(spark, tmp_path):
 def test_merged_only_pull_requests_count(spark):
     outcomes = elo.active_cohort(spark.createDataFrame([("a", 0, 0, 0, 0), ("b", 0, 0, 1, 0)], "dev string, prs_created int, prs_merged int, reviewed int, commits int"))
     assert [r.dev for r in outcomes.collect()] == ["b"]
+
+
+def test_field_mappings_and_their_fallbacks(spark):
+    found = spark.createDataFrame([("a", 10, 4), ("b", 10, 9), ("d", 10, 2), ("e", 10, 7)], "field_id string, sampled long, populated long")
+    catalog = spark.createDataFrame([("a", "Story Points", 1), ("b", "story point estimate", 2), ("d", "Description", 3), ("e", "Release description", 4), ("k", " Epic Link", 5)], "field_id string, name string, ord int")
+    settable = spark.createDataFrame([("a", "Story Points", 3), ("b", "story point estimate", 8), ("e", "Release description", 9)], "field_id string, name string, n long")
+    got = lambda c, s, f=found: {r.role: (r.field_id, r.populated, r.settable, r.warning) for r in fields.mappings(f, c, s).collect()}
+    assert got(catalog, settable) == {"story_points": ("b", 9, 8, False), "epic_link": ("k", 0, 0, False), "description": ("e", 7, 9, False)}
+    assert got(catalog, settable.where("n > 100")) == {"story_points": ("a", 4, 0, True), "epic_link": ("k", 0, 0, False), "description": ("e", 7, 0, False)}
+    few = catalog.where("field_id = 'd'")
+    assert got(few, settable.where("n > 100"), found.where("field_id = 'a'")) == {"epic_link": ("parent", 0, 0, False), "description": ("d", 0, 0, False)}
+    assert got(catalog.where("ord > 9"), settable.where("n > 100")) == {"epic_link": ("parent", 0, 0, False)}
+
+
+def test_sketches_merge_over_windows(spark):
+    rows = spark.range(60_000).select(F.concat(F.lit("d"), F.col("id") % 2).alias("dev"), F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(id % 90)").alias("ts"), F.when(F.col("id") % 2 == 0, F.col("id") % 20_011).otherwise(F.col("id") % 37).cast("string").alias("path"))
+    windows = cal.windows_frame(spark, [("all", "2024-01-01", "2025-01-01"), ("march", "2024-03-01", "2024-04-01"), ("none", "2030-01-01", "2031-01-01")])
+    exact = {(r.dev, r.window): r.n for r in rollup.keys_in_windows(rows, "ts", "path", windows, "n").collect()}
+    sketches = rollup.daily_sketches(rows, "ts", "path")
+    got = {(r.dev, r.window): r.n for r in rollup.sketched_in_windows(sketches, windows, "n").collect()}
+    assert set(got) == set(exact) and len(got) == 4
+    assert all(abs(got[k] - exact[k]) <= max(0.05 * exact[k], 0) for k in exact)  # three standard errors
+    assert got[("d1", "all")] == exact[("d1", "all")] == 37  # small sets are exact

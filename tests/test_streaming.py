@@ -50,6 +50,17 @@ def test_upserts_and_ratings(spark, tmp_path):
     second = step(first, rows[1:4])
     third = step(second, rows[2:])  # rows that come again count once
     late = step(third, [("l", "2024-P01", "c", 0.5)])  # too late: the period has closed
-    want = {(r.dev, round(r.rating, 6)) for r in elo.last_state(elo.rating_walk(frame(rows[:4]))).collect()}
+    want = {(r.dev, round(r.rating, 6)) for r in elo.state_of(elo.rating_fold(frame(rows[:4]))).collect()}
     for got in (third, late):
         assert {(r.dev, round(r.rating, 6)) for r in got.where("rating IS NOT NULL").collect()} == want
+
+
+def test_ratings_period_by_period_decay_the_idle(spark):
+    rows = [("l", f"2024-P{p:02d}", d, 0.7 if d == "a" else 0.4) for p in range(1, 14, 2) for d in "abc" if d != "a" or p == 1]
+    frame = lambda rs: spark.createDataFrame(rs, "league string, period string, dev string, outcome double")
+    names, table = [c.split()[0] for c in jobs.RATED.split(", ")], None
+    for p in sorted({r[1] for r in rows}):
+        table = spark.createDataFrame(jobs.rate_periods(table, frame([r for r in rows if r[1] == p])).select(*names).collect(), jobs.RATED)
+    want = elo.state_of(elo.rating_fold(frame([r for r in rows if r[1] < "2024-P13"])))
+    key = lambda df: {(r.dev, round(r.rating, 6), r.periods_played, r.idle_streak) for r in df.where("rating IS NOT NULL").collect()}
+    assert key(table) == key(want) and any(r[3] > 3 for r in key(want))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.config import Spike
+from tidemark.operators import order, tickets
+
 
 def diff_snapshots(base: DataFrame, other: DataFrame, key: str, value: str) -> DataFrame:
     """(key, before, after, delta, change): the union of keys with new and dropped ones marked."""
@@ -47,3 +52,25 @@ def movers_by_glob(base: DataFrame, other: DataFrame) -> DataFrame:
 def unexplained(diff: DataFrame, explained: DataFrame, key: str) -> DataFrame:
     """Movers that nothing explains: keys that moved and aren't among ``explained``."""
     return diff.where("change = 'moved'").join(explained.select(key).distinct(), key, "left_anti")
+
+
+def spike_summary(rows: DataFrame, knobs: Spike = Spike()) -> DataFrame:
+    """One row over investigations (as ``tickets.spike_band`` takes them, with ``described``): how many there are, have follow-ups
+    or links past the threshold, moved up by these nudges and by how many points, are flagged, would be flagged but for their
+    follow-ups, and have a description or a link to an artifact."""
+    plain = tickets.spike_band(rows, replace(knobs, spawned=0.0, breadth=0.0)).withColumnRenamed("points", "_plain").drop("band", "straddles", "raw", "confidence", "needs_insight", "artifacts")
+    both = tickets.spike_band(plain, knobs)
+    count = lambda when: F.coalesce(F.sum(when.cast("long")), F.lit(0))
+    up = F.col("points") > F.col("_plain")
+    quiet = (F.col("cycle_days") >= knobs.cycle_days) & (F.col("artifact_links") + F.col("substantive") == 0) & (F.col("status_flips") < 4) & (F.col("spawned") > 0)
+    return both.agg(
+        F.count("*").alias("spikes"), count(F.col("spawned") > 0).alias("spawned"), count(F.col("breadth") > knobs.breadth_over).alias("broad"), count(up).alias("moved"),
+        F.coalesce(F.sum(F.when(up, F.col("points") - F.col("_plain"))), F.lit(0)).alias("steps"), count(F.col("needs_insight")).alias("flagged"), count(quiet).alias("suppressed"),
+        count(F.col("described")).alias("described"), count(F.col("artifact_links") > 0).alias("linked"),
+    )
+
+
+def spike_top(rows: DataFrame, key: str, top: int, knobs: Spike = Spike()) -> DataFrame:
+    """The ``top`` investigations by raw effort, ties by key, with their place."""
+    banded = tickets.spike_band(rows, knobs)
+    return order.first_places(banded, [F.desc("raw"), F.asc(key)], top, "place")

@@ -31,6 +31,11 @@ def row_numbers(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return running_sum(df, order, F.lit(1).cast("long"), name)
 
 
+def first_places(df: DataFrame, order: list[Column], top: int, name: str) -> DataFrame:
+    """The first ``top`` rows with their places: each partition hands on no more than that."""
+    return df.orderBy(*order).limit(top).withColumn(name, F.row_number().over(W.orderBy(*order)))
+
+
 def counts_upto(df: DataFrame, value: str, descending: bool = False) -> DataFrame:
     """(value, n, upto): how often each value occurs and how many rows have it or one before it; nulls are left out."""
     sizes = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))

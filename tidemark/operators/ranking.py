@@ -115,9 +115,7 @@ def min_max(value: Column, over) -> Column:
 def sort_people(df: DataFrame, by: str, top: int | None = None) -> DataFrame:
     """Adds the place by a measure, nulls last, ties by name; with ``top`` only so many."""
     line = [F.col(by).desc_nulls_last(), F.asc("dev")]
-    if top:  # the first rows of each partition are enough
-        return df.orderBy(*line).limit(top).withColumn("place", F.row_number().over(W.orderBy(*line)))
-    return order.row_numbers(df, line, "place")
+    return order.first_places(df, line, top, "place") if top else order.row_numbers(df, line, "place")
 
 
 def find_person(df: DataFrame, logins: DataFrame, login: str) -> DataFrame:

@@ -110,6 +110,20 @@ def keys_in_windows(rows: DataFrame, ts: str, key: str, windows: DataFrame, name
     return met.groupBy("dev", "window").agg(F.countDistinct("_k").alias(name))
 
 
+def daily_sketches(rows: DataFrame, ts: str, key: str, log_k: int = 12) -> DataFrame:
+    """(dev, day, keys): a mergeable sketch of the distinct keys of each person and day, to be kept beside the exact rows."""
+    return rows.where(F.col(key).isNotNull()).groupBy("dev", F.col(ts).cast("date").alias("day")).agg(F.hll_sketch_agg(F.col(key).cast("string"), log_k).alias("keys"))
+
+
+def sketched_in_windows(sketches: DataFrame, windows: DataFrame, name: str) -> DataFrame:
+    """(dev, window, name): about how many distinct keys each person has in each window, by merging the days' sketches alone.
+
+    The opt-in to ``keys_in_windows``: 4096 registers (``log_k`` 12) give a relative standard error of 1.6 %, small sets are exact."""
+    day = F.col("day").cast("timestamp_ntz")
+    met = sketches.join(F.broadcast(windows), (day >= F.col("start")) & (day < F.col("stop")))
+    return met.groupBy("dev", "window").agg(F.hll_sketch_estimate(F.hll_union_agg("keys")).alias(name))
+
+
 def compare_windows(found: DataFrame, base: str, other: str, measure: str) -> DataFrame:
     """Delta and percentage of a measure between two windows."""
     side = lambda w, name: found.where(F.col("window") == w).select("dev", F.col(measure).alias(name))

@@ -64,6 +64,26 @@ def raw_profile(t):
     return fields.profile(fields.raw_fields(rows, "key", "j"))
 
 
+#: Parts as fields of a catalog whose names come again, and lineitems as the records that hold and can set them.
+CATALOG = """SELECT 'f' || CAST(p_partkey AS VARCHAR(20)) AS field_id, p_partkey AS ord, CASE p_partkey % 40 WHEN 7 THEN ' Story Points' WHEN 9 THEN 'Story point estimate' WHEN 11 THEN 'Release Description' WHEN 13 THEN 'Description' WHEN 17 THEN 'Points of interest' ELSE p_name END AS name FROM {part}"""
+HELD = "SELECT 'f' || CAST(l_partkey AS VARCHAR(20)) AS field_id, count(*) AS sampled, CAST(sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END) AS BIGINT) AS populated FROM {lineitem} GROUP BY l_partkey"
+SETTABLE = "SELECT 'f' || CAST(l_partkey AS VARCHAR(20)) AS field_id, count(*) AS n FROM {lineitem} WHERE l_linenumber > 3 GROUP BY l_partkey"
+
+
+def field_mappings(t):
+    sql = lambda text, *names: t("region").sparkSession.sql(text, **{x: t(x) for x in names})
+    catalog = sql(CATALOG, "part")
+    found = fields.mappings(sql(HELD, "lineitem"), catalog, sql(SETTABLE, "lineitem").join(catalog.select("field_id", "name"), "field_id"))
+    return found.select("role", "field_id", F.trim("name").alias("name"), n("populated"), n("sampled"), n("settable"), "warning")
+
+
+FIELD_MAPPINGS_SQL = f"""WITH ca AS ({CATALOG}), he AS ({HELD}), se AS ({SETTABLE}),
+  a AS (SELECT 'story_points' AS role, field_id, name FROM se JOIN ca USING (field_id) WHERE lower(trim(name)) IN ('story points', 'story point estimate') ORDER BY n DESC, name, field_id LIMIT 1),
+  d AS (SELECT 'description' AS role, field_id, name FROM he JOIN ca USING (field_id) WHERE contains(lower(name), 'description') ORDER BY populated DESC, name, field_id LIMIT 1),
+  al AS (SELECT * FROM a UNION ALL SELECT * FROM d UNION ALL SELECT 'epic_link', 'parent', 'Parent')
+  SELECT role, field_id, trim(name) AS name, coalesce(populated, 0) AS populated, coalesce(sampled, 0) AS sampled, coalesce(n, 0) AS settable, false AS warning FROM al LEFT JOIN he USING (field_id) LEFT JOIN se USING (field_id)"""
+
+
 QUERIES = {
     "text_issue_keys": (
         lambda t: t("orders").select(F.explode(tx.issue_keys(F.concat(F.lit("fix ABC-"), F.col("o_custkey").cast("string"), F.lit(": x")), F.concat(F.lit("ORD-"), F.col("o_orderkey").cast("string"), F.lit(" ABC-"), F.col("o_custkey").cast("string")))).alias("issue_key")).groupBy("issue_key").agg(F.count("*").alias("n")),
@@ -71,7 +91,10 @@ QUERIES = {
     ),
     "text_links": (
         lambda t: t("pages").select("page_id", F.size(tx.links(F.concat(F.col("url"), F.lit(" "), F.coalesce("html", F.lit(""))), ("example",))).cast("long").alias("links")).agg(F.sum("links").alias("links"), F.count("*").alias("pages")),
-        None,
+        r"""WITH p AS (SELECT page_id, url || ' ' || coalesce(html, '') AS s FROM {pages}),
+            u AS (SELECT page_id, unnest(list_transform(regexp_extract_all(s, 'https?://\S+'), lambda x: regexp_replace(x, '[.,;:!?)]+$', ''))) AS link FROM p),
+            k AS (SELECT page_id, link FROM u WHERE regexp_matches(lower(link), 'example') UNION SELECT page_id, unnest(regexp_extract_all(s, '(?:implementation|discovery)/[\w./-]+\.md')) FROM p)
+            SELECT CAST((SELECT count(*) FROM k) AS BIGINT) AS links, count(*) AS pages FROM p""",
     ),
     "text_substantive": (
         lambda t: t("conversations").groupBy("role").agg(F.sum(tx.substantive(F.col("text"), DOC_HINTS).cast("long")).alias("n")),
@@ -150,7 +173,13 @@ QUERIES = {
         lambda t: fields.proposals(raw_profile(t), t("region").limit(0).select(F.col("r_name").alias("field_id"), F.col("r_name").alias("name"), F.col("r_name").alias("kind")).unionByName(t("region").sparkSession.sql("SELECT 'customfield_1' AS field_id, 'Story Points' AS name, 'number' AS kind UNION ALL SELECT 'summary', 'Description text', 'string'"))).select("role", "field_id"),
         "SELECT 'story_points' AS role, 'customfield_1' AS field_id UNION ALL SELECT 'description', 'summary'",
     ),
-    "field_profile": (raw_profile, None),
+    "field_profile": (
+        raw_profile,
+        """WITH k(field_id, shape) AS (VALUES ('assignee', 'object' || chr(123) || 'accountId' || chr(125)), ('created', 'string'), ('customfield_1', 'number'), ('issuelinks', 'array[1]'), ('issuetype', 'object' || chr(123) || 'name' || chr(125)), ('labels', 'array[2]'), ('status', 'object' || chr(123) || 'name' || chr(125)), ('subtasks', 'array[1]'), ('summary', 'string'), ('updated', 'string'))
+           SELECT field_id, count(*) AS sampled, CAST(sum(CASE WHEN field_id = 'customfield_1' AND o_orderkey % 8 = 0 THEN 0 ELSE 1 END) AS BIGINT) AS populated, shape
+           FROM {orders} CROSS JOIN k WHERE field_id <> 'assignee' OR o_orderkey % 3 = 0 GROUP BY field_id, shape""",
+    ),
+    "field_mappings": (field_mappings, FIELD_MAPPINGS_SQL),
     "cell_manifest": (manifest, "SELECT 'issues' AS source, 'P' || (o_custkey % 5) AS scope, strftime(o_orderdate, '%Y-%m') AS month, count(*) AS records FROM {orders} GROUP BY 2, 3"),
     "cell_bounds": (
         lambda t: corpus_files.month_bounds(manifest(t)),

@@ -62,6 +62,24 @@ def spike_population(t):
     return rows.groupBy("band").agg(F.count("*").alias("n"), count(F.col("spawned") > 0).alias("spawned"), count(F.col("artifacts") > 0).alias("artifacts"), count(F.col("needs_insight")).alias("flagged"), F.round(F.max("raw").cast("double"), 4).alias("most"))
 
 
+def _described(t):
+    """Investigations and whether their first turn describes them."""
+    first = t("conversations").groupBy("conv_id").agg(F.max(((F.col("turn") == 0) & (F.col("conv_id") % 3 != 0) & (F.trim("text") != "")).cast("int")).alias("d"))
+    return delivery.spike_rows(t).join(first, "conv_id").withColumn("described", F.col("d") == 1)
+
+
+DESCRIBED_SQL = "ds AS (SELECT conv_id, max(CASE WHEN turn = 0 AND conv_id % 3 <> 0 AND trim(text) <> '' THEN 1 ELSE 0 END) = 1 AS described, sum(len(regexp_extract_all(text, 'https?://\\S+'))) AS links, sum(CASE WHEN strlen(trim(text)) >= 200 THEN 1 ELSE 0 END) AS long FROM {conversations} GROUP BY 1)"
+
+
+def spike_summary(t):
+    found = audit.spike_summary(_described(t))
+    return found.select(*[n(c) for c in found.columns])
+
+
+def spike_top(t):
+    return audit.spike_top(delivery.spike_rows(t), "conv_id", 25).select("conv_id", n("points"), r("raw"), n("artifact_links"), n("substantive"), n("spawned"), n("breadth"), "needs_insight", n("place"))
+
+
 #: Knobs under which many files are members of families.
 LOOSE = Impact(family_members=2, family_cv=1.0, family_token=8)
 LOOSE_SQL = LEADER_SQL.replace(EFFECTIVE, effective_sql(LOOSE))
@@ -133,6 +151,18 @@ QUERIES = {
         f"""WITH {SPIKES}, q AS (SELECT *, CASE WHEN raw > 1 AND raw < 13 AND z THEN lo || '–' || hi ELSE CAST(points AS VARCHAR) END AS band FROM p)
             SELECT band, count(*) AS n, CAST(sum(CASE WHEN spawned > 0 THEN 1 ELSE 0 END) AS BIGINT) AS spawned, CAST(sum(CASE WHEN art > 0 THEN 1 ELSE 0 END) AS BIGINT) AS artifacts, CAST(sum(CASE WHEN dormant THEN 1 ELSE 0 END) AS BIGINT) AS flagged, round(max(raw), 4)::DOUBLE AS most FROM q GROUP BY 1""",
     ),
+    "audit_spike_summary": (
+        spike_summary,
+        f"""SELECT count(*) AS spikes, CAST(sum(CASE WHEN a.spawned > 0 THEN 1 ELSE 0 END) AS BIGINT) AS spawned, CAST(sum(CASE WHEN a.breadth > 3 THEN 1 ELSE 0 END) AS BIGINT) AS broad, CAST(sum(CASE WHEN a.points > b.points THEN 1 ELSE 0 END) AS BIGINT) AS moved,
+              CAST(sum(CASE WHEN a.points > b.points THEN a.points - b.points ELSE 0 END) AS BIGINT) AS steps, CAST(sum(CASE WHEN a.dormant THEN 1 ELSE 0 END) AS BIGINT) AS flagged,
+              CAST(sum(CASE WHEN a.cd >= 2 AND links + long = 0 AND a.flips < 4 AND a.spawned > 0 THEN 1 ELSE 0 END) AS BIGINT) AS suppressed, CAST(sum(CASE WHEN described THEN 1 ELSE 0 END) AS BIGINT) AS described, CAST(sum(CASE WHEN links > 0 THEN 1 ELSE 0 END) AS BIGINT) AS linked
+            FROM (WITH {SPIKES} SELECT * FROM p) a JOIN (WITH {SPIKES.replace("+ spawned * 0.5 + greatest(breadth - 3, 0) * 0.25", "")} SELECT * FROM p) b USING (conv_id) JOIN (WITH {DESCRIBED_SQL} SELECT * FROM ds) d USING (conv_id)""",
+    ),
+    "audit_spike_top": (
+        spike_top,
+        f"""WITH {SPIKES}, {DESCRIBED_SQL}, tp AS (SELECT *, row_number() OVER (ORDER BY raw DESC, conv_id) AS place FROM p JOIN ds USING (conv_id))
+            SELECT conv_id, CAST(points AS BIGINT) AS points, round(raw, 4)::DOUBLE AS raw, CAST(links AS BIGINT) AS artifact_links, CAST(long AS BIGINT) AS substantive, spawned, CAST(breadth AS BIGINT) AS breadth, dormant AS needs_insight, place FROM tp WHERE place <= 25""",
+    ),
     "audit_impact": (
         impact_audit,
         f"""SELECT dev, a.loc::DOUBLE AS loc, {", ".join(f"round({m}.{c}, 4)::DOUBLE AS {c}_{m}" for c in ("effective_loc", "code_impact") for m in "ab")}, a.rank AS rank_a, b.rank AS rank_b, CAST(a.rank - b.rank AS BIGINT) AS shift

@@ -1,6 +1,7 @@
-"""The incremental sides as Structured Streaming: weekly counts, upserts, ratings, momentum and snapshots.
+"""The incremental sides as Structured Streaming: weekly counts, upserts, ratings and versions.
 
-Every job takes a streaming DataFrame; state is bounded by its watermark or kept in tables.
+Every job takes a streaming DataFrame; state is bounded by its watermark or kept in tables.  Those that keep state of their
+own by key (months, newest snapshots, momentum, ratings) are in ``state``.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ def rate_periods(old: DataFrame | None, batch: DataFrame) -> DataFrame:
     newest = waiting.groupBy("league").agg(F.max("period").alias("_newest"))
     fresh = waiting.join(done, "league", "left").where("_done IS NULL OR period > _done").join(newest, "league").dropDuplicates(["league", "period", "dev"])
     over = fresh.where("period < _newest").select("league", "period", "dev", "outcome")
-    moved = elo.last_state(elo.rating_walk(over, state.drop("last_period")))
+    moved = elo.state_of(elo.rating_fold(over, state.drop("last_period")))  # everyone known, idle ones too
     last = over.groupBy("league").agg(F.max("period").alias("_new")).join(done, "league", "full").select("league", F.greatest("_new", "_done").alias("last_period"))
     rated = state.drop("last_period").join(moved.select("league", "dev"), ["league", "dev"], "left_anti").unionByName(moved).join(last, "league")
     rated = rated.withColumns({"period": F.lit(None).cast("string"), "outcome": F.lit(None).cast("double")})
