@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.config import DATA_EXTENSIONS, GENERATED_PATHS, Impact
 from tidemark.functions.text import extension, family_stem, matches_generated
 from tidemark.operators.rollup import code_impact
+from tidemark.sources.staging import staged
 
 PR = ["repo", "pr_number"]
 
@@ -120,13 +121,14 @@ def effective_loc(
     lines = weighted_loc(F.col("additions"), F.col("deletions"), knobs)
     rows = marked.select(*PR, lines.alias("own"), "out", "dump", "damped", (F.col("family") * F.col("churn")).alias("w"))
     per = rows.groupBy(*PR).agg(
-        F.sum(F.when(F.col("out"), 0.0).otherwise(F.col("own") * F.col("w"))).alias("net"), F.sum(F.when(F.col("out"), F.col("own")).otherwise(0.0)).alias("excluded"), F.max("dump").alias("dump"),
+        F.sum(F.when(F.col("out"), 0.0).otherwise(F.col("own") * F.col("w"))).alias("net"), F.sum(F.when(F.col("out"), F.col("own")).otherwise(0.0)).alias("excluded"), F.max("dump").alias("dump"), F.max("damped").alias("damped"),
     )
-    found = _merged(prs, integration).join(per, PR, "left")
     each = F.lit(True)
-    if not churn:  # without families either, lines are taken from the requests
-        found = found.crossJoin(F.broadcast(marked.agg(F.coalesce(F.max("damped"), F.lit(False)).alias("any"))))
-        each = F.col("any")
+    if not churn:  # without families either, lines are taken from the requests; a row for each request is written, as it is read twice
+        per, each = staged(per, "request-lines"), F.col("any")
+    found = _merged(prs, integration).join(per.drop("damped"), PR, "left")
+    if not churn:
+        found = found.crossJoin(F.broadcast(per.agg(F.coalesce(F.max("damped"), F.lit(False)).alias("any"))))
     whole = F.greatest(F.lit(0.0), lines - F.coalesce("excluded", F.lit(0.0)))
     loc = F.when(F.coalesce("dump", F.lit(False)), knobs.dump_weight * lines)
     if bulk:
