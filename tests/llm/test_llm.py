@@ -432,6 +432,43 @@ def test_pii_redacts_and_keeps_the_rest(odd, empty):
     assert out.count() == odd.count() and pii.redact(empty).count() == 0
 
 
+def _redact(text, spans):
+    out, at = "", 0
+    for start, stop, kind in spans:
+        if start >= at:
+            out += text[at:start] + f"<{kind.upper()}>"
+        at = max(at, stop)
+    return out + text[at:]
+
+
+def test_pii_overlaps_and_redaction_against_brute_force(spark):
+    """Spans that touch, nest, repeat, cross chunks and blocks, and stand at both ends."""
+    rng, rows = random.Random(5), []
+    for i in range(60):
+        text = "".join(rng.choice("ab é😀\n") for _ in range(rng.choice([1, 40, 1023, 1024, 1025, 5000])))
+        spans = []
+        for _ in range(rng.choice([1, 2, 63, 64, 65, 129, 400])):
+            start = rng.randrange(len(text))
+            spans.append((start, min(len(text), start + rng.choice([1, 2, 9, 30, 2100])), rng.choice(pii.KINDS)))
+        spans += [(0, 1, "ip"), (len(text) - 1, len(text), "ip")] if i % 2 else spans[:1]
+        rows.append((i, text, sorted(spans), [(k, a, b) for a, b, k in spans if rng.random() < 0.5], [(k, a, b) for a, b, k in spans if rng.random() < 0.5]))
+    span = "array<struct<kind:string,start:bigint,stop:bigint>>"
+    df = spark.createDataFrame(rows, f"i int, text string, spans array<struct<start:bigint,stop:bigint,kind:string>>, base {span}, added {span}")
+    got = df.select("i", pii._redacted(F.col("text"), F.col("spans")).alias("text"), pii._apart(F.col("added"), F.col("base")).alias("added")).collect()
+    for r, (_, text, spans, base, added) in zip(sorted(got), rows, strict=True):
+        assert r.text == _redact(text, spans)
+        assert [tuple(s) for s in r.added] == sorted(s for s in added if not any(b[1] < s[2] and s[1] < b[2] for b in base))
+
+
+def test_pii_takes_tens_of_thousands_of_spans_in_a_text(spark):
+    pieces = [f"write to u{i}@mail.example.org or write to ACC-{10000 + i}-X now\n" for i in range(16_000)]
+    rows = spark.createDataFrame([(1, "".join(pieces)), (2, "plain"), (3, None)], "doc_id long, text string")
+    started = time.time()
+    out = {r.doc_id: r.text for r in pii.redact(rows).collect()}
+    assert time.time() - started < 90
+    assert out == {1: "write to <EMAIL> or write to <EMAIL> now\n" * 16_000, 2: "plain", 3: None}
+
+
 # --- op5
 
 

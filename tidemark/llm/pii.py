@@ -23,6 +23,10 @@ The regular expressions are possessive forms of the stated ones: their parts are
 match the same, without backtracking or deep recursion; each starts only where its run starts, so
 the work stays linear in a text that is one long run.
 
+What added spans overlap, and what redaction puts in place of spans, goes by the greatest end so far
+of the spans in order, again in blocks; redacted texts are put together from chunks of ``CHUNK``
+characters, so that both stay linear in the spans of a text.
+
 Defined cases: null or empty text has no spans and the checksum of the empty string; equal rows
 give equal rows; a null doc_id is kept; an empty table gives none; other columns are ignored by the
 operator and passed on by ``redact``.
@@ -30,6 +34,8 @@ operator and passed on by ``redact``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +58,7 @@ _HAS_CANDIDATE = rf"[0-9](?:[A-Za-z@._+/=-]*+[0-9]){{3}}|{_SEVEN}"
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _SPAN = "struct<kind:string,start:bigint,stop:bigint,match:string,lhs:string,rhs:string>"
 STEP = 64
+CHUNK = 1024
 
 
 def _digits(match: Column) -> Column:
@@ -182,7 +189,61 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", confid
     base = scan.drop("seen")
     out = base.join(added.withColumnRenamed("doc_id", "d").withColumnRenamed("h", "g"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left").drop("d", "g")
     own = F.coalesce(F.col("added"), F.array().cast("array<struct<kind:string,start:bigint,stop:bigint>>"))
-    return out.withColumn("added", F.filter(own, lambda a: ~F.exists("base", lambda b: (b["start"] < a["stop"]) & (a["start"] < b["stop"]))))
+    return out.withColumn("added", F.when((F.size(own) > 0) & (F.size("base") > 0), _apart(own, F.col("base"))).otherwise(own))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _most_before(values: Column) -> Column:
+    """For each of some longs above 0 the greatest before it (0 for the first), in blocks of STEP."""
+    most = lambda c: F.coalesce(F.array_max(c), F.lit(0).cast("long"))
+    blocks = lambda v: F.sequence(F.lit(0), ((F.size(v) - 1) / STEP).cast("int"))
+
+    def block(of: Column, below: Column) -> Column:
+        return F.transform(of, lambda _, i: F.greatest(below, most(F.slice(of, 1, i))))
+
+    def every(v: Column, tops: Column) -> Column:
+        return F.flatten(F.transform(blocks(v), lambda b: _let(F.slice(v, b * STEP + 1, STEP), lambda of: _let(most(F.slice(tops, 1, b)), lambda below: block(of, below)))))
+
+    tops = lambda v: F.transform(blocks(v), lambda b: most(F.slice(v, b * STEP + 1, STEP)))
+    return _let(values, lambda v: F.when(F.size(v) > 0, _let(tops(v), lambda top: every(v, top))).otherwise(v))
+
+
+def _apart(added: Column, base: Column) -> Column:
+    """The added spans that overlap no base span: no base span that starts before their end reaches beyond their start."""
+    mark = lambda turn, at: lambda s: F.struct(s[at].alias("at"), F.lit(turn).alias("turn"), s["kind"].alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"))
+    order = F.array_sort(F.concat(F.transform(added, mark(0, "stop")), F.transform(base, mark(1, "start"))))
+
+    def kept(marks: Column) -> Column:
+        reach = _most_before(F.transform(marks, lambda s: F.when(s["turn"] == 1, s["stop"]).otherwise(F.lit(0).cast("long"))))
+        free = F.filter(F.arrays_zip(marks.alias("s"), reach.alias("reach")), lambda z: (z["s"]["turn"] == 0) & (z["reach"] <= z["s"]["start"]))
+        return F.array_sort(F.transform(free, lambda z: F.struct(z["s"]["kind"].alias("kind"), z["s"]["start"].alias("start"), z["s"]["stop"].alias("stop"))))
+
+    return _let(order, kept)
+
+
+def _between(chunks: Column, start: Column, stop: Column) -> Column:
+    """The characters from ``start`` to before ``stop`` of a text in chunks of CHUNK."""
+    chunk = lambda at: F.floor(at / CHUNK).cast("int")
+    first, last, at = chunk(start), chunk(stop - 1), (start % CHUNK + 1).cast("int")
+    head, tail = F.element_at(chunks, first + 1), F.element_at(chunks, last + 1)
+    across = F.concat(F.substring(head, at, CHUNK), F.array_join(F.slice(chunks, first + 2, last - first - 1), ""), F.substring(tail, F.lit(1), ((stop - 1) % CHUNK + 1).cast("int")))
+    return F.when(stop <= start, "").when(first == last, F.substring(head, at, (stop - start).cast("int"))).otherwise(across)
+
+
+def _redacted(text: Column, spans: Column) -> Column:
+    """``text`` with the spans, in order of start, stop and kind, replaced; spans that overlap become one, of the first one's kind."""
+
+    def whole(chunks: Column) -> Column:
+        done = _most_before(F.transform(spans, lambda s: s["stop"]))
+        parts = F.zip_with(spans, done, lambda s, at: F.when(s["start"] >= at, F.concat(_between(chunks, at, s["start"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise(""))
+        rest = _between(chunks, F.array_max(F.transform(spans, lambda s: s["stop"])), F.length(text).cast("long"))
+        return F.concat(F.array_join(parts, ""), rest)
+
+    return _let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}+"), F.lit(0)), whole)
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,13 +251,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     spans = find(docs, id_col, text_col).where("size(base) + size(added) > 0").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"], s["stop"], s["kind"]))).alias("_s")).distinct()
     h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     joined = docs.join(spans, docs[id_col].eqNullSafe(F.col("_d")) & (h == F.col("_h")), "left")
-    text = F.expr(f"""
-      CASE WHEN _s IS NULL THEN `{text_col}` ELSE
-      aggregate(_s, named_struct('at', 0L, 'out', ''),
-        (a, s) -> IF(s.start >= a.at,
-          named_struct('at', s.stop, 'out', concat(a.out, substring(`{text_col}`, CAST(a.at + 1 AS INT), CAST(s.start - a.at AS INT)), '<', upper(s.kind), '>')),
-          named_struct('at', greatest(a.at, s.stop), 'out', a.out)),
-        a -> concat(a.out, substring(`{text_col}`, CAST(a.at + 1 AS INT)))) END""")
+    text = F.when(F.col("_s").isNull(), F.col(text_col)).otherwise(_redacted(F.col(text_col), F.col("_s")))
     return joined.withColumn(text_col, text).select(*docs.columns)
 
 
