@@ -10,10 +10,11 @@ bits, and each of the 2^3 - 1 = 7 non-zero vectors v gives a mask that keeps the
 orthogonal to both and that table's masked values are equal: every pair within the radius
 collides in some table, with certainty.
 
-Fingerprints that share a bucket are verified without forming the bucket's pairs: each
-candidate is filed under itself and its 64 one-bit neighbours.  Two fingerprints meet in such
-a cell exactly if they differ in at most two bits, so each cell links its members to its
-smallest one.  The work is linear in the candidates, whatever the size of a bucket.
+Fingerprints that share a bucket are verified without forming the bucket's pairs: within the
+bucket each is filed under itself and its neighbours by one of the bits that the table's mask
+leaves out, as the others are equal there.  Two members meet in such a cell exactly if they differ
+in at most two bits, so each cell links its members to its smallest one.  A table's cell belongs to
+one bucket only.  The work is linear in the members, whatever the size of a bucket.
 
 Defined cases: null or empty text has fingerprint zero and is linked like any other; fewer
 than three words make one shingle of the whole sequence; repeated shingles count again;
@@ -80,14 +81,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) between the node ids of (fp, node), fp unique, at distance 2 or less."""
-    tables = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in covering_masks()])).alias("t", "bucket")
+    masks = covering_masks()
+    tables = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in masks])).alias("t", "bucket")
     filed = fps.select("fp", "node", tables)
     shared = filed.groupBy("t", "bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("t", "bucket")
-    candidates = cut(filed.join(shared, ["t", "bucket"]).select("fp", "node").distinct())
-    flips = F.explode(F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)) for i in range(BITS)])).alias("flip")
-    cells = candidates.select("fp", "node", flips).select("node", F.col("fp").bitwiseXOR(F.col("flip")).alias("cell"))
-    least = cells.groupBy("cell").agg(F.min("node").alias("a"), F.max("node").alias("hi")).where("a < hi").select("cell", "a")
-    return cells.join(least, "cell").where("node > a").select("a", F.col("node").alias("b")).distinct()
+    members = cut(filed.join(shared, ["t", "bucket"]).select("t", "fp", "node"))
+    left_out = F.array(*[F.array(*[F.lit(f).cast("long") for f in (0, *(_signed(1 << i) for i in range(BITS) if not m >> i & 1))]) for m in masks])
+    cells = members.select("t", "fp", "node", F.explode(F.element_at(left_out, F.col("t") + 1)).alias("flip")).select("t", "node", F.col("fp").bitwiseXOR(F.col("flip")).alias("cell"))
+    least = cells.groupBy("t", "cell").agg(F.min("node").alias("a"), F.max("node").alias("hi")).where("a < hi").select("t", "cell", "a")
+    return cells.join(least, ["t", "cell"]).where("node > a").select("a", F.col("node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
