@@ -441,3 +441,25 @@ def test_sketches_merge_over_windows(spark):
     assert set(got) == set(exact) and len(got) == 4
     assert all(abs(got[k] - exact[k]) <= max(0.05 * exact[k], 0) for k in exact)  # three standard errors
     assert got[("d1", "all")] == exact[("d1", "all")] == 37  # small sets are exact
+
+
+def test_pair_sums_by_cells():
+    g = np.random.default_rng(5)
+    for score in (g.normal(size=700), g.integers(0, 9, 700).astype(float), g.standard_cauchy(700), np.r_[np.zeros(300), 1.0], np.array([1.0, 2.0])):
+        d, sd, n = score[:, None] - score[None, :], score.std(), len(score)
+        beyond = np.clip(np.sign(d) * (np.abs(d) - 0.75 * sd) / (0.5 * sd), -700, 700)
+        want = (np.where(np.abs(d) <= 0.75 * sd, 0.5, 1 / (1 + np.exp(-beyond))).sum(axis=1) - 0.5) / (n - 1)
+        for block in (7, None):
+            np.testing.assert_allclose(elo.outcomes(score, block=block), want, atol=1e-12)
+        r = 1000 + 100 * score
+        odds = 1 / (1 + 10 ** np.clip((r[None, :] - r[:, None]) / 400, -300, 300))
+        np.testing.assert_allclose(elo.expectations(r), (odds.sum(axis=1) - 0.5) / (n - 1), atol=1e-12)
+
+
+def test_ratings_of_many_people_end():
+    """A period of 200,000 people has 4e10 pairs."""
+    score = np.random.default_rng(6).normal(size=200_000)
+    assert abs(elo.outcomes(score).mean() - 0.5) < 1e-9
+    rows = pd.DataFrame({"period": "2024-P01", "dev": [f"d{i:06d}" for i in range(len(score))], "outcome": elo.outcomes(score)})
+    got = elo.walk(rows, EMPTY, hand_on=True)
+    assert len(got) == 2 * len(score) and abs(got[got.kind == "played"].delta.sum()) < 1e-3

@@ -1,8 +1,9 @@
-"""Round-robin ratings over periods: outcomes by blocks per period, the recurrence in one grouped helper per league.
+"""Round-robin ratings over periods: outcomes per period, the recurrence in one grouped helper per league.
 
 Only the recurrence is sequential, and leagues run apart; its input has one row per person and
-period.  Each period is done with vectors and blocks of a matrix, long histories in runs of periods
-with the state in a table between them.
+period.  Sums over all pairs are taken from the sorted values by cells (``_logistic_below``), not pair
+by pair; each period is done with vectors, long histories in runs of periods with the state in a table
+between them.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+from numpy.polynomial.chebyshev import chebvander
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,8 +22,14 @@ from tidemark.functions.calendar import period_close
 from tidemark.operators import ranking
 from tidemark.sources.staging import staged
 
-#: Rows of one league that a task takes at once, cells of a block of expectations, and the kind of rows that hand on the state.
-AT_ONCE, CELLS, STATE = 1 << 21, 1 << 22, "state"
+#: Rows of one league that a task takes at once, values of which sums are taken at once, and the kind of rows that hand on the state.
+AT_ONCE, BLOCK, STATE = 1 << 21, 1 << 16, "state"
+#: Nodes of a cell (an interpolation of tanh(x / 2) by 14 of them over a width of 1 is exact to 1e-15), how many cells away
+#: tanh(x / 2) is 1 in doubles, the nodes and the matrix from Chebyshev polynomials to weights of nodes.
+NODES, FAR = 14, 40
+_COS = np.cos((2 * np.arange(NODES) + 1) * np.pi / (2 * NODES))
+_AT = (_COS + 1) / 2
+_TO_NODES = chebvander(_COS, NODES - 1).T * np.where(np.arange(NODES) > 0, 2.0, 1.0)[:, None] / NODES
 HISTORY = "league string, dev string, period string, kind string, outcome double, delta double, rating double, periods_played long, idle_streak long"
 
 
@@ -44,24 +52,59 @@ def active_cohort(periods: DataFrame) -> DataFrame:
     return periods.where(F.col("prs_created") + F.col("prs_merged") + F.col("reviewed") + F.col("commits") > 0)
 
 
+def _spread(x: np.ndarray) -> np.ndarray:
+    """The weight of each node for each place within a cell: what a value counts for at the nodes, or is read from them by."""
+    return chebvander(2 * x - 1, NODES - 1) @ _TO_NODES
+
+
+def _logistic_below(at: np.ndarray, values: np.ndarray, scale: float, block: int | None = None) -> np.ndarray:
+    """For each of ``at`` the sum over the values v below it of 1 / (1 + exp(-(at - v) / scale)) - 1/2, to rounding.
+
+    The values are sorted into cells as wide as ``scale`` and stand at the nodes of theirs by weights.  Of the cell that ``at``
+    lies in, running sums of weights give those below it; of the cells further down, the sums at the nodes of its cell, which
+    ``at`` is read from; those ``FAR`` cells down count a half each.  Work and memory are in proportion to the values."""
+    values = np.sort(values)
+    place = (values - values[0]) / scale
+    cell = np.floor(place).astype(np.int64)
+    upto = np.zeros((len(values) + 1, NODES))
+    for lo in range(0, len(values), BLOCK):
+        upto[lo + 1 : lo + BLOCK + 1] = _spread((place - cell)[lo : lo + BLOCK])
+    np.cumsum(upto, axis=0, out=upto)
+    cells, first = np.unique(cell, return_index=True)
+    held = np.diff(upto[np.append(first, len(values))], axis=0)
+    to = (at - values[0]) / scale
+    own = np.floor(to).astype(np.int64)
+    asked, inverse = np.unique(own, return_inverse=True)
+    below = np.full((len(asked), NODES), 0.5) * np.searchsorted(cell, asked - FAR)[:, None]
+    for k in range(1, FAR + 1):
+        found = np.minimum(np.searchsorted(cells, asked - k), len(cells) - 1)
+        hit = cells[found] == asked - k
+        below[hit] += held[found[hit]] @ np.tanh((k + _AT[None, :] - _AT[:, None]) / 2) / 2
+    out, block = np.empty(len(at)), block or BLOCK
+    for lo in range(0, len(at), block):
+        part = slice(lo, lo + block)
+        x = to[part] - own[part]
+        near = upto[np.searchsorted(values, at[part])] - upto[np.searchsorted(cell, own[part])]
+        out[part] = (near * np.tanh((x[:, None] - _AT) / 2) / 2).sum(axis=1) + (_spread(x) * below[inverse[part]]).sum(axis=1)
+    return out
+
+
 def outcomes(score: np.ndarray, knobs: Elo = Elo(), block: int | None = None) -> np.ndarray:
-    """Each one's mean result against all others: near scores draw.  Pairs live in blocks of a matrix only."""
+    """Each one's mean result against all others: near scores draw.  No pair is formed."""
     n, sd = len(score), float(score.std())
     if n < 2 or sd < 1e-12:
         return np.full(n, 0.5)
-    out, block = np.empty(n), block or max(1, CELLS // n)
-    for lo in range(0, n, block):
-        d = score[lo : lo + block, None] - score[None, :]
-        beyond = np.sign(d) * (np.abs(d) - knobs.deadzone * sd)
-        result = np.where(np.abs(d) <= knobs.deadzone * sd, 0.5, 1 / (1 + np.exp(-beyond / (knobs.scale * sd))))
-        out[lo : lo + block] = (result.sum(axis=1) - 0.5) / (n - 1)  # without oneself, a draw
-    return out
+    if not np.isfinite(sd):
+        return np.full(n, np.nan)
+    zone, scale = knobs.deadzone * sd, knobs.scale * sd
+    won = _logistic_below(score - zone, score, scale, block) - _logistic_below(-score - zone, -score, scale, block)
+    return 0.5 + won / (n - 1)  # a draw with everyone, and what is above it; oneself lies in the zone
 
 
 def round_robin(scores: DataFrame, knobs: Elo = Elo()) -> DataFrame:
     """(league, period, dev, outcome) of everyone's mean result in a period.
 
-    A period's scores are one short vector per league, so they meet as blocks of a matrix; no pair becomes a row."""
+    A period's scores are one vector per league; no pair becomes a row or a cell of a matrix."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf[["league", "period", "dev"]].assign(outcome=outcomes(pdf["score"].to_numpy(dtype=float), knobs))
@@ -77,15 +120,13 @@ def k_factor(played: np.ndarray, knobs: Elo) -> np.ndarray:
 
 
 def expectations(ratings: np.ndarray, block: int | None = None) -> np.ndarray:
-    """Each one's mean expected result against all others, in blocks of a matrix; alone, a draw."""
-    n = len(ratings)
+    """Each one's mean expected result against all others; alone, a draw."""
+    n, scale = len(ratings), 400 / np.log(10)
     if n < 2:
         return np.full(n, 0.5)
-    out, block = np.empty(n), block or max(1, CELLS // n)
-    for lo in range(0, n, block):
-        odds = 1 / (1 + 10 ** ((ratings[None, :] - ratings[lo : lo + block, None]) / 400))
-        out[lo : lo + block] = (odds.sum(axis=1) - 0.5) / (n - 1)  # without oneself, a draw
-    return out
+    if not np.isfinite(ratings).all():
+        return np.full(n, np.nan)
+    return 0.5 + (_logistic_below(ratings, ratings, scale, block) - _logistic_below(-ratings, -ratings, scale, block)) / (n - 1)
 
 
 def walk(outcomes: pd.DataFrame, state: pd.DataFrame, knobs: Elo = Elo(), hand_on: bool = False) -> pd.DataFrame:
@@ -93,38 +134,43 @@ def walk(outcomes: pd.DataFrame, state: pd.DataFrame, knobs: Elo = Elo(), hand_o
 
     With ``hand_on``, the state of everyone known follows as rows of kind ``state``: a streak too short to decay has no row of
     history, so the last of those rows don't tell it."""
-    known = {r.dev: [r.rating, r.periods_played, r.idle_streak] for r in state.itertuples(index=False)}
-    rows = []
+    people = pd.Index(sorted({*state["dev"], *outcomes["dev"]}), dtype=object)
+    rating, played, streak = np.full(len(people), float(knobs.start)), np.zeros(len(people), dtype=np.int64), np.zeros(len(people), dtype=np.int64)
+    known = people.get_indexer(state["dev"])
+    rating[known], played[known], streak[known] = state["rating"].astype(float), state["periods_played"].astype(np.int64), state["idle_streak"].astype(np.int64)
+    parts = []
+
+    def add(kind: str, period: str | None, who: np.ndarray, outcome, delta) -> None:
+        cols = {"_at": who, "period": period, "kind": kind, "outcome": outcome, "delta": delta, "rating": rating[who], "periods_played": played[who], "idle_streak": streak[who]}
+        parts.append(pd.DataFrame(cols, index=range(len(who))))
+
     for period, group in outcomes.sort_values(["period", "dev"]).groupby("period", sort=True):
-        devs = group["dev"].tolist()
-        for d in devs:
-            known.setdefault(d, [knobs.start, 0, 0])
-        r = np.array([known[d][0] for d in devs])
-        played = np.array([known[d][1] for d in devs])
-        s = group["outcome"].to_numpy()
-        raw = k_factor(played, knobs) * (s - expectations(r))
-        soft = (played < knobs.provisional) & (raw < 0)
+        who, s = people.get_indexer(group["dev"]), group["outcome"].to_numpy(dtype=float)
+        r = rating[who]
+        raw = k_factor(played[who], knobs) * (s - expectations(r))
+        soft = (played[who] < knobs.provisional) & (raw < 0)
         delta = np.where(soft, raw * knobs.provisional_loss, raw)
         forgiven, gained = (delta - raw).sum(), raw[raw > 0].sum()
         if gained > 0 and forgiven > 0:
             delta = np.where(raw > 0, raw - forgiven * raw / gained, delta)
-        mean = r.mean()
-        for d, o, x in zip(devs, s, delta):
-            known[d] = [known[d][0] + x, known[d][1] + 1, 0]
-            rows.append((d, period, "played", o, x, *known[d]))
-        for d in sorted(set(known) - set(devs)):
-            rating, n_played, streak = known[d]
-            if not n_played:
-                continue
-            streak, step = streak + 1, 0.0
-            if streak > knobs.idle_after:
-                step = float(np.clip(mean - rating, -knobs.idle_step, knobs.idle_step))
-            known[d] = [rating + step, n_played, streak]
-            if step:
-                rows.append((d, period, "decay", np.nan, step, *known[d]))
+        rating[who], played[who], streak[who] = r + delta, played[who] + 1, 0
+        add("played", period, who, s, delta)
+        away = played > 0
+        away[who] = False
+        streak[away] += 1
+        step = np.where(away & (streak > knobs.idle_after), np.clip(r.mean() - rating, -knobs.idle_step, knobs.idle_step), 0.0)
+        rating += step
+        moved = np.flatnonzero(step)
+        if len(moved):
+            add("decay", period, moved, np.nan, step[moved])
     if hand_on:
-        rows += [(d, None, STATE, np.nan, 0.0, *x) for d, x in sorted(known.items())]
-    return pd.DataFrame(rows, columns=["dev", "period", "kind", "outcome", "delta", "rating", "periods_played", "idle_streak"])
+        add(STATE, None, np.arange(len(people)), np.nan, 0.0)
+    columns = ["dev", "period", "kind", "outcome", "delta", "rating", "periods_played", "idle_streak"]
+    if not parts:
+        return pd.DataFrame([], columns=columns)
+    rows = pd.concat(parts, ignore_index=True)
+    rows["dev"] = people.take(rows.pop("_at"))
+    return rows[columns]
 
 
 def _fold(outcomes: DataFrame, state: DataFrame | None, knobs: Elo) -> DataFrame:
