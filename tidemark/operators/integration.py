@@ -16,7 +16,7 @@ PR = ["repo", "pr_number"]
 def reship(prs: DataFrame, commits: DataFrame) -> DataFrame:
     """(repo, pr_number, reship): the share of a merged request's commits that an earlier one of the repository has shipped."""
     merged = prs.where("merged IS NOT NULL").select(*PR, "merged")
-    rows = commits.where("sha <> ''").select(*PR, "sha").distinct().join(merged, PR)
+    rows = commits.where("sha <> ''").select(*PR, "sha").join(merged, PR).distinct()  # rows of one number merged at one time are one
     order = W.partitionBy("repo", "sha").orderBy("merged", "pr_number")
     again = rows.withColumn("again", (F.row_number().over(order) > 1).cast("double"))
     return again.groupBy(*PR).agg(F.avg("again").alias("reship"))
