@@ -15,6 +15,7 @@ from tidemark.plans import activity, delivery
 from tidemark.plans.activity import EFFECTIVE, LEADER_SQL, effective_sql, n, r
 from tidemark.plans.delivery import BANDED, DURATIONS, EPIC, SPIKES
 from tidemark.sources import corpus_files
+from tidemark.sources.staging import staged
 
 #: The leaderboard with a multiplier of 1.
 FLAT_SQL = re.sub(r"w3 AS \(SELECT \*, .*? AS m FROM w2\)", "w3 AS (SELECT *, 1.0 AS m FROM w2)", LEADER_SQL, flags=re.DOTALL)
@@ -108,6 +109,11 @@ def epic_facets(t):
     return epics.facets(found, rising_only=True, least_work=10).select("epic_key", "state", r("momentum"))
 
 
+def facets_weeks(t):
+    weeks = staged(epics.epic_weeks(t("issues"), t("prs"), t("commits")), "epic-weeks")
+    return epics.facets(epics.momentum(weeks, anchor=1600), False, 3, weeks, 1500, 1502).select("epic_key", "state", "trigger")
+
+
 def score_facets(t):
     scores = delivery._scores(t).join(t("issues").select(F.col("issue_key").alias("ticket"), "resolved"), "ticket")
     return tickets.score_facets(scores, ["low", "medium"], [2, 3, 5], None, "ord-1", "1998-01-01").groupBy("points", "confidence").agg(F.count("*").alias("n")).select(n("points"), "confidence", "n")
@@ -177,7 +183,7 @@ QUERIES = {
             SELECT epic_key, CASE WHEN baseline = 0 THEN 'new' WHEN momentum >= 2 THEN 'hot' ELSE 'rising' END AS state, round(momentum, 4)::DOUBLE AS momentum FROM m WHERE baseline = 0 OR momentum >= 1.2""",
     ),
     "epic_facets_weeks": (
-        lambda t: epics.facets(delivery._momentum(t), False, 3, epics.epic_weeks(t("issues"), t("prs"), t("commits")), 1500, 1502).select("epic_key", "state", "trigger"),
+        facets_weeks,
         f"""WITH {EPIC}, k AS (SELECT epic_key, sum(CASE WHEN 1600 - week < 2 THEN prs + commits ELSE 0 END) AS recent, sum(CASE WHEN 1600 - week BETWEEN 2 AND 9 THEN prs + commits ELSE 0 END) AS baseline, sum(prs + commits) AS work, max(CASE WHEN week BETWEEN 1500 AND 1502 THEN 1 ELSE 0 END) AS inside FROM ew GROUP BY 1),
             m AS (SELECT *, CASE WHEN baseline = 0 THEN 2.0 ELSE (recent / 2.0) / (baseline / 8.0) END AS mo FROM k WHERE recent >= 3 AND work >= 3 AND inside = 1),
             s AS (SELECT epic_key, CASE WHEN baseline = 0 THEN 'new' WHEN mo >= 2 THEN 'hot' WHEN mo >= 1.2 THEN 'rising' WHEN mo <= 0.8 THEN 'cooling' ELSE 'steady' END AS state FROM m)
