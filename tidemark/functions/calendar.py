@@ -26,7 +26,7 @@ def quarter_label(ts) -> Column:
 
 def week_start(ts) -> Column:
     """The Monday of a timestamp's week, as a date."""
-    return F.date_trunc("WEEK", _c(ts)).cast("date")
+    return F.trunc(_c(ts).cast("date"), "WEEK")
 
 
 def week_year(ts) -> Column:

@@ -43,8 +43,8 @@ def dev_keys(roster: DataFrame, logins: DataFrame) -> DataFrame:
 def period_scores(periods: DataFrame) -> DataFrame:
     """(period, dev, score): composites of the active people of each period; files, impact and points play no part here."""
     none = {c: F.lit(0.0) for c in ("unique_files", "code_impact", "story_points", "scored")}
-    wide = active_cohort(periods).withColumns({**none, "multiplier": F.lit(1.0)})
-    return ranking.composite(ranking.z_scores(ranking.metric_matrix(wide, ["period"]), ["period"]), ["period"])
+    rows = staged(active_cohort(periods), "periods").withColumns({**none, "multiplier": F.lit(1.0)})
+    return ranking.scores(ranking.metrics(rows, ["period"]), ["period"])
 
 
 def active_cohort(periods: DataFrame) -> DataFrame:

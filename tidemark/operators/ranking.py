@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,13 +28,20 @@ def effort_multiplier(df: DataFrame, commits: str = "commits", files: str = "uni
     return out.withColumn("multiplier", F.greatest(F.lit(knobs.floor), both)).drop("_limit")
 
 
-def metric_matrix(df: DataFrame, cohort: list[str]) -> DataFrame:
-    """(cohort..., dev, metric, value) of totals with a multiplier; lines are capped at the cohort's 95th percentile after it."""
+def _beside(df: DataFrame, cohort: list[str], stats: DataFrame) -> DataFrame:
+    """``df`` with what ``stats`` has of its cohort; without cohorts that is one row."""
+    if not cohort:
+        return df.crossJoin(F.broadcast(stats))
+    return df.join(stats.toDF(*[f"_c{i}" for i in range(len(cohort))], *stats.columns[len(cohort) :]), reduce(Column.__and__, [df[c].eqNullSafe(F.col(f"_c{i}")) for i, c in enumerate(cohort)]))
+
+
+def metrics(df: DataFrame, cohort: list[str]) -> DataFrame:
+    """(cohort..., dev, a column for each metric) of totals with a multiplier; lines are capped at the cohort's 95th percentile
+    after it.  ``df`` is read twice: give a written table."""
     m = F.col("multiplier")
     loc = F.col("loc") * m
-    cap = F.percentile(loc, F.lit(0.95))
-    capped = df.withColumn("_cap", cap.over(W.partitionBy(*cohort))) if cohort else df.crossJoin(F.broadcast(df.agg(cap.alias("_cap"))))  # one row
-    wide = capped.select(
+    cap = df.groupBy(*cohort).agg(F.percentile(loc, F.lit(0.95)).alias("_cap"))
+    return _beside(df, cohort, cap).select(
         *cohort,
         "dev",
         F.col("prs_merged").cast("double").alias("prs_merged"),
@@ -47,7 +56,31 @@ def metric_matrix(df: DataFrame, cohort: list[str]) -> DataFrame:
         F.sqrt(F.greatest(F.least(loc, F.col("_cap")), F.lit(0.0))).alias("loc"),
         (F.col("commits") * m).alias("commits"),
     )
-    return wide.unpivot([*cohort, "dev"], list(METRICS), "metric", "value")
+
+
+def standard(wide: DataFrame, cohort: list[str]) -> DataFrame:
+    """``metrics`` with each metric's z instead of its value, as ``z_scores`` has it of long rows: the statistics of a cohort are one
+    row, so people stay one row each and no metric is drawn into one task.  ``wide`` is read twice: let it come from a written table."""
+    counts = {c: F.col(c) > 0 if c == "story_points" else F.lit(True) for c in METRICS}
+    v = {c: F.when(counts[c], F.col(c)) for c in METRICS}
+    stats = wide.groupBy(*cohort).agg(*[f(v[c]).alias(f"{name}_{c}") for c in METRICS for f, name in ((F.avg, "_mean"), (F.stddev_pop, "_sd"))])
+
+    def z(c: str) -> Column:
+        mean, sd = F.col(f"_mean_{c}"), F.col(f"_sd_{c}")
+        flat = sd < 1e-12 * F.greatest(F.lit(1.0), F.abs(mean))
+        return F.when(flat | ~counts[c] | sd.isNull(), 0.0).otherwise((F.col(c) - mean) / sd).alias(c)
+
+    return _beside(wide, cohort, stats).select(*cohort, "dev", *[z(c) for c in METRICS])
+
+
+def by_metric(z: DataFrame, cohort: list[str]) -> DataFrame:
+    """(cohort..., dev, metric, z) of ``standard``."""
+    return z.unpivot([*cohort, "dev"], list(METRICS), "metric", "z")
+
+
+def scores(wide: DataFrame, cohort: list[str], weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """(cohort..., dev, score) of ``metrics``: the weighted sum of everyone's z."""
+    return standard(wide, cohort).select(*cohort, "dev", reduce(Column.__add__, [F.lit(weights.get(c, 0.0)) * F.col(c) for c in METRICS]).alias("score"))
 
 
 def z_scores(long: DataFrame, cohort: list[str]) -> DataFrame:
@@ -66,10 +99,6 @@ def weighted(z: DataFrame, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     return z.withColumn("contribution", F.coalesce(pairs[F.col("metric")], F.lit(0.0)) * F.col("z"))
 
 
-def composite(z: DataFrame, cohort: list[str], weights: dict[str, float] = WEIGHTS) -> DataFrame:
-    return weighted(z, weights).groupBy(*cohort, "dev").agg(F.sum("contribution").alias("score"))
-
-
 def breakdown(z: DataFrame, cohort: list[str], weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """Contributions that aren't zero, the largest first."""
     rows = weighted(z, weights).where("contribution <> 0")

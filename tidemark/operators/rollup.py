@@ -36,6 +36,37 @@ def facts(issues: DataFrame, prs: DataFrame, commits: DataFrame, reviews: DataFr
     return reduce(DataFrame.unionAll, [df.select("dev", F.inline(F.array_compact(F.array(*own)))) for df, own in sources])
 
 
+def dated(issues: DataFrame, prs: DataFrame, commits: DataFrame, reviews: DataFrame, roster: DataFrame, logins: DataFrame) -> DataFrame:
+    """(dev, day, measures): attributed facts with a column for each measure, so that sums compare no names and no label is made of
+    each fact.  A source's row gives one row for each of its times; bots are left out by their logins on the roster."""
+
+    def own(df: DataFrame, facts: dict[str, dict[str, Column]]) -> DataFrame:
+        names = list(dict.fromkeys(m for found in facts.values() for m in found))
+        at = [F.struct(F.to_date(ts).alias("day"), *[found.get(m, F.lit(0.0)).cast("double").alias(m) for m in names]) for ts, found in facts.items()]
+        rows = df.select("dev", F.inline(F.array(*at))).where("day IS NOT NULL")
+        return rows.select("dev", "day", *[F.coalesce(m, F.lit(0.0)).alias(m) if m in names else F.lit(0.0).alias(m) for m in MEASURES])
+
+    one, points = F.lit(1.0), F.col("story_points") > 0
+    sources = [
+        own(people.attribute_issues(issues, roster), {"updated": {"touched": one}, "created": {"created": one}, "resolved": {"resolved": one, "story_points": F.when(points, F.col("story_points")), "scored": F.when(points, one)}}),
+        own(people.attribute_github(prs, logins, "author"), {"created": {"prs_created": one}, "merged": {"prs_merged": one, "loc": F.col("additions") + F.col("deletions")}}),
+        own(people.attribute_github(commits, logins, "author"), {"committed": {"commits": one}}),
+        own(people.attribute_github(reviews, people.drop_bots(logins, "login"), "reviewer"), {"submitted": {"reviewed": one}}),
+    ]
+    return reduce(DataFrame.unionAll, sources)
+
+
+def person_totals(rows: DataFrame) -> DataFrame:
+    """(dev, measures, active_weeks) of ``dated`` rows: weeks are bits of a word for each 64 of them, so that rows of a person meet before they travel."""
+    week = F.floor((F.unix_date("day") - 4) / 7)
+    words = rows.groupBy("dev", F.floor(week / 64).alias("_word")).agg(*[F.sum(m).alias(m) for m in MEASURES], F.bit_or(_bit(F.pmod(week, F.lit(64)))).alias("_weeks"))
+    return words.groupBy("dev").agg(*[F.sum(m).alias(m) for m in MEASURES], F.sum(F.bit_count("_weeks")).alias("active_weeks"))
+
+
+def _bit(n: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), n.cast("int"))
+
+
 def attributed(issues: DataFrame, prs: DataFrame, commits: DataFrame, reviews: DataFrame, roster: DataFrame, logins: DataFrame) -> DataFrame:
     return facts(
         people.attribute_issues(issues, roster),

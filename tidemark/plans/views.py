@@ -34,8 +34,7 @@ def _cycle(t):
 
 
 def sorted_people(t):
-    z = ranking.z_scores(ranking.metric_matrix(activity._leaderboard(t), []), [])
-    return ranking.sort_people(ranking.composite(z, []), "score", 10).select("dev", r("score"), n("place"))
+    return ranking.sort_people(ranking.scores(ranking.metrics(activity._leaderboard(t), []), []), "score", 10).select("dev", r("score"), n("place"))
 
 
 def found_person(t):
@@ -46,8 +45,7 @@ def cohort_audit(t):
     """Ranks by composite with and without the effort multiplier."""
     wide = activity._leaderboard(t)
     flat = ranking.effort_multiplier(wide.drop("multiplier"), knobs=replace(Effort(), spam_slope=0.0, stuff_slope=0.0))
-    rank = lambda df: ranking.rank_cohort(ranking.composite(ranking.z_scores(ranking.metric_matrix(df, []), []), []), [])
-    return audit.rank_shift(rank(flat), rank(wide), "dev").select("dev", n("before"), n("after"), n("shift"))
+    return audit.rank_shift(activity._ranked(flat), activity._ranked(wide), "dev").select("dev", n("before"), n("after"), n("shift"))
 
 
 def spike_audit(t):
@@ -88,12 +86,12 @@ LOOSE_SQL = LEADER_SQL.replace(EFFECTIVE, effective_sql(LOOSE))
 
 def impact_audit(t):
     """Lines, impact and rank of everyone under the defaults and under loose families."""
-    def side(knobs, mark):
-        wide = activity._leaderboard(t, knobs)
-        rank = ranking.rank_cohort(ranking.composite(ranking.z_scores(ranking.metric_matrix(wide, []), []), []), [])
-        return wide.select("dev", "loc", "effective_loc", "code_impact").join(rank, "dev").select("dev", "loc", *[F.col(c).alias(f"{c}_{mark}") for c in ("effective_loc", "code_impact", "rank")])
+    def side(wide, mark):
+        rank = activity._ranked(wide)
+        return wide.select("dev", "loc", "effective_loc", "code_impact").join(rank.select("dev", "rank"), "dev").select("dev", "loc", *[F.col(c).alias(f"{c}_{mark}") for c in ("effective_loc", "code_impact", "rank")])
 
-    both = side(Impact(), "a").join(side(LOOSE, "b").drop("loc"), "dev")
+    plain, loose = activity._cohorts(t, Impact(), LOOSE)
+    both = side(plain, "a").join(side(loose, "b").drop("loc"), "dev")
     return both.select("dev", r("loc"), *[r(f"{c}_{m}") for c in ("effective_loc", "code_impact") for m in "ab"], n("rank_a"), n("rank_b"), (F.col("rank_a") - F.col("rank_b")).cast("long").alias("shift"))
 
 
