@@ -67,3 +67,9 @@ def test_forms(spark, tmp_path, name):
     got = frame(spark, str(tmp_path), name)
     assert got.dtypes == want.dtypes and want.count() > 0
     assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+
+
+def test_labels_once_a_period(spark):
+    """No label is made of a fact: the one of a period comes after its sums."""
+    plan = registry.QUERIES["period_totals"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("format_string") == 1

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import Impact
-from tidemark.functions.calendar import iso_week, month_key, period_label, week_start
+from tidemark.functions.calendar import iso_week, month_key, period_label, period_start, week_start
 from tidemark.operators import people
 
 MEASURES = ("touched", "created", "resolved", "story_points", "scored", "prs_created", "prs_merged", "loc", "commits", "reviewed")
@@ -164,11 +164,15 @@ def compare_windows(found: DataFrame, base: str, other: str, measure: str) -> Da
 
 
 def period_totals(rows: DataFrame, moves: DataFrame) -> DataFrame:
-    """Measures and active weeks of each person and bi-weekly period, for all periods at once."""
-    keyed = rows.withColumn("period", period_label("ts"))
-    week = F.when(F.col("measure").isin("touched", "prs_created", "prs_merged", "commits", "reviewed"), week_start("ts"))
-    own = keyed.groupBy("dev", "period").agg(*[F.coalesce(F.sum(F.when(F.col("measure") == m, F.col("value"))), F.lit(0.0)).alias(m) for m in MEASURES if m not in ("story_points", "scored")], F.countDistinct(week).alias("active_weeks"))
-    return own.join(moves, ["dev", "period"], "left").fillna(0, ["progressed"])
+    """Measures, active weeks and distinct issues moved (``own_moves``) of each person and bi-weekly period, for all periods at
+    once, of ``dated`` rows.  Periods go by their first day; the label is made of that, once a person and period."""
+    busy = reduce(Column.__add__, [F.col(m) for m in ("touched", "prs_created", "prs_merged", "commits", "reviewed")]) > 0
+    second = F.weekofyear("day") % 2 == 0
+    kept = [m for m in MEASURES if m not in ("story_points", "scored")]
+    own = rows.groupBy("dev", period_start("day").alias("_first")).agg(*[F.sum(m).alias(m) for m in kept], F.bit_or(F.when(busy, F.when(second, 2).otherwise(1)).otherwise(0)).alias("_weeks"))
+    moved = moves.groupBy("dev", period_start("at").alias("_first")).agg(F.countDistinct("issue_key").alias("progressed"))
+    found = own.join(moved, ["dev", "_first"], "left").fillna(0, ["progressed"])
+    return found.select("dev", period_label("_first").alias("period"), *kept, F.bit_count("_weeks").cast("long").alias("active_weeks"), "progressed")
 
 
 def active_people(monthly: DataFrame, bucket: str) -> DataFrame:
