@@ -103,12 +103,12 @@ def rating_snapshot(t):
 
 
 def epic_facets(t):
-    found = epics.momentum(epics.epic_weeks(t("issues"), t("prs"), t("commits")), anchor=1600)
+    found = epics.momentum(delivery.epic_weeks(t), anchor=1600)
     return epics.facets(found, rising_only=True, least_work=10).select("epic_key", "state", r("momentum"))
 
 
 def facets_weeks(t):
-    weeks = staged(epics.epic_weeks(t("issues"), t("prs"), t("commits")), "epic-weeks")
+    weeks = staged(delivery.epic_weeks(t), "epic-weeks")
     return epics.facets(epics.momentum(weeks, anchor=1600), False, 3, weeks, 1500, 1502).select("epic_key", "state", "trigger")
 
 
