@@ -59,7 +59,7 @@ def test_forms(spark, missing, name):
     assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
 
 
-@pytest.mark.parametrize("name", ("epic_shares", "epic_shares_surging"))
+@pytest.mark.parametrize("name", ("ticket_evidence", "ticket_band", "audit_band_patterns", "ticket_upsert", "audit_movers_by_glob", "epic_shares", "epic_shares_surging"))
 def test_odd_tables(spark, odd, name):
     con, folder = odd
     assert _rows(registry.QUERIES[name](spark, folder).toPandas()) == _rows(con.sql(registry.ORACLES[name]).df())
@@ -71,7 +71,7 @@ def _shuffled(spark):
     return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("name", ("epic_shares", "epic_shares_surging"))
+@pytest.mark.parametrize("name", ("epic_shares", "epic_shares_surging", "ticket_evidence", "ticket_upsert", "ticket_post", "audit_band_patterns", "ticket_facets_more", "ticket_calibrate", "ticket_overrides", "audit_movers_by_glob", "ticket_band"))
 def test_shuffled(spark, name):
     """Bytes shuffled for each line: each source is exchanged once, by numbers."""
     lines = spark.read.parquet(f"{SF}/lineitem.parquet").count()
@@ -81,4 +81,4 @@ def test_shuffled(spark, name):
     assert 0 < each < LIMIT[name]
 
 
-LIMIT = dict.fromkeys(("epic_shares", "epic_shares_surging"), 200)
+LIMIT = dict.fromkeys(("epic_shares", "epic_shares_surging"), 200) | dict.fromkeys(("ticket_evidence", "ticket_upsert", "ticket_post", "audit_band_patterns", "ticket_facets_more", "ticket_calibrate", "ticket_overrides", "audit_movers_by_glob", "ticket_band"), 220)
